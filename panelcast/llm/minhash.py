@@ -11,7 +11,8 @@ Steps, each over all documents:
 2. half keys that only one node has cannot meet another node and are left out; the others are paired into table
    keys, and tables with the same members count once;
 3. ``STAR_ROUNDS`` times, all members of a table are compared with one pivot, which joins large groups at a
-   cost linear in their size; then every pair that still crosses two components within a table is compared;
+   cost linear in their size; then nodes that cannot reach another component are peeled off by shingle counts, and
+   every remaining pair that crosses two components within a table is compared;
 4. compared means: the intersection of full sets against 100 * both >= 75 * either. Components follow by
    large-star and small-star steps.
 
@@ -150,6 +151,25 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return near.filter(100 * F.col("common") >= SIMILAR_PERCENT * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
+def _may_cross(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, comp, n) of the nodes that can have a link to another component at all.
+
+    A link needs SIMILAR_PERCENT of a node's shingles in one node of another component, so a node with fewer
+    shingles that occur in two components has none. Nodes that drop out take their shingles with them; the count is
+    repeated until nobody drops out. The work is linear in the shingles, whatever the size of the groups.
+    """
+    alive = staged(members.select("node", "comp").distinct(), "alive")
+    count = alive.count()
+    while True:
+        items = sets.join(alive.select("node", "comp"), "node").select("node", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("s")).repartition("s")
+        crossing = items.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("s")
+        held = items.join(crossing, "s", "left_semi").groupBy("node", "comp", "n").agg(F.count("*").alias("c"))
+        alive = staged(held.filter(100 * F.col("c") >= SIMILAR_PERCENT * F.col("n")).select("node", "comp", "n"), "alive")
+        before, count = count, alive.count()
+        if count == before or not count:
+            return alive
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of every node of ``edges(a, b)``; comp is the component's least node.
 
@@ -201,8 +221,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
             pairs = member.join(mixed.select("bucket", "p.pivot", "p.pcomp"), "bucket").filter("comp <> pcomp").select("node", "pivot")
         else:
             left = staged(member.join(mixed, "bucket", "left_semi"), "mixed")
-            right = left.select("bucket", F.col("node").alias("pivot"), F.col("comp").alias("pcomp"))
-            pairs = left.join(right, "bucket").filter("comp < pcomp").select("node", "pivot")
+            left = left.join(_may_cross(left, sets), ["node", "comp"])
+            right = left.select("bucket", F.col("node").alias("pivot"), F.col("comp").alias("pcomp"), F.col("n").alias("pn"))
+            sizes = 100 * F.least("n", "pn") >= SIMILAR_PERCENT * F.greatest("n", "pn")
+            pairs = left.join(right, "bucket").filter("comp < pcomp").filter(sizes).select("node", "pivot")
         pairs = staged(pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "pairs")
         if pairs.isEmpty():
             break
