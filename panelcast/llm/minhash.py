@@ -11,8 +11,10 @@ Steps, each over all documents:
 2. half keys that only one node has cannot meet another node and are left out; the others are paired into table
    keys, and tables with the same members count once;
 3. ``STAR_ROUNDS`` times, all members of a table are compared with one pivot, which joins large groups at a
-   cost linear in their size; then nodes that cannot reach another component are peeled off by shingle counts, and
-   every remaining pair that crosses two components within a table is compared;
+   cost linear in their size. From the second time on, nodes that cannot reach another component are peeled off by
+   shingle counts, and the pivot is the node that shares most of its shingles: the likely origin of its copies. Then
+   every pair that still crosses two components and shares a key of the first collection is looked at in blocks, and
+   compared unless exact upper bounds rule it out;
 4. compared means: the intersection of full sets against 100 * both >= 75 * either. Components follow by
    large-star and small-star steps.
 
@@ -24,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -36,6 +39,9 @@ HALVES = 24
 WIDTH = 3
 SIMILAR_PERCENT = 75
 STAR_ROUNDS = 2
+#: Hash bins of a node's shingle counts, and nodes of a bucket that are compared with each other at a time.
+BINS = 128
+BLOCK = 2048
 #: Entries of a worker's word-hash cache before it starts anew.
 CACHE_WORDS = 400_000
 
@@ -121,24 +127,75 @@ def sketches(docs: DataFrame) -> DataFrame:
     )
 
 
-def _tables(sketched: DataFrame) -> DataFrame:
-    """(bucket, node) of all tables with two nodes or more; tables with equal members appear once."""
+def _live_halves(sketched: DataFrame) -> DataFrame:
+    """(node, first, second): half keys that another node has as well, of the nodes with some in both collections."""
     half = sketched.filter("node IS NOT NULL").select("node", F.posexplode("keys").alias("pos", "key"))
     met = half.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
     live = half.join(met, "key", "left_semi").groupBy("node").agg(
         F.collect_set(F.when(F.col("pos") < HALVES, F.col("key"))).alias("first"),
         F.collect_set(F.when(F.col("pos") >= HALVES, F.col("key"))).alias("second"),
     )
-    live = staged(live.filter("size(first) > 0 AND size(second) > 0"), "halves")
-    paired = live.select("node", F.explode("first").alias("a"), "second").select("node", "a", F.explode("second").alias("b"))
-    paired = paired.select("node", F.xxhash64("a", "b").alias("bucket"))
+    return staged(live.filter("size(first) > 0 AND size(second) > 0"), "halves")
+
+
+def _once(rows: DataFrame, value: str) -> DataFrame:
+    """Buckets of ``rows(bucket, node, ..)`` that hold two values of a column or more; of buckets with the same nodes, one."""
     members = (
-        paired.groupBy("bucket")
-        .agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"))
+        rows.groupBy("bucket")
+        .agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min("node").alias("m"))
         .filter("lo <> hi")
     )
-    once = members.groupBy("lo", "hi", "n", "x").agg(F.min("bucket").alias("bucket")).select("bucket")
-    return staged(paired.join(staged(once, "buckets"), "bucket", "left_semi"), "tables")
+    return members.groupBy("m", "n", "x").agg(F.min("bucket").alias("bucket")).select("bucket", F.col("n").alias("size"))
+
+
+def _tables(live: DataFrame) -> DataFrame:
+    """(bucket, node) of all tables with two nodes or more; tables with equal members appear once."""
+    paired = live.select("node", F.explode("first").alias("a"), "second").select("node", "a", F.explode("second").alias("b"))
+    paired = paired.select("node", F.xxhash64("a", "b").alias("bucket"))
+    return staged(paired.join(staged(_once(paired, "node"), "buckets"), "bucket", "left_semi"), "tables")
+
+
+def _bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bins = [np.bincount(np.asarray(h, np.int64) & (BINS - 1), minlength=BINS).astype("<u4").tobytes() for h in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bins, pa.binary())], names=["node", "bins"])
+
+
+def _compared(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of one group's nodes, of the left with the right block, that their counts do not rule out."""
+    lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
+    node, comp, n, c = (pdf[k].to_numpy() for k in ("node", "comp", "n", "c"))
+    bins = np.frombuffer(b"".join(pdf["bins"]), "<u4").reshape(-1, BINS)
+    block = pdf["block"].to_numpy()
+    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    out = []
+    for at in range(0, len(left), 256):
+        i = left[at : at + 256, None]
+        most = np.minimum(c[i], c[right])
+        ok = (comp[i] != comp[right]) & (100 * most >= SIMILAR_PERCENT * (n[i] + n[right] - most)) & ((lo != hi) | (i < right))
+        x, y = np.nonzero(ok)
+        for k in range(0, len(x), 65536):
+            a, b = left[at + x[k : k + 65536]], right[y[k : k + 65536]]
+            shared = np.minimum(bins[a], bins[b]).sum(axis=1, dtype=np.int64)
+            good = 100 * shared >= SIMILAR_PERCENT * (n[a] + n[b] - shared)
+            out.append(pd.DataFrame({"node": node[a[good]], "pivot": node[b[good]]}))
+    return pd.concat(out) if out else pd.DataFrame({"node": [], "pivot": []}, dtype="int64")
+
+
+def _possible_pairs(live: DataFrame, alive: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of nodes in different components that share a half key of the first collection and that no bound rules out.
+
+    Two bounds hold for the shingles that two nodes share: c of either node, and the sum over BINS hash bins of the
+    lesser count. Buckets are compared block by block within tasks, so only possible pairs are rows; they are a
+    superset of the pairs that share a table.
+    """
+    rows = live.select("node", F.explode("first").alias("bucket")).join(alive, "node")
+    kept = staged(_once(rows, "comp"), "crossing")
+    binned = sets.join(alive.select("node"), "node", "left_semi").select("node", "shingles").mapInArrow(_bins, "node long, bins binary")
+    rows = rows.join(kept, "bucket").join(binned, "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "comp", "n", "c", "bins")
+    return rows.groupBy("bucket", "lo", "hi").applyInPandas(_compared, "node long, pivot long")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -152,11 +209,12 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _may_cross(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, comp, n) of the nodes that can have a link to another component at all.
+    """(node, comp, n, c) of the nodes that can have a link to another component at all: n shingles, c of them in
+    two components or more.
 
     A link needs SIMILAR_PERCENT of a node's shingles in one node of another component, so a node with fewer
     shingles that occur in two components has none. Nodes that drop out take their shingles with them; the count is
-    repeated until nobody drops out. The work is linear in the shingles, whatever the size of the groups.
+    repeated until hardly any drops out. The work is linear in the shingles, whatever the size of the groups.
     """
     alive = staged(members.select("node", "comp").distinct(), "alive")
     count = alive.count()
@@ -164,9 +222,9 @@ def _may_cross(members: DataFrame, sets: DataFrame) -> DataFrame:
         items = sets.join(alive.select("node", "comp"), "node").select("node", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("s")).repartition("s")
         crossing = items.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("s")
         held = items.join(crossing, "s", "left_semi").groupBy("node", "comp", "n").agg(F.count("*").alias("c"))
-        alive = staged(held.filter(100 * F.col("c") >= SIMILAR_PERCENT * F.col("n")).select("node", "comp", "n"), "alive")
+        alive = staged(held.filter(100 * F.col("c") >= SIMILAR_PERCENT * F.col("n")), "alive")
         before, count = count, alive.count()
-        if count == before or not count:
+        if count >= 0.95 * before or not count:
             return alive
 
 
@@ -202,7 +260,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     null and kept is true. Other columns are not read. An empty table gives an empty result.
     """
     sketched = staged(sketches(docs), "sketches")
-    buckets = _tables(sketched)
+    live = _live_halves(sketched)
+    buckets = _tables(live)
     nodes = buckets.select("node").distinct()
     first = sketched.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     first = small_or_not(staged(first, "nodes"))
@@ -215,19 +274,25 @@ def near_groups(docs: DataFrame) -> DataFrame:
         member = buckets.withColumn("comp", F.col("node"))
         if comps is not None:
             member = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        pivot = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("pivot"), F.col("comp").alias("pcomp"))).alias("p")
-        mixed = member.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), pivot).filter("lo <> hi")
-        if turn < STAR_ROUNDS:
-            pairs = member.join(mixed.select("bucket", "p.pivot", "p.pcomp"), "bucket").filter("comp <> pcomp").select("node", "pivot")
+        if turn == 0:
+            member = member.withColumns({"n": F.lit(1), "c": F.lit(1)})
         else:
-            left = staged(member.join(mixed, "bucket", "left_semi"), "mixed")
-            left = left.join(_may_cross(left, sets), ["node", "comp"])
-            right = left.select("bucket", F.col("node").alias("pivot"), F.col("comp").alias("pcomp"), F.col("n").alias("pn"))
-            sizes = 100 * F.least("n", "pn") >= SIMILAR_PERCENT * F.greatest("n", "pn")
-            pairs = left.join(right, "bucket").filter("comp < pcomp").filter(sizes).select("node", "pivot")
+            crossed = member.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
+            member = member.join(staged(crossed, "crossed"), "bucket", "left_semi")
+            alive = _may_cross(member, sets)
+        if turn == STAR_ROUNDS:
+            pairs = _possible_pairs(live, alive, sets)
+        else:
+            if turn:
+                member = staged(member.join(alive, ["node", "comp"]), "members")
+            best = F.max(F.struct((F.col("c") / F.col("n")).alias("r"), F.xxhash64("node").alias("h"), F.col("node").alias("pivot"), F.col("comp").alias("pcomp"), F.col("n").alias("pn"), F.col("c").alias("pc"))).alias("p")
+            pivots = member.groupBy("bucket").agg(best).select("bucket", "p.pivot", "p.pcomp", "p.pn", "p.pc")
+            most = F.least("c", "pc")  # no more than c of a node's n shingles are in another component
+            possible = F.lit(True) if turn == 0 else 100 * most >= SIMILAR_PERCENT * (F.col("n") + F.col("pn") - most)
+            pairs = member.join(pivots, "bucket").filter("comp <> pcomp").filter(possible).select("node", "pivot")
         pairs = staged(pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "pairs")
         if pairs.isEmpty():
-            break
+            continue
         found = staged(_similar(pairs, sets), "links")
         if found.isEmpty():
             continue
