@@ -1,18 +1,66 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: good documents, one of each near-duplicate group, masked, mixed and packed.
 
-from panelcast.llm import minhash
+Every stage takes ``(spark, docs, sf_dir)`` with ``docs`` in the columns of ``documents``; all but the last return
+those columns. Each stage works on all rows that the one before it kept.
+"""
 
+from __future__ import annotations
 
-def near_dedup(spark, docs, sf_dir):
-    return minhash.drop_near_copies(docs)
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession
 
-STAGES = [("minhash_near_dedup", near_dedup)]
+from panelcast.llm import milquality, minhash, mixing, packing, pii
+from panelcast.llm.shared import shared_dir, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on this stage's own input, predicts to be good."""
+    docs = docs.select(COLUMNS)
+    return milquality.drop_poor(docs, milquality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each near-duplicate group."""
+    return minhash.drop_near_copies(docs.select(COLUMNS))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data masked."""
+    return pii.mask(docs.select(COLUMNS))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.draw(docs.select(COLUMNS))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their places in sequences of at most 2048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("minhash_near_dedup", near_dedup),
+    ("personal_data", personal_data),
+    ("source_mixing", source_mixing),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: Fitted models, best fit and masking have no SQL form; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order over ``documents``, each written as Parquet to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            path = f"{shared_dir(spark)}/panelcast-{name}-{uuid.uuid4().hex}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs

@@ -5,22 +5,72 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelcast.llm import minhash
+from panelcast.llm import html, media, milquality, minhash, mixing, packing, pii, rules, sharding, toxicity
 from panelcast.llm.shared import table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(table(spark, sf_dir, "documents"))
+
+
+def op6_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return milquality.score(docs, milquality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extraction": op1_html_extraction,
+        "op2_toxicity": op2_toxicity,
+        "op3_best_fit_packing": op3_best_fit_packing,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
+        "op5_media_columns": op5_media_columns,
+        "op6_hilbert_sharding": op6_hilbert_sharding,
+        "op7_quality_rules": op7_quality_rules,
+        "op8_source_mixing": op8_source_mixing,
+        "op9_quality_classifier": op9_quality_classifier,
+        "op10_personal_data": op10_personal_data,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_minhash_near_dedup": minhash.ORACLE_SQL,
+        "op8_source_mixing": mixing.ORACLE_SQL,
     }
