@@ -9,6 +9,8 @@ than WINDOW pieces or about ROUND_BINS bins, whatever the input's size.
 from __future__ import annotations
 
 import functools
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +31,7 @@ WINDOW = 200_000
 ROUND_BINS = 20_000
 #: Former tasks whose bins meet in one task of the next round, at least.
 FAN_IN = 8
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 1_000_000
 CACHE_BYTES = 64
 
 ITEM = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
@@ -49,15 +51,44 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte -> the character by which a byte-level vocabulary writes it: printable Latin-1 as itself, the others in
+    order from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+#: Letters of ASCII and Latin-1, then other printable ASCII marks but the apostrophe: one word and one run of marks.
+_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class _ChunkIds(dict):
     """Ids, as little-endian bytes, of a run of bytes without ASCII white space. The tokenizer's words never cross
-    white space, so a text's ids are those of its runs, one after the other."""
+    white space, so a text's ids are those of its runs, one after the other. A run that is one plain word, with
+    marks behind it or not, goes straight to the tokenizer's model; all others through the whole tokenizer."""
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+
+    def _word(self, word: str) -> bytes:
+        text = word.lower()
+        if not text.isascii():
+            text = "".join(self.letters[b] for b in text.encode())
+        ids = [t.id for t in self.model.tokenize(text)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, chunk: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        text = chunk.decode("utf-8", "replace")
+        if (m := _WORD.fullmatch(text)) and m[2]:
+            ids = self._word(m[1]) + self[m[2].encode()]
+        elif m:
+            ids = self._word(m[1])
+        else:
+            found = self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(chunk) <= CACHE_BYTES:
             if len(self) >= CACHE_CHUNKS:
                 self.clear()
@@ -65,6 +96,12 @@ class _ChunkIds(dict):
         return ids
 
 
+@functools.cache
+def _chunk_ids(path: str) -> _ChunkIds:
+    """One cache for all tasks of a worker."""
+    return _ChunkIds(path)
+
+
 def token_bytes(text: bytes, ids: _ChunkIds) -> bytes:
     return b"".join(map(ids.__getitem__, text.split())) + END_ID.to_bytes(4, "little")
 
@@ -126,7 +163,7 @@ def _first_id(turn: int) -> int:
 
 def _pack_texts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, at = _ChunkIds(path), _first_id(0)
+        ids, at = _chunk_ids(path), _first_id(0)
         rows: list[tuple] = []
 
         def packed():
