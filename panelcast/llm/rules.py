@@ -21,8 +21,9 @@ from panelcast.llm.shared import text_bytes
 LANGUAGES = 200
 WORDS = 200
 LEAST_WORDS, LEAST_CHARS = 50, 200
-MOST_CLASS_DISTANCE = 0.25
-MOST_WORD_DISTANCE = 0.65
+#: Largest distances: (a, b) stands for a + b / sqrt(words), as a sample's distance from its own source shrinks.
+MOST_CLASS_DISTANCE = (0.20, 0.95)
+MOST_WORD_DISTANCE = (0.42, 1.2)
 BASE_LEAST_WORDS, BASE_REPEAT_PERCENT = 50, 50
 SYMBOLS = b"#*$%&|<>"
 CLASSES = 9
@@ -127,6 +128,10 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(parts.sum() / 2, 0)))
 
 
+def _limit(bound: tuple[float, float], words: int) -> float:
+    return bound[0] + bound[1] / words**0.5
+
+
 def _judged(found: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +150,7 @@ def _judged(found: dict):
                     rest = len(place)
                     own = np.bincount([place.get(w, rest) for w in text.lower().split()], minlength=rest + 1)
                     by_word = js_distance(own / own.sum(), share)
-                kept = not failed and (by_class is None or by_class <= MOST_CLASS_DISTANCE and by_word <= MOST_WORD_DISTANCE)
+                kept = not failed and (by_class is None or by_class <= _limit(MOST_CLASS_DISTANCE, n) and by_word <= _limit(MOST_WORD_DISTANCE, n))
                 rows.append((n, *counts, failed, kept, by_class, by_word))
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
             columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)

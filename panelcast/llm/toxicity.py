@@ -1,11 +1,12 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted one after the other by logistic models; each model sees the presence of vocabulary words and
-the probabilities of all earlier categories. While fitting, those come from out-of-fold models, so a later link learns
+Categories are predicted one after the other by logistic models; each model sees the presence of vocabulary entries
+and the probabilities of all earlier categories. While fitting, those come from out-of-fold models, so a later link learns
 from probabilities as it will meet them. The label table has one toxicity label; it is the last link. The earlier
 links are finer categories with weak labels: a toxic document with a cue word of the category.
 
-The vocabulary is counted over all labelled documents by Spark; the models are fitted on at most TRAIN_DOCS of them.
+Vocabulary and models come from at most TRAIN_DOCS labelled documents, the first by a hash of the id. The vocabulary
+holds short words and beginnings of words, so that compounds of a word count too.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.shared import small_or_not, staged, text_bytes
+from panelcast.llm.shared import staged, text_bytes
 
 #: Cue words of the weakly labelled categories, in the chain's order.
 CUES = {
@@ -28,17 +29,40 @@ CUES = {
 CHAIN = (*CUES, "toxic")
 VOCABULARY = 512
 LEAST_DOCS = 5
-TRAIN_DOCS = 6000
+#: Words enter by the log-odds ratio between toxic and other documents, in standard errors.
+LEAST_Z = 4.0
+TRAIN_DOCS = 8000
 FOLDS = 3
-STEPS, RIDGE = 150, 1e-3
+STEPS, RIDGE = 200, 1e-4
 THRESHOLD = 0.5
 
-#: ASCII letters in lower case, bytes beyond ASCII as they are, all else a blank.
-_LETTERS = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
+#: Lengths, in bytes, of the word beginnings that are features, and of the longest whole word.
+PREFIXES = range(4, 10)
+LONGEST = 10
+
+#: ASCII letters and bytes beyond ASCII as they are, all else a blank.
+_LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 
 
 def word_set(text: bytes) -> set[bytes]:
-    return set(text.translate(_LETTERS).split())
+    return set(text.decode("utf-8", "replace").lower().encode().translate(_LETTERS).split())
+
+
+def marks_of(words: set[bytes], wanted: dict[bytes, int] | None = None) -> set[bytes]:
+    """Features of a document: ``=word`` for short words, ``prefix`` for beginnings of words, ``2prefix`` where two words
+    or more begin so; only the wanted ones if given."""
+    begins: Counter = Counter()
+    out = set()
+    for w in words:
+        if len(w) <= LONGEST:
+            out.add(b"=" + w)
+        for k in PREFIXES:
+            if k > len(w):
+                break
+            begins[w[:k]] += 1
+    out.update(begins)
+    out.update(b"2" + p for p, n in begins.items() if n > 1)
+    return out if wanted is None else out & wanted.keys()
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,9 +78,9 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts[label].update(word_set(text))
-        if sum(map(len, counts.values())) > 200_000:
-            yield from rows()
+            counts[label].update(marks_of(word_set(text)))
+            if len(counts[0]) + len(counts[1]) > 400_000:
+                yield from rows()
     yield from rows()
 
 
@@ -67,7 +91,7 @@ def _present(vocabulary: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [word_set(t) for t in batch.column(2).to_pylist()]
-            found = [sorted(place[w] for w in s & place.keys()) for s in sets]
+            found = [sorted(place[w] for w in marks_of(s, place)) for s in sets]
             marks = [[int(bool(s & c)) for c in cues] for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32())), pa.array(marks, pa.list_(pa.int32()))], names=["doc_id", "label", "found", "marks"])
 
@@ -116,18 +140,20 @@ def apply_chain(models: list[np.ndarray], x: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], list[np.ndarray]]:
     """The vocabulary and the chain; both empty where no document is labelled."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
-    known = staged(known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label")), "labelled")
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
+    sample = staged(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS), "sample")  # bounded, so it may be broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(docs).alias("text"))
-    counted = texts.join(small_or_not(known), "doc_id").select("label", "text").mapInArrow(_frequencies, "word binary, label int, n long")
-    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    texts = staged(texts.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text"), "labelled")
+    sizes = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
+    counted = texts.select("label", "text").mapInArrow(_frequencies, "word binary, label int, n long")
+    a, b = F.col("a"), F.col("b")
     per_word = counted.groupBy("word").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b"))
-    odds = F.log((F.col("a") + 0.5) / (pos - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (neg - F.col("b") + 0.5))
-    spread = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    best = per_word.filter(F.col("a") + F.col("b") >= LEAST_DOCS).orderBy(F.desc(F.abs(odds / spread)), "word").limit(VOCABULARY)
+    odds = F.log((a + 0.5) / (pos - a + 0.5)) - F.log((b + 0.5) / (neg - b + 0.5))
+    z = odds / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (pos - a + 0.5) + 1 / (neg - b + 0.5))
+    best = per_word.filter(a + b >= LEAST_DOCS).withColumn("z", z).filter(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "word").limit(VOCABULARY)
     vocabulary = [bytes(r["word"]) for r in best.select("word").collect()]
-    sample = staged(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS), "sample")  # bounded, so it may be broadcast
-    rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text").mapInArrow(_present(vocabulary), "doc_id long, label int, found array<int>, marks array<int>")
+    rows = texts.mapInArrow(_present(vocabulary), "doc_id long, label int, found array<int>, marks array<int>")
     rows = rows.groupBy("doc_id").agg(F.min(F.struct("label", "found", "marks")).alias("r")).select("doc_id", "r.*").toPandas().sort_values("doc_id")
     if rows.empty:
         return [], []
@@ -147,7 +173,7 @@ def _scored(vocabulary: list[bytes], models: list[np.ndarray]):
             texts = batch.column(1).to_pylist()
             x = np.zeros((len(texts), len(vocabulary)))
             for i, t in enumerate(texts):
-                x[i, [place[w] for w in word_set(t) & place.keys()]] = 1
+                x[i, [place[w] for w in marks_of(word_set(t), place)]] = 1
             p = apply_chain(models, x) if models else np.zeros((len(texts), len(CHAIN)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, k], pa.float64()) for k in range(len(CHAIN)))], names=["doc_id", *(f"p_{c}" for c in CHAIN)])
 
