@@ -27,7 +27,8 @@ from panelcast.llm.shared import staged
 #: A text is template if so many of the host's distinct pages have it at one node: outside an article, and inside.
 TEMPLATE_PAGES, TEMPLATE_SHARE = 3, 0.5
 ARTICLE_PAGES, ARTICLE_SHARE = 8, 0.8
-#: A page whose article would lose more than this share of its characters to the template keeps it all.
+#: A marked article that would lose more than this share of its characters to the template keeps it all, as does any
+#: page that would lose everything.
 MOST_LOSS = 0.5
 #: A slot outside an article with more of its characters in links than this is a menu.
 LINK_SHARE = 0.6
@@ -307,7 +308,8 @@ def main_text(page: str, seed: str | None, template: frozenset[tuple[int, int]])
     if not marked:
         slots = [u for u in slots if u.linked <= LINK_SHARE * len(u.text)]
     varying = [u for u in slots if not to_seed or (to_seed[u.node], _hash(u.text)) not in template]
-    if sum(len(u.text) for u in varying) < (1 - MOST_LOSS) * sum(len(u.text) for u in slots):
+    least = (1 - MOST_LOSS) * sum(len(u.text) for u in slots) if marked else 1
+    if sum(len(u.text) for u in varying) < least:
         varying = slots
     return " ".join(u.text for u in varying)
 
