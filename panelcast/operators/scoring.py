@@ -78,12 +78,18 @@ def overlap_se(fit: DataFrame) -> DataFrame:
     return fit.withColumn("se", F.greatest("se_uniform", "se_bartlett")).withColumn("t", F.col("slope") / F.nullif("se", F.lit(0.0)))
 
 
-def rank_ic_se(rows: DataFrame, keys: list[str], x: str, y: str, order: str, lags: Column | int) -> DataFrame:
-    """F5. Overlap-robust error and t of the slope between standardised ranks; null under three pairs."""
+def standard_ranks(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """Average ranks with mean 0 and population sd 1 within keys; persisted, as a fit reads them several times."""
     ranked = with_ranks(rows, keys, x, y)
     own = Window.partitionBy(*keys)
     for c in ("rx", "ry"):
         ranked = ranked.withColumn(f"z{c}", (F.col(c) - F.avg(c).over(own)) / F.nullif(F.stddev_pop(c).over(own), F.lit(0.0)))
+    return ranked.persist()
+
+
+def rank_ic_se(rows: DataFrame, keys: list[str], x: str, y: str, order: str, lags: Column | int) -> DataFrame:
+    """F5. Overlap-robust error and t of the slope between standardised ranks; null under three pairs."""
+    ranked = standard_ranks(rows, keys, x, y)
     return overlap_se(ols_hac(ranked, keys, "zrx", "zry", order, lags)).filter("n >= 3").select(*keys, "n", F.col("slope").alias("rank_ic"), "se", "t")
 
 
@@ -119,28 +125,26 @@ def signal_forecasts(forecasts: DataFrame) -> DataFrame:
     return tests.join(own_level(forecasts), ["target_id", "model_id", "fold_id"]).withColumn("signal", F.col("predicted") - F.col("own_level"))
 
 
-def summarise(forecasts: DataFrame, h: int, test: int) -> DataFrame:
-    """F11. Pooled scores per target and model."""
+def summarise(forecasts: DataFrame, h: int, test: int, places: int | None = None) -> DataFrame:
+    """F11. Pooled scores per target and model; signals may be rounded first, so that ties are ties everywhere.
+
+    Ranks and scores read the signals several times, so these are persisted; Spark rebuilds lost parts.
+    """
     keys = ["target_id", "model_id"]
     signals = signal_forecasts(forecasts)
+    if places is not None:
+        signals = signals.withColumn("signal", F.round("signal", places))
+    signals = signals.persist()
     pooled = ic(signals, keys).join(rank_ic(signals, keys).drop("n"), keys).join(rmse(signals, keys), keys)
     by_signal = rank_ic(signals, keys, "signal", "realised").select(*keys, F.col("rank_ic").alias("signal_rank_ic"))
-    short = rank_ic_se(signals, keys, "signal", "realised", "date", h - 1).select(*keys, F.col("se").alias("se_overlap"))
-    long = ols_like_rank_se(signals, keys, test)
+    fit = ols_hac(standard_ranks(signals, keys, "signal", "realised"), keys, "zrx", "zry", "date", h - 1).filter("n >= 3")
+    short = overlap_se(fit).select(*keys, F.col("se").alias("se_overlap"))
+    long = ols_hac(standard_ranks(signals, keys, "signal", "realised"), keys, "zrx", "zry", "date", test, ("bartlett",)).select(*keys, F.col("se_bartlett").alias("se_window"))
     out = pooled.join(by_signal, keys, "left").join(short, keys, "left").join(long, keys, "left")
     folds = own_level(forecasts).groupBy(*keys).agg(F.count("*").alias("folds"), F.count_if("constant").alias("constant_folds"))
     return out.join(folds, keys).withColumn("t", F.col("signal_rank_ic") / F.greatest("se_overlap", "se_window"))
 
 
-def ols_like_rank_se(signals: DataFrame, keys: list[str], lags: int) -> DataFrame:
-    """Bartlett error over the test window's length, of the standardised ranks' slope."""
-    ranked = with_ranks(signals, keys, "signal", "realised")
-    own = Window.partitionBy(*keys)
-    for c in ("rx", "ry"):
-        ranked = ranked.withColumn(f"z{c}", (F.col(c) - F.avg(c).over(own)) / F.nullif(F.stddev_pop(c).over(own), F.lit(0.0)))
-    return ols_hac(ranked, keys, "zrx", "zry", "date", lags, ("bartlett",)).select(*keys, F.col("se_bartlett").alias("se_window"))
-
-
 def holdout(forecasts: DataFrame, labels: DataFrame, before: Column) -> DataFrame:
     """F12. Forecasts of the folds whose every test label ends before a date."""
     ends = forecasts.filter("part = 'test'").join(labels.select("target_id", "date", "label_end"), ["target_id", "date"])

@@ -24,17 +24,18 @@ fx.cte(
 FROM fcast WHERE part = 'train' GROUP BY 1, 2, 3""",
     "fcast",
 )
-fx.cte("sig", "SELECT f.*, o.own_level, round(f.predicted - o.own_level, 10) AS signal FROM fcast f JOIN own o ON o.target_id = f.target_id AND o.model_id = f.model_id AND o.fold_id = f.fold_id WHERE f.part = 'test'", "fcast", "own")
+fx.cte("sig", "SELECT f.*, o.own_level, round(f.predicted - o.own_level, 13) AS signal FROM fcast f JOIN own o ON o.target_id = f.target_id AND o.model_id = f.model_id AND o.fold_id = f.fold_id WHERE f.part = 'test'", "fcast", "own")
 
 
 def forecasts(p: Parts):
     rows = p.rows.join(two_inputs(p), ["target_id", "rn"])
     both = models.naive_mean(rows, ["a", "b"]).unionByName(models.shape_fit(rows, "b"))
-    return both.withColumn("predicted", F.round("predicted", 10)).withColumn("realised", F.round("realised", 10))
+    # read by several aggregations of one query, so it is kept
+    return both.withColumn("predicted", F.round("predicted", 10)).withColumn("realised", F.round("realised", 10)).persist()
 
 
 def signals_of(p: Parts):
-    return scoring.signal_forecasts(forecasts(p)).withColumn("signal", F.round("signal", 10))
+    return scoring.signal_forecasts(forecasts(p)).withColumn("signal", F.round("signal", 13))
 
 
 def corr_sql(source: str, keys: str, x: str, y: str, name: str) -> str:
@@ -155,7 +156,7 @@ def own_level(spark, d):
 
 @query("F10_signal_forecasts", fx.sql("SELECT target_id, model_id, fold_id, rn, date, signal, realised FROM sig", "sig"))
 def signal_forecasts(spark, d):
-    return signals_of(Parts(spark, d)).select("target_id", "model_id", "fold_id", "rn", "date", r("signal", "signal", 10), r("realised", "realised", 10))
+    return signals_of(Parts(spark, d)).select("target_id", "model_id", "fold_id", "rn", "date", r("signal", "signal", 13), r("realised", "realised", 10))
 
 
 SUMMARY = f"""SELECT i.target_id, i.model_id, i.ic, i.n, k.rank_ic, m.rmse, s.rank_ic AS signal_rank_ic, round(h.se, 6) AS se_overlap, round(w.se_bartlett, 6) AS se_window, o.folds, o.constant_folds, round(s.raw / greatest(h.se, w.se_bartlett), 5) AS t
@@ -169,7 +170,7 @@ fx.cte("summary", SUMMARY, "sig", "rhac", "whac", "own")
 
 
 def summaries(p: Parts):
-    s = scoring.summarise(forecasts(p).withColumn("predicted", F.col("predicted")), fx.HORIZON, fx.TEST)
+    s = scoring.summarise(forecasts(p), fx.HORIZON, fx.TEST, places=13)
     names = ("ic", "rank_ic", "rmse", "signal_rank_ic")
     return rounded(rounded(rounded(s, *names), "se_overlap", "se_window", places=6), "t", places=5)
 
