@@ -123,7 +123,7 @@ def test_rank_correlation_with_ties(spark):
 def test_exports_settle_their_dates_and_reject_bad_files(spark):
     files = {
         "us.csv": "Security,SPX Index\nPeriod,D\n\nDate,PX_LAST\n1/13/2020,\"1,234.50\"\n1/14/2020,\"1,235.00\"\n1/15/2020,#N/A N/A\n",
-        "eu.csv": "Security,DAX Index\nStart Date,01/02/2020\nEnd Date,03/02/2020\n\nDate,PX_LAST\n01/02/2020,1\n02/02/2020,2\n03/02/2020,3\n",
+        "eu.csv": "Security,DAX Index\nPeriod,D\nStart Date,01/02/2020\nEnd Date,03/02/2020\n\nDate,PX_LAST\n01/02/2020,1\n02/02/2020,2\n03/02/2020,3\n",
         "unsure.csv": "Security,X Index\n\nDate,V\n01/02/2020,1\n",
         "nameless.csv": "Date,A,B\n2020-01-01,1,2\n",
         "wide.csv": "Security,W Index\n\nDate,V\n2020-01-01,1,9\n",
