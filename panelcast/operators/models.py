@@ -6,19 +6,30 @@ Rows are wide: target_id, fold_id, part, rn, date, y and one column per input. A
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelcast.operators.panel import rows_in_fold
+from panelcast.operators.panel import purge, retune_schedule, rows_in_fold
 
 FOLD = ["target_id", "fold_id"]
 SPLITS, PENALTIES, PENALTY_SPAN = 5, 100, 1e-3
+#: Boosted fits whose Spark jobs run side by side.
+FITS_AT_ONCE = 8
+
+
+def _shared_path(spark: SparkSession, name: str) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def fold_rows(labels: DataFrame, folds: DataFrame) -> DataFrame:
@@ -231,22 +242,54 @@ def merge_terms(terms: DataFrame, n_members: int) -> DataFrame:
     return terms.groupBy("target_id", "term").agg((F.sum("coef") / n_members).alias("coef")).filter("coef <> 0")
 
 
-def boosted_walk_forward(rows: DataFrame, inputs: list[str], params: dict, folds: list[int]) -> tuple[DataFrame, dict]:
+def boosted_walk_forward(rows: DataFrame, inputs: list[str], params: dict, folds: list[int] | None = None) -> tuple[DataFrame, dict]:
     """G13, G15. One gradient-boosted fit per fold over all targets at once; the target's number is an input. Returns
-    forecasts of the folds and the latest fold's importances."""
+    forecasts of the folds and the latest fold's importances.
+
+    Without ``folds``, every fold of the rows. The rows are written once, apart by fold, so that a fit reads its own;
+    forecasts are written as the fits end, a few at a time. A fold without a complete training row forecasts nothing.
+    """
     from pyspark.ml.feature import StringIndexer, VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    indexed = StringIndexer(inputCol="target_id", outputCol="target_no").fit(rows).transform(rows)
-    ready = VectorAssembler(inputCols=[*inputs, "target_no"], outputCol="features", handleInvalid="skip").transform(indexed)
-    out, importance = None, {}
-    for f in folds:
+    spark = rows.sparkSession
+    base = _shared_path(spark, "boosted")
+    whole = rows.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in inputs])).select("target_id", "fold_id", "part", "rn", "date", "y", *inputs)
+    if folds is not None:
+        whole = whole.filter(F.col("fold_id").isin(folds))
+    whole.repartition("fold_id", "target_id").write.partitionBy("fold_id").parquet(f"{base}/rows")
+    kept = spark.read.schema(whole.schema).parquet(f"{base}/rows")
+    train = (F.col("part") == "train") & F.col("y").isNotNull()
+    fitted = sorted(r["fold_id"] for r in kept.filter(train).select("fold_id").distinct().collect())
+    shape = _forecasts(whole.withColumn("p", F.lit(0.0)), "boosted", F.col("p"))
+    if not fitted:
+        return shape.limit(0), {}
+    indexed = StringIndexer(inputCol="target_id", outputCol="target_no").fit(kept).transform(kept)
+    ready = VectorAssembler(inputCols=[*inputs, "target_no"], outputCol="features").transform(indexed)
+
+    def fit(f: int) -> list[float]:
         own = ready.filter(F.col("fold_id") == f)
-        model = GBTRegressor(labelCol="y", featuresCol="features", seed=1, **params).fit(own.filter("part = 'train' AND y IS NOT NULL"))
-        one = _forecasts(model.transform(own).withColumnRenamed("prediction", "p"), "boosted", F.col("p"))
-        out = one if out is None else out.unionByName(one)
-        importance = dict(zip([*inputs, "target_no"], model.featureImportances.toArray().tolist(), strict=True))
-    return out, importance
+        model = GBTRegressor(labelCol="y", featuresCol="features", seed=1, **params).fit(own.filter(train))
+        _forecasts(model.transform(own).withColumnRenamed("prediction", "p"), "boosted", F.col("p")).drop("fold_id").write.parquet(f"{base}/forecasts/fold_id={f}")
+        return model.featureImportances.toArray().tolist()
+
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        importances = list(pool.map(inheritable_thread_target(spark)(fit), fitted))
+    out = spark.read.schema(shape.schema).parquet(f"{base}/forecasts").select(*shape.columns)
+    return out, dict(zip([*inputs, "target_no"], importances[-1], strict=True))
+
+
+def tuning_folds(folds: DataFrame, labels: DataFrame, h: int, tuning: int, train: int, test: int, embargo: int, every: int = 252) -> DataFrame:
+    """G14. Purged inner folds of each tuning period of E13: a walk-forward inside the ``tuning`` rows that end
+    ``embargo`` rows before the period's first test window, on at most ``train`` rows. ``inner_id`` numbers them within
+    the period; ``fold_id`` does so over all periods."""
+    opens = retune_schedule(folds, test, every).filter("retunes").join(folds.select("target_id", "fold_id", "test_lo"), ["target_id", "fold_id"])
+    n = (tuning - train - embargo) // test
+    inner = opens.select("target_id", "tuning_id", (F.col("test_lo") - embargo - tuning).alias("first"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("inner_id"))
+    lo = F.col("first") + train + embargo + test * F.col("inner_id")
+    bounds = {"train_lo": lo - embargo - train, "train_hi": lo - 1 - embargo, "test_lo": lo, "test_hi": lo + test - 1}
+    inner = inner.withColumns({"fold_id": F.col("tuning_id") * n + F.col("inner_id"), **bounds}).drop("first")
+    return purge(inner, labels, h)
 
 
 def tune_grid(scores: DataFrame) -> DataFrame:

@@ -130,25 +130,33 @@ def merge_terms(spark, d):
 
 @query("G13_boosted_walk_forward")
 def boosted_walk_forward(spark, d):
-    out, _ = models.boosted_walk_forward(wide_rows(Parts(spark, d)).filter("fold_id < 2"), ["a", "b"], {"maxIter": 4, "maxDepth": 2}, [0, 1])
-    return out if out is not None else wide_rows(Parts(spark, d))
+    return models.boosted_walk_forward(wide_rows(Parts(spark, d)), ["a", "b"], {"maxIter": 4, "maxDepth": 2})[0]
+
+
+#: G14's inner walk-forward trains on at most so many rows.
+TUNING_TRAIN = 252
 
 
 @query("G14_tune_grid")
 def tune_grid(spark, d):
-    """Two settings of the boosted model, scored by pooled rank IC over the first folds."""
-    rows = wide_rows(Parts(spark, d)).filter("fold_id < 1")
+    """Two settings of the boosted model, scored per tuning period by pooled rank IC over the folds inside its window."""
+    p = Parts(spark, d)
+    inner = models.tuning_folds(p.folds, p.labels, H, fx.TUNING, min(fx.TRAIN, TUNING_TRAIN), fx.TEST, fx.EMBARGO).persist()
+    rows = models.fold_rows(p.labels, inner).join(two_inputs(p), ["target_id", "rn"])
+    periods = F.broadcast(inner.select("fold_id", "tuning_id").distinct())
     scores = None
     for depth in (1, 2):
-        out, _ = models.boosted_walk_forward(rows, ["a", "b"], {"maxIter": 3, "maxDepth": depth}, [0])
-        one = scoring.rank_ic(out.filter("part = 'test'").withColumn("tuning_id", F.lit(0)), ["tuning_id"]).withColumn("params", F.lit(f"depth {depth}"))
+        out, _ = models.boosted_walk_forward(rows, ["a", "b"], {"maxIter": 3, "maxDepth": depth})
+        one = scoring.rank_ic(out.filter("part = 'test'").join(periods, "fold_id"), ["tuning_id"]).withColumn("params", F.lit(f"depth {depth}"))
         scores = one if scores is None else scores.unionByName(one)
     return models.tune_grid(scores)
 
 
 @query("G15_feature_importance")
 def feature_importance(spark, d):
-    _, found = models.boosted_walk_forward(wide_rows(Parts(spark, d)).filter("fold_id < 1"), ["a", "b"], {"maxIter": 3, "maxDepth": 2}, [0])
+    p = Parts(spark, d)
+    last = p.folds.agg(F.max("fold_id")).first()[0]
+    _, found = models.boosted_walk_forward(wide_rows(p), ["a", "b"], {"maxIter": 3, "maxDepth": 2}, [] if last is None else [last])
     return spark.createDataFrame(sorted(found.items()), "input string, importance double")
 
 
