@@ -14,6 +14,7 @@ import zlib
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -210,7 +211,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, start, length = wav_data(stored)
             back = stored[start : start + length]
             kinds = ",".join(f"{x['type']}@{x['start']}+{x['length']}" for x in inner)
-            feature = f"{actual};samples={length};level={sum(back[:: max(1, length // 64)]) % 65536};embedded={kinds}"
+            feature = f"{actual};samples={length};level={np.frombuffer(back, np.uint8).sum()};embedded={kinds}"
             rows.append((doc_id, n, length, hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
