@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,8 +33,13 @@ ARTICLE_PAGES, ARTICLE_SHARE = 8, 0.8
 MOST_LOSS = 0.5
 #: A slot outside an article with more of its characters in links than this is a menu.
 LINK_SHARE = 0.6
+#: A form or an element with a cue is content all the same if it holds more than this share of the text of the page's
+#: articles, or of the page where no article is marked: a frame of the page, not a part beside its content.
+FRAME_SHARE = 0.5
 #: Elements deeper than this are read as part of their ancestor.
 DEPTH = 60
+#: So many forms and cued elements around a text are told apart; those inside them share their fate.
+FRAMES = 64
 #: Templates of at most so many hosts (a few KB each) are sent to every executor.
 BROADCAST_HOSTS = 5000
 
@@ -82,8 +88,11 @@ def parse(page: str) -> tuple[Node, list[Unit]]:
     """The page's tree of block elements and its texts in page order."""
     root = Node("page")
     units: list[Unit] = []
-    # open blocks: (tag, node, dropped, article)
-    stack: list[tuple[str, Node, bool, bool]] = [("page", root, False, False)]
+    # open blocks: (tag, node, dropped, article, forms and cued elements around by number)
+    stack: list[tuple[str, Node, bool, bool, tuple[int, ...]]] = [("page", root, False, False, ())]
+    opened: Counter[str] = Counter()
+    within: list[tuple[int, ...]] = []
+    frames = 0
     pieces: list[str] = []
     linked = links = 0
 
@@ -94,12 +103,16 @@ def parse(page: str) -> tuple[Node, list[Unit]]:
         if text:
             stack[-1][1].units.append(len(units))
             units.append(Unit(text, linked, stack[-1][2], stack[-1][3]))
+            within.append(stack[-1][4])
         linked = 0
 
     def close(tag: str) -> None:
+        if not opened[tag]:
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] == tag:
                 flush()
+                opened.subtract(t[0] for t in stack[i:])
                 del stack[i:]
                 return
 
@@ -139,18 +152,36 @@ def parse(page: str) -> tuple[Node, list[Unit]]:
             close("p")
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[-1][0] == tag:
             close(tag)
-        if len(stack) >= DEPTH or rest.endswith("/"):
+        if rest.endswith("/"):
             continue
-        _, node, dropped, article = stack[-1]
+        _, node, dropped, article, around = stack[-1]
         label = _label(tag, rest)
-        child = Node(label)
-        node.children.append(child)
+        if len(stack) < DEPTH:
+            child = Node(label)
+            node.children.append(child)
+        else:
+            child = node
         article = article or tag in ARTICLE or label.endswith(".main")
-        dropped = dropped or tag in DROPPED or (tag == "header" and not article) or bool(CUES.search(" ".join(label.split(".")[1:])))
-        stack.append((tag, child, dropped, article))
+        dropped = dropped or (tag in DROPPED and tag != "form") or (tag == "header" and not article)
+        if tag not in ("html", "body") and len(around) < FRAMES and (tag == "form" or CUES.search(" ".join(label.split(".")[1:]))):
+            around = (*around, frames)
+            frames += 1
+        stack.append((tag, child, dropped, article, around))
+        opened[tag] += 1
     if at < len(page):
         pieces.append(page[at:])
     flush()
+    kept = [(u, a) for u, a in zip(units, within, strict=True) if not u.dropped]
+    marked = any(u.article for u, _ in kept)
+    held: Counter[int] = Counter()
+    whole = 0
+    for u, a in kept:
+        if u.article or not marked:
+            whole += len(u.text)
+            for f in a:
+                held[f] += len(u.text)
+    for u, a in kept:
+        u.dropped = any(held[f] <= FRAME_SHARE * whole for f in a)
     return root, units
 
 
