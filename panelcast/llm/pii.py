@@ -1,6 +1,6 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick pass over a text finds anchors: at-signs, scheme marks, digits, plus signs before a digit and the
+One Aho-Corasick pass over a text finds anchors: at-signs, ends of schemes, digits, plus signs before a digit and the
 words that announce an identifier. From each anchor a small deterministic parser expands to the left and right and
 validates what it found. Per kind the spans are leftmost and never overlap; a failing candidate is dropped and the
 scan goes on behind it.
@@ -22,7 +22,8 @@ from panelcast.llm.shared import text_bytes
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "iban", "account")
-SCHEMES = ("http://", "https://", "ftp://", "mailto:")
+#: In any case; each before "://".
+SCHEMES = ("https", "http", "ftp")
 #: Words that announce an identifier; each also in upper case and with a capital.
 CUES = ("iban", "account", "acct", "passport", "ssn", "token", "api_key", "api-key", "apikey", "password", "secret")
 
@@ -34,7 +35,10 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL = re.compile(r"(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?::[0-9]+)?(?:/[^\s\"'<>]*)?")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-_CUED = re.compile(r"[\s:=#\"'-]{1,6}((?=[A-Za-z0-9_-]*[0-9])[A-Za-z0-9_-]{6,128})(?![A-Za-z0-9_-])")
+_CUED = re.compile(r"[\s:=#\"'-]{1,6}((?=[A-Za-z0-9_-]*[0-9])[A-Za-z0-9_-]{6,})(?![A-Za-z0-9_-])")
+
+_RUN = re.compile(r"[\s:=#\"'-]{0,6}[A-Za-z0-9_-]*")
+_HAS_DIGIT = re.compile(r"[0-9]")
 
 
 @functools.cache
@@ -44,8 +48,7 @@ def _automaton() -> ahocorasick.Automaton:
     for d in "0123456789":
         found.add_word(d, ("digit", 1))
         found.add_word(f"+{d}", ("plus", 2))
-    for s in SCHEMES:
-        found.add_word(s, ("scheme", len(s)))
+    found.add_word("://", ("scheme", 3))
     for c in CUES:
         for form in {c, c.upper(), c.capitalize()}:
             found.add_word(form, ("cue", len(form)))
@@ -107,29 +110,60 @@ def _phones(text: str, anchors: list[int]) -> list[tuple[int, int]]:
 def _urls(text: str, anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out, last = [], 0
     for start, end in anchors:
-        if start >= last and text[start:end] != "mailto:" and (m := _URL.match(text, end)):
+        before = text[max(start - 5, 0) : start].lower()
+        start -= next((len(s) for s in SCHEMES if before.endswith(s)), end)
+        if start >= last and (m := _URL.match(text, end)):
             stop = m.end() - (len(m[0]) - len(m[0].rstrip(".,;:!?)")))
             out.append((start, last := stop))
     return out
 
 
+def _iban(text: str, at: int) -> tuple[int, int] | None:
+    """The longest stretch of an IBAN's form from ``at`` whose check digits hold."""
+    m = _IBAN.match(text, at)
+    while m:
+        code = m[0].replace(" ", "")
+        if int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1:
+            return m.span()
+        m = _IBAN.fullmatch(text, at, at + m[0].rfind(" ")) if " " in m[0] else None
+    return None
+
+
+def _ibans(text: str, digits: list[int], cued: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """``cued`` and those that no word announces; leftmost, without overlap."""
+    spans, last = list(cued), 0
+    for d in digits:
+        at = d - 2
+        if at >= last and text[at:d].isascii() and text[at:d].isalpha() and text[at:d].isupper() and not (at and text[at - 1].isalnum()) and (span := _iban(text, at)):
+            spans.append(span)
+            last = span[1]
+    out: list[tuple[int, int]] = []
+    for span in sorted(spans):
+        if not out or span[0] >= out[-1][1]:
+            out.append(span)
+    return out
+
+
 def _accounts(text: str, anchors: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    ibans, others, last = [], [], 0
+    # text before ``bare`` is a run of identifier characters without a digit: read once, whatever cues it holds
+    ibans, others, last, bare = [], [], 0, 0
     for start, end in anchors:
         if start < last or (start and text[start - 1].isalnum()):
             continue
         at = end
         while at < len(text) and at < end + 6 and text[at] in " :=#\"'":
             at += 1
-        if m := _IBAN.match(text, at):
-            code = m[0].replace(" ", "")
-            if int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1:
-                ibans.append(m.span())
-                last = m.end()
-                continue
+        if span := _iban(text, at):
+            ibans.append(span)
+            last = span[1]
+            continue
+        if bare - end >= 6 or text[end:bare].strip("-"):
+            continue
         if m := _CUED.match(text, end):
             others.append(m.span(1))
             last = m.end()
+        elif not _HAS_DIGIT.search((m := _RUN.match(text, end))[0]):
+            bare = m.end()
     return ibans, others
 
 
@@ -139,6 +173,7 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
     for end, (kind, size) in _automaton().iter(text):
         at[kind].append((end + 1 - size, end + 1) if kind in ("scheme", "cue") else end + 1 - size)
     ibans, accounts = _accounts(text, at["cue"])
+    ibans = _ibans(text, at["digit"], ibans)
     found = (_emails(text, at["at"]), _quads(text, at["digit"]), _cards(text, at["digit"]), _phones(text, at["plus"]), _urls(text, at["scheme"]), ibans, accounts)
     return dict(zip(KINDS, found, strict=True))
 
