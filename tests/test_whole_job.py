@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import panelcast.catalog as catalog
-from panelcast.operators import models
+from panelcast.operators import models, panel
 from panelcast.plans import fixtures as fx
 from panelcast.plans.model_queries import H, TUNING_TRAIN, wide_rows
 from panelcast.plans.panel_queries import Parts
@@ -31,7 +31,7 @@ def test_importances_are_of_the_largest_fold(spark):
 
 def test_every_tuning_period_has_its_own_window(spark):
     p = Parts(spark, SF)
-    periods = {r["tuning_id"] for r in models.retune_schedule(p.folds, fx.TEST).select("tuning_id").distinct().collect()}
+    periods = {r["tuning_id"] for r in panel.retune_schedule(p.folds, fx.TEST).select("tuning_id").distinct().collect()}
     inner = models.tuning_folds(p.folds, p.labels, H, fx.TUNING, TUNING_TRAIN, fx.TEST, fx.EMBARGO)
     opens = {(r["target_id"], r["fold_id"] // 13): r["test_lo"] for r in p.folds.filter("fold_id % 13 = 0").collect()}
     per = {}
