@@ -8,14 +8,15 @@ Each pair of a key of the first and a key of the second is the key of one table,
 Steps, each over all documents:
 
 1. shingle sets, their 128-bit fingerprint (documents with equal sets are one *node*) and half keys;
-2. half keys that only one node has cannot meet another node and are left out; the others are paired into table
-   keys, and tables with the same members count once;
-3. ``STAR_ROUNDS`` times, all members of a table are compared with one pivot, which joins large groups at a
-   cost linear in their size. From the second time on, nodes that cannot reach another component are peeled off by
-   shingle counts, and the pivot is the node that shares most of its shingles: the likely origin of its copies. Then
-   every pair that still crosses two components and shares a key of the first collection is looked at in blocks, and
-   compared unless exact upper bounds rule it out;
-4. compared means: the intersection of full sets against 100 * both >= 75 * either. Components follow by
+2. half keys that only one node has cannot meet another node and are left out, and so are nodes without a key left in
+   either collection; the keys of the others are paired into table keys, and tables with the same members count once;
+3. all members of a table are compared with one pivot, which joins large groups at a cost linear in their size;
+4. half keys that do not meet another component any more are left out, and nodes that cannot reach one are peeled off
+   by shingle counts. What is left is held by half key, a few rows a node, and compared with the node of the key that
+   shares most of its shingles: the likely origin of its copies;
+5. the same again, then every pair that still crosses two components and shares a key of the first collection is looked
+   at in blocks, and compared unless exact upper bounds rule it out;
+6. compared means: the intersection of full sets against 100 * both >= 75 * either. Components follow by
    large-star and small-star steps.
 
 No bucket or candidate list has a cap.
@@ -32,13 +33,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.shared import small_or_not, staged, text_bytes
+from panelcast.llm.shared import Scratch, small_or_not, text_bytes
 
 SHINGLE = 5
 HALVES = 24
 WIDTH = 3
 SIMILAR_PERCENT = 75
-STAR_ROUNDS = 2
 #: Hash bins of a node's shingle counts, and nodes of a bucket that are compared with each other at a time.
 BINS = 128
 BLOCK = 2048
@@ -99,18 +99,20 @@ def half_keys(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words, (a, b) = _WordHashes(), _functions(2 * HALVES * WIDTH)
     for batch in batches:
-        sizes, nodes, keys = [], [], []
-        for text in batch.column(1).to_pylist():
+        sizes, high, low, keys = [], [], [], []
+        for text in batch.column(2).to_pylist():
             h = shingle_hashes(text, words)
             sizes.append(len(h))
+            if not len(h):
+                high.append(None), low.append(None), keys.append(None)
+                continue
             with np.errstate(over="ignore"):
-                first, second = int(_mixed(h + _STEP).sum(dtype=_U)), int(np.bitwise_xor.reduce(_mixed(h * _STEP)) if len(h) else 0)
-            nodes.append(xxhash.xxh3_64_intdigest(b"%d %d %d" % (len(h), first, second)) - 2**63 if len(h) else None)
-            keys.append(half_keys(h, a, b) if len(h) else [])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-            names=["doc_id", "n_shingles", "node", "keys"],
-        )
+                marks = b"%d %d %d" % (len(h), int(_mixed(h + _STEP).sum(dtype=_U)), int(np.bitwise_xor.reduce(_mixed(h * _STEP))))
+            mark = xxhash.xxh3_128_intdigest(marks)
+            high.append((mark >> 64) - 2**63), low.append((mark & (2**64 - 1)) - 2**63), keys.append(half_keys(h, a, b))
+        long = pa.int64()
+        columns = [pa.array(sizes, long), pa.array(high, long), pa.array(low, long), pa.array(keys, pa.list_(long))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "text_key", "n_shingles", "high", "low", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,22 +122,44 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key (what tells rows of one doc_id apart), text as bytes."""
+    text = text_bytes(docs)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("text_key"), text.alias("text"))
+
+
+def _same_row(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Rows of ``left`` joined to ``right`` by doc_id and text_key, where null ids are equal."""
+    right = right.withColumnsRenamed({"doc_id": "r_id", "text_key": "r_key"})
+    out = left.join(small_or_not(right), F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_key") == F.col("r_key")), how)
+    return out.drop("r_id", "r_key")
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (null without shingles), keys of every row of ``docs``."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(docs).alias("text")).mapInArrow(
-        _sketches, "doc_id long, n_shingles long, node long, keys array<long>"
-    )
+    """doc_id, text_key, n_shingles, high and low (the fingerprint, null without shingles), keys of every row of ``docs``."""
+    return _keyed(docs).mapInArrow(_sketches, "doc_id long, text_key string, n_shingles long, high long, low long, keys array<long>")
+
+
+def _nodes(sketched: DataFrame) -> DataFrame:
+    """A row per distinct shingle set: node (a number), high, low, keys, copies and the least of its rows by doc_id (nulls last)."""
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    known = sketched.filter("high IS NOT NULL").groupBy("high", "low").agg(F.first("keys").alias("keys"), F.count("*").alias("copies"), F.min(row).alias("row"))
+    return known.withColumn("node", F.monotonically_increasing_id())
+
 
+def _halves(live: DataFrame) -> DataFrame:
+    """(node, side, key): the half keys of ``live(node, first, second)``, a row each."""
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("first").alias("keys")), F.struct(F.lit(1).alias("side"), F.col("second").alias("keys")))
+    return live.select("node", F.explode(sides).alias("s")).select("node", "s.side", F.explode("s.keys").alias("key"))
 
-def _live_halves(sketched: DataFrame) -> DataFrame:
-    """(node, first, second): half keys that another node has as well, of the nodes with some in both collections."""
-    half = sketched.filter("node IS NOT NULL").select("node", F.posexplode("keys").alias("pos", "key"))
-    met = half.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key")
+
+def _live(half: DataFrame, value: str) -> DataFrame:
+    """(node, first, second): half keys that meet in two values of a column or more, of the nodes with some in both collections."""
+    met = half.groupBy("key").agg(F.min(value).alias("lo"), F.max(value).alias("hi")).filter("lo <> hi").select("key")
     live = half.join(met, "key", "left_semi").groupBy("node").agg(
-        F.collect_set(F.when(F.col("pos") < HALVES, F.col("key"))).alias("first"),
-        F.collect_set(F.when(F.col("pos") >= HALVES, F.col("key"))).alias("second"),
+        F.collect_set(F.when(F.col("side") == 0, F.col("key"))).alias("first"), F.collect_set(F.when(F.col("side") == 1, F.col("key"))).alias("second")
     )
-    return staged(live.filter("size(first) > 0 AND size(second) > 0"), "halves")
+    return live.filter("size(first) > 0 AND size(second) > 0")
 
 
 def _once(rows: DataFrame, value: str) -> DataFrame:
@@ -148,11 +172,11 @@ def _once(rows: DataFrame, value: str) -> DataFrame:
     return members.groupBy("m", "n", "x").agg(F.min("bucket").alias("bucket")).select("bucket", F.col("n").alias("size"))
 
 
-def _tables(live: DataFrame) -> DataFrame:
+def _tables(live: DataFrame, scratch: Scratch) -> DataFrame:
     """(bucket, node) of all tables with two nodes or more; tables with equal members appear once."""
     paired = live.select("node", F.explode("first").alias("a"), "second").select("node", "a", F.explode("second").alias("b"))
     paired = paired.select("node", F.xxhash64("a", "b").alias("bucket"))
-    return staged(paired.join(staged(_once(paired, "node"), "buckets"), "bucket", "left_semi"), "tables")
+    return scratch.staged(paired.join(scratch.staged(_once(paired, "node"), "buckets"), "bucket", "left_semi"), "tables")
 
 
 def _bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,17 +206,29 @@ def _compared(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"node": [], "pivot": []}, dtype="int64")
 
 
-def _possible_pairs(live: DataFrame, alive: DataFrame, sets: DataFrame) -> DataFrame:
+def _by_half_key(live: DataFrame, alive: DataFrame, scratch: Scratch) -> DataFrame:
+    """(bucket, node, comp, n, c, size) of the half keys of the first collection that still meet in two components."""
+    rows = scratch.staged(live.select("node", F.explode("first").alias("bucket")).join(alive, "node"), "members")
+    return rows.join(scratch.staged(_once(rows, "comp"), "crossing"), "bucket")
+
+
+def _with_pivots(rows: DataFrame) -> DataFrame:
+    """Pairs of a bucket's nodes with its pivot, the node with the largest share of shingles in other components."""
+    best = F.max(F.struct((F.col("c") / F.col("n")).alias("r"), F.xxhash64("node").alias("h"), F.col("node").alias("pivot"), F.col("comp").alias("pcomp"), F.col("n").alias("pn"), F.col("c").alias("pc"))).alias("p")
+    pivots = rows.groupBy("bucket").agg(best).select("bucket", "p.pivot", "p.pcomp", "p.pn", "p.pc")
+    most = F.least("c", "pc")  # no more than c of a node's n shingles are in another component
+    return rows.join(pivots, "bucket").filter("comp <> pcomp").filter(100 * most >= SIMILAR_PERCENT * (F.col("n") + F.col("pn") - most)).select("node", "pivot")
+
+
+def _possible_pairs(rows: DataFrame, alive: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of nodes in different components that share a half key of the first collection and that no bound rules out.
 
     Two bounds hold for the shingles that two nodes share: c of either node, and the sum over BINS hash bins of the
     lesser count. Buckets are compared block by block within tasks, so only possible pairs are rows; they are a
     superset of the pairs that share a table.
     """
-    rows = live.select("node", F.explode("first").alias("bucket")).join(alive, "node")
-    kept = staged(_once(rows, "comp"), "crossing")
     binned = sets.join(alive.select("node"), "node", "left_semi").select("node", "shingles").mapInArrow(_bins, "node long, bins binary")
-    rows = rows.join(kept, "bucket").join(binned, "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    rows = rows.join(binned, "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "comp", "n", "c", "bins")
     return rows.groupBy("bucket", "lo", "hi").applyInPandas(_compared, "node long, pivot long")
@@ -208,33 +244,35 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return near.filter(100 * F.col("common") >= SIMILAR_PERCENT * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
-def _may_cross(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _may_cross(members: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, comp, n, c) of the nodes that can have a link to another component at all: n shingles, c of them in
     two components or more.
 
     A link needs SIMILAR_PERCENT of a node's shingles in one node of another component, so a node with fewer
     shingles that occur in two components has none. Nodes that drop out take their shingles with them; the count is
-    repeated until hardly any drops out. The work is linear in the shingles, whatever the size of the groups.
+    repeated until hardly any drops out. The work is linear in the shingles, whatever the size of the groups: a shingle
+    of very many nodes is a pair of minimum and maximum before any shuffle, and one of a list of crossing shingles after.
     """
-    alive = staged(members.select("node", "comp").distinct(), "alive")
+    alive = scratch.staged(members, "alive")
     count = alive.count()
-    while True:
+    while count:
         items = sets.join(alive.select("node", "comp"), "node").select("node", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("s")).repartition("s")
         crossing = items.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("s")
         held = items.join(crossing, "s", "left_semi").groupBy("node", "comp", "n").agg(F.count("*").alias("c"))
-        alive = staged(held.filter(100 * F.col("c") >= SIMILAR_PERCENT * F.col("n")), "alive")
+        alive = scratch.staged(held.filter(100 * F.col("c") >= SIMILAR_PERCENT * F.col("n")), "alive")
         before, count = count, alive.count()
-        if count >= 0.95 * before or not count:
-            return alive
+        if count >= 0.95 * before:
+            break
+    return alive if "c" in alive.columns else alive.withColumns({"n": F.lit(1), "c": F.lit(1)})
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, comp) of every node of ``edges(a, b)``; comp is the component's least node.
 
     Large-star and small-star steps alternate, each with a partially aggregated minimum and a join, until the edges
     stay the same. Every round is a table in the shared folder.
     """
-    edges = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "edges")
+    edges = scratch.staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "edges")
     before = None
     while True:
         print_now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -247,7 +285,60 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v")
         small = small.select(F.col("u").alias("v"), F.col("m").alias("u")).union(least.select("v", F.col("m").alias("u")))
-        edges = staged(small.filter("u <> v").distinct(), "edges")
+        edges = scratch.staged(small.filter("u <> v").distinct(), "edges")
+
+
+def _linked(nodes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(node, comp) of the nodes with a link to another one, None if there are none."""
+    half = nodes.select("node", F.posexplode("keys").alias("pos", "key")).select("node", (F.col("pos") >= HALVES).cast("int").alias("side"), "key")
+    live = scratch.staged(_live(half, "node"), "halves")
+    tables = _tables(live, scratch)
+    first = nodes.join(tables.select("node").distinct(), "node", "left_semi").select("node", "row.doc_id", "row.text_key")
+    first = scratch.staged(first, "first")
+    texts = _same_row(_keyed(docs), first, "inner").select("node", "text")
+    sets = scratch.staged(texts.mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+
+    comps = links = None
+    for turn in ("table", "half key", "blocks"):
+        if turn == "table":
+            pivots = tables.groupBy("bucket").agg(F.max(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("pivot"))).alias("p"))
+            pairs = tables.join(pivots.select("bucket", "p.pivot"), "bucket").filter("node <> pivot").select("node", "pivot")
+        else:
+            half = _halves(live)
+            half = half.withColumn("comp", F.col("node")) if comps is None else half.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            live = scratch.staged(_live(half, "comp"), "halves")
+            members = live.select("node") if comps is None else live.select("node").join(comps, "node", "left")
+            alive = _may_cross(members.select("node", F.col("node").alias("comp") if comps is None else F.coalesce("comp", "node").alias("comp")), sets, scratch)
+            rows = _by_half_key(live, alive, scratch)
+            pairs = _with_pivots(rows) if turn == "half key" else _possible_pairs(rows, alive, sets)
+        pairs = scratch.staged(pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "pairs")
+        if turn == "table":
+            scratch.drop(tables)
+        if pairs.isEmpty():
+            continue
+        found = scratch.staged(_similar(pairs, sets), "links")
+        if found.isEmpty():
+            continue
+        links = found if links is None else links.union(found)
+        comps = scratch.staged(components(links, scratch), "components")
+    return comps
+
+
+def _grouped(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, text_key, n_shingles of every row, and for rows in a group of two or more: first_id and first_key (the group's
+    least row by doc_id, null ids last), grouped (true). Leaves nothing else in ``scratch``."""
+    sketched = scratch.staged(sketches(docs), "sketches")
+    nodes = scratch.staged(_nodes(sketched), "nodes")
+    comps = _linked(nodes, docs, scratch)
+    known = nodes.select("high", "low", "node", "copies", "row")
+    known = known.withColumn("comp", F.col("node")) if comps is None else known.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    firsts = known.groupBy("comp").agg(F.min("row").alias("first"), F.sum("copies").alias("rows")).filter("rows > 1")
+    groups = known.join(firsts, "comp").select("high", "low", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key"), F.lit(True).alias("grouped"))
+    groups = small_or_not(scratch.staged(groups, "groups"))
+    out = sketched.select("doc_id", "text_key", "n_shingles", "high", "low").join(groups, ["high", "low"], "left").drop("high", "low")
+    out = scratch.staged(out, "grouped")
+    scratch.drop_all(out)
+    return out
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -255,65 +346,29 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     Returns doc_id, n_shingles, component_id (least doc_id reachable over links, own included) and kept
     (doc_id = component_id). Null or empty texts and texts of white space only: no shingles, linked with nothing.
-    Equal rows and equal texts are linked (similarity 1); rows that repeat a doc_id each get a row. A null doc_id
-    is grouped like any other but never named as component; where a component has no other id, component_id is
-    null and kept is true. Other columns are not read. An empty table gives an empty result.
+    Equal rows and equal texts are linked (similarity 1); rows that repeat a doc_id each get a row, by their own text. A
+    null doc_id is grouped like any other but never named as component; where a component has no other id, component_id
+    is null and kept is true. Other columns are not read. An empty table gives an empty result.
     """
-    sketched = staged(sketches(docs), "sketches")
-    live = _live_halves(sketched)
-    buckets = _tables(live)
-    nodes = buckets.select("node").distinct()
-    first = sketched.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    first = small_or_not(staged(first, "nodes"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(docs).alias("text")).join(first, "doc_id")
-    sets = staged(texts.select("node", "text").mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
-
-    comps = None
-    links = None
-    for turn in range(STAR_ROUNDS + 1):
-        member = buckets.withColumn("comp", F.col("node"))
-        if comps is not None:
-            member = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        if turn == 0:
-            member = member.withColumns({"n": F.lit(1), "c": F.lit(1)})
-        else:
-            crossed = member.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
-            member = member.join(staged(crossed, "crossed"), "bucket", "left_semi")
-            alive = _may_cross(member, sets)
-        if turn == STAR_ROUNDS:
-            pairs = _possible_pairs(live, alive, sets)
-        else:
-            if turn:
-                member = staged(member.join(alive, ["node", "comp"]), "members")
-            best = F.max(F.struct((F.col("c") / F.col("n")).alias("r"), F.xxhash64("node").alias("h"), F.col("node").alias("pivot"), F.col("comp").alias("pcomp"), F.col("n").alias("pn"), F.col("c").alias("pc"))).alias("p")
-            pivots = member.groupBy("bucket").agg(best).select("bucket", "p.pivot", "p.pcomp", "p.pn", "p.pc")
-            most = F.least("c", "pc")  # no more than c of a node's n shingles are in another component
-            possible = F.lit(True) if turn == 0 else 100 * most >= SIMILAR_PERCENT * (F.col("n") + F.col("pn") - most)
-            pairs = member.join(pivots, "bucket").filter("comp <> pcomp").filter(possible).select("node", "pivot")
-        pairs = staged(pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "pairs")
-        if pairs.isEmpty():
-            continue
-        found = staged(_similar(pairs, sets), "links")
-        if found.isEmpty():
-            continue
-        links = found if links is None else links.union(found)
-        comps = staged(components(links), "components")
-
-    out = sketched.select("doc_id", "n_shingles", "node")
-    if comps is None:
-        out = out.withColumn("comp", F.col("node"))
-    else:
-        out = out.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = out.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = out.join(least, "comp", "left")
-    out = out.withColumn("component_id", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    out = _grouped(docs, Scratch(docs.sparkSession)).withColumn("component_id", F.when(F.col("grouped"), F.col("first_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that near_groups does not keep; all columns stay as they are."""
-    gone = staged(near_groups(docs).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "dropped")
-    return docs.join(small_or_not(gone), "doc_id", "left_anti").select(docs.columns)
+    """``docs`` with one row of each near-duplicate group, the least by doc_id (null ids last); all columns stay as they are.
+
+    Rows that repeat a kept row's doc_id and text are copies of it and go too; rows without words are in no group and stay.
+    """
+    scratch = Scratch(docs.sparkSession)
+    rows = _grouped(docs, scratch).filter("grouped")
+    first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key"))
+    gone = scratch.staged(rows.filter(~first).select("doc_id", "text_key").distinct(), "dropped")
+    again = scratch.staged(rows.filter(first).groupBy("doc_id", "text_key").count().filter("count > 1").select("doc_id", "text_key"), "repeated")
+    scratch.drop_all(gone, again)
+    named = docs.select(F.struct(*docs.columns).alias("whole"), F.col("doc_id").cast("long").alias("doc_id"), F.md5(text_bytes(docs)).alias("text_key"))
+    left = _same_row(named, gone, "left_anti")
+    once = _same_row(left, again, "left_anti").union(_same_row(left, again, "left_semi").dropDuplicates(["doc_id", "text_key"]))
+    return once.select("whole.*")
 
 
 ORACLE_SQL = r"""

@@ -105,6 +105,17 @@ def test_near_groups_of_odd_rows(odd, spark):
     assert minhash.near_groups(odd.limit(0)).count() == 0
 
 
+def test_repeated_and_null_ids_are_grouped_by_their_own_texts(spark):
+    x, y = [f"x{i}" for i in range(60)], [f"y{i}" for i in range(60)]
+    near = lambda w: " ".join([*w[:-1], "z"])
+    rows = [(1, " ".join(x)), (1, " ".join(y)), (2, near(x)), (3, near(y)), (None, "a b c d e f g h"), (7, "a b c d e f g h"), (None, "q r s t u v"), (None, "q r s t u v w x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("whole", F.lit(1))
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_groups(df).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (None, 7, False), (7, 7, True), (None, None, True), (None, None, True)], key=str)
+    kept = [(r["doc_id"], r["text"]) for r in minhash.drop_near_copies(df.union(df)).collect()]
+    assert sorted(kept, key=str) == sorted([rows[i] for i in (0, 1, 5, 6, 7)], key=str)
+
+
 def test_drop_near_copies_keeps_one_of_each_group(docs, texts):
     kept = {r["doc_id"] for r in minhash.drop_near_copies(docs).collect()}
     assert kept == set(groups(list(texts.values())).values())
