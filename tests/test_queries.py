@@ -1,7 +1,7 @@
 """Queries against their SQL, over the provided tables."""
 
 import pytest
-from conftest import canonical
+from rows import canonical
 
 import panelcast.catalog as catalog
 
