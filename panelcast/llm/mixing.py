@@ -4,8 +4,10 @@ Each source is put into a fixed pseudo-random order and cut into BLOCKS blocks.
 passes and a part of one more, which is a run of whole blocks and the head of one block. So a source has an exact quota
 of block draws. A tree splits the quotas of all sources among the output shards: a node with the draws of ``n`` shards
 gives its left child the share of its shards, sampled without replacement from all sources at once (multivariate
-hypergeometric), down to the leaves. Then each shard takes its run of the source's permuted blocks, disjoint from all
-other shards', and orders its rows by a hash: the local shuffle.
+hypergeometric), down to the leaves. Then each shard draws its run of the source's permuted blocks, disjoint from all
+other shards', and orders its rows by a hash: the local shuffle. What a row is drawn for follows from the shards' runs.
+
+The tree and the targets hold a row per source in one task: 24 bytes and SHARDS numbers each.
 """
 
 from __future__ import annotations
@@ -15,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.llm.shared import staged, text_bytes
+from panelcast.llm.shared import small_or_not, staged, text_bytes
 
 WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3
@@ -26,19 +28,28 @@ BLOCK_HEX = 3  # 16 ** 3 blocks a source
 BLOCKS = 16**BLOCK_HEX
 SHARDS = 16
 SEED = "mix-1"
+#: A shard's rows are written in 2 ** LANE_BITS runs by the first bits of their places, so no task holds a shard.
+LANE_BITS = 6
 
 
 def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes = pa.array([len(t.split()) for t in batch.column(2).to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes], names=["doc_id", "source", "size"])
+        sizes = pa.array([len(t.split()) for t in batch.column("text").to_pylist()], pa.int64())
+        kept = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), sizes], names=[*kept, "size"])
+
 
+def _ranked(docs: DataFrame, seed: str, *more: Column) -> DataFrame:
+    """doc_id, source, key (the source, null told apart), rank (a hash of the row, which orders its source) and text as bytes."""
+    doc_id, source, text = F.col("doc_id").cast("long"), F.col("source").cast("string"), text_bytes(docs)
+    key = F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
+    rank = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")), key, F.md5(text)).cast("binary"))
+    return docs.select(doc_id.alias("doc_id"), source.alias("source"), key.alias("key"), rank.alias("rank"), text.alias("text"), *more)
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words) of every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text_bytes(docs).alias("text")).mapInArrow(
-        _sized, "doc_id long, source string, size long"
-    )
+
+def sized(docs: DataFrame, seed: str) -> DataFrame:
+    """doc_id, source, key, rank, size (words) of every row."""
+    return _ranked(docs, seed).mapInArrow(_sized, "doc_id long, source string, key string, rank string, size long")
 
 
 def targets(per_source: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -92,18 +103,11 @@ def _tree(shards: int, seed: str):
     return run
 
 
-def mix(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
-    """The mix of all rows of ``docs(doc_id, text, source, ...)``.
-
-    Returns a row per row of ``docs``: doc_id, source, size, source_size, target and draws, an array with a
-    struct (pass, shard, place) for every time that the mix takes the row; rows sorted by place within a shard are its
-    shuffled content. A null source is a source of its own, the last; null, empty and blank texts have size 0; a
-    source without words has target 0. Rows that repeat a doc_id share its place in the order. Other columns are not
-    read; an empty table gives an empty result. A source's taken words miss its target by half a document at most.
-    """
-    order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    rows = staged(sized(docs).withColumn("rank", order).withColumn("block", F.substring("rank", 1, BLOCK_HEX)), "sized")
-    blocks = staged(rows.groupBy("source", "block").agg(F.sum("size").alias("words")), "blocks")
+def _planned(docs: DataFrame, shards: int, seed: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sized rows; per source its target and the shards' runs of block draws (``ends``); and the ranks of the rows in the
+    head of the block in which a source's last pass ends."""
+    rows = staged(sized(docs, seed).withColumn("block", F.substring("rank", 1, BLOCK_HEX)), "sized")
+    blocks = staged(rows.groupBy("source", "key", "block").agg(F.sum("size").alias("words")), "blocks")
     known = targets(blocks.groupBy("source").agg(F.sum("words").alias("source_size")))
     known = known.withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     known = known.withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
@@ -111,68 +115,57 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
     known = staged(known.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))), "targets")
 
     # the block in which the part of the last pass ends, and the words of it before that block
-    keyed = blocks.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))).drop("source")
     before = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    running = keyed.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).join(known.select("key", "rest"), "key")
+    running = blocks.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).join(known.select("key", "rest"), "key")
     edge = running.filter("before <= rest").groupBy("key").agg(F.max(F.struct("block", "before")).alias("edge"))
     plan = known.join(edge, "key", "left")
     last = F.conv(F.col("edge.block"), 16, 10).cast("long")
     plan = plan.withColumn("quota", F.col("full") * BLOCKS + F.when(F.col("rest") > 0, last + 1).otherwise(0))
     ends = plan.select("place", "quota").coalesce(1).mapInArrow(_tree(shards, seed), "place int, ends array<long>")
-    plan = staged(plan.join(ends, "place").select("key", "source_size", "target", "full", "rest", "edge.block", "edge.before", "ends").withColumnsRenamed({"block": "edge", "before": "edge_before"}), "plan")
-
-    rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))).join(plan, "key")
-    ordered = F.struct("rank", "doc_id")
-    head = Window.partitionBy("key").orderBy(ordered).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    at_edge = rows.filter("block = edge").withColumn("running", F.col("edge_before") + F.sum("size").over(head))
-    at_edge = at_edge.withColumn("more", (F.col("running") - F.col("size") / 2 <= F.col("rest")) & (F.col("rest") > 0))
-    others = rows.filter("edge IS NULL OR block <> edge").withColumn("running", F.lit(None).cast("long"))
-    others = others.withColumn("more", F.coalesce((F.col("block") < F.col("edge")) & (F.col("rest") > 0), F.lit(False)))
-    taken = others.unionByName(at_edge)
-    index = F.conv(F.col("block"), 16, 10).cast("long")
-    passes = F.sequence(F.lit(0), (F.col("full") + F.col("more").cast("int") - 1).cast("int"))
-    passes = F.when(F.col("full") + F.col("more").cast("int") > 0, passes).otherwise(F.array().cast("array<int>"))
-    draws = F.transform(
-        passes,
-        lambda p: F.struct(
-            p.alias("pass"),
-            F.size(F.filter("ends", lambda e: e <= p * BLOCKS + index)).alias("shard"),
-            F.xxhash64(F.lit(seed), p, "rank").alias("place"),
-        ),
-    )
-    return taken.select("doc_id", "source", "size", "source_size", "target", draws.alias("draws"))
+    plan = plan.join(ends, "place").select("key", "source_size", "target", "full", "rest", F.col("edge.block").alias("edge"), F.col("edge.before").alias("edge_before"), "ends")
+    plan = staged(plan, "plan")
 
+    head = Window.partitionBy("key").orderBy("rank").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = rows.join(small_or_not(plan.select("key", "rest", "edge", "edge_before")), "key").filter("block = edge AND rest > 0")
+    cut = cut.withColumn("running", F.col("edge_before") + F.sum("size").over(head)).filter(F.col("running") - F.col("size") / 2 <= F.col("rest"))
+    return rows, plan, staged(cut.select("rank").distinct(), "heads")
+
+
+def _draws(seed: str) -> Column:
+    """The draws of a row, given its rank, its source's plan and whether it is in the head: for every pass whose block lies in
+    a shard's run, (pass, shard, place)."""
+    index = F.conv(F.substring("rank", 1, BLOCK_HEX), 16, 10).cast("long")
+    at_edge = lambda p: (F.col("rest") > 0) & (p == F.col("full")) & (F.substring("rank", 1, BLOCK_HEX) == F.col("edge"))
+    in_run = lambda p: (p * BLOCKS + index < F.element_at("ends", -1)) & (~F.coalesce(at_edge(p), F.lit(False)) | F.col("head"))
+    passes = F.filter(F.array(*[F.lit(p) for p in range(MOST_TIMES)]), in_run)
+    shard = lambda p: F.size(F.filter("ends", lambda e: e <= p * BLOCKS + index))
+    return F.transform(passes, lambda p: F.struct(p.alias("pass"), shard(p).alias("shard"), F.xxhash64(F.lit(seed), p, "rank").alias("place")))
 
-def draw(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it (0 to MOST_TIMES times); the columns stay the same.
 
-    Needs doc_id to be unique and not null, as in a table of documents; rows without a doc_id are dropped by the join.
+def _with_draws(rows: DataFrame, plan: DataFrame, heads: DataFrame, seed: str) -> DataFrame:
+    """``rows(key, rank, ..)`` with their source's plan and their draws; plan and heads are small, so the rows are not moved."""
+    marked = rows.join(small_or_not(plan), "key").join(small_or_not(heads.withColumn("in_head", F.lit(True))), "rank", "left")
+    return marked.withColumn("head", F.coalesce("in_head", F.lit(False))).withColumn("draws", _draws(seed))
+
+
+def mix(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
+    """The mix of all rows of ``docs(doc_id, text, source, ...)``.
+
+    Returns a row per row of ``docs``: doc_id, source, size, source_size, target and draws, an array with a
+    struct (pass, shard, place) for every time that the mix takes the row; rows sorted by place within a shard are its
+    shuffled content. A null source is a source of its own, the last; null, empty and blank texts have size 0; a
+    source without words has target 0. Rows equal in doc_id, source and text are drawn alike and share their places; rows that
+    only repeat a doc_id do not. Other columns are not read; an empty table gives an empty result. A source's taken
+    words miss its target by half a document (and its equal rows) at most.
     """
-    times = mix(docs, shards, seed).select("doc_id", F.explode("draws.pass").alias("mix_pass"))
-    return docs.join(staged(times, "draws").select("doc_id"), "doc_id").select(docs.columns)
-
-
-ORACLE_SQL = r"""
-WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5(concat('mix-1:', coalesce(doc_id::VARCHAR, 'null'))) AS rank FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-w AS (SELECT *, 3 * source_size AS most, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
-l AS (
-  SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER b, 0))::BIGINT AS left_size,
-         (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))::BIGINT AS left_weight
-  FROM w WINDOW b AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-o AS (SELECT *, most * left_weight > left_size * weight AS is_open FROM l),
-f AS (SELECT left_size AS fs, left_weight AS fw FROM o WHERE is_open ORDER BY most / weight, source NULLS LAST LIMIT 1),
-t AS (
-  SELECT source, source_size, CASE WHEN is_open THEN (fs * weight)::DOUBLE / fw ELSE most::DOUBLE END AS target
-  FROM o LEFT JOIN f ON true),
-p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS fulls FROM t),
-r AS (
-  SELECT d.doc_id, d.size, p.source_size, p.target, p.fulls, p.target - p.fulls * p.source_size AS rest,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.rank, d.doc_id RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size, source_size, target,
-       (size * (fulls + CASE WHEN rest > 0 AND running - size / 2 <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM r
-"""
+    return _with_draws(*_planned(docs, shards, seed), seed).select("doc_id", "source", "size", "source_size", "target", "draws")
+
+
+def draw(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it (0 to MOST_TIMES times), in the mix's order: a shard's rows lie in
+    2 ** LANE_BITS runs, each of them sorted by place. The columns stay the same; null and repeated ids are rows like all others."""
+    _, plan, heads = _planned(docs, shards, seed)
+    rows = _ranked(docs, seed, F.struct(*docs.columns).alias("whole")).select("key", "rank", "whole")
+    drawn = _with_draws(rows, plan, heads, seed).select("whole", F.explode("draws").alias("d")).select("whole", "d.shard", "d.place")
+    lane = F.shiftrightunsigned("place", 64 - LANE_BITS)
+    return drawn.repartition("shard", lane).sortWithinPartitions("shard", lane, "place").select("whole.*")

@@ -8,14 +8,17 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key list of at most so many rows (16 bytes each) is sent to every executor; a longer one is joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: A table of keys (a row of at most about 100 bytes each) of at most so many rows is sent to every executor; a longer one
+#: is joined by shuffle.
+BROADCAST_ROWS = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share; a temporary one only in local mode, where the session names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panelcast-"))
         named = spark.sparkContext.getCheckpointDir()
     return named
