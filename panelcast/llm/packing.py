@@ -1,9 +1,9 @@
 """Best-fit packing of tokenised documents by hierarchical residual packing.
 
-Every task packs the pieces of its own partition by best fit, largest first. Bins that are nearly full are done.
-Underfull bins become items of the next round, in which fewer tasks pack the bins of several former ones; rounds go
-on up the tree until one task has seen all that is left, or a round merges next to nothing. A task never holds more
-than WINDOW pieces or about ROUND_BINS bins, whatever the input's size.
+Every task packs the pieces of its own partition by best fit, largest first. Bins that are nearly full, or too full for
+the smallest one left anywhere, are done. The others become items of the next round, in which fewer tasks pack the bins
+of several former ones; rounds go on up the tree until one task has seen all that is left, or nothing could be merged
+any more. A task never holds more than WINDOW pieces or about ROUND_BINS bins, whatever the input's size.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ WINDOW = 200_000
 ROUND_BINS = 20_000
 #: Former tasks whose bins meet in one task of the next round, at least.
 FAN_IN = 8
-CACHE_CHUNKS = 1_000_000
-CACHE_BYTES = 64
+#: Bytes, by estimate, that a worker's cache of chunks may take, and the longest chunk that enters it.
+CACHE_BYTES, ENTRY_BYTES = 96_000_000, 180
+LONGEST_CHUNK = 64
 
 ITEM = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
 _BINS = "sequence_id long, fill int, done boolean, items array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>>"
@@ -72,6 +73,7 @@ class _ChunkIds(dict):
         self.tokenizer = _tokenizer(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
+        self.held = 0
 
     def _word(self, word: str) -> bytes:
         text = word.lower()
@@ -89,9 +91,11 @@ class _ChunkIds(dict):
         else:
             found = self.tokenizer.encode(text, add_special_tokens=False).ids
             ids = struct.pack(f"<{len(found)}I", *found)
-        if len(chunk) <= CACHE_BYTES:
-            if len(self) >= CACHE_CHUNKS:
+        if len(chunk) <= LONGEST_CHUNK:
+            self.held += ENTRY_BYTES + len(chunk) + len(ids)
+            if self.held > CACHE_BYTES:
                 self.clear()
+                self.held = 0
             self[chunk] = ids
         return ids
 
@@ -225,19 +229,20 @@ def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(docs).alias("text"))
     bins = staged(docs.mapInArrow(_pack_texts(tokenizer or default_tokenizer()), _BINS), "bins")
-    done = bins.filter("done")
-    left = bins.filter("NOT done")
-    count, turn = left.count(), 0
-    tasks = max(1, bins.rdd.getNumPartitions())
-    while count:
+    turn, tasks, done = 0, max(1, bins.rdd.getNumPartitions()), None
+    while True:
+        # a bin without room for the smallest one that is left cannot take part any more
+        least = bins.filter("NOT done").agg(F.min("fill")).first()[0]
+        ready = F.col("done") | (F.col("fill") > CAPACITY - (least or 0))
+        done = bins.filter(ready) if done is None else done.union(bins.filter(ready))
+        left = bins.filter(~ready)
+        count = left.count()
+        if not count:
+            break
         turn += 1
         tasks = max(-(-count // ROUND_BINS), min(tasks // FAN_IN, count), 1)
-        last = tasks == 1
-        merged = staged(left.select("fill", "items").repartition(tasks).mapInArrow(_merge_bins(turn, last), _BINS), "bins")
-        done = done.union(merged.filter("done"))
-        left = merged.filter("NOT done")
-        before, count = count, left.count()
-        if count > 0.97 * before and turn > 2:
-            done = done.union(left)
+        bins = staged(left.select("fill", "items").repartition(tasks).mapInArrow(_merge_bins(turn, tasks == 1), _BINS), "bins")
+        if tasks > 1 and bins.count() == count:  # no two of the bins that met fit together
+            done = done.union(bins)
             break
     return done.select("sequence_id", F.explode("items").alias("i")).select("i.doc_id", "i.piece", "i.start", "i.length", "i.ids_crc32", "sequence_id", "i.offset")
