@@ -1,9 +1,11 @@
 """Quality rules: base counts, and divergence from the language's own character and word distribution.
 
-References come from all documents: for each of the LANGUAGES most frequent values of ``lang`` (null is one), and for
-all others together, the distribution of character classes and that of the WORDS most frequent words (and of all
-other words as one). A document is compared with its language's references by Jensen-Shannon distance (base 2, so 0
-to 1). Guards: the distances judge only documents of at least LEAST_WORDS words and LEAST_CHARS characters.
+References come from all documents: for each value of ``lang`` (null is one) with LANGUAGE_DOCS documents and
+LANGUAGE_WORDS words or more, the distribution of character classes and that of the WORDS most frequent words (and of all
+other words as one). A document is compared with its language's references, its own counts left out of them, by
+Jensen-Shannon distance (base 2, so 0 to 1). A language with fewer documents is no reference for itself: its documents
+are compared with the character classes of all documents, and their words, of which nothing is known, with nothing.
+Guards: the distances judge only documents of at least LEAST_WORDS words and LEAST_CHARS characters.
 """
 
 from __future__ import annotations
@@ -16,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.llm.shared import text_bytes
+from panelcast.llm.shared import staged, text_bytes
 
-LANGUAGES = 200
+LANGUAGE_DOCS, LANGUAGE_WORDS = 20, 2000
 WORDS = 200
 LEAST_WORDS, LEAST_CHARS = 50, 200
 #: Largest distances: (a, b) stands for a + b / sqrt(words), as a sample's distance from its own source shrinks.
@@ -91,33 +93,45 @@ def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows()
 
 
-def references(docs: DataFrame) -> dict[str | None, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
-    """lang -> (class distribution, word -> place, word distribution with all other words last).
+#: Of a language: counts of character classes, place of each frequent word, and counts of those words and of all others.
+Reference = tuple[np.ndarray, dict[bytes, int], np.ndarray]
 
-    At most LANGUAGES + 1 entries of WORDS + CLASSES numbers come to the driver; key "" is the pool of the languages
-    beyond the LANGUAGES most frequent ones.
+
+def references(docs: DataFrame) -> tuple[dict[str | None, Reference], np.ndarray]:
+    """The languages' references and the class counts of all documents.
+
+    CLASSES + WORDS + 1 numbers and WORDS words come to the driver for each language with enough documents: about 10 KB
+    for each of the world's few thousand languages at most.
     """
-    langs = docs.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), F.asc_nulls_last("lang")).limit(LANGUAGES)
-    named = [r["lang"] for r in langs.collect()]
-    counted = docs.select(F.col("lang").cast("string").alias("lang"), text_bytes(docs).alias("text")).mapInArrow(_histograms, "lang string, kind string, item binary, n long")
-    own = F.col("lang").isin([x for x in named if x is not None])
-    own = own | F.col("lang").isNull() if None in named else F.coalesce(own, F.lit(False))
-    counted = counted.withColumn("pool", ~F.coalesce(own, F.lit(False))).withColumn("lang", F.when(~F.col("pool"), F.col("lang")))
-    counted = counted.groupBy("pool", "lang", "kind", "item").agg(F.sum("n").alias("n"))
-    top = counted.withColumn("r", F.row_number().over(Window.partitionBy("pool", "lang", "kind").orderBy(F.desc("n"), "item"))).filter(F.col("r") <= WORDS)
-    totals = counted.groupBy("pool", "lang", "kind").agg(F.sum("n").alias("total"))
-    rows = top.alias("t").join(totals.alias("s"), F.expr("t.pool = s.pool AND t.lang <=> s.lang AND t.kind = s.kind")).select("t.pool", "t.lang", "t.kind", "t.item", "t.n", "s.total", "t.r").collect()
+    lang = F.col("lang").cast("string").alias("lang")
+    counted = docs.select(lang, text_bytes(docs).alias("text")).mapInArrow(_histograms, "lang string, kind string, item binary, n long")
+    counted = staged(counted.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "histograms")
+    words = counted.groupBy("lang").agg(F.sum(F.when(F.col("kind") == "w", F.col("n")).otherwise(0)).alias("words"))
+    enough = docs.groupBy(lang).agg(F.count("*").alias("docs")).filter(F.col("docs") >= LANGUAGE_DOCS)
+    known = enough.alias("d").join(words.alias("w"), F.expr("d.lang <=> w.lang")).filter(F.col("words") >= LANGUAGE_WORDS).select(F.col("d.lang").alias("known"), "words")
+    rows = counted.join(known, F.col("lang").eqNullSafe(F.col("known")))
+    top = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))).filter(F.col("r") <= WORDS)
+    found: dict[str | None, list] = {}
+    for r in top.select("lang", "kind", "item", "n", "words", "r").collect():
+        found.setdefault(r["lang"], []).append(r)
     out = {}
-    for key in {(r["pool"], r["lang"]) for r in rows}:
-        mine = [r for r in rows if (r["pool"], r["lang"]) == key]
+    for key, mine in found.items():
         classes = np.zeros(CLASSES)
         for r in mine:
             if r["kind"] == "c":
                 classes[int(bytes(r["item"]))] = r["n"]
         words = sorted((r for r in mine if r["kind"] == "w"), key=lambda r: r["r"])
-        share = np.array([r["n"] for r in words] + [words[0]["total"] - sum(r["n"] for r in words) if words else 0], float)
-        out["" if key[0] else key[1]] = (classes / max(classes.sum(), 1), {bytes(r["item"]): i for i, r in enumerate(words)}, share / max(share.sum(), 1))
-    return out
+        out[key] = classes, {bytes(r["item"]): i for i, r in enumerate(words)}, np.array([r["n"] for r in words] + [mine[0]["words"] - sum(r["n"] for r in words)], float)
+    everything = np.zeros(CLASSES)
+    for r in counted.filter("kind = 'c'").groupBy("item").agg(F.sum("n").alias("n")).collect():
+        everything[int(bytes(r["item"]))] = r["n"]
+    return out, everything
+
+
+def _distance(own: np.ndarray, reference: np.ndarray) -> float | None:
+    """Distance of a document's counts from a reference without them; null where nothing else is in it."""
+    others = np.maximum(reference - own, 0)
+    return js_distance(own / own.sum(), others / others.sum()) if own.sum() and others.sum() else None
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> float:
@@ -132,7 +146,7 @@ def _limit(bound: tuple[float, float], words: int) -> float:
     return bound[0] + bound[1] / words**0.5
 
 
-def _judged(found: dict):
+def _judged(found: dict[str | None, Reference], everything: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -142,15 +156,14 @@ def _judged(found: dict):
                 n, repeats = len(words), counts[3]
                 failed = n < BASE_LEAST_WORDS or 100 * repeats > BASE_REPEAT_PERCENT * n
                 by_class = by_word = None
-                reference = found.get(lang) or found.get("")
-                if reference and n >= LEAST_WORDS and len(text) >= LEAST_CHARS:
-                    classes, place, share = reference
-                    own = _class_counts(text)
-                    by_class = js_distance(own / own.sum(), classes)
-                    rest = len(place)
-                    own = np.bincount([place.get(w, rest) for w in text.lower().split()], minlength=rest + 1)
-                    by_word = js_distance(own / own.sum(), share)
-                kept = not failed and (by_class is None or by_class <= _limit(MOST_CLASS_DISTANCE, n) and by_word <= _limit(MOST_WORD_DISTANCE, n))
+                if n >= LEAST_WORDS and len(text) >= LEAST_CHARS:
+                    classes, place, share = found.get(lang, (everything, None, None))
+                    by_class = _distance(_class_counts(text), classes)
+                    if place is not None:
+                        rest = len(place)
+                        by_word = _distance(np.bincount([place.get(w, rest) for w in text.lower().split()], minlength=rest + 1), share)
+                far = by_class is not None and by_class > _limit(MOST_CLASS_DISTANCE, n) or by_word is not None and by_word > _limit(MOST_WORD_DISTANCE, n)
+                kept = not failed and not far
                 rows.append((n, *counts, failed, kept, by_class, by_word))
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
             columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
@@ -165,12 +178,12 @@ def _judged(found: dict):
 def judge(docs: DataFrame) -> DataFrame:
     """Base counts, distances and verdict of every row of ``docs(doc_id, text, lang, ...)``.
 
-    Null, empty and blank texts have no words and fail the base rule; distances of documents below the guards are
-    null and do not count against them. A null lang is a language of its own. Repeated rows are judged each; other
+    Null, empty and blank texts have no words and fail the base rule; distances of documents below the guards, and those to
+    nothing, are null and do not count against them. A null lang is a language of its own. Repeated rows are judged each; other
     columns are not read; an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_bytes(docs).alias("text"))
     return rows.mapInArrow(
-        _judged(references(docs)),
+        _judged(*references(docs)),
         "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double",
     )
