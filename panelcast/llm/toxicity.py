@@ -6,7 +6,7 @@ from probabilities as it will meet them. The label table has one toxicity label;
 links are finer categories with weak labels: a toxic document with a cue word of the category.
 
 Vocabulary and models come from at most TRAIN_DOCS labelled documents, the first by a hash of the id. The vocabulary
-holds short words and beginnings of words, so that compounds of a word count too.
+holds whole words and beginnings of words, so that compounds of a word count too.
 """
 
 from __future__ import annotations
@@ -29,16 +29,16 @@ CUES = {
 CHAIN = (*CUES, "toxic")
 VOCABULARY = 512
 LEAST_DOCS = 5
-#: Words enter by the log-odds ratio between toxic and other documents, in standard errors.
-LEAST_Z = 4.0
+#: Words enter by the log-odds ratio between toxic and other documents, in standard errors; where few labels leave fewer
+#: than LEAST_WORDS such words, the best of the rest enter too.
+LEAST_Z, LEAST_WORDS = 4.0, 64
 TRAIN_DOCS = 8000
 FOLDS = 3
 STEPS, RIDGE = 200, 1e-4
 THRESHOLD = 0.5
 
-#: Lengths, in bytes, of the word beginnings that are features, and of the longest whole word.
+#: Lengths, in bytes, of the word beginnings that are features.
 PREFIXES = range(4, 10)
-LONGEST = 10
 
 #: ASCII letters and bytes beyond ASCII as they are, all else a blank.
 _LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
@@ -49,13 +49,12 @@ def word_set(text: bytes) -> set[bytes]:
 
 
 def marks_of(words: set[bytes], wanted: dict[bytes, int] | None = None) -> set[bytes]:
-    """Features of a document: ``=word`` for short words, ``prefix`` for beginnings of words, ``2prefix`` where two words
+    """Features of a document: ``=word`` for whole words, ``prefix`` for beginnings of words, ``2prefix`` where two words
     or more begin so; only the wanted ones if given."""
     begins: Counter = Counter()
     out = set()
     for w in words:
-        if len(w) <= LONGEST:
-            out.add(b"=" + w)
+        out.add(b"=" + w)
         for k in PREFIXES:
             if k > len(w):
                 break
@@ -151,8 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], list[np.ndarra
     per_word = counted.groupBy("word").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b"))
     odds = F.log((a + 0.5) / (pos - a + 0.5)) - F.log((b + 0.5) / (neg - b + 0.5))
     z = odds / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (pos - a + 0.5) + 1 / (neg - b + 0.5))
-    best = per_word.filter(a + b >= LEAST_DOCS).withColumn("z", z).filter(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "word").limit(VOCABULARY)
-    vocabulary = [bytes(r["word"]) for r in best.select("word").collect()]
+    best = per_word.filter(a + b >= LEAST_DOCS).withColumn("z", F.abs(z)).orderBy(F.desc("z"), "word").limit(VOCABULARY).select("word", "z").collect()
+    vocabulary = [bytes(r["word"]) for i, r in enumerate(best) if i < LEAST_WORDS or r["z"] >= LEAST_Z]
     rows = texts.mapInArrow(_present(vocabulary), "doc_id long, label int, found array<int>, marks array<int>")
     rows = rows.groupBy("doc_id").agg(F.min(F.struct("label", "found", "marks")).alias("r")).select("doc_id", "r.*").toPandas().sort_values("doc_id")
     if rows.empty:
