@@ -1,9 +1,10 @@
 """Document quality by attention-based multiple-instance learning.
 
-A document is a bag of passages of PASSAGE words; every passage of the whole text is encoded by a small network over
-its character and repetition statistics. Gated attention gives each passage a weight; the weighted mean of the
-passage codes is scored by a logistic layer. Only document labels are needed: the attention weights are learned with
-the rest, by full-batch gradient steps.
+A document is a bag of passages of PASSAGE words; every passage of the whole text is encoded by a small network over its
+words and word pairs, hashed to BUCKETS, and its character and repetition statistics: the network's first layer is a
+learned projection of them. Gated attention gives each passage a weight; the weighted mean of the passage codes is
+scored by a logistic layer. Only document labels are needed: the attention weights are learned with the rest, by
+full-batch gradient steps.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.llm.shared import staged, text_bytes
@@ -22,6 +24,11 @@ from panelcast.llm.shared import staged, text_bytes
 PASSAGE = 128
 #: Labelled documents that the model is fitted on: the first so many by a hash of the id.
 TRAIN_DOCS = 4000
+#: Passages that they may have together, so that the fit's memory is bounded: documents that would exceed it are passed over.
+TRAIN_PASSAGES = 40_000
+#: Buckets of hashed words and word pairs, and their standard deviation where a statistic's is 1: there are many of them,
+#: and few labelled documents may be all that is known.
+BUCKETS, BUCKET_WEIGHT = 192, 0.3
 CODE, GATE = 12, 6
 STEPS, RATE, DECAY = 400, 0.03, 1e-4
 THRESHOLD = 0.3
@@ -38,7 +45,20 @@ def _class_table() -> np.ndarray:
 
 
 _TABLE = _class_table()
-FEATURES = _CLASSES + 6
+STATISTICS = _CLASSES + 6
+FEATURES = STATISTICS + BUCKETS
+_CACHE_WORDS = 200_000
+
+
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _CACHE_WORDS:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word.lower()) & 0x7FFFFFFF
+        return h
+
+
+_hashes = _WordHashes()
 
 
 def encode(text: bytes) -> np.ndarray:
@@ -57,12 +77,18 @@ def encode(text: bytes) -> np.ndarray:
     size = np.maximum(counts.sum(axis=1), 1)
     out = np.zeros((n, FEATURES), np.float32)
     out[:, :_CLASSES] = np.sqrt(counts / size[:, None])
+    if words:
+        h = np.fromiter(map(_hashes.__getitem__, words), np.int64, len(words))
+        pairs = (h[:-1] * 31 + h[1:] * 17) >> 3
+        at = np.arange(len(words)) // PASSAGE
+        seen = np.bincount(np.concatenate([at, at[1:]]) * BUCKETS + np.concatenate([h, pairs]) % BUCKETS, minlength=n * BUCKETS).reshape(n, BUCKETS)
+        out[:, STATISTICS:] = np.sqrt(seen / np.maximum(seen.sum(axis=1, keepdims=True), 1))
     for i in range(n):
         part = words[i * PASSAGE : (i + 1) * PASSAGE]
         if part:
             k = len(part)
             often = Counter(part)
-            out[i, _CLASSES:] = (
+            out[i, _CLASSES:STATISTICS] = (
                 len(often) / k,
                 max(often.values()) / k,
                 sum(map(operator.eq, part, part[1:])) / k,
@@ -137,21 +163,28 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
-    """The model of at most TRAIN_DOCS labelled documents that are not held out; a constant where there are no
-    labels of both kinds."""
+    """The model of at most TRAIN_DOCS labelled documents that are not held out, none of them longer than a twentieth of
+    TRAIN_PASSAGES; a constant where there are no labels of both kinds."""
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).filter(~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("label"))
     known = staged(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS), "labelled")  # bounded, so it may be broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(docs).alias("text")).join(F.broadcast(known), "doc_id")
     rows = texts.select("doc_id", "label", "text").mapInArrow(_encoded, "doc_id long, label int, code array<float>")
-    rows = rows.groupBy("doc_id").agg(F.min(F.struct("label", "code")).alias("r")).select("doc_id", "r.*").toPandas().sort_values("doc_id")
+    rows = staged(rows.groupBy("doc_id").agg(F.min(F.struct("label", "code")).alias("r")).select("doc_id", "r.*"), "bags")
+    # at most TRAIN_DOCS rows, in the order of the sample
+    so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    size = F.size("code") / FEATURES
+    within = rows.select("doc_id", size.alias("passages")).filter(F.col("passages") <= TRAIN_PASSAGES // 20).withColumn("total", F.sum("passages").over(so_far)).filter(F.col("total") <= TRAIN_PASSAGES)
+    rows = rows.join(F.broadcast(within.select("doc_id")), "doc_id", "left_semi").toPandas().sort_values("doc_id")
     y = rows["label"].to_numpy(float)
     if len(set(y)) < 2:
         return float(y.mean()) if len(y) else 0.5
-    bags = [np.asarray(c, float).reshape(-1, FEATURES) for c in rows["code"]]
+    bags = [np.asarray(c, np.float32).reshape(-1, FEATURES) for c in rows["code"]]
     x = np.concatenate(bags)
     starts = np.concatenate([[0], np.cumsum([len(b) for b in bags])[:-1]]).astype(np.int64)
-    return Model(x.mean(axis=0), x.std(axis=0) + 1e-3).fit(x, starts, y)
+    scale = x.std(axis=0) + 1e-3
+    scale[STATISTICS:] /= BUCKET_WEIGHT
+    return Model(x.mean(axis=0), scale).fit(x, starts, y)
 
 
 def _score_texts(model: Model | float):
@@ -163,7 +196,7 @@ def _score_texts(model: Model | float):
                 scores = np.full(len(bags), model)
             elif bags:
                 starts = np.concatenate([[0], np.cumsum([len(b) for b in bags])[:-1]]).astype(np.int64)
-                scores = model.score(np.concatenate(bags).astype(float), starts)
+                scores = model.score(np.concatenate(bags), starts)
             else:
                 scores = np.empty(0)
             columns = [c for i, c in enumerate(batch.columns) if i != at]
