@@ -6,7 +6,12 @@ stay the same at an aligned node over most of the host's distinct pages are temp
 save those whose element says otherwise (menus, adverts, forms, footers and the like). Where a page marks its article,
 only slots in it are content.
 
-Only trees (as strings), node numbers and text hashes are shuffled; the induction's statistics cover all pages.
+Names of classes are evidence beside the template: a part named like an advert or like comments goes; a name in which
+related pages, a notice or a header is only one word of several counts only if the part is mostly links or has fields. No part goes that holds most of
+the page's text.
+
+Only trees (as strings), node numbers and text hashes are shuffled; the induction's statistics cover all pages. A host's
+template has at most twice as many texts as its pages have on average, as each is on half of the pages or more.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ from __future__ import annotations
 import functools
 import html as entities
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,20 +34,15 @@ from panelcast.llm.shared import staged
 #: A text is template if so many of the host's distinct pages have it at one node: outside an article, and inside.
 TEMPLATE_PAGES, TEMPLATE_SHARE = 3, 0.5
 ARTICLE_PAGES, ARTICLE_SHARE = 8, 0.8
-#: A marked article that would lose more than this share of its characters to the template keeps it all, as does any
-#: page that would lose everything.
-MOST_LOSS = 0.5
 #: A slot outside an article with more of its characters in links than this is a menu.
 LINK_SHARE = 0.6
-#: A form or an element with a cue is content all the same if it holds more than this share of the text of the page's
+#: A form or a named part is content all the same if it holds more than this share of the text of the page's
 #: articles, or of the page where no article is marked: a frame of the page, not a part beside its content.
 FRAME_SHARE = 0.5
-#: Elements deeper than this are read as part of their ancestor.
-DEPTH = 60
-#: So many forms and cued elements around a text are told apart; those inside them share their fate.
-FRAMES = 64
-#: Templates of at most so many hosts (a few KB each) are sent to every executor.
-BROADCAST_HOSTS = 5000
+#: Templates of at most so many bytes together are sent to every executor.
+BROADCAST_BYTES = 64_000_000
+#: Trees may be as deep as pages make them.
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
 
 #: Element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,10 +50,15 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 DROPPED = frozenset("head title script style noscript template iframe object svg math canvas nav footer aside form button select textarea menu dialog".split())
 RAW = frozenset("script style noscript template iframe svg math textarea title".split())
 ARTICLE = frozenset("article main".split())
-CUES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|popup|modal|sidebar|menu|nav\w*|breadcrumbs?|footer|header|masthead|comments?|respond|replies|share|sharing|social|related|recommended|newsletter|subscribe|login|search|pagination|pager|widget)(?:$|[\s_-])",
-    re.I,
+FIELDS = frozenset("input select textarea button".split())
+#: Words in the names (class, id, role) of parts that are no content, and of those that often are not.
+NO_CONTENT = frozenset(
+    """ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion cookie cookies consent popup modal sidebar menu nav navbar navigation breadcrumb
+    breadcrumbs footer masthead comment comments respond replies share sharing social newsletter subscribe login pagination pager""".split()
 )
+MAYBE_CONTENT = frozenset("header banner notice notices related recommended search widget widgets".split())
+#: Words before such a word that make the name one of a page that has, or has not, the part.
+OF_A_PAGE = frozenset("no not non has with without is and plus".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<close2>/?)(?P<tag2>[A-Za-z][A-Za-z0-9:-]*)(?P<rest2>[^>]*+)>",
@@ -79,20 +85,45 @@ class Unit:
     node: int = -1
 
 
-def _label(tag: str, rest: str) -> str:
-    names = sorted({w for m in _NAMED.finditer(rest) for w in re.sub(r"[0-9]+", "0", next(g for g in m.groups("") if g or g == "")).split()}) if rest.strip() else []
-    return ".".join([tag, *(re.sub(r"[^\w-]", "", w) for w in names)])
+def _names(rest: str) -> list[str]:
+    """The words of an element's class, id and role."""
+    if not rest.strip():
+        return []
+    return sorted({re.sub(r"[^\w-]", "", re.sub(r"[0-9]+", "0", w)) for m in _NAMED.finditer(rest) for w in next(g for g in m.groups("") if g or g == "").split()} - {""})
+
+
+@functools.lru_cache(65_536)
+def _part(name: str) -> str:
+    """What a name says of its element: "no" content, "maybe" content, or nothing."""
+    words = [w for w in re.split(r"[_-]+|(?<=[a-z])(?=[A-Z])", name) if w]
+    words = [w.lower() for w in words]
+    if OF_A_PAGE & set(words):
+        return ""
+    if NO_CONTENT & set(words) or (len(words) == 1 and words[0] in MAYBE_CONTENT):
+        return "no"
+    return "maybe" if MAYBE_CONTENT & set(words) else ""
+
+
+@dataclass
+class Frame:
+    """A form or a named part: its texts' characters, in and out of links, and whether it has fields to fill in."""
+
+    kind: str
+    parent: int
+    held: int = 0
+    linked: int = 0
+    fields: bool = False
 
 
 def parse(page: str) -> tuple[Node, list[Unit]]:
     """The page's tree of block elements and its texts in page order."""
     root = Node("page")
     units: list[Unit] = []
-    # open blocks: (tag, node, dropped, article, forms and cued elements around by number)
-    stack: list[tuple[str, Node, bool, bool, tuple[int, ...]]] = [("page", root, False, False, ())]
+    # open blocks: (tag, node, dropped, article, number of the innermost form or named part around)
+    stack: list[tuple[str, Node, bool, bool, int]] = [("page", root, False, False, -1)]
     opened: Counter[str] = Counter()
-    within: list[tuple[int, ...]] = []
-    frames = 0
+    within: list[int] = []
+    frames: list[Frame] = []
     pieces: list[str] = []
     linked = links = 0
 
@@ -134,6 +165,8 @@ def parse(page: str) -> tuple[Node, list[Unit]]:
             close(tag)
             pieces.append(" ")
             continue
+        if tag in FIELDS and stack[-1][4] >= 0:
+            frames[stack[-1][4]].fields = True
         if tag in VOID:
             pieces.append(" ")
             if tag == "hr":
@@ -155,40 +188,49 @@ def parse(page: str) -> tuple[Node, list[Unit]]:
         if rest.endswith("/"):
             continue
         _, node, dropped, article, around = stack[-1]
-        label = _label(tag, rest)
-        if len(stack) < DEPTH:
-            child = Node(label)
-            node.children.append(child)
-        else:
-            child = node
-        article = article or tag in ARTICLE or label.endswith(".main")
+        names = _names(rest)
+        child = Node(".".join([tag, *names]))
+        node.children.append(child)
+        article = article or tag in ARTICLE or "main" in names
         dropped = dropped or (tag in DROPPED and tag != "form") or (tag == "header" and not article)
-        if tag not in ("html", "body") and len(around) < FRAMES and (tag == "form" or CUES.search(" ".join(label.split(".")[1:]))):
-            around = (*around, frames)
-            frames += 1
+        if tag not in ("html", "body"):
+            said = {_part(w) for w in names}
+            kind = "no" if tag == "form" or "no" in said else "maybe" if "maybe" in said else ""
+            if kind:
+                frames.append(Frame(kind, around))
+                around = len(frames) - 1
         stack.append((tag, child, dropped, article, around))
         opened[tag] += 1
     if at < len(page):
         pieces.append(page[at:])
     flush()
-    kept = [(u, a) for u, a in zip(units, within, strict=True) if not u.dropped]
+    kept = [(u, f) for u, f in zip(units, within, strict=True) if not u.dropped]
     marked = any(u.article for u, _ in kept)
-    held: Counter[int] = Counter()
     whole = 0
-    for u, a in kept:
+    for u, f in kept:
         if u.article or not marked:
             whole += len(u.text)
-            for f in a:
-                held[f] += len(u.text)
-    for u, a in kept:
-        u.dropped = any(held[f] <= FRAME_SHARE * whole for f in a)
+            if f >= 0:
+                frames[f].held += len(u.text)
+                frames[f].linked += u.linked
+    for f in reversed(frames):  # a part comes after those around it
+        if f.parent >= 0:
+            around = frames[f.parent]
+            around.held, around.linked, around.fields = around.held + f.held, around.linked + f.linked, around.fields or f.fields
+    gone: list[bool] = []
+    for f in frames:
+        alone = f.kind == "no" or f.fields or f.linked > LINK_SHARE * f.held
+        gone.append((f.parent >= 0 and gone[f.parent]) or (alone and f.held <= FRAME_SHARE * whole))
+    for u, f in kept:
+        u.dropped = f >= 0 and gone[f]
     return root, units
 
 
 def _shape(node: Node) -> tuple[str, Node]:
     """The tree's string and its form with runs of alike siblings as one."""
     kept: list[tuple[str, Node]] = []
-    for form, child in map(_shape, node.children):
+    for one in node.children:
+        form, child = _shape(one)
         if kept and kept[-1][0] == form:
             _absorb(kept[-1][1], child)
         else:
@@ -338,11 +380,7 @@ def main_text(page: str, seed: str | None, template: frozenset[tuple[int, int]])
     slots = [u for u in units if not u.dropped and (u.article or not marked)]
     if not marked:
         slots = [u for u in slots if u.linked <= LINK_SHARE * len(u.text)]
-    varying = [u for u in slots if not to_seed or (to_seed[u.node], _hash(u.text)) not in template]
-    least = (1 - MOST_LOSS) * sum(len(u.text) for u in slots) if marked else 1
-    if sum(len(u.text) for u in varying) < least:
-        varying = slots
-    return " ".join(u.text for u in varying)
+    return " ".join(u.text for u in slots if not to_seed or (to_seed[u.node], _hash(u.text)) not in template)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +402,8 @@ def extract(pages: DataFrame) -> DataFrame:
     extracted each; other columns are not read; an empty table gives an empty result.
     """
     wrappers = staged(induce(pages), "wrappers")
-    if wrappers.count() <= BROADCAST_HOSTS:
+    size = wrappers.agg(F.sum(F.length("host") + F.length("seed") + 16 * F.coalesce(F.size("template"), F.lit(0)) + 64)).first()[0]
+    if (size or 0) <= BROADCAST_BYTES:
         wrappers = F.broadcast(wrappers)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("html"))
     rows = rows.withColumn("host", host(F.col("url"))).join(wrappers, "host", "left").select("page_id", "url", "html", "seed", "template")
