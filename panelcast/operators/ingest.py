@@ -32,7 +32,7 @@ def series_sources(series: DataFrame) -> DataFrame:
 
 def classify_transform(series: DataFrame, known: DataFrame) -> DataFrame:
     """B3. LOG_RETURN for total returns, the known ticker's transform, else DIFFERENCE and unclassified."""
-    rows = series.join(F.broadcast(known.select("ticker", F.col("transform").alias("of_ticker"))), "ticker", "left")
+    rows = series.join(known.select("ticker", F.col("transform").alias("of_ticker")), "ticker", "left")
     total = F.instr("field", TOTAL_RETURN) > 0
     return rows.withColumn("transform", F.when(total, "LOG_RETURN").otherwise(F.coalesce("of_ticker", F.lit("DIFFERENCE")))).withColumn("unclassified", ~total & F.col("of_ticker").isNull()).drop("of_ticker")
 
@@ -40,7 +40,7 @@ def classify_transform(series: DataFrame, known: DataFrame) -> DataFrame:
 def select_signals(series: DataFrame, target_securities: DataFrame) -> DataFrame:
     """B4. One field per security: no bid or ask, no field of a target, total return before last price before the first
     by name; a series without a security stands alone."""
-    rows = series.filter(~F.col("field").rlike("BID|ASK")).join(F.broadcast(target_securities), "security", "left_anti")
+    rows = series.filter(~F.col("field").rlike("BID|ASK")).join(target_securities, "security", "left_anti")
     rank = F.when(F.instr("field", TOTAL_RETURN) > 0, 0).when(F.col("field") == LAST_PRICE, 1).otherwise(2)
     own = F.coalesce(F.nullif("security", F.lit("")), F.concat(F.lit("#"), "series_id"))
     w = Window.partitionBy(own).orderBy(rank, "field", "series_id")
@@ -61,7 +61,7 @@ def resolve_inputs(series: DataFrame, tickers: DataFrame) -> DataFrame:
 
 def resolve_targets(series: DataFrame, roles: DataFrame) -> DataFrame:
     """B15. Each role's series: total-return field, else the first field; with conflicts named. ``roles(security, role)``."""
-    rows = series.join(F.broadcast(roles), "security")
+    rows = series.join(roles, "security")
     rank = F.when(F.instr("field", TOTAL_RETURN) > 0, 0).otherwise(1)
     best = F.min_by("series_id", F.struct(rank, "field", "series_id"))
     out = rows.groupBy("role").agg(best.alias("series_id"), F.count_distinct("file").alias("files"))

@@ -6,39 +6,30 @@ Rows are wide: target_id, fold_id, part, rn, date, y and one column per input. A
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.operators.panel import purge, retune_schedule, rows_in_fold
+from panelcast.operators.panel import purge, retune_schedule, rows_in_ranges
 
 FOLD = ["target_id", "fold_id"]
 SPLITS, PENALTIES, PENALTY_SPAN = 5, 100, 1e-3
-#: Boosted fits whose Spark jobs run side by side.
-FITS_AT_ONCE = 8
-
-
-def _shared_path(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+#: Rows that a leaf of a boosted tree keeps at least.
+LEAF_ROWS = 20
 
 
 def fold_rows(labels: DataFrame, folds: DataFrame) -> DataFrame:
-    """Training and test rows of each fold with their labels."""
-    rows = None
-    for part in ("train", "test"):
-        one = rows_in_fold(labels, folds, part).withColumn("part", F.lit(part))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows.select("target_id", "fold_id", "part", "rn", "date", "y")
+    """Training and test rows of each fold with their labels and whatever other columns the rows have."""
+    parts = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col(f"{p}_lo").alias("lo"), F.col(f"{p}_hi").alias("hi")) for p in ("train", "test")]))
+    ranges = folds.select("target_id", "fold_id", parts.alias("p")).select("target_id", "fold_id", "p.*")
+    known = ("target_id", "fold_id", "part", "rn", "date", "y")
+    others = [c for c in labels.columns if c not in (*known, "price", "label_end")]
+    return rows_in_ranges(labels, ranges).select(*known, *others)
 
 
 def with_inputs(rows: DataFrame, panel: DataFrame, inputs: list[str]) -> DataFrame:
@@ -51,22 +42,37 @@ def _forecasts(rows: DataFrame, model: str, predicted: Column) -> DataFrame:
     return rows.select("target_id", F.lit(model).alias("model_id"), "fold_id", "part", "rn", "date", predicted.alias("predicted"), F.col("y").alias("realised"))
 
 
+def naive_value(inputs: list[str]) -> tuple[Column, Column]:
+    """G2 as a column over wide rows, and the rows that it is for: those with every input."""
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in inputs])
+    return F.avg(F.when((F.col("part") == "train") & whole, F.col("y"))).over(Window.partitionBy(*FOLD)), whole
+
+
+def shape_value(shape: str) -> tuple[Column, Column]:
+    """G4 as a column over wide rows, and the rows that it is for: those with the shape."""
+    own, f = Window.partitionBy(*FOLD), F.col(shape)
+    train = (F.col("part") == "train") & F.col("y").isNotNull() & f.isNotNull()
+    x, y = F.when(train, f), F.when(train, F.col("y"))
+    line = F.regr_intercept(y, x).over(own) + F.regr_slope(y, x).over(own) * f
+    return F.when(F.min(x).over(own) < F.max(x).over(own), line).otherwise(F.avg(y).over(own)), f.isNotNull() & (F.count(x).over(own) > 0)
+
+
+def several(rows: DataFrame, models: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Forecasts of several models that are columns over the same wide rows, in one pass over them."""
+    named = {f"_v{i}": value for i, (value, _) in enumerate(models.values())} | {f"_a{i}": applies for i, (_, applies) in enumerate(models.values())}
+    made = [F.when(F.col(f"_a{i}"), F.struct(F.lit(m).alias("model_id"), F.col(f"_v{i}").alias("predicted"))) for i, m in enumerate(models)]
+    out = rows.withColumns(named).select("target_id", "fold_id", "part", "rn", "date", F.col("y").alias("realised"), F.explode(F.array_compact(F.array(*made))).alias("m"))
+    return out.select("target_id", "m.model_id", "fold_id", "part", "rn", "date", "m.predicted", "realised")
+
+
 def naive_mean(rows: DataFrame, inputs: list[str]) -> DataFrame:
     """G2. The training mean of the label, on rows with every input."""
-    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in inputs])
-    rows = rows.filter(whole)
-    mean = F.avg(F.when((F.col("part") == "train"), F.col("y"))).over(Window.partitionBy(*FOLD))
-    return _forecasts(rows, "naive", mean)
+    return several(rows, {"naive": naive_value(inputs)})
 
 
 def shape_fit(rows: DataFrame, shape: str) -> DataFrame:
     """G4. a + b f per fold; the mean where f is constant."""
-    train = (F.col("part") == "train") & F.col("y").isNotNull() & F.col(shape).isNotNull()
-    fit = rows.filter(train).groupBy(*FOLD).agg(
-        F.regr_slope("y", shape).alias("_slope"), F.regr_intercept("y", shape).alias("_base"), F.avg("y").alias("_mean"), F.min(shape).alias("_lo"), F.max(shape).alias("_hi")
-    )
-    out = rows.filter(F.col(shape).isNotNull()).join(fit, FOLD)
-    return _forecasts(out, "shape", F.when(F.col("_lo") < F.col("_hi"), F.col("_base") + F.col("_slope") * F.col(shape)).otherwise(F.col("_mean")))
+    return several(rows, {"shape": shape_value(shape)})
 
 
 def gram(rows: DataFrame, inputs: list[str], keys: list[str]) -> DataFrame:
@@ -112,59 +118,68 @@ def ols_factors(rows: DataFrame, inputs: list[str], least: int = 15) -> DataFram
     return linear(rows, solved(stats, solve), inputs, "factors")
 
 
-def lasso(m: np.ndarray, penalties: np.ndarray, free: int = 0, sweeps: int = 400) -> list[np.ndarray]:
-    """Coordinate descent on a Gram matrix of (1, inputs, y), inputs scaled to unit population sd; the first ``free``
-    inputs bear no penalty. Returns coefficients (intercept first) for each penalty, in the inputs' own scale."""
-    n, k = m[0, 0], len(m) - 2
-    mean = m[0, 1:] / n
-    c = m[1:, 1:] / n - np.outer(mean, mean)
-    sd = np.sqrt(np.maximum(np.diag(c)[:k], 0))
-    live = sd > 1e-12
-    scale = np.where(live, sd, 1)
-    q, b = c[:k, :k] / np.outer(scale, scale), c[:k, k] / scale
-    out, w = [], np.zeros(k)
-    for lam in penalties:
-        for _ in range(sweeps):
-            before = w.copy()
-            for j in np.flatnonzero(live):
-                r = b[j] - q[j] @ w + q[j, j] * w[j]
-                w[j] = r / q[j, j] if j < free else np.sign(r) * max(abs(r) - lam, 0) / q[j, j]
-            if np.max(np.abs(w - before), initial=0) < 1e-9:
-                break
-        own = w / scale
-        out.append(np.concatenate([[mean[k] - own @ mean[:k]], own]))
-    return out
+def _centred(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means, covariances and input scales (0 for a constant input) of Gram matrices of (1, inputs, y), along the first axis."""
+    n, k = m[:, :1, 0], m.shape[1] - 2
+    mean = m[:, 0, 1:] / n
+    c = m[:, 1:, 1:] / n[:, :, None] - mean[:, :, None] * mean[:, None, :]
+    sd = np.sqrt(np.maximum(np.diagonal(c, axis1=1, axis2=2)[:, :k], 0))
+    return mean, c, np.where(sd > 1e-12, sd, 0)
+
+
+def lassos(m: np.ndarray, penalties: np.ndarray, free: int = 0, sweeps: int = 1000) -> np.ndarray:
+    """Coordinate descent on Gram matrices (problem, k + 2, k + 2) of (1, inputs, y), for all problems and penalties side by
+    side; inputs are scaled to unit population sd and the first ``free`` ones bear no penalty. Returns coefficients
+    (problem, penalty, 1 + k), intercept first, in the inputs' own scale."""
+    mean, c, sd = _centred(m)
+    k = m.shape[1] - 2
+    live, scale = sd > 0, np.where(sd > 0, sd, 1)
+    q, b = c[:, :k, :k] / (scale[:, :, None] * scale[:, None, :]), c[:, :k, k] / scale
+    w = np.zeros((len(m), len(penalties), k))
+    for _ in range(sweeps):
+        moved = 0.0
+        for j in range(k):
+            own = np.where(live[:, j], q[:, j, j], 1)[:, None]
+            r = b[:, j, None] - np.matmul(w, q[:, j, :, None])[:, :, 0] + own * w[:, :, j]
+            new = r / own if j < free else np.sign(r) * np.maximum(np.abs(r) - penalties, 0) / own
+            new = np.where(live[:, j, None], new, 0.0)
+            moved = max(moved, float(np.max(np.abs(new - w[:, :, j]), initial=0)))
+            w[:, :, j] = new
+        if moved < 1e-10:
+            break
+    own = w / scale[:, None, :]
+    return np.concatenate([mean[:, None, k:] - np.sum(own * mean[:, None, :k], axis=2, keepdims=True), own], axis=2)
+
+
+def lasso(m: np.ndarray, penalties: np.ndarray, free: int = 0) -> list[np.ndarray]:
+    """Coefficients (intercept first) of one Gram matrix for each penalty."""
+    return list(lassos(m[None], penalties, free)[0])
 
 
 def _penalties(m: np.ndarray, free: int = 0) -> np.ndarray:
-    n, k = m[0, 0], len(m) - 2
-    mean = m[0, 1:] / n
-    c = m[1:, 1:] / n - np.outer(mean, mean)
-    sd = np.sqrt(np.maximum(np.diag(c)[:k], 0))
-    most = max(np.max(np.abs(c[free:k, k] / np.where(sd > 1e-12, sd, np.inf)[free:]), initial=0), 1e-12)
+    _, c, sd = _centred(m[None])
+    k = len(m) - 2
+    most = max(np.max(np.abs(c[0, free:k, k] / np.where(sd[0] > 0, sd[0], np.inf)[free:]), initial=0), 1e-12)
     return most * np.logspace(0, np.log10(PENALTY_SPAN), PENALTIES)
 
 
-def _loss(m: np.ndarray, coefs: np.ndarray) -> float:
-    v = np.append(coefs, -1.0)
-    return float(v @ m @ v)
-
-
 def choose_lasso(blocks: dict[tuple[int, bool], np.ndarray], free: int = 0) -> np.ndarray:
     """Fit on all blocks with the penalty of least squared error over time-ordered splits; split i trains on the blocks
     before i, without the rows that reach into it, and is judged on block i: all from the blocks' Gram matrices."""
     total = sum(blocks.values())
     lams = _penalties(total, free)
-    error, rows = np.zeros(len(lams)), 0.0
+    problems, tests = [], []
     for i in range(1, SPLITS + 1):
         train = sum((g for (b, late), g in blocks.items() if b < i - 1 or (b == i - 1 and not late)), np.zeros_like(total))
         test = sum((g for (b, _), g in blocks.items() if b == i), np.zeros_like(total))
-        if train[0, 0] < len(total) or not test[0, 0]:
-            continue
-        error += [_loss(test, c) for c in lasso(train, lams, free)]
-        rows += test[0, 0]
-    best = int(np.argmin(error)) if rows else 0
-    return lasso(total, lams[: best + 1], free)[-1]
+        if train[0, 0] >= len(total) and test[0, 0]:
+            problems.append(train), tests.append(test)
+    fits = lassos(np.array([*problems, total]), lams, free)
+    error = np.zeros(len(lams))
+    for test, coefs in zip(tests, fits, strict=False):
+        v = np.concatenate([coefs, np.full((len(lams), 1), -1.0)], axis=1)
+        error += np.einsum("pi,ij,pj->p", v, test, v)
+    return fits[-1, int(np.argmin(error)) if tests else 0]
 
 
 def _blocked(rows: DataFrame, inputs: list[str], h: int) -> DataFrame:
@@ -194,6 +209,29 @@ def lasso_coefs(rows: DataFrame, inputs: list[str], h: int, free: int = 0) -> Da
     return solved(_blocked(rows, inputs, h), solve)
 
 
+def derived_candidates(rows: DataFrame, candidates: dict[str, list[str]], h: int) -> DataFrame:
+    """G6. Forecasts of a grid of lassos that differ in their inputs. The sums of products are taken once over all inputs, and
+    each candidate reads its part of them; rows without one of all inputs have no forecast."""
+    inputs = list(dict.fromkeys(c for names in candidates.values() for c in names))
+    stats, k = _blocked(rows, inputs, h), len(inputs) + 2
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        blocks = {(int(b), bool(l)): _square(g, k) for b, l, g in zip(pdf["block"], pdf["late"], pdf["g"], strict=True)}
+        found = []
+        for names in candidates.values():
+            at = [0, *(1 + inputs.index(c) for c in names), k - 1]
+            coefs = np.zeros(k - 1)
+            coefs[at[:-1]] = choose_lasso({b: g[np.ix_(at, at)] for b, g in blocks.items()})
+            found.append(list(map(float, coefs)))
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(candidates) for c in FOLD}, "model_id": list(candidates), "coefs": found})
+
+    kinds = dict(stats.dtypes)
+    coefs = stats.groupBy(*FOLD).applyInPandas(solve, ", ".join(f"{c} {kinds[c]}" for c in FOLD) + ", model_id string, coefs array<double>")
+    value = reduce(lambda a, b: a + b, [F.col(c) * F.get("coefs", F.lit(i + 1)) for i, c in enumerate(inputs)], F.get("coefs", F.lit(0)))
+    out = rows.join(coefs, FOLD).filter(value.isNotNull())
+    return out.select("target_id", "model_id", "fold_id", "part", "rn", "date", value.alias("predicted"), F.col("y").alias("realised"))
+
+
 def corrected_rho(levels: DataFrame, h: int, lag: int = 1) -> DataFrame:
     """G7. Persistence of each series in each fold's training rows, corrected for small-sample bias, at most 0.9999; and
     kappa, the expected move over the label window per unit of level. ``levels(target_id, fold_id, series_id, rn, x)``."""
@@ -242,41 +280,97 @@ def merge_terms(terms: DataFrame, n_members: int) -> DataFrame:
     return terms.groupBy("target_id", "term").agg((F.sum("coef") / n_members).alias("coef")).filter("coef <> 0")
 
 
-def boosted_walk_forward(rows: DataFrame, inputs: list[str], params: dict, folds: list[int] | None = None) -> tuple[DataFrame, dict]:
-    """G13, G15. One gradient-boosted fit per fold over all targets at once; the target's number is an input. Returns
-    forecasts of the folds and the latest fold's importances.
+def _best_split(x: np.ndarray, r: np.ndarray, least: int) -> tuple[float, int, float] | None:
+    """The split (gain in explained squares, input, threshold) that leaves ``least`` rows or more on both sides."""
+    n, best = len(r), None
+    for j in range(x.shape[1]):
+        order = np.argsort(x[:, j], kind="stable")
+        v, left = x[order, j], np.cumsum(r[order])[:-1]
+        size = np.arange(1, n)
+        gain = left**2 / size + (r.sum() - left) ** 2 / (n - size) - r.sum() ** 2 / n
+        gain[(v[1:] <= v[:-1]) | (size < least) | (n - size < least)] = -np.inf
+        at = int(np.argmax(gain)) if n > 1 else 0
+        if n > 1 and gain[at] > max(best[0] if best else 0.0, 1e-12 * float(r @ r)):
+            best = float(gain[at]), j, float((v[at] + v[at + 1]) / 2)
+    return best
+
+
+def boost(x: np.ndarray, y: np.ndarray, rounds: int, depth: int, rate: float, least: int = LEAF_ROWS) -> tuple[float, list, np.ndarray]:
+    """Squared-error boosting by small trees: the mean, the trees (a node is (input, threshold, left, right), a leaf its
+    value), and each input's share of the gain."""
+    gains = np.zeros(x.shape[1])
+
+    def grow(at: np.ndarray, r: np.ndarray, levels: int):
+        split = _best_split(x[at], r[at], least) if levels else None
+        if split is None:
+            return rate * float(r[at].mean())
+        gains[split[1]] += split[0]
+        low = x[at, split[1]] <= split[2]
+        return split[1], split[2], grow(at[low], r, levels - 1), grow(at[~low], r, levels - 1)
+
+    base, trees = float(y.mean()), []
+    left = y - base
+    for _ in range(rounds):
+        trees.append(grow(np.arange(len(y)), left, depth))
+        left = left - _tree_value(trees[-1], x)
+    return base, trees, gains / gains.sum() if gains.sum() else gains
+
+
+def _tree_value(tree, x: np.ndarray) -> np.ndarray:
+    if not isinstance(tree, tuple):
+        return np.full(len(x), tree)
+    low = x[:, tree[0]] <= tree[1]
+    out = np.empty(len(x))
+    out[low], out[~low] = _tree_value(tree[2], x[low]), _tree_value(tree[3], x[~low])
+    return out
 
-    Without ``folds``, every fold of the rows. The rows are written once, apart by fold, so that a fit reads its own;
-    forecasts are written as the fits end, a few at a time. A fold without a complete training row forecasts nothing.
-    """
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    spark = rows.sparkSession
-    base = _shared_path(spark, "boosted")
-    whole = rows.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in inputs])).select("target_id", "fold_id", "part", "rn", "date", "y", *inputs)
-    if folds is not None:
-        whole = whole.filter(F.col("fold_id").isin(folds))
-    whole.repartition("fold_id", "target_id").write.partitionBy("fold_id").parquet(f"{base}/rows")
-    kept = spark.read.schema(whole.schema).parquet(f"{base}/rows")
-    train = (F.col("part") == "train") & F.col("y").isNotNull()
-    fitted = sorted(r["fold_id"] for r in kept.filter(train).select("fold_id").distinct().collect())
-    shape = _forecasts(whole.withColumn("p", F.lit(0.0)), "boosted", F.col("p"))
-    if not fitted:
-        return shape.limit(0), {}
-    indexed = StringIndexer(inputCol="target_id", outputCol="target_no").fit(kept).transform(kept)
-    ready = VectorAssembler(inputCols=[*inputs, "target_no"], outputCol="features").transform(indexed)
-
-    def fit(f: int) -> list[float]:
-        own = ready.filter(F.col("fold_id") == f)
-        model = GBTRegressor(labelCol="y", featuresCol="features", seed=1, **params).fit(own.filter(train))
-        _forecasts(model.transform(own).withColumnRenamed("prediction", "p"), "boosted", F.col("p")).drop("fold_id").write.parquet(f"{base}/forecasts/fold_id={f}")
-        return model.featureImportances.toArray().tolist()
-
-    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-        importances = list(pool.map(inheritable_thread_target(spark)(fit), fitted))
-    out = spark.read.schema(shape.schema).parquet(f"{base}/forecasts").select(*shape.columns)
-    return out, dict(zip([*inputs, "target_no"], importances[-1], strict=True))
+
+def _boosted(rows: DataFrame, inputs: list[str], keys: list[str], make: Callable, schema: str) -> DataFrame:
+    whole = rows.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in inputs]))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        train = pdf[(pdf["part"] == "train") & pdf["y"].notna()].sort_values("rn")
+        if train.empty:
+            return make(pdf, None)
+        rounds, depth, rate = (pdf[c].iloc[0] for c in ("rounds", "depth", "rate"))
+        return make(pdf, boost(train[inputs].to_numpy(float), train["y"].to_numpy(float), int(rounds), int(depth), float(rate)))
+
+    return whole.groupBy(*keys).applyInPandas(run, schema)
+
+
+def with_settings(rows: DataFrame, rounds: int = 4, depth: int = 2, rate: float = 0.1, params: str = "boosted") -> DataFrame:
+    """Rows with a booster's settings as columns, which the boosted models read."""
+    return rows.withColumns({"params": F.lit(params), "rounds": F.lit(rounds), "depth": F.lit(depth), "rate": F.lit(rate)})
+
+
+def boosted_walk_forward(rows: DataFrame, inputs: list[str]) -> DataFrame:
+    """G13. Boosted trees, one fit per target, fold and setting (columns of ``with_settings``), all of them tasks of one job. A
+    fold's rows of one target are a bounded group: its training and test window. Rows lacking an input, and folds
+    without a complete training row, have no forecast."""
+    keys = [*FOLD, "params"]
+
+    def make(pdf: pd.DataFrame, model) -> pd.DataFrame:
+        out = pdf[["target_id", "params", "fold_id", "part", "rn", "date", "y"]].rename(columns={"params": "model_id", "y": "realised"})
+        if model is None:
+            return out.iloc[:0].assign(predicted=0.0)
+        x = pdf[inputs].to_numpy(float)
+        return out.assign(predicted=model[0] + sum(_tree_value(t, x) for t in model[1]))
+
+    kinds = dict(rows.dtypes)
+    schema = f"target_id {kinds['target_id']}, model_id string, fold_id {kinds['fold_id']}, part string, rn {kinds['rn']}, date {kinds['date']}, predicted double, realised double"
+    return _boosted(rows, inputs, keys, make, schema)
+
+
+def feature_importance(rows: DataFrame, inputs: list[str]) -> DataFrame:
+    """G15. Each input's share of the splits' gain, per target, fold and setting; 0 for all where no split helps."""
+    keys = [*FOLD, "params"]
+
+    def make(pdf: pd.DataFrame, model) -> pd.DataFrame:
+        shares = [] if model is None else list(model[2])
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(shares) for c in keys}, "input": inputs[: len(shares)], "importance": shares})
+
+    kinds = dict(rows.dtypes)
+    return _boosted(rows, inputs, keys, make, f"target_id {kinds['target_id']}, fold_id {kinds['fold_id']}, params string, input string, importance double")
 
 
 def tuning_folds(folds: DataFrame, labels: DataFrame, h: int, tuning: int, train: int, test: int, embargo: int, every: int = 252) -> DataFrame:
@@ -293,8 +387,8 @@ def tuning_folds(folds: DataFrame, labels: DataFrame, h: int, tuning: int, train
 
 
 def tune_grid(scores: DataFrame) -> DataFrame:
-    """G14. Per tuning period the parameters with the best pooled rank IC; null last, ties by name."""
-    w = Window.partitionBy("tuning_id").orderBy(F.desc_nulls_last("rank_ic"), "params")
+    """G14. Per target and tuning period the parameters with the best pooled rank IC; null last, ties by name."""
+    w = Window.partitionBy("target_id", "tuning_id").orderBy(F.desc_nulls_last("rank_ic"), "params")
     return scores.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
@@ -303,14 +397,14 @@ def score_function(rows: DataFrame, inputs: DataFrame, terms: DataFrame) -> Data
     the intercept. ``rows(row_id, name, x)``, ``inputs(model_id, name, lo, hi, mean, sd)``,
     ``terms(model_id, term_id, coef, factors map<name, power>)``; a term without factors is the intercept."""
     z = (F.least(F.greatest("x", "lo"), "hi") - F.col("mean")) / F.col("sd")
-    ready = rows.join(F.broadcast(inputs), "name").select("row_id", "model_id", "name", z.alias("z"))
+    ready = rows.join(inputs, "name").select("row_id", "model_id", "name", z.alias("z"))
     factors = terms.select("model_id", "term_id", "coef", F.explode_outer("factors").alias("name", "power"))
-    per_term = ready.join(F.broadcast(factors.filter("name IS NOT NULL")), ["model_id", "name"]).groupBy("row_id", "model_id", "term_id").agg(
+    per_term = ready.join(factors.filter("name IS NOT NULL"), ["model_id", "name"]).groupBy("row_id", "model_id", "term_id").agg(
         F.product(F.pow("z", F.col("power").cast("double"))).alias("p"), F.max("coef").alias("coef"), F.count("z").alias("n"), F.count("*").alias("want")
     )
     value = per_term.groupBy("row_id", "model_id").agg(F.sum(F.when(F.col("n") == F.col("want"), F.col("p") * F.col("coef"))).alias("v"))
     base = factors.filter("name IS NULL").groupBy("model_id").agg(F.sum("coef").alias("c"))
-    return value.join(F.broadcast(base), "model_id", "left").select("row_id", "model_id", (F.col("v") + F.coalesce("c", F.lit(0.0))).alias("value"))
+    return value.join(base, "model_id", "left").select("row_id", "model_id", (F.col("v") + F.coalesce("c", F.lit(0.0))).alias("value"))
 
 
 def product_attribution(rows: DataFrame, inputs: list[str], terms: list[tuple[float, tuple[str, ...]]]) -> DataFrame:
@@ -344,6 +438,20 @@ def latest_fold(folds: DataFrame) -> DataFrame:
     return folds.groupBy("target_id").agg(F.max_by(F.struct(*[c for c in folds.columns if c != "target_id"]), "fold_id").alias("f")).select("target_id", "f.*")
 
 
+def latest_fold_fit(folds: DataFrame, screens: DataFrame, fits: DataFrame) -> DataFrame:
+    """G18. Each target's last fold: its training window, the signals that the screening kept in it (by name, comma-joined)
+    and the columns of ``fits(target_id, fold_id, ..)``, null where the fold was not fitted."""
+    kept = screens.filter("kept").groupBy(*FOLD).agg(F.array_join(F.sort_array(F.collect_set("series_id")), ",").alias("signals"))
+    return latest_fold(folds).join(kept, FOLD, "left").join(fits, FOLD, "left").withColumn("signals", F.coalesce("signals", F.lit("")))
+
+
+def shape_coefs(rows: DataFrame, shape: str) -> DataFrame:
+    """G4's parameters per fold: slope (0 where the shape is constant) and base."""
+    train = rows.filter((F.col("part") == "train") & F.col("y").isNotNull() & F.col(shape).isNotNull())
+    varies = F.min(shape) < F.max(shape)
+    return train.groupBy(*FOLD).agg(F.when(varies, F.regr_slope("y", shape)).otherwise(0.0).alias("slope"), F.when(varies, F.regr_intercept("y", shape)).otherwise(F.avg("y")).alias("base"))
+
+
 def walk_forward(rows: DataFrame, model: Callable[[DataFrame], DataFrame], screened: DataFrame | None = None) -> DataFrame:
     """G1. A model's forecasts on its folds' rows; a fold in which the screening keeps nothing forecasts its training
     mean on every row. ``screened(target_id, fold_id)`` lists folds with a kept signal."""
@@ -353,6 +461,6 @@ def walk_forward(rows: DataFrame, model: Callable[[DataFrame], DataFrame], scree
     rest = rows.join(screened, FOLD, "left_anti")
     made = model(kept)
     mean = F.avg(F.when(F.col("part") == "train", F.col("y"))).over(Window.partitionBy(*FOLD))
-    plain = rest.withColumn("p", mean).join(F.broadcast(made.select("model_id").limit(1)), how="cross")
+    plain = rest.withColumn("p", mean).crossJoin(made.select("model_id").limit(1))  # one row
     return made.unionByName(plain.select("target_id", "model_id", "fold_id", "part", "rn", "date", F.col("p").alias("predicted"), F.col("y").alias("realised")))
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_STALENESS = 3
+#: Rows of a block in which ranges of rows are looked up.
+BLOCK = 64
 
 
 def target_calendar(prices: DataFrame) -> DataFrame:
@@ -33,6 +35,22 @@ def asof_align(signals: DataFrame, calendar: DataFrame, pairs: DataFrame, max_st
     return laid.select("target_id", "series_id", "date", "rn", fresh.alias("x"), "age")
 
 
+def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, known: str, values: list[str], strict: bool = False, tie: str | None = None) -> DataFrame:
+    """``left`` with the ``values`` of the last row of ``right`` whose ``known`` is at or before ``at`` (``strict``: before it).
+
+    Both sides are laid in one order per key and carried forward, so the cost is one shuffle and a sort, however many rows
+    of ``right`` precede one of ``left``. Among rows of ``right`` known at the same time the greatest ``tie`` counts.
+    """
+    kinds = dict(right.dtypes)
+    side = 0 if strict else 1
+    none = F.lit(None).cast(kinds[tie]) if tie else F.lit(None)
+    asked = left.select(*keys, F.col(at).alias("_at"), F.lit(side).alias("_side"), none.alias("_tie"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("_value"))
+    told = right.select(*keys, F.col(known).alias("_at"), F.lit(1 - side).alias("_side"), (F.col(tie) if tie else none).alias("_tie"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_row"), F.struct(*values).alias("_value"))
+    w = Window.partitionBy(*keys).orderBy("_at", "_side", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    laid = asked.unionByName(told.filter("_at IS NOT NULL")).withColumn("_o", F.last("_value", ignorenulls=True).over(w))
+    return laid.filter("_row IS NOT NULL").select("_row.*", *[F.col("_o")[v].alias(v) for v in values])
+
+
 def exact_align(signals: DataFrame, calendar: DataFrame, pairs: DataFrame) -> DataFrame:
     """C4. Same-date values only; nothing is carried."""
     return calendar.select("target_id", "date", "rn").join(pairs, "target_id").join(signals, ["series_id", "date"], "left").select("target_id", "series_id", "date", "rn", F.col("value").alias("x"))
@@ -41,7 +59,7 @@ def exact_align(signals: DataFrame, calendar: DataFrame, pairs: DataFrame) -> Da
 def stationary(aligned: DataFrame, transforms: DataFrame) -> DataFrame:
     """E2. Level, difference or log return of x along the calendar, as column t."""
     before = F.lag("x").over(Window.partitionBy("target_id", "series_id").orderBy("rn"))
-    rows = aligned.join(F.broadcast(transforms), "series_id", "left").withColumn("before", before)
+    rows = aligned.join(transforms, "series_id", "left").withColumn("before", before)
     logged = F.when((F.col("x") > 0) & (F.col("before") > 0), F.ln("x") - F.ln("before"))
     t = F.when(F.col("transform") == "LEVEL", F.col("x")).when(F.col("transform") == "LOG_RETURN", logged).otherwise(F.col("x") - F.col("before"))
     return rows.withColumn("t", t).drop("before", "transform")
@@ -75,7 +93,7 @@ def factor_coverage(factors: DataFrame, calendar: DataFrame) -> DataFrame:
     dates = factors.select("date").distinct().withColumn("has", F.lit(True))
     span = factors.agg(F.min("date").alias("first_factor"), F.max("date").alias("last_factor"))
     counted = calendar.join(dates, "date", "left").groupBy("target_id").agg(F.count("has").alias("usable"), F.count_if(F.col("has").isNull()).alias("without"))
-    return counted.join(F.broadcast(span), how="cross")  # one row
+    return counted.join(span, how="cross")  # one row
 
 
 def common_calendar(prices: DataFrame) -> DataFrame:
@@ -95,20 +113,31 @@ def asof_forecast(rebalances: DataFrame, forecasts: DataFrame) -> DataFrame:
     return carried.filter("due").select("target_id", "date", "o.predicted", "o.made")
 
 
+def rows_in_ranges(rows: DataFrame, ranges: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``rows(target_id, rn, ..)`` of each of ``ranges(target_id, lo, hi, ..)``: an equi-join on target and block of ``block``
+    rows, so that a row is tested only against the ranges that reach its block."""
+    blocks = F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor(F.col("hi") / block)))
+    r = ranges.filter("lo <= hi").withColumn("_block", blocks)
+    laid = rows.withColumn("_block", F.floor(F.col("rn") / block))
+    return laid.join(r, ["target_id", "_block"]).filter("rn BETWEEN lo AND hi").drop("_block", "lo", "hi")
+
+
 def rows_in_fold(panel: DataFrame, folds: DataFrame, part: str = "train") -> DataFrame:
-    """C10. Panel rows of each fold's train or test range: an equi-join on target with the range as its condition.
+    """C10. Panel rows of each fold's train or test range. Aggregate right after: a row falls into TRAIN / TEST folds."""
+    return rows_in_ranges(panel, folds.select("target_id", "fold_id", F.col(f"{part}_lo").alias("lo"), F.col(f"{part}_hi").alias("hi")))
 
-    Folds are a small table (one row per target and window). Aggregate right after: a row falls into TRAIN / TEST
-    folds.
-    """
-    f = folds.select("target_id", "fold_id", F.col(f"{part}_lo").alias("lo"), F.col(f"{part}_hi").alias("hi"))
-    return panel.join(f, (panel["target_id"] == f["target_id"]) & panel["rn"].between(f["lo"], f["hi"])).drop(f["target_id"]).drop("lo", "hi")
 
+def pairs_known_by(outcomes: DataFrame, rebalances: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """C11. Per portfolio and rebalance: n, the outcomes whose label ended before it, and sums over them. Rebalances
+    before the first known outcome are left out.
 
-def pairs_known_by(outcomes: DataFrame, rebalances: DataFrame) -> DataFrame:
-    """C11. Outcomes whose label ended before each rebalance, per portfolio. Aggregate right after."""
-    r = rebalances.select("portfolio_id", F.col("date").alias("rebalance"))
-    return outcomes.join(r, (outcomes["portfolio_id"] == r["portfolio_id"]) & (outcomes["label_end"] < r["rebalance"])).drop(r["portfolio_id"])
+    What is known only grows, so sums run over the outcomes in order of their label ends and each rebalance takes the
+    last one's: linear in outcomes and rebalances.
+    """
+    so_far = Window.partitionBy("portfolio_id").orderBy("label_end").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    running = outcomes.filter("label_end IS NOT NULL").select("portfolio_id", "label_end", F.count("*").over(so_far).alias("n"), *[F.sum(c).over(so_far).alias(k) for k, c in sums.items()])
+    due = rebalances.select("portfolio_id", F.col("date").alias("rebalance"))
+    return asof(due, running, ["portfolio_id"], "rebalance", "label_end", ["n", *sums], strict=True).filter("n IS NOT NULL")
 
 
 def clip_standardise(rows: DataFrame, width: float = 4.0) -> DataFrame:
@@ -172,7 +201,7 @@ def label_window_moves(levels: DataFrame, lag: int, h: int) -> DataFrame:
 def level_and_change(aligned: DataFrame, transforms: DataFrame) -> DataFrame:
     """E8. The transformed series, and for each differenced one also its level as ``{series}_level``."""
     moved = stationary(aligned, transforms).select("target_id", "series_id", "date", "rn", "t")
-    kept = aligned.join(F.broadcast(transforms.filter("transform = 'DIFFERENCE'")), "series_id", "left_semi")
+    kept = aligned.join(transforms.filter("transform = 'DIFFERENCE'"), "series_id", "left_semi")
     return moved.unionByName(kept.select("target_id", F.concat("series_id", F.lit("_level")).alias("series_id"), "date", "rn", F.col("x").alias("t")))
 
 
@@ -193,14 +222,11 @@ def walk_forward_folds(calendar: DataFrame, train: int, test: int, embargo: int,
 
 def purge(folds: DataFrame, labels: DataFrame, h: int) -> DataFrame:
     """E11. Training ends before the first row whose label is not known when the test window opens, and at least
-    ``h`` rows before it."""
+    ``h`` rows before it. Label ends never go back from one row to the next."""
     opens = labels.select("target_id", F.col("rn").alias("test_lo"), F.col("date").alias("opens"))
-    f = folds.join(opens, ["target_id", "test_lo"])
-    l = labels.select("target_id", "rn", "label_end")
-    late = f.join(l, (f["target_id"] == l["target_id"]) & l["rn"].between(f["train_lo"], f["train_hi"])).drop(l["target_id"])
-    late = late.groupBy("target_id", "fold_id").agg(F.min(F.when(F.col("label_end") >= F.col("opens"), F.col("rn"))).alias("late"))
-    ends = F.least(F.col("train_hi"), F.col("test_lo") - 1 - h, F.coalesce(F.col("late") - 1, F.col("train_hi")))
-    return folds.join(late, ["target_id", "fold_id"]).withColumn("train_hi", ends).drop("late")
+    f = asof(folds.join(opens, ["target_id", "test_lo"]), labels.select("target_id", "label_end", F.col("rn").alias("known")), ["target_id"], "opens", "label_end", ["known"], strict=True, tie="known")
+    ends = F.least(F.col("train_hi"), F.col("test_lo") - 1 - h, F.greatest(F.coalesce("known", F.lit(0)), F.col("train_lo") - 1))
+    return f.withColumn("train_hi", ends).select(*folds.columns)
 
 
 def too_short(calendar: DataFrame, train: int, test: int, embargo: int, tuning: int = 0) -> DataFrame:

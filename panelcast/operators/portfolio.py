@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.operators.scoring import ols_hac, overlap_se
+from panelcast.operators.panel import MAX_STALENESS, asof, asof_align
+from panelcast.operators.scoring import growing_fits, overlap_se, significance
 
 YEAR = 252
 BOUNDS = (0.2, 0.8)
@@ -30,19 +31,25 @@ def daily_returns(prices: DataFrame) -> DataFrame:
     return rows.withColumn("r", F.col("price") / before - 1).select("portfolio_id", "asset", "date", "r")
 
 
-def joint_calendar_gaps(prices: DataFrame, most: int = 3) -> DataFrame:
-    """C8. On the union of a portfolio's calendars: closed days (return 0) and runs of more than ``most`` rows without
-    a price, per asset."""
-    dates = prices.select("portfolio_id", "date").distinct()
-    assets = prices.select("portfolio_id", "asset").distinct()
-    span = prices.groupBy("portfolio_id", "asset").agg(F.min("date").alias("a"), F.max("date").alias("b")).groupBy("portfolio_id").agg(F.max("a").alias("first"), F.min("b").alias("last"))
-    spine = dates.join(span, "portfolio_id").filter("date BETWEEN first AND last").select("portfolio_id", "date").join(assets, "portfolio_id")
-    rows = spine.join(prices, ["portfolio_id", "asset", "date"], "left")
-    w = Window.partitionBy("portfolio_id", "asset").orderBy("date")
-    rows = rows.withColumn("rn", F.row_number().over(w))
-    seen = F.max(F.when(F.col("price").isNotNull(), F.col("rn"))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("age", F.col("rn") - seen)
-    return rows.groupBy("portfolio_id", "asset").agg(F.count("*").alias("days"), F.count_if(F.col("price").isNull()).alias("closed"), F.count_if(F.col("age") == most + 1).alias("long_gaps"))
+def joint_calendar_returns(prices: DataFrame, starts: DataFrame, most: int = MAX_STALENESS) -> DataFrame:
+    """C8. Daily returns on the union of a portfolio's calendars, from its first rebalance (``starts(portfolio_id, first)``)
+    to the last day on which all of its assets have a price.
+
+    A closed day carries the last price, so its return is 0 and the move lands on the next open day; the first row's
+    return is 0. A price older than ``most`` rows is a gap in the data and no holiday: ``gap`` marks the row, and returns
+    that would need its price are null, so that no flat market is invented.
+    """
+    priced = prices.filter("price IS NOT NULL")
+    last = priced.groupBy("portfolio_id", "asset").agg(F.max("date").alias("b")).groupBy("portfolio_id").agg(F.min("b").alias("last"))
+    dates = priced.select("portfolio_id", "date").distinct().join(last, "portfolio_id").join(starts.select("portfolio_id", "first"), "portfolio_id").filter("date BETWEEN first AND last")
+    w = Window.partitionBy("portfolio_id").orderBy("date")
+    calendar = dates.select(F.col("portfolio_id").alias("target_id"), "date", F.row_number().over(w).alias("rn"))
+    series = F.struct("portfolio_id", "asset").alias("series_id")
+    pairs = priced.select(F.col("portfolio_id").alias("target_id"), series).distinct()
+    level = asof_align(priced.select(series, "date", F.col("price").alias("value")), calendar, pairs, most)
+    own = Window.partitionBy("series_id").orderBy("date")
+    r = F.when(F.col("rn") == 1, F.when(F.col("x").isNotNull(), 0.0)).otherwise(F.col("x") / F.lag("x").over(own) - 1)
+    return level.select("series_id.portfolio_id", "series_id.asset", "date", r.alias("r"), (F.coalesce(F.col("age"), F.lit(0)) > 0).alias("closed"), F.col("x").isNull().alias("gap"))
 
 
 def check_schedule(weights: DataFrame, assets: DataFrame, dates: DataFrame) -> DataFrame:
@@ -79,7 +86,7 @@ def portfolio_path(returns: DataFrame, weights: DataFrame, costs: DataFrame) ->
 
     ``costs(asset, bps)``. A rebalance trades after the day's return; the first one's cost falls on the first return day.
     """
-    rows = drifted_weights(returns, weights).join(F.broadcast(costs), "asset")
+    rows = drifted_weights(returns, weights).join(costs, "asset")
     traded = F.abs(F.col("weight") - F.col("drifted"))
     days = rows.groupBy("portfolio_id", "date").agg(
         F.max("seg").alias("seg"), F.max("v").alias("v"), F.count("weight").alias("named"), F.coalesce(F.sum(traded), F.lit(0.0)).alias("turnover"),
@@ -144,19 +151,25 @@ def rolling(returns: DataFrame, keys: list[str], vol_days: int = 63, sharpe_days
 def relative(both: DataFrame, keys: list[str]) -> DataFrame:
     """J10. Tracking error, information ratio and Newey-West t of the mean difference of ``both(date, r, base)``.
 
-    The lags follow from the number of days, floor(4 (n / 100)^(2/9)); the long-run variance is a sum of lagged products.
+    The lags follow from the number of days, floor(4 (n / 100)^(2/9)). The Bartlett variance with L lags is the sum of
+    squares of all sums over L + 1 successive days (those that reach over the ends included), divided by L + 1: one window
+    per key, whose frame is a range over the day's number in units of L + 1/2.
     """
     own = Window.partitionBy(*keys)
+    ordered = own.orderBy("date")
     rows = both.withColumn("d", F.col("r") - F.col("base")).filter("d IS NOT NULL")
-    rows = rows.withColumn("i", F.row_number().over(own.orderBy("date"))).withColumn("e", F.col("d") - F.avg("d").over(own))
-    rows = rows.withColumn("lags", F.floor(4 * F.pow(F.count("*").over(own) / 100, 2 / 9)).cast("int"))
-    stats = rows.groupBy(*keys).agg(F.count("*").alias("days"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.max("lags").alias("lags"))
-    later = rows.select(*keys, F.col("e").alias("e1"), "lags", F.explode(F.sequence(F.lit(0), F.col("lags"))).alias("l"), "i").withColumn("i", F.col("i") - F.col("l"))
-    w = F.when(F.col("l") == 0, 0.5).otherwise(1 - F.col("l") / (F.col("lags") + 1))
-    long = later.join(rows.select(*keys, "i", "e"), [*keys, "i"]).groupBy(*keys).agg(F.sum(2 * w * F.col("e") * F.col("e1")).alias("s"))
+    rows = rows.withColumns({"i": F.row_number().over(ordered), "e": F.col("d") - F.avg("d").over(own), "n": F.count("*").over(own)})
+    rows = rows.withColumn("lags", F.floor(4 * F.pow(F.col("n") / 100, 2 / 9)).cast("int"))
+    reach = f"sum(e) OVER (PARTITION BY {', '.join(keys)} ORDER BY i / (lags + 0.5D) RANGE BETWEEN 1.0D PRECEDING AND CURRENT ROW)"
+    rows = rows.withColumns({"before": F.expr(reach), "after": F.sum("e").over(ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing))})
+    square = F.pow("before", F.lit(2)) + F.when(F.col("i") > F.col("n") - F.col("lags"), F.pow("after", F.lit(2))).otherwise(0.0)
+    out = rows.groupBy(*keys).agg(
+        F.count("*").alias("days"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.max("lags").alias("lags"),
+        (F.sum(square) / (F.max("lags") + 1)).alias("s"),
+    )
     error = F.col("sd") * float(YEAR) ** 0.5
     t = F.when((F.col("days") >= 3) & (F.col("lo") < F.col("hi")) & (F.col("s") > 0), F.col("mean") / (F.sqrt("s") / F.col("days")))
-    return stats.join(long, keys).select(*keys, "days", error.alias("tracking_error"), (F.col("mean") * YEAR / _none(error)).alias("information_ratio"), t.alias("spread_t"), "lags")
+    return out.select(*keys, "days", error.alias("tracking_error"), (F.col("mean") * YEAR / _none(error)).alias("information_ratio"), t.alias("spread_t"), "lags")
 
 
 def cumulative(returns: DataFrame, keys: list[str]) -> DataFrame:
@@ -173,33 +186,68 @@ def comparison_table(metrics: DataFrame, names: list[str]) -> DataFrame:
     return wide.withColumn("difference", F.col("optimised") - F.col("benchmark"))
 
 
-def directional_pnl(forecasts: DataFrame, h: int) -> DataFrame:
-    """J14. Long when the forecast is above 0, else in cash, stepping ``h`` rows; against holding throughout.
+def _business_days_on(day: Column, h: int) -> Column:
+    """The date ``h`` business days after a day; a weekend counts as its Friday."""
+    from_monday = F.least(F.weekday(day), F.lit(4))
+    ahead = from_monday + h
+    return F.date_add(F.date_sub(day, F.weekday(day)), (F.floor(ahead / 5) * 7 + ahead % 5).cast("int"))
 
-    ``forecasts(target_id, date, rn, predicted, realised)`` with realised the h-row return.
-    """
-    first = F.min("rn").over(Window.partitionBy("target_id"))
-    steps = forecasts.withColumn("first", first).filter(F.col("realised").isNotNull() & ((F.col("rn") - F.col("first")) % h == 0))
+
+def directional_steps(forecasts: DataFrame, h: int, start: str | None = None, end: str | None = None) -> DataFrame:
+    """J14's steps: every ``h``-th row with an outcome, from the first inside the window (both ends included), with its place
+    among them, whether it is invested, and the date it is held until: ``h`` of the forecast's dates later, or ``h``
+    business days where those run out. ``days`` counts the window's rows with an outcome."""
+    own = Window.partitionBy("target_id").orderBy("date")
+    rows = forecasts.withColumn("held_until", F.coalesce(F.lead("date", h).over(own), _business_days_on(F.col("date"), h))).filter("realised IS NOT NULL")
+    for bound, inside in ((start, F.col("date") >= F.lit(start).cast("date")), (end, F.col("date") <= F.lit(end).cast("date"))):
+        rows = rows.filter(inside) if bound else rows
+    rows = rows.withColumns({"i": F.row_number().over(own) - 1, "days": F.count("*").over(Window.partitionBy("target_id"))}).filter(F.col("i") % h == 0)
     invested = F.coalesce(F.col("predicted") > 0, F.lit(False))
-    steps = steps.withColumn("invested", invested).withColumn("r", F.when(invested, F.col("realised")).otherwise(0.0))
-    hit = F.when(F.col("predicted").isNotNull(), F.coalesce((F.col("predicted") > 0) == (F.col("realised") > 0), F.lit(False)).cast("double"))
+    return rows.select("target_id", "date", (F.col("i") / h).cast("int").alias("step"), "predicted", "realised", invested.alias("invested"), "held_until", "days")
+
+
+def directional_pnl(forecasts: DataFrame, h: int, start: str | None = None, end: str | None = None) -> DataFrame:
+    """J14. Long when the forecast is above 0, else in cash, in steps of ``h`` rows; against holding throughout.
+
+    ``forecasts(target_id, date, predicted, realised)`` with realised the h-row return. A step without a forecast is in cash.
+    """
+    steps = directional_steps(forecasts, h, start, end)
+    r = F.when(F.col("invested"), F.col("realised")).otherwise(0.0)
+    hit = F.when(F.col("predicted").isNotNull(), ((F.col("predicted") > 0) == (F.col("realised") > 0)).cast("double"))
     return steps.groupBy("target_id").agg(
-        F.count("*").alias("steps"), F.count_if(F.col("predicted").isNull()).alias("no_forecast"), F.avg(hit).alias("hit_rate"), F.avg(F.col("invested").cast("double")).alias("invested"),
-        (F.product(1 + F.col("r")) - 1).alias("strategy"), (F.product(1 + F.col("realised")) - 1).alias("hold"), F.max("date").alias("last_step"),
+        F.max("days").alias("days"), F.count("*").alias("steps"), F.count_if(F.col("predicted").isNull()).alias("no_forecast"), F.avg(hit).alias("hit_rate"), F.avg(F.col("invested").cast("double")).alias("invested"),
+        (F.product(1 + r) - 1).alias("strategy"), (F.product(1 + F.col("realised")) - 1).alias("hold"), F.min("date").alias("first_step"), F.max("date").alias("last_step"), F.max("held_until").alias("held_until"),
     )
 
 
+def forecast_value(paths: DataFrame, plain: DataFrame, keys: list[str]) -> DataFrame:
+    """J13. The paired test of J10 on net returns: a schedule's path against the same level's without forecasts."""
+    both = paths.select(*keys, "date", F.col("net").alias("r")).join(plain.select(*keys, "date", F.col("net").alias("base")), [*keys, "date"])
+    return relative(both, keys).withColumn("verdict", significance(F.col("spread_t")))
+
+
 def covariance_at_rebalance(returns: DataFrame, rebalances: DataFrame, h: int, least: int = 2) -> DataFrame:
     """H2. Variances and covariance of daily returns over each rebalance's training rows, times ``h``.
 
-    ``returns(portfolio_id, rn, equity, bond)`` wide; ``rebalances(portfolio_id, date, lo, hi)``. The first return
-    inside a window is not used: it needs a price from before.
+    ``returns(portfolio_id, rn, equity, bond)`` wide, rn from 1 without gaps; ``rebalances(portfolio_id, date, lo, hi)`` with
+    hi one of them. The first return inside a window is not used: it needs a price from before. Sums run once per
+    portfolio and are subtracted at the two ends, whatever the length of a window; returns are centred on the
+    portfolio's mean first, which changes no covariance.
     """
-    r, b = returns, rebalances
-    rows = r.join(b, (r["portfolio_id"] == b["portfolio_id"]) & (r["rn"] > b["lo"]) & (r["rn"] <= b["hi"])).drop(b["portfolio_id"], r["date"] if "date" in r.columns else "_")
-    out = rows.groupBy("portfolio_id", "date").agg(
-        F.count("equity").alias("n"), (F.var_samp("equity") * h).alias("var_e"), (F.covar_samp("equity", "bond") * h).alias("cov"), (F.var_samp("bond") * h).alias("var_b")
-    )
+    own = Window.partitionBy("portfolio_id")
+    so_far = own.orderBy("rn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = returns.select("portfolio_id", "rn", *[(F.col(c) - F.avg(c).over(own)).alias(c) for c in ("equity", "bond")])
+    e, b = F.col("equity"), F.col("bond")
+    pair = e.isNotNull() & b.isNotNull()
+    sums = {
+        "n_e": e.isNotNull().cast("long"), "e": e, "ee": e * e, "n_b": b.isNotNull().cast("long"), "b": b, "bb": b * b, "n_p": pair.cast("long"), "pe": F.when(pair, e), "pb": F.when(pair, b), "eb": e * b,
+    }
+    run = rows.select("portfolio_id", "rn", *[F.coalesce(F.sum(c).over(so_far), F.lit(0)).alias(k) for k, c in sums.items()])
+    at = lambda end: run.select("portfolio_id", F.col("rn").alias(end), *[F.col(k).alias(f"{end}_{k}") for k in sums])
+    out = rebalances.join(at("hi"), ["portfolio_id", "hi"]).join(at("lo"), ["portfolio_id", "lo"], "left")
+    s = {k: F.col(f"hi_{k}") - F.coalesce(f"lo_{k}", F.lit(0)) for k in sums}
+    co = lambda n, x, y, xy: F.when(s[n] > 1, (s[xy] - s[x] * s[y] / s[n]) / (s[n] - 1) * h)
+    out = out.select("portfolio_id", "date", s["n_e"].alias("n"), co("n_e", "e", "e", "ee").alias("var_e"), co("n_p", "pe", "pb", "eb").alias("cov"), co("n_b", "b", "b", "bb").alias("var_b"))
     return out.filter(F.col("n") >= least)
 
 
@@ -215,20 +263,22 @@ def trust_pairs(signals: DataFrame, roles: DataFrame) -> DataFrame:
     """H4. Per portfolio and date: x, the difference of the two signals; y, the difference of realised returns less the
     difference of own levels; and the later of the label ends. ``roles(portfolio_id, equity, bond)`` names targets."""
     side = lambda n: signals.select(F.col("target_id").alias(n), "date", F.col("signal").alias(f"s_{n}"), F.col("realised").alias(f"y_{n}"), F.col("own_level").alias(f"l_{n}"), F.col("label_end").alias(f"e_{n}"))
-    rows = side("equity").join(F.broadcast(roles), "equity").join(side("bond"), ["bond", "date"])
+    rows = side("equity").join(roles, "equity").join(side("bond"), ["bond", "date"])
     y = F.col("y_equity") - F.col("y_bond") - (F.col("l_equity") - F.col("l_bond"))
     return rows.select("portfolio_id", "date", (F.col("s_equity") - F.col("s_bond")).alias("x"), y.alias("y"), F.greatest("e_equity", "e_bond").alias("label_end"))
 
 
-def forecast_trust(known: DataFrame, rebalances: DataFrame, h: int, least: int = LEAST_TRUST_PAIRS, gate: float = TRUST_T) -> DataFrame:
-    """H5. Slope of F4 over the pairs known by each rebalance, between 0 and 1; 0 with too few pairs, a constant x, or a
-    t-statistic that is not above the gate (``gate_shut``). ``known`` comes from C11."""
-    keys = ["portfolio_id", "rebalance"]
-    fit = overlap_se(ols_hac(known, keys, "x", "y", "date", h - 1)).filter(F.col("n") >= least)
-    rows = rebalances.select("portfolio_id", F.col("date").alias("rebalance")).join(fit, keys, "left")
-    opened = F.coalesce(F.col("t") > gate, F.lit(False))
+def forecast_trust(pairs: DataFrame, rebalances: DataFrame, h: int, least: int = LEAST_TRUST_PAIRS, gate: float = TRUST_T) -> DataFrame:
+    """H5. Slope of F4 over the pairs of H4 known by each rebalance, between 0 and 1; 0 with too few pairs, a constant x, or
+    a t-statistic that is not above the gate (``gate_shut``). Fits of all prefixes come from one window of running sums."""
+    fits = growing_fits(pairs.filter("label_end IS NOT NULL"), ["portfolio_id"], "x", "y", "date", h - 1, keep=["label_end"])
+    fits = overlap_se(fits).select("portfolio_id", "date", "label_end", F.col("n").alias("pairs"), "slope", "t")
+    due = rebalances.select("portfolio_id", "date")
+    rows = asof(due, fits.withColumnRenamed("date", "made"), ["portfolio_id"], "date", "label_end", ["pairs", "slope", "t"], strict=True, tie="made")
+    enough = F.coalesce(F.col("pairs") >= least, F.lit(False))
+    opened = enough & F.coalesce(F.col("t") > gate, F.lit(False))
     trust = F.when(opened, F.least(F.greatest("slope", F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-    return rows.select("portfolio_id", F.col("rebalance").alias("date"), trust.alias("trust"), (F.col("n").isNotNull() & ~opened).alias("gate_shut"))
+    return rows.select("portfolio_id", "date", trust.alias("trust"), (enough & ~opened).alias("gate_shut"))
 
 
 def min_variance(inputs: DataFrame, bounds: tuple[float, float] = BOUNDS) -> DataFrame:

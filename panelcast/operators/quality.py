@@ -16,7 +16,7 @@ def classify_check(field: Column) -> Column:
 
 def schema_errors(obs: DataFrame, checks: DataFrame) -> DataFrame:
     """D1. Per series: bad values of its check, with the first NAMED distinct ones in order and the count of the rest."""
-    rows = obs.join(F.broadcast(checks), "series_id")
+    rows = obs.join(checks, "series_id")
     bad = (
         F.when(F.col("value").isNull(), False).when(F.col("check") == "POSITIVE", F.col("value") <= 0)
         .when(F.col("check") == "SANE_RANGE", ~F.col("value").between(SANE_LOW, SANE_HIGH)).otherwise(False)
@@ -61,16 +61,25 @@ def quality_summary(obs: DataFrame, calendar: DataFrame, flags: DataFrame) -> Da
         F.count_distinct(F.when(F.col("value").isNotNull(), F.col("date"))).alias("valued"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
     )
     moves = flags.groupBy("series_id").agg(F.count("*").alias("flagged_moves"))
-    out = per.join(F.broadcast(n_dates), how="cross").join(moves, "series_id", "left")
+    out = per.crossJoin(n_dates).join(moves, "series_id", "left")
     return out.select("series_id", "rows", "duplicate_dates", "weekend_rows", ((1 - F.col("valued") / F.col("n_dates")) * 100).alias("missing_percent"), F.coalesce("flagged_moves", F.lit(0)).alias("flagged_moves"), "first_date", "last_date")
 
 
+def unreadable_dates(rows: DataFrame) -> DataFrame:
+    """B11. Rows of ``rows(file, pos, date, ..)`` whose date could not be read, by file: how many, and the first line."""
+    return rows.filter("date IS NULL").groupBy("file").agg(F.count("*").alias("unreadable"), F.min("pos").alias("first_pos"))
+
+
 def missing_rows(obs: DataFrame, series: DataFrame, holidays: DataFrame) -> DataFrame:
-    """D5, C15. Dates on which some series has no value: which ones, and why. ``series`` is a dimension."""
-    dates = obs.select("date").distinct()
-    gaps = dates.join(F.broadcast(series.select("series_id")), how="cross").join(obs.filter("value IS NOT NULL"), ["series_id", "date"], "left_anti")
-    rows = gaps.groupBy("date").agg(F.array_join(F.sort_array(F.collect_set("series_id")), ", ").alias("missing"), F.count("*").alias("n_missing"))
-    rows = rows.join(F.broadcast(holidays.select("date", F.lit(True).alias("closed"))), "date", "left")
+    """D5, C15. Dates on which some series has no value: which ones, and why. ``series`` is a dimension.
+
+    A date's values are counted first, and only dates with too few of them are compared with the list of all series.
+    """
+    n = series.agg(F.count_distinct("series_id").alias("n"), F.collect_set("series_id").alias("all"))
+    held = obs.groupBy("date").agg(F.collect_set(F.when(F.col("value").isNotNull(), F.col("series_id"))).alias("held"))
+    gaps = held.crossJoin(n).filter("size(held) < n").withColumn("gone", F.sort_array(F.array_except("all", "held")))  # one row
+    rows = gaps.select("date", F.array_join("gone", ", ").alias("missing"), F.size("gone").cast("long").alias("n_missing"))
+    rows = rows.join(holidays.select("date", F.lit(True).alias("closed")), "date", "left")
     reason = F.when(F.col("date").isNull(), "unreadable date").when(weekend(F.col("date")), "weekend").when(F.col("closed"), "market holiday").otherwise("unexplained")
     return rows.withColumn("reason", reason).drop("closed")
 
@@ -83,7 +92,7 @@ def big_moves(obs: DataFrame, compounding: DataFrame, threshold: float = BIG_MOV
     reported.
     """
     own = Window.partitionBy("series_id")
-    rows = obs.filter("value IS NOT NULL").join(F.broadcast(compounding.select("series_id", F.lit(True).alias("grows"))), "series_id", "left")
+    rows = obs.filter("value IS NOT NULL").join(compounding.select("series_id", F.lit(True).alias("grows")), "series_id", "left")
     rows = rows.withColumn("logs", F.coalesce(F.col("grows"), F.lit(False)) & (F.min("value").over(own) > 0))
     before = F.lag("value").over(own.orderBy("date"))
     rows = rows.withColumn("rn", F.row_number().over(own.orderBy("date"))).withColumn("change", F.col("value") - before)
@@ -113,11 +122,13 @@ def alignment_report(aligned: DataFrame, lagged: DataFrame) -> DataFrame:
 
 
 def coverage_by_year(obs: DataFrame, calendar: DataFrame, series: DataFrame, limit: float = 0.2) -> DataFrame:
-    """D9. Per series and year: share of calendar dates without a value, and whether it is over the limit."""
-    days = calendar.select("date").distinct().join(F.broadcast(series.select("series_id")), how="cross")
-    rows = days.join(obs.filter("value IS NOT NULL").select("series_id", "date", F.lit(1).alias("has")), ["series_id", "date"], "left")
-    out = rows.groupBy("series_id", F.year("date").alias("year")).agg(F.avg(F.when(F.col("has").isNull(), 1.0).otherwise(0.0)).alias("missing"))
-    return out.withColumn("over", F.col("missing") > limit)
+    """D9. Per series and year: share of calendar dates without a value, and whether it is over the limit. Dates with a value
+    are counted and set against the year's number of dates."""
+    days = calendar.select("date").distinct()
+    years = days.groupBy(F.year("date").alias("year")).agg(F.count("*").alias("n_days"))
+    held = obs.filter("value IS NOT NULL").select("series_id", "date").distinct().join(days, "date").groupBy("series_id", F.year("date").alias("year")).agg(F.count("*").alias("n_held"))
+    rows = series.select("series_id").distinct().crossJoin(years).join(held, ["series_id", "year"], "left")  # a row per series and year
+    return rows.select("series_id", "year", ((F.col("n_days") - F.coalesce("n_held", F.lit(0))) / F.col("n_days")).alias("missing")).withColumn("over", F.col("missing") > limit)
 
 
 def dataset_diff(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BREACH_DAYS = 252
@@ -20,22 +20,31 @@ def historical_var(returns: DataFrame, keys: list[str], confidence: float = 0.95
     return worst.groupBy(*keys).agg((-F.max("r")).alias("var"), (-F.avg("r")).alias("cvar"), F.max("k").alias("k"))
 
 
-def var_breaches(returns: DataFrame, keys: list[str], confidence: float = 0.95, days: int = BREACH_DAYS) -> DataFrame:
-    """K2. Days whose loss is strictly worse than the value at risk of the ``days`` days before; days tested."""
-    k = max(-int(-(days * (1 - confidence) - 1e-9) // 1), 1)
+def _breaks(days: int, k: int):
+    """Whether r is worse than the k-th worst of the ``days`` values of the column w: fewer than k of them are at or below it."""
+    return F.when(F.size("w") == days, F.size(F.filter("w", lambda v: v <= F.col("r"))) < k)
+
+
+def var_breaches(returns: DataFrame, keys: list[str], confidences: tuple[float, ...] = (0.95,), days: int = BREACH_DAYS) -> DataFrame:
+    """K2. Days whose loss is strictly worse than the value at risk of the ``days`` days before; days tested. The window's
+    values are counted, not sorted, once for all confidences."""
     before = Window.partitionBy(*keys).orderBy("date").rowsBetween(-days, -1)
     rows = returns.filter("r IS NOT NULL").withColumn("w", F.collect_list("r").over(before))
-    rows = rows.withColumn("limit", F.when(F.size("w") == days, F.try_element_at(F.sort_array("w"), F.lit(k))))
-    return rows.groupBy(*keys).agg(F.count_if(F.col("r") < F.col("limit")).alias("breaches"), F.count("limit").alias("tested"))
+    k = {c: max(-int(-(days * (1 - c) - 1e-9) // 1), 1) for c in confidences}
+    rows = rows.select(*keys, *[_breaks(days, k[c]).alias(f"b{i}") for i, c in enumerate(confidences)])
+    return rows.groupBy(*keys).agg(*[f(f"b{i}").alias(f"{n}{i}") for i in range(len(confidences)) for n, f in (("hit", F.count_if), ("all", F.count))]).select(
+        *keys, F.explode(F.array(*[F.struct(F.lit(c).alias("confidence"), F.col(f"hit{i}").alias("breaches"), F.col(f"all{i}").alias("tested")) for i, c in enumerate(confidences)])).alias("c")
+    ).select(*keys, "c.*")
 
 
 def tail_table(returns: DataFrame, keys: list[str]) -> DataFrame:
     """K3. K1 and K2 at 95 and 99 per cent."""
-    out = None
-    for c in (0.95, 0.99):
-        one = historical_var(returns, keys, c).join(var_breaches(returns, keys, c), keys).withColumn("confidence", F.lit(c))
-        out = one if out is None else out.unionByName(one)
-    return out
+    confidences = (0.95, 0.99)
+    var = None
+    for c in confidences:
+        one = historical_var(returns, keys, c).withColumn("confidence", F.lit(c))
+        var = one if var is None else var.unionByName(one)
+    return var.join(var_breaches(returns, keys, confidences), [*keys, "confidence"])
 
 
 def return_history(returns: DataFrame, as_of, n: int) -> DataFrame:
@@ -48,26 +57,25 @@ def return_history(returns: DataFrame, as_of, n: int) -> DataFrame:
 def bootstrap_paths(history: DataFrame, draws: DataFrame, forecasts: DataFrame, weights: DataFrame, h: int) -> DataFrame:
     """K5. Value of the portfolio along each path of resampled days.
 
-    ``draws(portfolio_id, path, step, i)`` names the history day of each step (both assets of a day stay together), so
-    a run is a join and repeats exactly. History is centred on forecast / h.
+    ``draws(path, step, i)`` names the history day of each step (both assets of a day stay together), the same for all
+    portfolios, so a run is a join on the day and repeats exactly. History is centred on forecast / h.
     """
     own = Window.partitionBy("portfolio_id")
-    rows = history.join(F.broadcast(forecasts), "portfolio_id")
+    rows = history.join(forecasts, "portfolio_id")
     for a in ("equity", "bond"):
         rows = rows.withColumn(f"c_{a}", F.col(a) - F.avg(a).over(own) + F.col(f"f_{a}") / h)
-    drawn = draws.join(rows.select("portfolio_id", "i", "c_equity", "c_bond"), ["portfolio_id", "i"]).join(F.broadcast(weights), "portfolio_id")
+    drawn = draws.join(rows.select("portfolio_id", "i", "c_equity", "c_bond"), "i").join(weights, "portfolio_id")
     w = Window.partitionBy("portfolio_id", "path").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     value = F.col("w_equity") * F.product(1 + F.col("c_equity")).over(w) + (1 - F.col("w_equity")) * F.product(1 + F.col("c_bond")).over(w)
     drawn = drawn.withColumn("value", value)
     return drawn.withColumn("fall", F.col("value") / F.greatest(F.lit(1.0), F.max("value").over(w)) - 1)
 
 
-def hashed_draws(portfolios: DataFrame, paths: int, h: int, n: int, seed: int = 1) -> DataFrame:
-    """Draw table of K5: each step's day by a hash of seed, path and step, without any random state."""
-    spark = portfolios.sparkSession
+def hashed_draws(spark: SparkSession, paths: int, h: int, n: int, seed: int = 1) -> DataFrame:
+    """Draw table (path, step, i) of K5: each step's day by a hash of seed, path and step, without any random state."""
     grid = spark.range(paths).select(F.col("id").alias("path"), F.explode(F.sequence(F.lit(1), F.lit(h))).alias("step"))
-    day = F.pmod(F.xxhash64(F.lit(seed), "path", "step"), F.lit(n)).cast("int") + 1
-    return grid.join(F.broadcast(portfolios.select("portfolio_id")), how="cross").select("portfolio_id", "path", "step", day.alias("i"))
+    number = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), "path", "step").cast("binary")), 1, 12), 16, 10).cast("long")
+    return grid.select("path", "step", (number % n + 1).cast("int").alias("i"))
 
 
 def bootstrap_tail(paths: DataFrame, h: int, confidence: float = 0.95) -> DataFrame:

@@ -57,6 +57,22 @@ def settings_match(a: str, b: str) -> Column:
     return same
 
 
+def of_runs(saved: DataFrame, keys: DataFrame, key: str = "run_id") -> DataFrame:
+    """M4. Saved rows (forecasts, metrics, paths, weights) of the runs asked for; none for a run that saved none."""
+    return saved.join(keys.select(key).distinct(), key, "left_semi")
+
+
+def saved_paths(daily: DataFrame, weights: DataFrame, keys: DataFrame) -> DataFrame:
+    """M4. A portfolio run's saved daily returns with the weights set on that day, where one was."""
+    return of_runs(daily, keys, "run_key").join(of_runs(weights, keys, "run_key"), ["run_key", "date"], "left")
+
+
+def is_stale(dataset: Column, target: Column, own_dataset: Column, own_target: Column) -> Column:
+    """M7. Whether a model was fitted on other data, or forecasts another target; a model that recorded no target is judged
+    on its data alone."""
+    return ~own_dataset.eqNullSafe(dataset) | ~(own_target.isNull() | own_target.eqNullSafe(target))
+
+
 def portfolio_runs_table(runs: DataFrame, metrics: DataFrame) -> DataFrame:
     """M8. Runs with settings from their inputs and Sharpe ratios by basis and portfolio."""
     cells = [F.max(F.when((F.col("basis") == b) & (F.col("portfolio") == p) & (F.col("metric") == "sharpe"), F.col("value"))).alias(f"sharpe_{p}_{b}") for b in ("gross", "net") for p in ("optimised", "benchmark")]
@@ -66,10 +82,17 @@ def portfolio_runs_table(runs: DataFrame, metrics: DataFrame) -> DataFrame:
 
 
 def number_new_runs(runs: DataFrame, numbers: DataFrame) -> DataFrame:
-    """M9. Numbers for runs without one, after the largest given so far."""
+    """M9. Numbers for runs without one, after the largest given so far, in order of start and id.
+
+    Runs are numbered within their day and days are offset by the counts of earlier days, so only a row per day is ever
+    in one task. Every run has a start.
+    """
     last = numbers.agg(F.coalesce(F.max("number"), F.lit(0)).alias("last"))
-    new = runs.join(numbers, "run_id", "left_anti").join(F.broadcast(last), how="cross")
-    return new.select("run_id", (F.col("last") + F.row_number().over(Window.orderBy("started_at", "run_id"))).alias("number"))
+    new = runs.join(numbers, "run_id", "left_anti").withColumn("day", F.to_date("started_at"))
+    earlier = F.coalesce(F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = new.groupBy("day").agg(F.count("*").alias("n")).crossJoin(last).select("day", (F.col("last") + earlier).alias("before"))
+    place = F.row_number().over(Window.partitionBy("day").orderBy("started_at", "run_id"))
+    return new.withColumn("place", place).join(days, "day").select("run_id", (F.col("before") + F.col("place")).alias("number"))
 
 
 def run_key(inputs: list[str]) -> Column:
@@ -97,7 +120,10 @@ def failure_rates(runs: DataFrame) -> DataFrame:
     return runs.groupBy("model").agg(F.count("*").alias("runs"), F.count_if(F.col("status") == "failed").alias("failures"), F.avg(seconds).alias("mean_seconds"))
 
 
-def direction_hit_rate(forecasts: DataFrame) -> DataFrame:
-    """M16. Share of dates on which forecast and outcome lie on the same side of the baseline."""
-    same = (F.col("predicted") > F.col("baseline")) == (F.col("realised") > 0)
-    return forecasts.filter("predicted IS NOT NULL AND realised IS NOT NULL").groupBy("run_id").agg(F.avg(F.when(same, 1.0).otherwise(0.0)).alias("hit_rate"), F.count("*").alias("dates"))
+def direction_hit_rate(runs: DataFrame, forecasts: DataFrame) -> DataFrame:
+    """M16. Per model: dates on which a forecast takes a view, that is, differs from its baseline, and the share of them
+    whose outcome lies on the same side of the baseline (an outcome equal to it is on neither)."""
+    views = forecasts.filter("predicted IS NOT NULL AND realised IS NOT NULL AND predicted <> baseline")
+    right = F.signum(F.col("predicted") - F.col("baseline")) == F.signum(F.col("realised") - F.col("baseline"))
+    share = F.avg(F.when(right, 1.0).otherwise(0.0))
+    return views.join(runs.select("run_id", "model"), "run_id").groupBy("model").agg(F.count("*").alias("dates_with_a_view"), share.alias("hit_rate"))

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcast.operators.panel import asof
+
 MOST_RANGES = 10.0
 
 
 def last_observed(obs: DataFrame, as_of: DataFrame) -> DataFrame:
     """L1. Per target and series, the last value and its date on or before the target's last price.
-    ``as_of(target_id, last)``."""
-    rows = obs.filter("value IS NOT NULL").join(F.broadcast(as_of), F.col("date") <= F.col("last"))
-    return rows.groupBy("target_id", "series_id").agg(F.max_by(F.struct("value", "date"), "date").alias("o")).select("target_id", "series_id", "o.value", "o.date")
+    ``as_of(target_id, last)``. Each series is read as of the distinct last dates, which are few, and targets share them."""
+    seen = obs.filter("value IS NOT NULL")
+    asked = seen.select("series_id").distinct().crossJoin(as_of.select("last").distinct())
+    found = asof(asked, seen, ["series_id"], "last", "date", ["value", "date"]).filter("date IS NOT NULL")
+    return as_of.join(found, "last").select("target_id", "series_id", "value", "date")
 
 
 def validate_shocks(shocks: DataFrame, obs: DataFrame, last: DataFrame) -> DataFrame:
@@ -34,7 +38,7 @@ def shocked_inputs(tail: DataFrame, levels: DataFrame, transforms: DataFrame) ->
     aligned rows of a series; the shock replaces the last one; the new value is known on the next day."""
     w = Window.partitionBy("target_id", "series_id").orderBy("rn")
     rows = tail.withColumn("before", F.lag("x").over(w)).withColumn("r", F.row_number().over(Window.partitionBy("target_id", "series_id").orderBy(F.desc("rn")))).filter("r = 1")
-    rows = rows.join(levels.select("scenario_id", "series_id", "level"), "series_id").join(F.broadcast(transforms), "series_id")
+    rows = rows.join(levels.select("scenario_id", "series_id", "level"), "series_id").join(transforms, "series_id")
 
     def moved(x):
         logged = F.when((x > 0) & (F.col("before") > 0), F.ln(x) - F.ln("before"))

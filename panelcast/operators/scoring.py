@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,39 +41,94 @@ def rmse(rows: DataFrame, keys: list[str], x: str = "predicted", y: str = "reali
     return _pairs(rows, x, y).groupBy(*keys).agg(F.sqrt(F.avg(F.pow(F.col(x) - F.col(y), 2))).alias("rmse"))
 
 
-def ols_hac(rows: DataFrame, keys: list[str], x: str, y: str, order: str, lags: Column | int, kernels: tuple[str, ...] = ("bartlett", "uniform")) -> DataFrame:
-    """F4. OLS of y on x with the slope's HAC standard error under each kernel, per key.
+def overlap_errors(lags: int) -> dict[str, tuple[str, int]]:
+    """Both kernels over the same lags, by name."""
+    return {"bartlett": ("bartlett", lags), "uniform": ("uniform", lags)}
+
+
+def _hac(rows: DataFrame, keys: list[str], x: str, y: str, order: str, errors: dict[str, tuple[str, int]], also: dict[str, Column]) -> DataFrame:
+    """One row per key: n, slope, intercept, se_{name} for each named (kernel, lags), null without two pairs and a varying
+    x; and the aggregates ``also`` over all rows of the key, complete or not.
 
-    Lagged products of the score come from one equi-join of the numbered pairs with themselves, ``lag`` rows apart, so
-    the work is rows x lags. A variance that is not positive gives a null error. ``lags`` may be a column of the keys.
+    Everything is a window over the key's complete pairs followed by one aggregation, so the rows are shuffled once: the
+    score's products with its own lags come from ``lag``, as lags are few and fixed.
+    """
+    rows = rows.withColumns({"_ok": F.col(x).isNotNull() & F.col(y).isNotNull(), "_x": F.col(x), "_y": F.col(y)})
+    own = Window.partitionBy(*keys, "_ok")
+    rows = rows.withColumns({"_n": F.count("*").over(own), "_mx": F.avg("_x").over(own), "_my": F.avg("_y").over(own), "_lo": F.min("_x").over(own), "_hi": F.max("_x").over(own)})
+    rows = rows.withColumn("_xc", F.col("_x") - F.col("_mx"))
+    rows = rows.withColumns({"_sx": F.sum("_xc").over(own), "_sxx": F.sum(F.col("_xc") * F.col("_xc")).over(own), "_sxy": F.sum(F.col("_xc") * F.col("_y")).over(own)})
+    fits = F.col("_ok") & (F.col("_n") >= 2) & (F.col("_lo") < F.col("_hi"))
+    rows = rows.withColumn("_slope", F.when(fits, F.col("_sxy") / F.col("_sxx")))
+    rows = rows.withColumn("_e0", F.col("_y") - F.col("_my") - F.col("_slope") * F.col("_xc")).withColumn("_u0", F.col("_e0") * F.col("_xc"))
+    ordered = own.orderBy(order)
+    most = max(lags for _, lags in errors.values())
+    rows = rows.withColumns({f"_{c}{i}": F.lag(f"_{c}0", i, 0.0).over(ordered) for c in "eu" for i in range(1, most + 1)})
+    sums = {}
+    for name, (kernel, lags) in errors.items():
+        weights = [0.5, *(1 - i / (lags + 1) if kernel == "bartlett" else 1.0 for i in range(1, lags + 1))]
+        e, u = (reduce(lambda a, b: a + b, [w * F.col(f"_{c}{i}") for i, w in enumerate(weights)]) for c in "eu")
+        sums |= {
+            f"_s00_{name}": F.sum(F.when(fits, 2 * F.col("_e0") * e)), f"_s01_{name}": F.sum(F.when(fits, F.col("_u0") * e + F.col("_e0") * u)), f"_s11_{name}": F.sum(F.when(fits, 2 * F.col("_u0") * u)),
+        }
+    kept = {c: F.max(F.when(fits, F.col(c))) for c in ("_n", "_mx", "_my", "_sx", "_sxx", "_slope")}
+    out = rows.groupBy(*keys).agg(*[c.alias(n) for n, c in {**kept, **sums, **also}.items()])
+    n, sx, det = F.col("_n"), F.col("_sx"), F.col("_n") * F.col("_sxx") - F.col("_sx") * F.col("_sx")
+    found = []
+    for name in errors:
+        v = (sx * sx * F.col(f"_s00_{name}") - 2 * n * sx * F.col(f"_s01_{name}") + n * n * F.col(f"_s11_{name}")) / (det * det)
+        found.append(F.when(v > 0, F.sqrt(v)).alias(f"se_{name}"))
+    return out.select(*keys, n.alias("n"), F.col("_slope").alias("slope"), (F.col("_my") - F.col("_slope") * F.col("_mx")).alias("intercept"), *found, *also)
+
+
+def ols_hac(rows: DataFrame, keys: list[str], x: str, y: str, order: str, lags: int) -> DataFrame:
+    """F4. OLS of y on x with the slope's HAC standard error under the Bartlett and the uniform kernel, per key with two
+    complete pairs and a varying x. A variance that is not positive gives a null error."""
+    return _hac(rows, keys, x, y, order, overlap_errors(lags), {}).filter("n IS NOT NULL")
+
+
+def growing_fits(rows: DataFrame, keys: list[str], x: str, y: str, order: str, lags: int, keep: list[str] | None = None) -> DataFrame:
+    """F4 over every prefix of a key's complete pairs in order: one row per pair with n, slope, intercept, se_bartlett and
+    se_uniform of the pairs up to it.
+
+    Fit and variance are polynomials in sums of products of x, y and their lags, so all prefixes together cost one
+    window of running sums. x and y are centred on the key's means, which changes no slope and no error.
     """
-    rows = _pairs(rows, x, y).select(*keys, F.col(order).alias("_o"), F.col(x).alias("x"), F.col(y).alias("y"), (F.lit(lags) if isinstance(lags, int) else lags).cast("int").alias("_lags"))
     own = Window.partitionBy(*keys)
-    rows = rows.withColumn("rn", F.row_number().over(own.orderBy("_o"))).withColumn("xc", F.col("x") - F.avg("x").over(own))
-    fit = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg("x").alias("mx"), F.sum("xc").alias("sx"), F.sum(F.col("xc") * F.col("xc")).alias("sxx"), F.avg("y").alias("my"),
-        F.sum(F.col("xc") * F.col("y")).alias("sxy"), F.min("x").alias("lo"), F.max("x").alias("hi"),
-    )
-    fit = fit.filter("n >= 2 AND lo < hi").withColumn("slope", F.col("sxy") / F.col("sxx")).withColumn("intercept", F.col("my") - F.col("slope") * F.col("mx"))
-    e = F.col("y") - F.col("my") - F.col("slope") * F.col("xc")
-    scored = rows.join(fit, keys).select(*keys, "rn", "_lags", e.alias("e"), (e * F.col("xc")).alias("u"))
-    later = scored.select(*keys, "rn", F.col("e").alias("e1"), F.col("u").alias("u1"), F.explode(F.sequence(F.lit(0), F.col("_lags"))).alias("l"), "_lags").withColumn("rn", F.col("rn") - F.col("l"))
-    both = later.join(scored.drop("_lags"), [*keys, "rn"])
-    out = fit
-    sums = []
-    for k in kernels:
-        w = F.when(F.col("l") == 0, 0.5).otherwise(1 - F.col("l") / (F.col("_lags") + 1) if k == "bartlett" else F.lit(1.0))
-        sums += [
-            F.sum(2 * w * F.col("e") * F.col("e1")).alias(f"s00_{k}"),
-            F.sum(w * (F.col("e") * F.col("u1") + F.col("u") * F.col("e1"))).alias(f"s01_{k}"),
-            F.sum(2 * w * F.col("u") * F.col("u1")).alias(f"s11_{k}"),
-        ]
-    out = fit.join(both.groupBy(*keys).agg(*sums), keys)
-    for k in kernels:
-        n, sx, det = F.col("n"), F.col("sx"), F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
-        v = (sx * sx * F.col(f"s00_{k}") - 2 * n * sx * F.col(f"s01_{k}") + n * n * F.col(f"s11_{k}")) / (det * det)
-        out = out.withColumn(f"se_{k}", F.when(v > 0, F.sqrt(v)))
-    return out.select(*keys, "n", "slope", "intercept", *[f"se_{k}" for k in kernels])
+    rows = _pairs(rows, x, y).withColumns({"_x0": F.col(x) - F.avg(x).over(own), "_y0": F.col(y) - F.avg(y).over(own), "_mx": F.avg(x).over(own), "_my": F.avg(y).over(own)})
+    ordered = own.orderBy(order)
+    rows = rows.withColumn("_a0", F.lit(1.0)).withColumns({f"_{c}{i}": F.lag(f"_{c}0", i, 0.0).over(ordered) for c in "axy" for i in range(1, lags + 1)})
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = lambda c: F.sum(c).over(so_far)
+    X, Y = F.col("_x0"), F.col("_y0")
+    rows = rows.withColumns({"_n": run(F.lit(1)), "_sx": run(X), "_sy": run(Y), "_sxx": run(X * X), "_sxy": run(X * Y), "_lo": F.min(x).over(so_far), "_hi": F.max(x).over(so_far)})
+    # e = y - b0 - b1 x and u = e x are combinations of monomials of x and y; the products of e and u with their lags are
+    # those combinations of the monomials' products with their lags
+    monomials = {"1": lambda i: F.col(f"_a{i}"), "x": lambda i: F.col(f"_x{i}"), "y": lambda i: F.col(f"_y{i}"), "xx": lambda i: F.col(f"_x{i}") * F.col(f"_x{i}"), "xy": lambda i: F.col(f"_x{i}") * F.col(f"_y{i}")}
+    names, totals = list(monomials), {}
+    for kernel in ("bartlett", "uniform"):
+        weights = [0.5, *(1 - i / (lags + 1) if kernel == "bartlett" else 1.0 for i in range(1, lags + 1))]
+        for p in names:
+            for q in names:
+                lagged = reduce(lambda a, b: a + b, [w * monomials[q](i) for i, w in enumerate(weights)])
+                totals[f"_{kernel}_{p}_{q}"] = run(monomials[p](0) * lagged)
+    rows = rows.withColumns(totals)
+    n, det = F.col("_n"), F.col("_n") * F.col("_sxx") - F.col("_sx") * F.col("_sx")
+    b1 = (n * F.col("_sxy") - F.col("_sx") * F.col("_sy")) / det
+    rows = rows.filter((n >= 2) & (F.col("_lo") < F.col("_hi"))).withColumn("slope", b1).withColumn("_b0", (F.col("_sy") - F.col("slope") * F.col("_sx")) / n)
+    e = {"y": F.lit(1.0), "1": -F.col("_b0"), "x": -F.col("slope")}
+    u = {"xy": F.lit(1.0), "x": -F.col("_b0"), "xx": -F.col("slope")}
+
+    def product(kernel: str, a: dict[str, Column], b: dict[str, Column]) -> Column:
+        return reduce(lambda s, t: s + t, [v * w * F.col(f"_{kernel}_{p}_{q}") for p, v in a.items() for q, w in b.items()])
+
+    errors = {}
+    for k in ("bartlett", "uniform"):
+        sx = F.col("_sx")
+        v = (sx * sx * 2 * product(k, e, e) - 2 * n * sx * (product(k, u, e) + product(k, e, u)) + n * n * 2 * product(k, u, u)) / (det * det)
+        errors[f"se_{k}"] = F.when(v > 0, F.sqrt(v))
+    found = rows.withColumns(errors)
+    return found.select(*keys, order, *(keep or []), n.alias("n"), "slope", (F.col("_b0") + F.col("_my") - F.col("slope") * F.col("_mx")).alias("intercept"), *errors)
 
 
 def overlap_se(fit: DataFrame) -> DataFrame:
@@ -79,15 +137,13 @@ def overlap_se(fit: DataFrame) -> DataFrame:
 
 
 def standard_ranks(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Average ranks with mean 0 and population sd 1 within keys; persisted, as a fit reads them several times."""
+    """Average ranks with mean 0 and population sd 1 within keys, as zrx and zry."""
     ranked = with_ranks(rows, keys, x, y)
     own = Window.partitionBy(*keys)
-    for c in ("rx", "ry"):
-        ranked = ranked.withColumn(f"z{c}", (F.col(c) - F.avg(c).over(own)) / F.nullif(F.stddev_pop(c).over(own), F.lit(0.0)))
-    return ranked.persist()
+    return ranked.withColumns({f"z{c}": (F.col(c) - F.avg(c).over(own)) / F.nullif(F.stddev_pop(c).over(own), F.lit(0.0)) for c in ("rx", "ry")})
 
 
-def rank_ic_se(rows: DataFrame, keys: list[str], x: str, y: str, order: str, lags: Column | int) -> DataFrame:
+def rank_ic_se(rows: DataFrame, keys: list[str], x: str, y: str, order: str, lags: int) -> DataFrame:
     """F5. Overlap-robust error and t of the slope between standardised ranks; null under three pairs."""
     ranked = standard_ranks(rows, keys, x, y)
     return overlap_se(ols_hac(ranked, keys, "zrx", "zry", order, lags)).filter("n >= 3").select(*keys, "n", F.col("slope").alias("rank_ic"), "se", "t")
@@ -111,38 +167,77 @@ def screening_summary(screens: DataFrame) -> DataFrame:
     return screens.groupBy("target_id", "series_id").agg(F.count_if("kept").alias("folds_kept"), F.count("*").alias("folds"), F.max_by("kept", "fold_id").alias("in_latest"))
 
 
+_LEVEL = ["target_id", "model_id", "fold_id"]
+
+
+def _level(forecast: Column, realised: Column, over: Callable[[Column], Column]) -> Column:
+    """The training rows' mean forecast, exact where it is constant; the label's mean where there is no forecast."""
+    least, most = over(F.min(forecast)), over(F.max(forecast))
+    return F.coalesce(F.when(least == most, least).otherwise(over(F.avg(forecast))), over(F.avg(realised)))
+
+
 def own_level(forecasts: DataFrame) -> DataFrame:
     """F9. A fold's own level: its mean in-sample forecast, exact where that is constant; the training mean of the
     label where there is no forecast."""
     train = forecasts.filter("part = 'train'")
-    level = F.when(F.min("predicted") == F.max("predicted"), F.min("predicted")).otherwise(F.avg("predicted"))
-    return train.groupBy("target_id", "model_id", "fold_id").agg(F.coalesce(level, F.avg("realised")).alias("own_level"), (F.min("predicted") == F.max("predicted")).alias("constant"))
+    level = _level(F.col("predicted"), F.col("realised"), lambda c: c)
+    return train.groupBy(*_LEVEL).agg(level.alias("own_level"), F.coalesce(F.min("predicted") == F.max("predicted"), F.lit(False)).alias("constant"))
+
+
+def _levelled(forecasts: DataFrame) -> DataFrame:
+    """All rows with their fold's own level and signal, by one window over the fold."""
+    own = Window.partitionBy(*_LEVEL)
+    train = lambda c: F.when(F.col("part") == "train", F.col(c))
+    rows = forecasts.withColumn("own_level", _level(train("predicted"), train("realised"), lambda c: c.over(own)))
+    return rows.withColumn("signal", F.col("predicted") - F.col("own_level"))
 
 
 def signal_forecasts(forecasts: DataFrame) -> DataFrame:
-    """F10. Test forecasts less their fold's own level."""
-    tests = forecasts.filter("part = 'test'")
-    return tests.join(own_level(forecasts), ["target_id", "model_id", "fold_id"]).withColumn("signal", F.col("predicted") - F.col("own_level"))
+    """F10. Test forecasts less their fold's own level; folds without training rows have none."""
+    return _levelled(forecasts).filter("part = 'test' AND own_level IS NOT NULL")
 
 
 def summarise(forecasts: DataFrame, h: int, test: int, places: int | None = None) -> DataFrame:
     """F11. Pooled scores per target and model; signals may be rounded first, so that ties are ties everywhere.
 
-    Ranks and scores read the signals several times, so these are persisted; Spark rebuilds lost parts.
+    Two shuffles of the forecasts: by fold for the own levels, then by model for the ranks, scores and errors, which are
+    windows and one aggregation over the same partitions. Training rows stay in it only to count the folds.
     """
     keys = ["target_id", "model_id"]
-    signals = signal_forecasts(forecasts)
+    rows = _levelled(forecasts)
     if places is not None:
-        signals = signals.withColumn("signal", F.round("signal", places))
-    signals = signals.persist()
-    pooled = ic(signals, keys).join(rank_ic(signals, keys).drop("n"), keys).join(rmse(signals, keys), keys)
-    by_signal = rank_ic(signals, keys, "signal", "realised").select(*keys, F.col("rank_ic").alias("signal_rank_ic"))
-    fit = ols_hac(standard_ranks(signals, keys, "signal", "realised"), keys, "zrx", "zry", "date", h - 1).filter("n >= 3")
-    short = overlap_se(fit).select(*keys, F.col("se").alias("se_overlap"))
-    long = ols_hac(standard_ranks(signals, keys, "signal", "realised"), keys, "zrx", "zry", "date", test, ("bartlett",)).select(*keys, F.col("se_bartlett").alias("se_window"))
-    out = pooled.join(by_signal, keys, "left").join(short, keys, "left").join(long, keys, "left")
-    folds = own_level(forecasts).groupBy(*keys).agg(F.count("*").alias("folds"), F.count_if("constant").alias("constant_folds"))
-    return out.join(folds, keys).withColumn("t", F.col("signal_rank_ic") / F.greatest("se_overlap", "se_window"))
+        rows = rows.withColumn("signal", F.round("signal", places))
+    train, fold = F.col("part") == "train", Window.partitionBy(*_LEVEL)
+    first = F.row_number().over(Window.partitionBy(*_LEVEL, "part").orderBy("date")) == 1
+    least, most = (f(F.when(train, F.col("predicted"))).over(fold) for f in (F.min, F.max))
+    rows = rows.withColumns({"_fold": (train & first).cast("int"), "_constant": (train & first & F.coalesce(least == most, F.lit(False))).cast("int")})
+    pair = (F.col("part") == "test") & F.col("realised").isNotNull()
+    whole, marked = pair & F.col("predicted").isNotNull(), pair & F.col("signal").isNotNull()
+    rows = rows.withColumns({"_p": whole, "_s": marked})
+
+    def rank(c: str, among: str) -> Column:
+        ties = F.count("*").over(Window.partitionBy(*keys, among, c))
+        return F.when(F.col(among), F.rank().over(Window.partitionBy(*keys, among).orderBy(c)) + (ties - 1) / 2)
+
+    rows = rows.withColumns({"_rp": rank("predicted", "_p"), "_ry": rank("realised", "_p"), "_rs": rank("signal", "_s"), "_rz": rank("realised", "_s")})
+    among = Window.partitionBy(*keys, "_s")
+    rows = rows.withColumns({f"_z{c}": (F.col(f"_r{c}") - F.avg(f"_r{c}").over(among)) / F.nullif(F.stddev_pop(f"_r{c}").over(among), F.lit(0.0)) for c in "sz"})
+
+    def correlation(x: str, y: str, at: str) -> Column:
+        x, y = (F.when(F.col(at), F.col(c)) for c in (x, y))
+        c = F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+        return F.when((F.count_if(F.col(at)) >= 2) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.round(c, 15))
+
+    also = {
+        "ic": correlation("predicted", "realised", "_p"), "rows": F.count_if("_p"), "rank_ic": correlation("_rp", "_ry", "_p"),
+        "rmse": F.sqrt(F.avg(F.when(F.col("_p"), F.pow(F.col("predicted") - F.col("realised"), 2)))), "signal_rank_ic": correlation("_rs", "_rz", "_s"),
+        "folds": F.sum("_fold"), "constant_folds": F.sum("_constant"),
+    }
+    out = overlap_se(_hac(rows, keys, "_zs", "_zz", "date", overlap_errors(h - 1) | {"window": ("bartlett", test)}, also))
+    enough = F.col("n") >= 3
+    out = out.withColumns({"se_overlap": F.when(enough, F.col("se")), "se_window": F.col("se_window")}).filter("rows > 0")
+    scores = out.select(*keys, "ic", F.col("rows").alias("n"), "rank_ic", "rmse", "signal_rank_ic", "se_overlap", "se_window", "folds", "constant_folds")
+    return scores.withColumn("t", F.col("signal_rank_ic") / F.greatest("se_overlap", "se_window"))
 
 
 def holdout(forecasts: DataFrame, labels: DataFrame, before: Column) -> DataFrame:

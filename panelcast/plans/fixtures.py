@@ -112,4 +112,4 @@ def transforms(signals: DataFrame) -> DataFrame:
 
 def pairs(prices: DataFrame, signals: DataFrame) -> DataFrame:
     """Every target with every series: two dimension tables."""
-    return prices.select("target_id").distinct().crossJoin(F.broadcast(signals.select("series_id").distinct()))
+    return prices.select("target_id").distinct().crossJoin(signals.select("series_id").distinct())

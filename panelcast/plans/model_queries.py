@@ -7,18 +7,14 @@ from pyspark.sql import functions as F
 
 from panelcast.operators import models, panel, portfolio, scenario, scoring
 from panelcast.plans import fixtures as fx
-from panelcast.plans.panel_queries import Parts, lagged_levels, two_inputs
+from panelcast.plans.panel_queries import Parts, lagged_levels, series_rows, two_inputs, wide_rows
 from panelcast.plans.portfolio_queries import TAIL, Plan, tail_of
 from panelcast.plans.register import query, rounded
-from panelcast.plans.scoring_queries import forecasts
+from panelcast.plans.scoring_queries import FOLD_SCREEN, forecasts
 
 H = fx.HORIZON
 
 
-def wide_rows(p: Parts):
-    return p.rows.join(two_inputs(p), ["target_id", "rn"])
-
-
 # G3: two inputs and Cramer's rule say the same as the solver ---------------------------------------------------------
 fx.cte(
     "ols",
@@ -37,8 +33,7 @@ def ols_factors(spark, d):
 
 def expanded(p: Parts):
     """Two inputs, clipped and standardised per fold, and their products up to degree 2."""
-    long = p.rows.join(p.panel.filter(F.col("series_id").isin("disc_F", "disc_O")).select("target_id", "rn", "series_id", "x"), ["target_id", "rn"])
-    z = panel.clip_standardise(long).groupBy("target_id", "fold_id", "part", "rn", "date", "y").agg(*[F.max(F.when(F.col("series_id") == s, F.col("z"))).alias(n) for s, n in (("disc_F", "a"), ("disc_O", "b"))])
+    z = panel.clip_standardise(series_rows(p, "disc_F", "disc_O")).groupBy("target_id", "fold_id", "part", "rn", "date", "y").agg(*[F.max(F.when(F.col("series_id") == s, F.col("z"))).alias(n) for s, n in (("disc_F", "a"), ("disc_O", "b"))])
     return z.withColumns({"aa": F.col("a") * F.col("a"), "ab": F.col("a") * F.col("b"), "bb": F.col("b") * F.col("b")})
 
 
@@ -52,9 +47,13 @@ def lasso_path(spark, d):
 
 @query("G6_derived_candidates")
 def derived_candidates(spark, d):
+    """Lassos on all products of the inputs up to degree 1, 2 and 3; per target the best by signal rank IC."""
     rows = expanded(Parts(spark, d))
-    both = models.lasso_path(rows, TERMS[:2], H, "degree 1").unionByName(models.lasso_path(rows, TERMS, H, "degree 2"))
-    scores = scoring.rank_ic(scoring.signal_forecasts(both), ["target_id", "model_id"], "signal", "realised").withColumnRenamed("rank_ic", "signal_rank_ic")
+    a, b = F.col("a"), F.col("b")
+    cubes = {"aaa": a * a * a, "aab": a * a * b, "abb": a * b * b, "bbb": b * b * b}
+    grid = {"degree 1": TERMS[:2], "degree 2": TERMS, "degree 3": [*TERMS, *cubes]}
+    made = models.derived_candidates(rows.withColumns(cubes), grid, H)
+    scores = scoring.rank_ic(scoring.signal_forecasts(made), ["target_id", "model_id"], "signal", "realised").withColumnRenamed("rank_ic", "signal_rank_ic")
     return scoring.best_candidate(scores)
 
 
@@ -65,7 +64,7 @@ fx.cte("rho", f"SELECT *, rho * (pow(rho, {H}) - 1) AS kappa FROM ({RHO})", "fro
 
 def fold_levels(p: Parts):
     x = lagged_levels(p).filter(F.col("series_id").isin("disc_O", "disc_F")).select("target_id", "rn", "series_id", "x")
-    return p.rows.filter("part = 'train'").join(x, ["target_id", "rn"])
+    return models.fold_rows(p.labels.join(x, ["target_id", "rn"]), p.purged).filter("part = 'train'")
 
 
 @query("G7_corrected_rho", fx.sql("SELECT target_id, fold_id, series_id, n, round(rho, 7) AS rho, round(kappa, 7) AS kappa FROM rho", "rho"))
@@ -130,34 +129,34 @@ def merge_terms(spark, d):
 
 @query("G13_boosted_walk_forward")
 def boosted_walk_forward(spark, d):
-    return models.boosted_walk_forward(wide_rows(Parts(spark, d)), ["a", "b"], {"maxIter": 4, "maxDepth": 2})[0]
+    return models.boosted_walk_forward(models.with_settings(wide_rows(Parts(spark, d))), ["a", "b"])
 
 
 #: G14's inner walk-forward trains on at most so many rows.
 TUNING_TRAIN = 252
+#: G14's grid of tree depths.
+DEPTHS = (1, 2, 3)
 
 
 @query("G14_tune_grid")
 def tune_grid(spark, d):
-    """Two settings of the boosted model, scored per tuning period by pooled rank IC over the folds inside its window."""
+    """The boosted model's depth, scored per target and tuning period by pooled rank IC over the folds inside its window."""
     p = Parts(spark, d)
-    inner = models.tuning_folds(p.folds, p.labels, H, fx.TUNING, min(fx.TRAIN, TUNING_TRAIN), fx.TEST, fx.EMBARGO).persist()
-    rows = models.fold_rows(p.labels, inner).join(two_inputs(p), ["target_id", "rn"])
-    periods = F.broadcast(inner.select("fold_id", "tuning_id").distinct())
-    scores = None
-    for depth in (1, 2):
-        out, _ = models.boosted_walk_forward(rows, ["a", "b"], {"maxIter": 3, "maxDepth": depth})
-        one = scoring.rank_ic(out.filter("part = 'test'").join(periods, "fold_id"), ["tuning_id"]).withColumn("params", F.lit(f"depth {depth}"))
-        scores = one if scores is None else scores.unionByName(one)
+    inner = models.tuning_folds(p.folds, p.labels, H, fx.TUNING, min(fx.TRAIN, TUNING_TRAIN), fx.TEST, fx.EMBARGO)
+    rows = models.fold_rows(p.labels.join(two_inputs(p), ["target_id", "rn"]), inner)
+    grid = F.explode(F.array(*[F.struct(F.lit(f"depth {n}").alias("params"), F.lit(n).alias("depth")) for n in DEPTHS])).alias("g")
+    settings = models.with_settings(rows, rounds=3).drop("params", "depth").select("*", grid).select("*", "g.params", "g.depth").drop("g")
+    made = models.boosted_walk_forward(settings, ["a", "b"]).filter("part = 'test'").join(inner.select("target_id", "fold_id", "tuning_id"), ["target_id", "fold_id"])
+    scores = scoring.rank_ic(made.withColumnRenamed("model_id", "params"), ["target_id", "tuning_id", "params"])
     return models.tune_grid(scores)
 
 
 @query("G15_feature_importance")
 def feature_importance(spark, d):
+    """Shares of the inputs in each target's latest fold."""
     p = Parts(spark, d)
-    last = p.folds.agg(F.max("fold_id")).first()[0]
-    _, found = models.boosted_walk_forward(wide_rows(p), ["a", "b"], {"maxIter": 3, "maxDepth": 2}, [] if last is None else [last])
-    return spark.createDataFrame(sorted(found.items()), "input string, importance double")
+    rows = models.fold_rows(p.labels.join(two_inputs(p), ["target_id", "rn"]), models.latest_fold(p.purged))
+    return models.feature_importance(models.with_settings(rows), ["a", "b"])
 
 
 # G16: two stored equations over all complete rows of the panel -------------------------------------------------------
@@ -188,9 +187,26 @@ def product_attribution(spark, d):
     return rounded(models.product_attribution(rows, ["a", "b"], [(2.0, ("a",)), (3.0, ("a", "b"))]), "phi_a", "phi_b", places=10)
 
 
-@query("G18_latest_fold", fx.sql("SELECT * FROM purged QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY fold_id DESC) = 1", "purged"))
+fx.cte("lastfold", "SELECT * FROM purged QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY fold_id DESC) = 1", "purged")
+
+
+@query(
+    "G18_latest_fold",
+    fx.sql(
+        f"""SELECT l.*, coalesce(k.signals, '') AS signals, round(f.slope, 6) AS slope, round(f.base, 8) AS base FROM lastfold l
+LEFT JOIN (SELECT target_id, fold_id, string_agg(series_id, ',' ORDER BY series_id) AS signals FROM ({FOLD_SCREEN}) WHERE kept GROUP BY 1, 2) k USING (target_id, fold_id)
+LEFT JOIN (SELECT target_id, fold_id, CASE WHEN min(b) < max(b) THEN regr_slope(y, b) ELSE 0 END AS slope, CASE WHEN min(b) < max(b) THEN regr_intercept(y, b) ELSE avg(y) END AS base FROM inp WHERE part = 'train' AND y IS NOT NULL AND b IS NOT NULL GROUP BY 1, 2) f USING (target_id, fold_id)""",
+        "lastfold", "ftrain", "inp",
+    ),
+)
 def latest_fold(spark, d):
-    return models.latest_fold(Parts(spark, d).purged)
+    p = Parts(spark, d)
+    last = models.latest_fold(p.purged)
+    x = p.panel.select("target_id", "rn", "series_id", "x")
+    seen = models.fold_rows(p.labels.join(x, ["target_id", "rn"]), last).filter("part = 'train'").withColumns({"x": F.round("x", 9), "y": F.round("y", 9)})
+    fits = models.shape_coefs(models.fold_rows(p.labels.join(two_inputs(p), ["target_id", "rn"]), last), "b")
+    out = models.latest_fold_fit(p.purged, rounded(scoring.screen_over_folds(seen), "rank_ic"), fits)
+    return rounded(rounded(out, "slope", places=6), "base")
 
 
 # L ---------------------------------------------------------------------------------------------------------------------
@@ -208,7 +224,7 @@ def last_observed(spark, d):
     return rounded(scenario.last_observed(p.signals, as_of(p)), "value", places=6)
 
 
-fx.cte("shock", "SELECT c_custkey AS scenario_id, series_id, CASE WHEN c_custkey % 11 = 0 THEN 'n/a' ELSE CAST(c_custkey % 400 - 200 AS VARCHAR) END AS amount, CASE WHEN c_custkey % 2 = 0 THEN 'percent' ELSE 'absolute' END AS kind FROM customer JOIN (SELECT DISTINCT series_id FROM signals WHERE series_id LIKE 'disc%' OR series_id LIKE 'ret%') ON true WHERE c_custkey <= 200", "signals")
+fx.cte("shock", "SELECT c_custkey AS scenario_id, series_id, CASE WHEN c_custkey % 11 = 0 THEN 'n/a' ELSE CAST(c_custkey % 400 - 200 AS VARCHAR) END AS amount, CASE WHEN c_custkey % 2 = 0 THEN 'percent' ELSE 'absolute' END AS kind FROM customer JOIN (SELECT DISTINCT series_id FROM signals WHERE series_id LIKE 'disc%' OR series_id LIKE 'ret%') ON true", "signals")
 fx.cte(
     "levelled",
     """SELECT scenario_id, series_id, base, CASE WHEN error IS NULL THEN level END AS level, error FROM (
@@ -220,9 +236,9 @@ fx.cte(
 
 
 def shocks(spark, d, p):
-    ids = fx.table(spark, d, "customer").filter("c_custkey <= 200").select(F.col("c_custkey").alias("scenario_id"))
+    ids = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("scenario_id"))
     series = p.signals.select("series_id").distinct().filter(F.col("series_id").startswith("disc") | F.col("series_id").startswith("ret"))
-    rows = ids.join(F.broadcast(series), how="cross")
+    rows = ids.crossJoin(series)  # a scenario shocks every series
     amount = F.when(F.col("scenario_id") % 11 == 0, "n/a").otherwise((F.col("scenario_id") % 400 - 200).cast("string"))
     return rows.withColumn("amount", amount).withColumn("kind", F.when(F.col("scenario_id") % 2 == 0, "percent").otherwise("absolute"))
 
@@ -253,7 +269,6 @@ def shocked_inputs(spark, d):
     return rounded(shocked_rows(spark, d, Parts(spark, d)), "base", "shocked")
 
 
-fx.cte("lastfold", "SELECT * FROM purged QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY fold_id DESC) = 1", "purged")
 fx.cte("ranges", "SELECT p.target_id, p.series_id, min(p.x) AS lo, max(p.x) AS hi FROM panel p JOIN lastfold f ON f.target_id = p.target_id AND p.rn BETWEEN f.train_lo AND f.train_hi GROUP BY 1, 2", "panel", "lastfold")
 
 
@@ -292,7 +307,7 @@ def signals_read(spark, d):
 @query(
     "L7_reoptimise",
     fx.sql(
-        f"""SELECT date, level, s.scenario_id, round(least(greatest(w_level + 0.5 * (diff + s.shift) * CASE WHEN level = 5 OR premium <= 0 OR w_mv IS NULL THEN 0 ELSE greatest(w_level - w_mv, 0) / premium END, {portfolio.BOUNDS[0]}), {portfolio.BOUNDS[1]}), 6) AS equity FROM brk CROSS JOIN (SELECT unnest(range(1, 11)) AS scenario_id, unnest(range(1, 11)) * 0.0005 - 0.003 AS shift) s WHERE date = (SELECT max(date) FROM brk)""",
+        f"""SELECT date, level, s.scenario_id, round(least(greatest(w_level + trust * (diff + s.shift) * CASE WHEN level = 5 OR premium <= 0 OR w_mv IS NULL THEN 0 ELSE greatest(w_level - w_mv, 0) / premium END, {portfolio.BOUNDS[0]}), {portfolio.BOUNDS[1]}), 6) AS equity FROM brk CROSS JOIN (SELECT unnest(range(1, 11)) AS scenario_id, unnest(range(1, 11)) * 0.0005 - 0.003 AS shift) s WHERE date = (SELECT max(date) FROM brk)""",
         "brk",
     ),
 )
@@ -304,15 +319,6 @@ def reoptimise(spark, d):
     return rounded(out.select("date", "level", "scenario_id", "equity"), "equity", places=6)
 
 
-@query("L8_portfolio_impact")
+@query("L8_portfolio_impact", fx.sql(f"SELECT 'pair' AS portfolio_id, {', '.join(f'round(s.{t} - b.{t}, 7) + 0.0 AS d_{t}' for t in TAIL)} FROM btail b CROSS JOIN stail s WHERE (SELECT count(*) FROM hist) = 500", "btail", "stail", "hist"))
 def portfolio_impact(spark, d):
     return rounded(scenario.portfolio_impact(tail_of(spark, d), tail_of(spark, d, 0.002, 0.003)), *[f"d_{t}" for t in TAIL], places=7)
-
-
-@query("J13_forecast_value", fx.sql("SELECT date, level, round(equity - w_level, 6) + 0.0 AS tilt_taken FROM brk", "brk"))
-def forecast_value(spark, d):
-    """The schedule against the same level without trust: the weight that forecasts add."""
-    p = Plan(spark, d)
-    plain = portfolio.weight_breakdown(portfolio.with_levels(p.inputs.withColumn("trust", F.lit(0.0)))).select("date", "level", F.col("equity").alias("plain"))
-    out = p.breakdown.join(plain, ["date", "level"])
-    return rounded(out.select("date", "level", (F.col("equity") - F.col("plain")).alias("tilt_taken")), "tilt_taken", places=6)

@@ -50,6 +50,17 @@ class Parts:
         return models.fold_rows(self.labels, self.purged)
 
 
+def wide_rows(p):
+    """Rows of every fold with the two inputs a and b, joined before the folds repeat them."""
+    return models.fold_rows(p.labels.join(two_inputs(p), ["target_id", "rn"]), p.purged)
+
+
+def series_rows(p, *series: str):
+    """Rows of every fold for each series of the panel (or those named)."""
+    x = p.panel.select("target_id", "rn", "series_id", "x")
+    return models.fold_rows(p.labels.join(x.filter(F.col("series_id").isin(*series)) if series else x, ["target_id", "rn"]), p.purged)
+
+
 @query("E1_target_calendar", fx.sql("SELECT target_id, date, round(price, 12) AS price, rn FROM cal", "cal"))
 def target_calendar(spark, d):
     return rounded(Parts(spark, d).calendar, "price", places=12)
@@ -124,19 +135,30 @@ def common_calendar(spark, d):
     return panel.common_calendar(pair_prices(Parts(spark, d)).withColumnRenamed("portfolio_id", "group_id"))
 
 
+fx.cte("start", "SELECT min(date) AS first FROM common", "common")
+fx.cte(
+    "joint",
+    f"""SELECT asset, date, rn, age, CASE WHEN age <= 3 THEN price END AS x FROM (
+  SELECT c.asset, c.date, c.rn, p.price, c.rn - coalesce((SELECT max(u.rn) FROM jcal u WHERE u.date <= p.date), 0) AS age FROM (SELECT * FROM jcal CROSS JOIN (SELECT '{fx.EQUITY}' AS t, 'equity' AS asset UNION ALL SELECT '{fx.BOND}', 'bond')) c
+  ASOF LEFT JOIN (SELECT * FROM prices WHERE price IS NOT NULL) p ON p.target_id = c.t AND c.date >= p.date)""",
+    "jcal", "prices",
+)
+fx.cte(
+    "jcal",
+    f"""SELECT date, row_number() OVER (ORDER BY date) AS rn FROM (SELECT DISTINCT date FROM prices WHERE target_id IN {PAIR} AND price IS NOT NULL) WHERE date BETWEEN (SELECT first FROM start) AND (SELECT min(m) FROM (SELECT max(date) AS m FROM prices WHERE target_id IN {PAIR} GROUP BY target_id))""",
+    "prices", "start",
+)
+
+
 @query(
-    "C8_joint_calendar",
-    fx.sql(
-        f"""SELECT 'pair' AS portfolio_id, asset, count(*) AS days, count(*) - count(price) AS closed, count(*) FILTER (age = 4) AS long_gaps FROM (
-  SELECT asset, price, rn - max(CASE WHEN price IS NOT NULL THEN rn END) OVER (PARTITION BY asset ORDER BY rn ROWS UNBOUNDED PRECEDING) AS age FROM (
-    SELECT a.asset, p.price, row_number() OVER (PARTITION BY a.asset ORDER BY u.date) AS rn FROM (SELECT DISTINCT date FROM prices WHERE target_id IN {PAIR}) u
-    CROSS JOIN (SELECT '{fx.EQUITY}' AS t, 'equity' AS asset UNION ALL SELECT '{fx.BOND}', 'bond') a LEFT JOIN prices p ON p.target_id = a.t AND p.date = u.date
-    WHERE u.date BETWEEN (SELECT max(m) FROM (SELECT min(date) AS m FROM prices WHERE target_id IN {PAIR} GROUP BY target_id)) AND (SELECT min(m) FROM (SELECT max(date) AS m FROM prices WHERE target_id IN {PAIR} GROUP BY target_id)))) GROUP BY asset""",
-        "prices",
-    ),
+    "C8_joint_returns",
+    fx.sql("SELECT 'pair' AS portfolio_id, asset, date, round(CASE WHEN rn = 1 THEN CASE WHEN x IS NOT NULL THEN 0 END ELSE x / lag(x) OVER (PARTITION BY asset ORDER BY rn) - 1 END, 8) AS r, coalesce(age, 0) > 0 AS closed, x IS NULL AS gap FROM joint", "joint"),
 )
 def joint_calendar(spark, d):
-    return portfolio.joint_calendar_gaps(pair_prices(Parts(spark, d)))
+    prices = pair_prices(Parts(spark, d))
+    common = panel.common_calendar(prices.withColumnRenamed("portfolio_id", "group_id"))
+    starts = common.groupBy(F.col("group_id").alias("portfolio_id")).agg(F.min("date").alias("first"))
+    return rounded(portfolio.joint_calendar_returns(prices, starts), "r")
 
 
 @query("E2_stationary", fx.sql("SELECT target_id, series_id, date, rn, round(t, 6) AS t FROM moved WHERE t IS NOT NULL", "moved"))
@@ -256,14 +278,14 @@ def autocorr_overlap(spark, d):
 @query(
     "C9_asof_forecast",
     fx.sql(
-        "SELECT a.target_id, a.date, round(b.y, 8) AS predicted, b.date AS made FROM (SELECT target_id, date FROM cal WHERE rn % 7 = 0) a ASOF LEFT JOIN (SELECT target_id, date, y FROM labels WHERE rn % 11 = 0 AND y IS NOT NULL) b ON a.target_id = b.target_id AND a.date >= b.date",
+        "SELECT a.target_id, a.date, round(b.y, 8) AS predicted, b.date AS made FROM (SELECT target_id, date FROM cal) a ASOF LEFT JOIN (SELECT target_id, date, y FROM labels WHERE isodow(date) = 1 AND y IS NOT NULL) b ON a.target_id = b.target_id AND a.date >= b.date",
         "cal", "labels",
     ),
 )
 def asof_forecast(spark, d):
     p = Parts(spark, d)
-    made = p.labels.filter("rn % 11 = 0").select("target_id", "date", F.col("y").alias("predicted"))
-    return rounded(panel.asof_forecast(p.calendar.filter("rn % 7 = 0"), made), "predicted")
+    made = p.labels.filter(F.weekday("date") == 0).select("target_id", "date", F.col("y").alias("predicted"))
+    return rounded(panel.asof_forecast(p.calendar, made), "predicted")
 
 
 @query("C10_rows_in_fold", fx.sql("SELECT target_id, fold_id, part, count(*) AS n, min(rn) AS first_rn, max(rn) AS last_rn, round(avg(y), 8) AS mean_y FROM frows GROUP BY 1, 2, 3", "frows"))
@@ -274,29 +296,27 @@ def rows_in_fold(spark, d):
 
 @query(
     "C11_pairs_known_by",
-    fx.sql("SELECT l.target_id AS portfolio_id, c.date AS rebalance, count(*) AS n, round(sum(l.y), 6) AS total FROM labels l JOIN cal c ON c.target_id = l.target_id AND l.label_end < c.date WHERE c.rn % 50 = 0 GROUP BY 1, 2", "labels", "cal"),
+    fx.sql("SELECT l.target_id AS portfolio_id, c.date AS rebalance, count(*) AS n, round(sum(l.y), 6) AS total FROM labels l JOIN cal c ON c.target_id = l.target_id AND l.label_end < c.date GROUP BY 1, 2", "labels", "cal"),
 )
 def pairs_known_by(spark, d):
     p = Parts(spark, d)
-    due = p.calendar.filter("rn % 50 = 0").withColumnRenamed("target_id", "portfolio_id")
-    known = panel.pairs_known_by(p.labels.withColumnRenamed("target_id", "portfolio_id"), due.select("portfolio_id", "date"))
-    return rounded(known.groupBy("portfolio_id", "rebalance").agg(F.count("*").alias("n"), F.sum("y").alias("total")), "total", places=6)
+    name = lambda df: df.withColumnRenamed("target_id", "portfolio_id")
+    return rounded(panel.pairs_known_by(name(p.labels), name(p.calendar), {"total": F.col("y")}), "total", places=6)
 
 
 @query(
     "B7_clip_standardise",
     fx.sql(
-        """SELECT target_id, fold_id, part, count(z) AS n, round(sum(z), 4) AS total, round(max(z), 6) AS most FROM (
-  SELECT target_id, fold_id, part, (least(greatest(x, m - 4 * s), m + 4 * s) - m) / CASE WHEN s = 0 THEN 1 ELSE s END AS z FROM (
-    SELECT r.target_id, r.fold_id, r.part, p.x, avg(p.x) FILTER (r.part = 'train') OVER w AS m, stddev_samp(p.x) FILTER (r.part = 'train') OVER w AS s FROM frows r JOIN panel p ON p.target_id = r.target_id AND p.rn = r.rn AND p.series_id = 'ret_A'
-    WINDOW w AS (PARTITION BY r.target_id, r.fold_id)) WHERE x IS NOT NULL) GROUP BY 1, 2, 3""",
+        """SELECT target_id, series_id, fold_id, part, count(z) AS n, round(sum(z), 4) AS total, round(max(z), 6) AS most FROM (
+  SELECT target_id, series_id, fold_id, part, (least(greatest(x, m - 4 * s), m + 4 * s) - m) / CASE WHEN s = 0 THEN 1 ELSE s END AS z FROM (
+    SELECT r.target_id, p.series_id, r.fold_id, r.part, p.x, avg(p.x) FILTER (r.part = 'train') OVER w AS m, stddev_samp(p.x) FILTER (r.part = 'train') OVER w AS s FROM frows r JOIN panel p ON p.target_id = r.target_id AND p.rn = r.rn
+    WINDOW w AS (PARTITION BY r.target_id, p.series_id, r.fold_id)) WHERE x IS NOT NULL) GROUP BY 1, 2, 3, 4""",
         "frows", "panel",
     ),
 )
 def clip_standardise(spark, d):
-    p = Parts(spark, d)
-    rows = p.rows.join(p.panel.filter("series_id = 'ret_A'").select("target_id", "rn", "series_id", "x"), ["target_id", "rn"])
-    z = panel.clip_standardise(rows).groupBy("target_id", "fold_id", "part").agg(F.count("z").alias("n"), F.sum("z").alias("total"), F.max("z").alias("most"))
+    rows = series_rows(Parts(spark, d)).filter("x IS NOT NULL")
+    z = panel.clip_standardise(rows).groupBy("target_id", "series_id", "fold_id", "part").agg(F.count("z").alias("n"), F.sum("z").alias("total"), F.max("z").alias("most"))
     return rounded(rounded(z, "total", places=4), "most", places=6)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from panelcast.operators import panel, portfolio, risk, scoring
+from panelcast.operators import portfolio, risk
 from panelcast.plans import fixtures as fx
 from panelcast.plans.panel_queries import PAIR, Parts, pair_prices, wide_returns
 from panelcast.plans.register import query, r, rounded
@@ -207,20 +207,28 @@ def comparison_table(spark, d):
     return rounded(portfolio.comparison_table(metrics, list(METRICS)).drop("portfolio_id"), "optimised", "benchmark", "difference", places=6)
 
 
-@query(
-    "J14_directional_pnl",
-    fx.sql(
-        f"""SELECT target_id, count(*) AS steps, count(*) - count(predicted) AS no_forecast, round(avg(CASE WHEN predicted IS NOT NULL THEN CASE WHEN (predicted > 0) = (realised > 0) THEN 1.0 ELSE 0.0 END END), 8) AS hit_rate, round(avg(CASE WHEN coalesce(predicted > 0, false) THEN 1.0 ELSE 0.0 END), 8) AS invested,
-round(product(1 + CASE WHEN coalesce(predicted > 0, false) THEN realised ELSE 0 END) - 1, 6) AS strategy, round(product(1 + realised) - 1, 6) AS hold, max(date) AS last_step
-FROM (SELECT *, min(rn) OVER (PARTITION BY target_id) AS first_rn FROM sig WHERE model_id = 'shape') WHERE realised IS NOT NULL AND (rn - first_rn) % {fx.HORIZON} = 0 GROUP BY 1""",
-        "sig",
-    ),
-)
+HELD = f"date - (isodow(date) - 1)::INT + ((least(isodow(date) - 1, 4) + {fx.HORIZON}) // 5 * 7 + (least(isodow(date) - 1, 4) + {fx.HORIZON}) % 5)::INT"
+
+
+def directional_sql(window: str) -> str:
+    return f"""SELECT target_id, max(days) AS days, count(*) AS steps, count(*) - count(predicted) AS no_forecast, round(avg(CASE WHEN predicted IS NOT NULL THEN CASE WHEN (predicted > 0) = (realised > 0) THEN 1.0 ELSE 0.0 END END), 8) AS hit_rate, round(avg(CASE WHEN coalesce(predicted > 0, false) THEN 1.0 ELSE 0.0 END), 8) AS invested,
+round(product(1 + CASE WHEN coalesce(predicted > 0, false) THEN realised ELSE 0 END) - 1, 6) AS strategy, round(product(1 + realised) - 1, 6) AS hold, min(date) AS first_step, max(date) AS last_step, max(held) AS held_until FROM (
+  SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY target_id) AS days FROM (SELECT *, coalesce(lead(date, {fx.HORIZON}) OVER (PARTITION BY target_id ORDER BY date), {HELD}) AS held FROM sig WHERE model_id = 'shape') WHERE realised IS NOT NULL{window})
+WHERE i % {fx.HORIZON} = 0 GROUP BY 1"""
+
+
+@query("J14_directional_pnl", fx.sql(directional_sql(""), "sig"))
 def directional_pnl(spark, d):
     out = portfolio.directional_pnl(signals_of(Parts(spark, d)).filter("model_id = 'shape'"), fx.HORIZON)
     return rounded(rounded(out, "hit_rate", "invested"), "strategy", "hold", places=6)
 
 
+@query("J14_directional_window", fx.sql(directional_sql(" AND date BETWEEN DATE '1996-01-01' AND DATE '1997-06-30'"), "sig"))
+def directional_window(spark, d):
+    out = portfolio.directional_pnl(signals_of(Parts(spark, d)).filter("model_id = 'shape'"), fx.HORIZON, "1996-01-01", "1997-06-30")
+    return rounded(rounded(out, "hit_rate", "invested"), "strategy", "hold", places=6)
+
+
 # construction ------------------------------------------------------------------------------------------------------
 H = fx.HORIZON
 START = max(fx.TRAIN, fx.TUNING) + fx.EMBARGO
@@ -233,12 +241,12 @@ fx.cte(
 JOIN labels le ON le.target_id = e.target_id AND le.rn = e.rn JOIN labels lb ON lb.target_id = b.target_id AND lb.rn = b.rn WHERE e.target_id = '{fx.EQUITY}' AND e.model_id = 'shape'""",
     "sig", "labels",
 )
-fx.cte("known", "SELECT r.date AS rebalance, t.o, t.x, t.y FROM tp t JOIN (SELECT date FROM reb WHERE month(date) % 6 = 0) r ON t.label_end < r.date", "tp", "reb")
+fx.cte("known", "SELECT r.date AS rebalance, t.o, t.x, t.y FROM tp t JOIN reb r ON t.label_end < r.date", "tp", "reb")
 hac_ctes("thac", "known", ["rebalance"], str(H - 1))
 fx.cte(
     "trust",
     """SELECT r.date, CASE WHEN coalesce(slope / greatest(se_bartlett, se_uniform) > 2, false) THEN least(greatest(slope, 0), 1) ELSE 0 END AS trust, n IS NOT NULL AND NOT coalesce(slope / greatest(se_bartlett, se_uniform) > 2, false) AS gate_shut
-FROM (SELECT date FROM reb WHERE month(date) % 6 = 0) r LEFT JOIN (SELECT * FROM thac WHERE n >= 252) t ON t.rebalance = r.date""",
+FROM reb r LEFT JOIN (SELECT * FROM thac WHERE n >= 252) t ON t.rebalance = r.date""",
     "reb", "thac",
 )
 LO, HI = portfolio.BOUNDS
@@ -258,8 +266,8 @@ fx.cte(
 fx.cte(
     "brk",
     f"""SELECT *, least(greatest(w_level + tilt, {LO}), {HI}) AS equity, w_level + tilt <> least(greatest(w_level + tilt, {LO}), {HI}) AS capped FROM (
-  SELECT l.*, p.premium, s.diff, 0.5 * s.diff * CASE WHEN level = 5 OR p.premium <= 0 OR w_mv IS NULL THEN 0 ELSE greatest(w_level - w_mv, 0) / p.premium END AS tilt FROM lev l JOIN prem p ON p.date = l.date JOIN (SELECT date, x AS diff FROM tp) s ON s.date = l.date)""",
-    "lev", "prem", "tp",
+  SELECT l.*, p.premium, s.diff, t.trust, t.trust * s.diff * CASE WHEN level = 5 OR p.premium <= 0 OR w_mv IS NULL THEN 0 ELSE greatest(w_level - w_mv, 0) / p.premium END AS tilt FROM lev l JOIN prem p ON p.date = l.date JOIN (SELECT date, x AS diff FROM tp) s ON s.date = l.date JOIN trust t ON t.date = l.date)""",
+    "lev", "prem", "tp", "trust",
 )
 
 
@@ -286,8 +294,10 @@ class Plan:
     @property
     def inputs(self):
         base = self.cov.join(portfolio.long_run_premium(self.wide, H), ["portfolio_id", "date"])
-        diff = self.trust_pairs.select("portfolio_id", "date", F.col("x").alias("signal_diff"))
-        return base.join(diff, ["portfolio_id", "date"]).withColumn("trust", F.lit(0.5))
+        pairs = self.trust_pairs
+        diff = pairs.select("portfolio_id", "date", F.col("x").alias("signal_diff"))
+        trust = portfolio.forecast_trust(pairs, self.rebalances, H).select("portfolio_id", "date", "trust")
+        return base.join(diff, ["portfolio_id", "date"]).join(trust, ["portfolio_id", "date"])
 
     @property
     def breakdown(self):
@@ -317,9 +327,7 @@ def trust_pairs(spark, d):
 @query("H5_forecast_trust", fx.sql("SELECT 'pair' AS portfolio_id, date, round(trust, 6) AS trust, gate_shut FROM trust", "trust"))
 def forecast_trust(spark, d):
     p = Plan(spark, d)
-    due = p.rebalances.filter(F.month("date") % 6 == 0).select("portfolio_id", "date")
-    known = panel.pairs_known_by(p.trust_pairs, due)
-    return rounded(portfolio.forecast_trust(known, due, H), "trust", places=6)
+    return rounded(portfolio.forecast_trust(p.trust_pairs, p.rebalances, H), "trust", places=6)
 
 
 @query("H6_min_variance", fx.sql("SELECT date, round(d, 12) AS d, round(w_mv, 6) AS w_mv, round(w_low, 6) AS w_low FROM mv", "mv"))
@@ -344,10 +352,83 @@ def weight_schedule(spark, d):
 
 @query(
     "H10_market_conditions",
-    fx.sql(f"SELECT 'pair' AS portfolio_id, level, date, round(equity, 6) AS equity, round(tilt, 6) AS tilt, 0.5 AS trust, round(sqrt(var_e * 252 / {H}), 6) AS vol_e, round(sqrt(var_b * 252 / {H}), 6) AS vol_b, round(sqrt({variance_sql('equity')} * 252 / {H}), 6) AS vol FROM brk WHERE date = (SELECT max(date) FROM brk)", "brk"),
+    fx.sql(f"SELECT 'pair' AS portfolio_id, level, date, round(equity, 6) AS equity, round(tilt, 6) AS tilt, round(trust, 6) AS trust, round(sqrt(var_e * 252 / {H}), 6) AS vol_e, round(sqrt(var_b * 252 / {H}), 6) AS vol_b, round(sqrt({variance_sql('equity')} * 252 / {H}), 6) AS vol FROM brk WHERE date = (SELECT max(date) FROM brk)", "brk"),
 )
 def market_conditions(spark, d):
-    return rounded(portfolio.market_conditions(Plan(spark, d).breakdown, H), "equity", "tilt", "vol_e", "vol_b", "vol", places=6)
+    return rounded(portfolio.market_conditions(Plan(spark, d).breakdown, H), "equity", "tilt", "trust", "vol_e", "vol_b", "vol", places=6)
+
+
+# J13: both schedules of every level, backtested; SQL walks the same closed form level by level
+def level_path_ctes(prefix: str, weight: str) -> None:
+    fx.cte(
+        f"{prefix}_drift",
+        f"""SELECT level, date, asset, seg, weight, v, coalesce(g / v, 0) AS drifted FROM (SELECT *, sum(g) OVER (PARTITION BY level, date) AS v FROM (
+    SELECT *, CASE WHEN seg > 0 THEN w0 * product(1 + coalesce(r, 0)) OVER (PARTITION BY level, asset, seg ORDER BY date ROWS UNBOUNDED PRECEDING) END AS g FROM (
+      SELECT p.level, p.date, p.asset, p.r, w.weight, count(w.weight) OVER b AS seg, last_value(w.weight IGNORE NULLS) OVER b AS w0 FROM (SELECT * FROM pret CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS level)) p
+      LEFT JOIN (SELECT level, date, a.asset, CASE a.asset WHEN 'equity' THEN {weight} ELSE 1 - ({weight}) END AS weight FROM brk CROSS JOIN (SELECT unnest(['equity', 'bond']) AS asset) a WHERE {weight} IS NOT NULL) w ON w.level = p.level AND w.date = p.date AND w.asset = p.asset
+      WINDOW b AS (PARTITION BY p.level, p.asset ORDER BY p.date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))))""",
+        "pret", "brk",
+    )
+    fx.cte(
+        f"{prefix}_path",
+        f"""SELECT level, date, (1 + gross) * (1 - CASE WHEN k = 1 THEN 0 ELSE cost END) * (1 - CASE WHEN k = 2 THEN before ELSE 0 END) - 1 AS net FROM (
+  SELECT *, row_number() OVER (PARTITION BY level ORDER BY date) AS k, lag(cost) OVER (PARTITION BY level ORDER BY date) AS before FROM (
+    SELECT level, date, seg, CASE WHEN seg > 0 THEN v / coalesce(lag(v) OVER (PARTITION BY level, seg ORDER BY date), 1) - 1 END AS gross, cost, named FROM (
+      SELECT level, date, max(seg) AS seg, max(v) AS v, count(weight) AS named, coalesce(sum(abs(weight - drifted) * CASE asset WHEN 'equity' THEN {fx.EQUITY_BPS} ELSE {fx.BOND_BPS} END / 10000), 0) AS cost FROM {prefix}_drift GROUP BY 1, 2))
+  WHERE seg > 0 OR named > 0)""",
+        f"{prefix}_drift",
+    )
+
+
+level_path_ctes("told", "equity")
+level_path_ctes("plain", "w_level")
+fx.cte(
+    "worth",
+    "SELECT t.level, t.date, t.net - p.net AS d, row_number() OVER (PARTITION BY t.level ORDER BY t.date) AS i, t.net - p.net - avg(t.net - p.net) OVER (PARTITION BY t.level) AS e, CAST(floor(4 * pow(count(*) OVER (PARTITION BY t.level) / 100, 2 / 9)) AS INT) AS lags FROM told_path t JOIN plain_path p ON p.level = t.level AND p.date = t.date WHERE t.net IS NOT NULL AND p.net IS NOT NULL",
+    "told_path", "plain_path",
+)
+
+
+@query(
+    "J13_forecast_value",
+    fx.sql(
+        f"""SELECT *, CASE WHEN spread_t IS NULL THEN 'undefined' WHEN spread_t >= 2 THEN 'outperforms' WHEN spread_t <= -2 THEN 'underperforms' ELSE 'not significant' END AS verdict FROM (
+  SELECT w.level, count(*) AS days, round(stddev_samp(d) * {ROOT}, 6) AS tracking_error, round(CASE WHEN min(d) < max(d) THEN avg(d) / (sqrt(max(l.s)) / count(*)) END, 4) AS spread_t, max(lags) AS lags FROM worth w
+  JOIN (SELECT a.level, sum(CASE WHEN a.l = 0 THEN 1 ELSE 2 * (1 - a.l / (a.lags + 1)) END * a.e * b.e) AS s FROM (SELECT *, unnest(range(lags + 1)) AS l FROM worth) a JOIN worth b ON b.level = a.level AND b.i = a.i - a.l GROUP BY 1) l ON l.level = w.level GROUP BY 1)""",
+        "worth",
+    ),
+)
+def forecast_value(spark, d):
+    """The schedule of every level against the same level without forecasts, both backtested net of costs."""
+    plan, book = Plan(spark, d), Book(spark, d)
+    returns = book.returns.withColumn("level", F.explode(F.array(*map(F.lit, portfolio.LEVELS))))
+    named = lambda df: df.withColumn("portfolio_id", F.concat_ws("/", "portfolio_id", "level"))
+    breakdown = plan.breakdown
+    kinds = {}
+    for kind, weight in (("told", "equity"), ("plain", "w_level")):
+        schedule = portfolio.schedule(breakdown.withColumn("equity", F.col(weight)))
+        kinds[kind] = portfolio.portfolio_path(named(returns).drop("level"), named(schedule).drop("level"), book.costs)
+    out = portfolio.forecast_value(kinds["told"], kinds["plain"], ["portfolio_id"])
+    level = F.split_part("portfolio_id", F.lit("/"), F.lit(2)).cast("int")
+    return rounded(rounded(out, "tracking_error", places=6), "spread_t", places=4).select(level.alias("level"), "days", "tracking_error", "spread_t", "lags", "verdict")
+
+
+@query("M4_saved_paths", fx.sql("SELECT 'pair' AS run_key, p.date, round(p.net, 8) AS net, round(w.weight, 8) AS equity FROM opt_path p LEFT JOIN weights w ON w.date = p.date AND w.asset = 'equity'", "opt_path", "weights"))
+def saved_paths(spark, d):
+    from panelcast.operators import runlog
+
+    b = Book(spark, d)
+    daily = b.path.select(F.col("portfolio_id").alias("run_key"), "date", "net")
+    set_at = b.weights.filter("asset = 'equity'").select(F.col("portfolio_id").alias("run_key"), "date", F.col("weight").alias("equity"))
+    return rounded(runlog.saved_paths(daily, set_at, daily.select("run_key")), "net", "equity")
+
+
+@query("M4_run_weights", fx.sql("SELECT 'pair' AS portfolio_id, date, asset, round(weight, 8) AS weight FROM weights", "weights"))
+def run_weights(spark, d):
+    from panelcast.operators import runlog
+
+    b = Book(spark, d)
+    return rounded(runlog.of_runs(b.weights, b.due, "portfolio_id"), "weight")
 
 
 # tail risk -----------------------------------------------------------------------------------------------------------
@@ -366,7 +447,7 @@ def historical_var(spark, d):
 
 @query("K2_var_breaches", fx.sql(breach_sql(0.95, 13), "tret"))
 def var_breaches(spark, d):
-    return risk.var_breaches(target_returns(Parts(spark, d)), ["target_id"])
+    return risk.var_breaches(target_returns(Parts(spark, d)), ["target_id"]).drop("confidence")
 
 
 @query("K3_tail_table", fx.sql(f"SELECT *, 0.95 AS confidence FROM ({var_sql(0.95)}) JOIN ({breach_sql(0.95, 13)}) USING (target_id) UNION ALL SELECT *, 0.99 FROM ({var_sql(0.99)}) JOIN ({breach_sql(0.99, 3)}) USING (target_id)", "tret"))
@@ -388,20 +469,29 @@ def return_history(spark, d):
 
 
 fx.cte("draws", f"SELECT path, step, (path * 7919 + step * 104729 + path * step * 31) % 500 + 1 AS i FROM (SELECT unnest(range({DRAWS})) AS path) CROSS JOIN (SELECT unnest(range(1, {H + 1})) AS step)")
-fx.cte(
-    "bpath",
-    """SELECT *, value / greatest(1, max(value) OVER (PARTITION BY path ORDER BY step)) - 1 AS fall FROM (
+
+
+def bootstrap_ctes(prefix: str, draws: str, f_equity: float, f_bond: float) -> None:
+    fx.cte(
+        f"{prefix}path",
+        f"""SELECT *, value / greatest(1, max(value) OVER (PARTITION BY path ORDER BY step)) - 1 AS fall FROM (
   SELECT path, step, 0.6 * product(1 + e) OVER (PARTITION BY path ORDER BY step) + 0.4 * product(1 + b) OVER (PARTITION BY path ORDER BY step) AS value FROM (
-    SELECT d.path, d.step, h.e, h.b FROM draws d JOIN (SELECT i, equity - avg(equity) OVER () + 0.004 / 5 AS e, bond - avg(bond) OVER () + 0.001 / 5 AS b FROM hist) h ON h.i = d.i))""",
-    "draws", "hist",
-)
-fx.cte(
-    "btail",
-    f"""SELECT v.var, v.cvar, w.var AS day_var, w.cvar AS day_cvar, m.mean, m.volatility, f.mean_drawdown FROM (SELECT -max(r) AS var, -avg(r) AS cvar FROM (SELECT value - 1 AS r, row_number() OVER (ORDER BY value) AS i FROM bpath WHERE step = {H}) WHERE i <= {DRAWS // 20}) v
-CROSS JOIN (SELECT -max(r) AS var, -avg(r) AS cvar FROM (SELECT value - 1 AS r, row_number() OVER (ORDER BY value) AS i FROM bpath WHERE step = 1) WHERE i <= {DRAWS // 20}) w
-CROSS JOIN (SELECT avg(value - 1) AS mean, stddev_samp(value - 1) AS volatility FROM bpath WHERE step = {H}) m CROSS JOIN (SELECT avg(least(fall, 0)) AS mean_drawdown FROM (SELECT min(fall) AS fall FROM bpath GROUP BY path)) f""",
-    "bpath",
-)
+    SELECT d.path, d.step, h.e, h.b FROM {draws} d JOIN (SELECT i, equity - avg(equity) OVER () + {f_equity} / {H} AS e, bond - avg(bond) OVER () + {f_bond} / {H} AS b FROM hist) h ON h.i = d.i))""",
+        draws, "hist",
+    )
+    fx.cte(
+        f"{prefix}tail",
+        f"""SELECT v.var, v.cvar, w.var AS day_var, w.cvar AS day_cvar, m.mean, m.volatility, f.mean_drawdown FROM (SELECT -max(r) AS var, -avg(r) AS cvar FROM (SELECT value - 1 AS r, row_number() OVER (ORDER BY value) AS i FROM {prefix}path WHERE step = {H}) WHERE i <= {DRAWS // 20}) v
+CROSS JOIN (SELECT -max(r) AS var, -avg(r) AS cvar FROM (SELECT value - 1 AS r, row_number() OVER (ORDER BY value) AS i FROM {prefix}path WHERE step = 1) WHERE i <= {DRAWS // 20}) w
+CROSS JOIN (SELECT avg(value - 1) AS mean, stddev_samp(value - 1) AS volatility FROM {prefix}path WHERE step = {H}) m CROSS JOIN (SELECT avg(least(fall, 0)) AS mean_drawdown FROM (SELECT min(fall) AS fall FROM {prefix}path GROUP BY path)) f""",
+        f"{prefix}path",
+    )
+
+
+fx.cte("hdraws", f"SELECT path, step, CAST(('0x' || substr(md5(concat_ws('-', 1, path, step)), 1, 12))::BIGINT % 500 + 1 AS INT) AS i FROM (SELECT unnest(range({DRAWS})) AS path) CROSS JOIN (SELECT unnest(range(1, {H + 1})) AS step)")
+bootstrap_ctes("b", "draws", 0.004, 0.001)
+bootstrap_ctes("s", "draws", 0.002, 0.003)
+bootstrap_ctes("h", "hdraws", 0.004, 0.001)
 TAIL = ("var", "cvar", "day_var", "day_cvar", "mean", "volatility", "mean_drawdown")
 
 
@@ -409,23 +499,23 @@ def tail_of(spark, d, f_equity=0.004, f_bond=0.001):
     past = history(spark, d)
     ids = past.select("portfolio_id").distinct()
     grid = spark.range(DRAWS).select(F.col("id").alias("path"), F.explode(F.sequence(F.lit(1), F.lit(H))).alias("step"))
-    draws = grid.withColumn("i", ((F.col("path") * 7919 + F.col("step") * 104729 + F.col("path") * F.col("step") * 31) % 500 + 1).cast("int")).join(F.broadcast(ids), how="cross")
+    draws = grid.withColumn("i", ((F.col("path") * 7919 + F.col("step") * 104729 + F.col("path") * F.col("step") * 31) % 500 + 1).cast("int"))
     paths = risk.bootstrap_paths(past, draws, ids.select("portfolio_id", F.lit(f_equity).alias("f_equity"), F.lit(f_bond).alias("f_bond")), ids.withColumn("w_equity", F.lit(0.6)), H)
     return risk.bootstrap_tail(paths, H)
 
 
-@query("K5_bootstrap_tail", fx.sql(f"SELECT 'pair' AS portfolio_id, {', '.join(f'round({t}, 7) AS {t}' for t in TAIL)} FROM btail", "btail"))
+@query("K5_bootstrap_tail", fx.sql(f"SELECT 'pair' AS portfolio_id, {', '.join(f'round({t}, 7) AS {t}' for t in TAIL)} FROM btail WHERE (SELECT count(*) FROM hist) = 500", "btail", "hist"))
 def bootstrap_tail(spark, d):
     return rounded(tail_of(spark, d), *TAIL, places=7)
 
 
-@query("K5_hashed_draws")
+@query("K5_hashed_draws", fx.sql(f"SELECT 'pair' AS portfolio_id, {', '.join(f'round({t}, 7) AS {t}' for t in TAIL)} FROM htail WHERE (SELECT count(*) FROM hist) = 500", "htail", "hist"))
 def hashed_draws(spark, d):
     past = history(spark, d)
     ids = past.select("portfolio_id").distinct()
-    draws = risk.hashed_draws(ids, DRAWS, H, 500)
+    draws = risk.hashed_draws(spark, DRAWS, H, 500)
     paths = risk.bootstrap_paths(past, draws, ids.select("portfolio_id", F.lit(0.004).alias("f_equity"), F.lit(0.001).alias("f_bond")), ids.withColumn("w_equity", F.lit(0.6)), H)
-    return risk.bootstrap_tail(paths, H)
+    return rounded(risk.bootstrap_tail(paths, H), *TAIL, places=7)
 
 
 @query("B16_early_start", fx.sql("SELECT 'pair' AS portfolio_id, min(date) AS first, min(date) < DATE '2005-05-01' AS early FROM reb", "reb"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelcast.operators import models, scoring
 from panelcast.plans import fixtures as fx
-from panelcast.plans.panel_queries import Parts, two_inputs
+from panelcast.plans.panel_queries import Parts, series_rows, wide_rows
 from panelcast.plans.register import query, r, rounded
 
 fx.cte("inp", "SELECT r.*, t.a, t.b FROM frows r JOIN two t ON t.target_id = r.target_id AND t.rn = r.rn", "frows", "two")
@@ -28,10 +28,8 @@ fx.cte("sig", "SELECT f.*, o.own_level, round(f.predicted - o.own_level, 13) AS
 
 
 def forecasts(p: Parts):
-    rows = p.rows.join(two_inputs(p), ["target_id", "rn"])
-    both = models.naive_mean(rows, ["a", "b"]).unionByName(models.shape_fit(rows, "b"))
-    # read by several aggregations of one query, so it is kept
-    return both.withColumn("predicted", F.round("predicted", 10)).withColumn("realised", F.round("realised", 10)).persist()
+    both = models.several(wide_rows(p), {"naive": models.naive_value(["a", "b"]), "shape": models.shape_value("b")})
+    return both.withColumn("predicted", F.round("predicted", 10)).withColumn("realised", F.round("realised", 10))
 
 
 def signals_of(p: Parts):
@@ -129,13 +127,12 @@ def screen_signals(spark, d):
     return rounded(scoring.screen_signals(*rounded_panel(Parts(spark, d))), "rank_ic")
 
 
-fx.cte("ftrain", "SELECT r.target_id, r.fold_id, p.series_id, round(p.x, 9) AS x, round(r.y, 9) AS y FROM frows r JOIN panel p ON p.target_id = r.target_id AND p.rn = r.rn AND p.series_id IN ('ret_A', 'disc_O', 'seg_BUILDING') WHERE r.part = 'train'", "frows", "panel")
+fx.cte("ftrain", "SELECT r.target_id, r.fold_id, p.series_id, round(p.x, 9) AS x, round(r.y, 9) AS y FROM frows r JOIN panel p ON p.target_id = r.target_id AND p.rn = r.rn WHERE r.part = 'train'", "frows", "panel")
 FOLD_SCREEN = f"SELECT *, coalesce(abs(rank_ic) > 0.02, false) AS kept FROM ({corr_sql(ranked_sql('ftrain', 'target_id, fold_id, series_id', 'x', 'y'), 'target_id, fold_id, series_id', 'rx', 'ry', 'rank_ic')})"
 
 
 def fold_screens(p: Parts):
-    x = p.panel.filter(F.col("series_id").isin("ret_A", "disc_O", "seg_BUILDING")).select("target_id", "rn", "series_id", F.round("x", 9).alias("x"))
-    rows = p.rows.filter("part = 'train'").withColumn("y", F.round("y", 9)).join(x, ["target_id", "rn"])
+    rows = series_rows(p).filter("part = 'train'").withColumns({"x": F.round("x", 9), "y": F.round("y", 9)})
     return rounded(scoring.screen_over_folds(rows), "rank_ic")
 
 
@@ -306,7 +303,7 @@ LEFT JOIN (SELECT * FROM fcast WHERE model_id = 'shape') f USING (target_id, fol
 )
 def walk_forward(spark, d):
     p = Parts(spark, d)
-    rows = p.rows.join(two_inputs(p), ["target_id", "rn"])
+    rows = wide_rows(p)
     kept = fold_screens(p).filter("series_id = 'disc_O' AND kept").select("target_id", "fold_id")
     out = models.walk_forward(rows, lambda x: models.shape_fit(x, "b"), kept)
     return rounded(out.groupBy("target_id", "fold_id", "part").agg(F.count("*").alias("n"), F.sum("predicted").alias("total")), "total", places=5)

@@ -20,9 +20,16 @@ def _cells(line: str) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pos, line) of all text files under a path; a file is one row until its lines are exploded."""
-    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), "value")
-    return files.select("file", F.posexplode(F.split(F.regexp_replace("value", "^\\uFEFF", ""), "\r?\n")).alias("pos", "line"))
+    """(file, pos, line) of all text files under a path: file is its path, pos in the order of its lines.
+
+    Files are read line by line, in blocks, so no file has to fit one row; a line's place is the offset of its block and
+    its number in it, made gapless per file.
+    """
+    raw = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")
+    )
+    place = F.row_number().over(Window.partitionBy("file").orderBy("block", "at")) - 1
+    return raw.select("file", place.alias("pos"), F.regexp_replace("line", "^\\uFEFF|\r$", "").alias("line"))
 
 
 def _with_header(lines: DataFrame) -> DataFrame:
@@ -51,37 +58,49 @@ def overlong_rows(lines: DataFrame) -> DataFrame:
     return rows.filter((F.size("cells") > width) & beyond).select("file", (F.col("pos") + 1).alias("line_number"))
 
 
+#: Fixed format: a date of two numbers and a year of four digits, with one separator, perhaps a time.
+_NUMERIC_DATE = r"^(\d{1,2})([/.-])(\d{1,2})\2(\d{4})([ T]\d{2}:\d{2}(:\d{2})?)?$"
+
+
 def _readings(text: Column) -> dict[str, Column]:
     iso = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), F.to_date(F.try_to_timestamp(F.regexp_extract(text, r"^\d{4}-\d{1,2}-\d{1,2}", 0), F.lit("y-M-d"))))
-    full = F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), text)
-    return {"month_first": F.coalesce(iso, F.to_date(F.try_to_timestamp(full, F.lit("M/d/y")))), "day_first": F.coalesce(iso, F.to_date(F.try_to_timestamp(full, F.lit("d/M/y"))))}
+    plain = F.when(text.rlike(_NUMERIC_DATE), F.concat_ws("/", *[F.regexp_extract(text, _NUMERIC_DATE, i) for i in (1, 3, 4)]))
+    return {"month_first": F.coalesce(iso, F.to_date(F.try_to_timestamp(plain, F.lit("M/d/y")))), "day_first": F.coalesce(iso, F.to_date(F.try_to_timestamp(plain, F.lit("d/M/y"))))}
 
 
 def settle_date_order(cells: DataFrame, meta: DataFrame) -> DataFrame:
     """A2. One reading per file: a date that only one reading can be settles it, else the start and end dates, else the
-    median step that fits the period; otherwise the file is rejected. Returns file, reading, reason."""
+    median step that fits the period; otherwise the file is rejected. Returns file, reading, reason.
+
+    A start or end date written like the data is read the same way, and rules out a reading in which it is no date;
+    written in any other way it is read as ISO, and is no evidence where it is not. Evidence that rules out both
+    readings, or neither, is passed over.
+    """
+    names = ("month_first", "day_first")
     dates = cells.select("file", "date_text").distinct()
-    both = dates.select("file", *[c.alias(n) for n, c in _readings(F.col("date_text")).items()])
-    steps = None
-    for name in ("month_first", "day_first"):
-        step = F.datediff(name, F.lag(name).over(Window.partitionBy("file").orderBy(name)))
-        one = both.filter(F.col(name).isNotNull()).withColumn("step", step).groupBy("file").agg(
-            F.count("*").alias(f"n_{name}"), F.min(name).alias(f"lo_{name}"), F.max(name).alias(f"hi_{name}"), F.median("step").alias(f"step_{name}")
-        )
-        steps = one if steps is None else steps.join(one, "file", "full_outer")
+    both = dates.select("file", *[c.alias(n) for n, c in _readings(F.trim("date_text")).items()])
+    rows = both.groupBy("file").agg(
+        F.count("*").alias("n"), F.count_if(F.col("month_first") != F.col("day_first")).alias("open"),
+        *[f(n).alias(f"{k}_{n}") for n in names for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))],
+    )
+    for n in names:
+        days = both.select("file", n).filter(F.col(n).isNotNull()).distinct().withColumn("step", F.datediff(n, F.lag(n).over(Window.partitionBy("file").orderBy(n))))
+        rows = rows.join(days.groupBy("file").agg(F.median("step").alias(f"step_{n}")), "file", "left")
     known = meta.groupBy("file").pivot("key", ["start date", "end date", "period"]).agg(F.first("value"))
-    rows = both.groupBy("file").agg(F.count("*").alias("n"), F.count_if(F.col("month_first") != F.col("day_first")).alias("open")).join(steps, "file", "left").join(known, "file", "left")
-    whole = {n: F.coalesce(F.col(f"n_{n}") == F.col("n"), F.lit(False)) for n in ("month_first", "day_first")}
-    bound = {}
-    for n in whole:
-        bound[n] = whole[n] & F.coalesce(F.col(f"lo_{n}") >= _readings(F.col("start date"))[n], F.lit(True)) & F.coalesce(F.col(f"hi_{n}") <= _readings(F.col("end date"))[n], F.lit(True))
-    fits = {}
-    for n in whole:
+    rows = rows.join(known, "file", "left")
+    whole = {n: F.coalesce(F.col(f"n_{n}") == F.col("n"), F.lit(False)) for n in names}
+    bound, fits = {}, {}
+    for n in names:
+        inside = []
+        for line, ok in (("start date", lambda d: F.col(f"lo_{n}") >= d), ("end date", lambda d: F.col(f"hi_{n}") <= d)):  # noqa: B023
+            text = F.trim(F.col(line))
+            inside.append(F.coalesce(ok(_readings(text)[n]), ~F.coalesce(text.rlike(_NUMERIC_DATE), F.lit(False))))
+        bound[n] = whole[n] & inside[0] & inside[1]
         cases = F.lit(False)
         for p, (a, b) in PERIOD_STEPS.items():
             cases = cases | ((F.upper(F.substring("period", 1, 1)) == p) & F.col(f"step_{n}").between(a, b))
         fits[n] = whole[n] & F.coalesce(cases, F.lit(False))
-    m, d = "month_first", "day_first"
+    m, d = names
     reading = (
         F.when(whole[m] & whole[d] & (F.col("open") == 0), m).when(whole[m] & ~whole[d], m).when(whole[d] & ~whole[m], d)
         .when(bound[m] & ~bound[d], m).when(bound[d] & ~bound[m], d).when(fits[m] & ~fits[d], m).when(fits[d] & ~fits[m], d)
@@ -126,7 +145,7 @@ def observations(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 def read_factor_table(lines: DataFrame, start: str, end: str) -> DataFrame:
     """A6. Daily factors (date, factor, value) from a file with prose around the table, within a span of dates."""
     head = lines.filter(F.contains("line", F.lit("Mkt-RF"))).groupBy("file").agg(F.min_by(F.split("line", ","), "pos").alias("head"))
-    rows = lines.filter(F.col("line").rlike(r"^\s*\d{8}\s*,")).withColumn("cells", F.split("line", ",")).join(F.broadcast(head), "file")
+    rows = lines.filter(F.col("line").rlike(r"^\s*\d{8}\s*,")).withColumn("cells", F.split("line", ",")).join(head, "file")
     rows = rows.withColumn("date", F.to_date(F.try_to_timestamp(F.trim(F.get("cells", F.lit(0))), F.lit("yyyyMMdd")))).filter(F.col("date").between(start, end))
     long = rows.select("date", "cells", F.posexplode("head").alias("i", "factor")).filter("i > 0")
     return long.select("date", F.trim("factor").alias("factor"), F.trim(F.get("cells", F.col("i"))).try_cast("double").alias("value"))

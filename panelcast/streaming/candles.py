@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def stream_candles(events: DataFrame, period: str = "1 day", delay: str = "1 day") -> DataFrame:
-    """Bars of a stream ``events(series_id, ts, value)``; late events within ``delay`` amend their bar.
+    """What a stream ``events(series_id, ts, value)`` says of each period: first and last value, extremes, count; late events
+    within ``delay`` amend it.
 
-    State is one row per open (series, window). Use update mode to see amended bars, append mode for closed ones.
+    State is one row per open (series, window). Use update mode to see amended periods, append mode for closed ones. A
+    bar opens at the close of the one before, which may still change, so opens are set where bars are read.
     """
     return (
         events.filter("value IS NOT NULL").withWatermark("ts", delay).groupBy("series_id", F.window("ts", period).alias("w"))
-        .agg(F.min_by("value", F.struct("ts", "value")).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", F.struct("ts", "value")).alias("close"), F.count("*").alias("volume"))
-        .select("series_id", F.col("w.start").alias("period_start"), "open", "high", "low", "close", "volume")
+        .agg(F.min_by("value", F.struct("ts", "value")).alias("first"), F.max("value").alias("top"), F.min("value").alias("bottom"), F.max_by("value", F.struct("ts", "value")).alias("close"), F.count("*").alias("volume"))
+        .select("series_id", F.col("w.start").alias("period_start"), "first", "top", "bottom", "close", "volume")
     )
 
 
 def write_candles(bars: DataFrame, path: str, checkpoint: str):
-    """Each micro-batch's new and amended bars as Parquet, one folder a batch, so a rerun batch replaces itself."""
+    """Each micro-batch's new and amended periods as Parquet, one folder a batch, so a rerun batch replaces itself."""
     return bars.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(lambda df, epoch: df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")).start()
+
+
+def read_candles(spark: SparkSession, path: str) -> DataFrame:
+    """Bars of the latest version of each period: open is the close before (the first value if there is none), high and low
+    include the open."""
+    last = F.max_by(F.struct("first", "top", "bottom", "close", "volume"), F.struct("epoch", "volume"))
+    bars = spark.read.option("basePath", path).parquet(path).groupBy("series_id", "period_start").agg(last.alias("b")).select("series_id", "period_start", "b.*")
+    bars = bars.withColumn("open", F.coalesce(F.lag("close").over(Window.partitionBy("series_id").orderBy("period_start")), F.col("first")))
+    return bars.select("series_id", "period_start", "open", F.greatest("top", "open").alias("high"), F.least("bottom", "open").alias("low"), "close", "volume")
