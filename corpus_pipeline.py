@@ -6,12 +6,10 @@ those columns. Each stage works on all rows that the one before it kept.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from panelcast.llm import milquality, minhash, mixing, packing, pii
-from panelcast.llm.shared import shared_dir, table
+from panelcast.llm.shared import Scratch, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -55,12 +53,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over ``documents``, each written as Parquet to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages in order over ``documents``, each written as Parquet to the shared folder and read again; a stage's table
+    is removed when the next one is written."""
+    scratch = Scratch(spark)
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = f"{shared_dir(spark)}/panelcast-{name}-{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = scratch.staged(docs, name)
+            if last is not None:
+                scratch.drop(last)
+            last = docs
     return docs
