@@ -28,7 +28,7 @@ TRAIN_DOCS = 4000
 TRAIN_PASSAGES = 40_000
 #: Buckets of hashed words and word pairs, and their standard deviation where a statistic's is 1: there are many of them,
 #: and few labelled documents may be all that is known.
-BUCKETS, BUCKET_WEIGHT = 192, 0.3
+BUCKETS, BUCKET_WEIGHT = 96, 0.3
 CODE, GATE = 12, 6
 STEPS, RATE, DECAY = 400, 0.03, 1e-4
 THRESHOLD = 0.3
@@ -47,7 +47,9 @@ def _class_table() -> np.ndarray:
 _TABLE = _class_table()
 STATISTICS = _CLASSES + 6
 FEATURES = STATISTICS + BUCKETS
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 100_000
+#: Passages, or somewhat more, that a task scores at a time.
+AT_ONCE = 1024
 
 
 class _WordHashes(dict):
@@ -101,8 +103,10 @@ def encode(text: bytes) -> np.ndarray:
 
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        codes = [encode(t).ravel() for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, pa.list_(pa.float32()))], names=["doc_id", "label", "code"])
+        for at in range(0, batch.num_rows, 100):
+            part = batch.slice(at, 100)
+            codes = [encode(t).ravel() for t in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(codes, pa.list_(pa.float32()))], names=["doc_id", "label", "code"])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -113,7 +117,7 @@ class Model:
     """Gated-attention network on numpy arrays."""
 
     def __init__(self, mean: np.ndarray, scale: np.ndarray, seed: int = 7):
-        self.mean, self.scale = mean, scale
+        self.mean, self.scale = mean.astype(np.float32), scale.astype(np.float32)
         rng = np.random.default_rng(seed)
         shapes = {"W": (FEATURES, CODE), "c": (CODE,), "V": (CODE, GATE), "U": (CODE, GATE), "w": (GATE,), "b": (CODE,), "b0": (1,)}
         self.p = {k: rng.normal(0, 0.3, s) if len(s) > 1 or k in "wb" else np.zeros(s) for k, s in shapes.items()}
@@ -191,14 +195,17 @@ def _score_texts(model: Model | float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            bags = [encode(t) for t in batch.column(at).to_pylist()]
-            if isinstance(model, float):
-                scores = np.full(len(bags), model)
-            elif bags:
-                starts = np.concatenate([[0], np.cumsum([len(b) for b in bags])[:-1]]).astype(np.int64)
-                scores = model.score(np.concatenate(bags), starts)
-            else:
-                scores = np.empty(0)
+            scores, bags, held = [], [], 0
+            for i, text in enumerate(batch.column(at).to_pylist(), 1):
+                if isinstance(model, float):
+                    scores.append(model)
+                    continue
+                bags.append(encode(text))
+                held += len(bags[-1])
+                if held >= AT_ONCE or i == batch.num_rows:
+                    starts = np.concatenate([[0], np.cumsum([len(b) for b in bags])[:-1]]).astype(np.int64)
+                    scores.extend(model.score(np.concatenate(bags), starts).tolist())
+                    bags, held = [], 0
             columns = [c for i, c in enumerate(batch.columns) if i != at]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=[n for n in batch.schema.names if n != "text"] + ["score"])
 

@@ -43,7 +43,10 @@ SIMILAR_PERCENT = 75
 BINS = 128
 BLOCK = 2048
 #: Entries of a worker's word-hash cache before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+
+#: Rows whose sets a task holds at a time.
+SLICE = 1000
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -118,8 +121,10 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = _WordHashes()
     for batch in batches:
-        sets = [shingle_hashes(t, words).view(np.int64) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            sets = [shingle_hashes(t, words).view(np.int64) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -181,8 +186,12 @@ def _tables(live: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bins = [np.bincount(np.asarray(h, np.int64) & (BINS - 1), minlength=BINS).astype("<u4").tobytes() for h in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bins, pa.binary())], names=["node", "bins"])
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            sets = part.column(1)
+            row = np.repeat(np.arange(len(sets)), sets.value_lengths().to_numpy())
+            counts = np.bincount(row * BINS + (sets.flatten().to_numpy() & (BINS - 1)), minlength=len(sets) * BINS).astype("<u4").reshape(-1, BINS)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in counts], pa.binary())], names=["node", "bins"])
 
 
 def _compared(pdf: pd.DataFrame) -> pd.DataFrame:

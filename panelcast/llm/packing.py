@@ -32,7 +32,7 @@ ROUND_BINS = 20_000
 #: Former tasks whose bins meet in one task of the next round, at least.
 FAN_IN = 8
 #: Bytes, by estimate, that a worker's cache of chunks may take, and the longest chunk that enters it.
-CACHE_BYTES, ENTRY_BYTES = 96_000_000, 180
+CACHE_BYTES, ENTRY_BYTES = 64_000_000, 180
 LONGEST_CHUNK = 64
 
 ITEM = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
