@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -75,6 +76,41 @@ def shape_fit(rows: DataFrame, shape: str) -> DataFrame:
     return several(rows, {"shape": shape_value(shape)})
 
 
+class Model(Protocol):
+    """Q1. What a walk-forward needs of a model. ``rows`` are wide rows of all folds with part train and test."""
+
+    def fit(self, rows: DataFrame) -> DataFrame:
+        """One row of parameters per target and fold, from the training rows."""
+
+    def predict(self, rows: DataFrame, fitted: DataFrame) -> DataFrame:
+        """Forecasts of the rows that have the model's inputs."""
+
+    def describe(self, fitted: DataFrame) -> DataFrame:
+        """(target_id, fold_id, equation): each fit in words."""
+
+
+class ShapeModel:
+    """G4 as a pluggable model of one bound shape."""
+
+    def __init__(self, shape: str):
+        self.shape = shape
+
+    def fit(self, rows: DataFrame) -> DataFrame:
+        return shape_coefs(rows, self.shape)
+
+    def predict(self, rows: DataFrame, fitted: DataFrame) -> DataFrame:
+        out = rows.filter(F.col(self.shape).isNotNull()).join(fitted, FOLD)
+        return _forecasts(out, "shape", F.col("base") + F.col("slope") * F.col(self.shape))
+
+    def describe(self, fitted: DataFrame) -> DataFrame:
+        return fitted.select(*FOLD, F.format_string(f"%.4f + %.4f * {self.shape}", "base", "slope").alias("equation"))
+
+
+def forecasts_of(model: Model, rows: DataFrame) -> DataFrame:
+    """Q1. A pluggable model's forecasts of all folds."""
+    return model.predict(rows, model.fit(rows))
+
+
 def gram(rows: DataFrame, inputs: list[str], keys: list[str]) -> DataFrame:
     """n and the sums of products of (1, inputs, y) over complete rows per key, as the array of an upper triangle."""
     whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*inputs, "y"]])
@@ -232,14 +268,19 @@ def derived_candidates(rows: DataFrame, candidates: dict[str, list[str]], h: int
     return out.select("target_id", "model_id", "fold_id", "part", "rn", "date", value.alias("predicted"), F.col("y").alias("realised"))
 
 
-def corrected_rho(levels: DataFrame, h: int, lag: int = 1) -> DataFrame:
+def expected_move(rho: Column, h: int, lag: int) -> Column:
+    """Kappa of G7: the move that persistence foretells over ``h`` rows, per unit of a level ``lag`` rows old."""
+    return F.pow(rho, F.lit(lag)) * (F.pow(rho, F.lit(h)) - 1)
+
+
+def corrected_rho(levels: DataFrame, h: int, lag: int = 1, kappa: Callable[[Column, int, int], Column] = expected_move) -> DataFrame:
     """G7. Persistence of each series in each fold's training rows, corrected for small-sample bias, at most 0.9999; and
-    kappa, the expected move over the label window per unit of level. ``levels(target_id, fold_id, series_id, rn, x)``."""
+    kappa, the expected move over the label window per unit of level, by a callback of (rho, h, lag) (Q3). ``levels(target_id, fold_id, series_id, rn, x)``."""
     w = Window.partitionBy(*FOLD, "series_id").orderBy("rn")
     fit = levels.withColumn("before", F.lag("x").over(w)).groupBy(*FOLD, "series_id").agg(F.regr_slope("x", "before").alias("r"), F.regr_count("x", "before").alias("n"))
     part = (1 + 3 * F.col("r")) / F.col("n")
     rho = F.least(F.col("r") + part + 3 * part / F.col("n"), F.lit(0.9999))
-    return fit.withColumn("rho", rho).withColumn("kappa", F.pow("rho", F.lit(lag)) * (F.pow("rho", F.lit(h)) - 1)).drop("r")
+    return fit.withColumn("rho", rho).withColumn("kappa", kappa(F.col("rho"), h, lag)).drop("r")
 
 
 def innovations(moves: DataFrame, rho: DataFrame) -> DataFrame:

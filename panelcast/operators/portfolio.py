@@ -161,7 +161,7 @@ def relative(both: DataFrame, keys: list[str]) -> DataFrame:
     rows = rows.withColumns({"i": F.row_number().over(ordered), "e": F.col("d") - F.avg("d").over(own), "n": F.count("*").over(own)})
     rows = rows.withColumn("lags", F.floor(4 * F.pow(F.col("n") / 100, 2 / 9)).cast("int"))
     reach = f"sum(e) OVER (PARTITION BY {', '.join(keys)} ORDER BY i / (lags + 0.5D) RANGE BETWEEN 1.0D PRECEDING AND CURRENT ROW)"
-    rows = rows.withColumns({"before": F.expr(reach), "after": F.sum("e").over(ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing))})
+    rows = rows.withColumns({"before": F.expr(reach), "after": F.sum("e").over(own) - F.sum("e").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("e")})
     square = F.pow("before", F.lit(2)) + F.when(F.col("i") > F.col("n") - F.col("lags"), F.pow("after", F.lit(2))).otherwise(0.0)
     out = rows.groupBy(*keys).agg(
         F.count("*").alias("days"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.max("lags").alias("lags"),

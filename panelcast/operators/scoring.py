@@ -50,33 +50,44 @@ def _hac(rows: DataFrame, keys: list[str], x: str, y: str, order: str, errors: d
     """One row per key: n, slope, intercept, se_{name} for each named (kernel, lags), null without two pairs and a varying
     x; and the aggregates ``also`` over all rows of the key, complete or not.
 
-    Everything is a window over the key's complete pairs followed by one aggregation, so the rows are shuffled once: the
-    score's products with its own lags come from ``lag``, as lags are few and fixed.
+    Everything is a window over the key's complete pairs followed by one aggregation, so the rows are shuffled once. Sums
+    over lags are products of rolling sums: with R the sum over a row and the L before it, the Bartlett variance is the
+    sum of R * R over all rows, and over the L sums that reach beyond the last row, divided by L + 1; the uniform one is
+    the sum of 2 e R - e * e.
     """
     rows = rows.withColumns({"_ok": F.col(x).isNotNull() & F.col(y).isNotNull(), "_x": F.col(x), "_y": F.col(y)})
     own = Window.partitionBy(*keys, "_ok")
     rows = rows.withColumns({"_n": F.count("*").over(own), "_mx": F.avg("_x").over(own), "_my": F.avg("_y").over(own), "_lo": F.min("_x").over(own), "_hi": F.max("_x").over(own)})
-    rows = rows.withColumn("_xc", F.col("_x") - F.col("_mx"))
-    rows = rows.withColumns({"_sx": F.sum("_xc").over(own), "_sxx": F.sum(F.col("_xc") * F.col("_xc")).over(own), "_sxy": F.sum(F.col("_xc") * F.col("_y")).over(own)})
+    xc = F.col("_x") - F.col("_mx")
+    rows = rows.withColumns({"_xc": xc, "_sx": F.sum(xc).over(own), "_sxx": F.sum(xc * xc).over(own), "_sxy": F.sum(xc * F.col("_y")).over(own)})
     fits = F.col("_ok") & (F.col("_n") >= 2) & (F.col("_lo") < F.col("_hi"))
-    rows = rows.withColumn("_slope", F.when(fits, F.col("_sxy") / F.col("_sxx")))
-    rows = rows.withColumn("_e0", F.col("_y") - F.col("_my") - F.col("_slope") * F.col("_xc")).withColumn("_u0", F.col("_e0") * F.col("_xc"))
+    slope = F.when(fits, F.col("_sxy") / F.col("_sxx"))
+    e = F.col("_y") - F.col("_my") - slope * F.col("_xc")
+    rows = rows.withColumns({"_slope": slope, "_e": e, "_u": e * F.col("_xc")})
     ordered = own.orderBy(order)
-    most = max(lags for _, lags in errors.values())
-    rows = rows.withColumns({f"_{c}{i}": F.lag(f"_{c}0", i, 0.0).over(ordered) for c in "eu" for i in range(1, most + 1)})
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = sorted({lags for _, lags in errors.values()})
+    rolling = {f"_{c}{lags}": F.sum(f"_{c}").over(ordered.rowsBetween(-lags, 0)) for c in "eu" for lags in reach}
+    # sums from a row to the end are the whole less what came before, as a frame that is open ahead is read anew for every row
+    ahead = {f"_{c}a": F.sum(f"_{c}").over(own) - F.sum(f"_{c}").over(so_far) + F.col(f"_{c}") for c in "eu"}
+    rows = rows.withColumns({**rolling, **ahead, "_left": F.col("_n") - F.row_number().over(ordered) + 1})
     sums = {}
     for name, (kernel, lags) in errors.items():
-        weights = [0.5, *(1 - i / (lags + 1) if kernel == "bartlett" else 1.0 for i in range(1, lags + 1))]
-        e, u = (reduce(lambda a, b: a + b, [w * F.col(f"_{c}{i}") for i, w in enumerate(weights)]) for c in "eu")
-        sums |= {
-            f"_s00_{name}": F.sum(F.when(fits, 2 * F.col("_e0") * e)), f"_s01_{name}": F.sum(F.when(fits, F.col("_u0") * e + F.col("_e0") * u)), f"_s11_{name}": F.sum(F.when(fits, 2 * F.col("_u0") * u)),
-        }
+        for pair in ("ee", "eu", "uu"):
+            a, b = (F.col(f"_{c}") for c in pair)
+            ra, rb = (F.col(f"_{c}{lags}") for c in pair)
+            if kernel == "bartlett":
+                over = F.when(F.col("_left") <= lags, F.col(f"_{pair[0]}a") * F.col(f"_{pair[1]}a")).otherwise(0.0)
+                term = (ra * rb + over) / (lags + 1)
+            else:
+                term = a * rb + b * ra - a * b
+            sums[f"_{pair}_{name}"] = F.sum(F.when(fits, term))
     kept = {c: F.max(F.when(fits, F.col(c))) for c in ("_n", "_mx", "_my", "_sx", "_sxx", "_slope")}
     out = rows.groupBy(*keys).agg(*[c.alias(n) for n, c in {**kept, **sums, **also}.items()])
     n, sx, det = F.col("_n"), F.col("_sx"), F.col("_n") * F.col("_sxx") - F.col("_sx") * F.col("_sx")
     found = []
     for name in errors:
-        v = (sx * sx * F.col(f"_s00_{name}") - 2 * n * sx * F.col(f"_s01_{name}") + n * n * F.col(f"_s11_{name}")) / (det * det)
+        v = (sx * sx * F.col(f"_ee_{name}") - 2 * n * sx * F.col(f"_eu_{name}") + n * n * F.col(f"_uu_{name}")) / (det * det)
         found.append(F.when(v > 0, F.sqrt(v)).alias(f"se_{name}"))
     return out.select(*keys, n.alias("n"), F.col("_slope").alias("slope"), (F.col("_my") - F.col("_slope") * F.col("_mx")).alias("intercept"), *found, *also)
 
@@ -103,15 +114,16 @@ def growing_fits(rows: DataFrame, keys: list[str], x: str, y: str, order: str, l
     X, Y = F.col("_x0"), F.col("_y0")
     rows = rows.withColumns({"_n": run(F.lit(1)), "_sx": run(X), "_sy": run(Y), "_sxx": run(X * X), "_sxy": run(X * Y), "_lo": F.min(x).over(so_far), "_hi": F.max(x).over(so_far)})
     # e = y - b0 - b1 x and u = e x are combinations of monomials of x and y; the products of e and u with their lags are
-    # those combinations of the monomials' products with their lags
+    # those combinations of the monomials' products with their lags, the same either way round
     monomials = {"1": lambda i: F.col(f"_a{i}"), "x": lambda i: F.col(f"_x{i}"), "y": lambda i: F.col(f"_y{i}"), "xx": lambda i: F.col(f"_x{i}") * F.col(f"_x{i}"), "xy": lambda i: F.col(f"_x{i}") * F.col(f"_y{i}")}
-    names, totals = list(monomials), {}
+    of_e, of_u = ("1", "x", "y"), ("x", "xx", "xy")
+    names = list(monomials)
+    wanted = sorted({tuple(sorted((p, q), key=names.index)) for s in ((of_e, of_e), (of_e, of_u), (of_u, of_u)) for p in s[0] for q in s[1]})
+    totals = {}
     for kernel in ("bartlett", "uniform"):
         weights = [0.5, *(1 - i / (lags + 1) if kernel == "bartlett" else 1.0 for i in range(1, lags + 1))]
-        for p in names:
-            for q in names:
-                lagged = reduce(lambda a, b: a + b, [w * monomials[q](i) for i, w in enumerate(weights)])
-                totals[f"_{kernel}_{p}_{q}"] = run(monomials[p](0) * lagged)
+        lagged = {m: reduce(lambda a, b: a + b, [w * monomials[m](i) for i, w in enumerate(weights)]) for m in names}
+        totals |= {f"_{kernel}_{p}_{q}": run(monomials[p](0) * lagged[q] + monomials[q](0) * lagged[p]) for p, q in wanted}
     rows = rows.withColumns(totals)
     n, det = F.col("_n"), F.col("_n") * F.col("_sxx") - F.col("_sx") * F.col("_sx")
     b1 = (n * F.col("_sxy") - F.col("_sx") * F.col("_sy")) / det
@@ -120,12 +132,13 @@ def growing_fits(rows: DataFrame, keys: list[str], x: str, y: str, order: str, l
     u = {"xy": F.lit(1.0), "x": -F.col("_b0"), "xx": -F.col("slope")}
 
     def product(kernel: str, a: dict[str, Column], b: dict[str, Column]) -> Column:
-        return reduce(lambda s, t: s + t, [v * w * F.col(f"_{kernel}_{p}_{q}") for p, v in a.items() for q, w in b.items()])
+        at = lambda p, q: F.col("_{}_{}_{}".format(kernel, *sorted((p, q), key=names.index)))
+        return reduce(lambda s, t: s + t, [v * w * at(p, q) for p, v in a.items() for q, w in b.items()])
 
     errors = {}
     for k in ("bartlett", "uniform"):
         sx = F.col("_sx")
-        v = (sx * sx * 2 * product(k, e, e) - 2 * n * sx * (product(k, u, e) + product(k, e, u)) + n * n * 2 * product(k, u, u)) / (det * det)
+        v = (sx * sx * product(k, e, e) - 2 * n * sx * product(k, e, u) + n * n * product(k, u, u)) / (det * det)
         errors[f"se_{k}"] = F.when(v > 0, F.sqrt(v))
     found = rows.withColumns(errors)
     return found.select(*keys, order, *(keep or []), n.alias("n"), "slope", (F.col("_b0") + F.col("_my") - F.col("slope") * F.col("_mx")).alias("intercept"), *errors)
@@ -279,7 +292,8 @@ def score_by_year(signals: DataFrame) -> DataFrame:
 
 
 def signal_correlations(signals: DataFrame) -> DataFrame:
-    """F17. Correlation of every pair of models' signals over common dates, per target."""
+    """F17. Correlation of every pair of models' signals over common dates, per target. Pairs are what is asked for, so the
+    rows are dates x models squared: meant for the tens of candidates of a target's grid."""
     a = signals.select("target_id", "date", F.col("model_id").alias("model_a"), F.col("signal").alias("sa"))
     b = signals.select("target_id", "date", F.col("model_id").alias("model_b"), F.col("signal").alias("sb"))
     both = a.join(b, ["target_id", "date"]).filter("model_a < model_b")

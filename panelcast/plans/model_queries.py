@@ -40,6 +40,28 @@ def expanded(p: Parts):
 TERMS = ["a", "b", "aa", "ab", "bb"]
 
 
+FIT_B = "SELECT target_id, fold_id, CASE WHEN min(b) < max(b) THEN regr_slope(y, b) ELSE 0 END AS slope, CASE WHEN min(b) < max(b) THEN regr_intercept(y, b) ELSE avg(y) END AS base FROM inp WHERE part = 'train' AND y IS NOT NULL AND b IS NOT NULL GROUP BY 1, 2"
+
+
+@query("Q1_pluggable_model", fx.sql(f"SELECT i.target_id, i.fold_id, i.part, i.rn, round(f.base + f.slope * i.b, 9) AS predicted FROM inp i JOIN ({FIT_B}) f ON f.target_id = i.target_id AND f.fold_id = i.fold_id WHERE i.b IS NOT NULL", "inp"))
+def pluggable_model(spark, d):
+    out = models.forecasts_of(models.ShapeModel("b"), wide_rows(Parts(spark, d)))
+    return rounded(out.select("target_id", "fold_id", "part", "rn", "predicted"), "predicted", places=9)
+
+
+@query("Q1_describe", fx.sql(f"SELECT target_id, fold_id, printf('%.4f + %.4f * b', base, slope) AS equation FROM ({FIT_B})", "inp"))
+def describe(spark, d):
+    model = models.ShapeModel("b")
+    return model.describe(model.fit(wide_rows(Parts(spark, d))))
+
+
+@query("Q2_user_shape", fx.sql("SELECT target_id, rn, round(a * a - 2 * b + 1, 9) AS f, false AS f_error FROM two", "two"))
+def user_shape(spark, d):
+    """A user's arithmetic with two placeholders, bound to two signals."""
+    rows = panel.shape_feature(two_inputs(Parts(spark, d)), "x * x - 2 * y + 1", {"x": "a", "y": "b"})
+    return rounded(rows.select("target_id", "rn", "f", "f_error"), "f", places=9)
+
+
 @query("G5_lasso_path")
 def lasso_path(spark, d):
     return models.lasso_path(expanded(Parts(spark, d)), TERMS, H)
@@ -72,6 +94,13 @@ def corrected_rho(spark, d):
     return rounded(models.corrected_rho(fold_levels(Parts(spark, d)), H), "rho", "kappa", places=7)
 
 
+@query("Q3_custom_kappa", fx.sql("SELECT target_id, fold_id, series_id, round(rho, 7) AS rho, round(-0.5 * (1 - rho), 7) AS kappa FROM rho", "rho"))
+def custom_kappa(spark, d):
+    """G7 with a user's estimator of kappa."""
+    out = models.corrected_rho(fold_levels(Parts(spark, d)), H, kappa=lambda rho, h, lag: -0.5 * (1 - rho))
+    return rounded(out.drop("n"), "rho", "kappa", places=7)
+
+
 fx.cte("lmoves", f"SELECT *, lead(x, {1 + H}) OVER w - lead(x, 1) OVER w AS move FROM levels WINDOW w AS (PARTITION BY target_id, series_id ORDER BY rn)", "levels")
 INNOVATION = """SELECT target_id, fold_id, series_id, round(sqrt(avg(u * u)), 8) AS spread, count(u) AS n FROM (SELECT *, v - avg(v) OVER (PARTITION BY target_id, fold_id, series_id) AS u FROM (
   SELECT r.target_id, r.fold_id, m.series_id, m.move - k.kappa * m.x AS v FROM frows r JOIN lmoves m ON m.target_id = r.target_id AND m.rn = r.rn JOIN rho k ON k.target_id = r.target_id AND k.fold_id = r.fold_id AND k.series_id = m.series_id WHERE r.part = 'train')) GROUP BY 1, 2, 3"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from panelcast.operators import models, panel, portfolio
@@ -21,31 +23,31 @@ class Parts:
         self.pairs, self.transforms = fx.pairs(self.prices, self.signals), fx.transforms(self.signals)
         self.calendar = panel.target_calendar(self.prices)
 
-    @property
+    @cached_property
     def aligned(self):
         return panel.asof_align(self.signals, self.calendar, self.pairs)
 
-    @property
+    @cached_property
     def moved(self):
         return panel.stationary(self.aligned, self.transforms)
 
-    @property
+    @cached_property
     def panel(self):
         return panel.lag_signals(self.moved)
 
-    @property
+    @cached_property
     def labels(self):
         return panel.forward_return(self.calendar, fx.HORIZON)
 
-    @property
+    @cached_property
     def folds(self):
         return panel.walk_forward_folds(self.calendar, fx.TRAIN, fx.TEST, fx.EMBARGO, fx.TUNING)
 
-    @property
+    @cached_property
     def purged(self):
         return panel.purge(self.folds, self.labels, fx.HORIZON)
 
-    @property
+    @cached_property
     def rows(self):
         return models.fold_rows(self.labels, self.purged)
 
@@ -166,10 +168,9 @@ def stationary(spark, d):
     return rounded(Parts(spark, d).moved.select("target_id", "series_id", "date", "rn", "t").filter("t IS NOT NULL"), "t", places=6)
 
 
-@query("E3_lag_signals", fx.sql("SELECT target_id, series_id, min(rn) AS first_rn, count(x) AS n, round(sum(x), 5) AS total FROM panel GROUP BY 1, 2", "panel"))
+@query("E3_lag_signals", fx.sql("SELECT target_id, series_id, date, rn, round(x, 6) AS x FROM panel", "panel"))
 def lag_signals(spark, d):
-    rows = Parts(spark, d).panel.groupBy("target_id", "series_id").agg(F.min("rn").alias("first_rn"), F.count("x").alias("n"), F.sum("x").alias("total"))
-    return rounded(rows, "total", places=5)
+    return rounded(Parts(spark, d).panel, "x", places=6)
 
 
 @query("E4_forward_return", fx.sql("SELECT target_id, rn, date, round(y, 8) AS y, label_end FROM labels", "labels"))
@@ -218,12 +219,11 @@ def label_window_moves(spark, d):
 
 @query(
     "E8_level_and_change",
-    fx.sql("SELECT target_id, series_id, count(t) AS n, round(sum(t), 4) AS total FROM (SELECT target_id, series_id, t FROM moved UNION ALL SELECT target_id, concat(series_id, '_level'), level FROM moved WHERE series_id LIKE 'seg%') GROUP BY 1, 2", "moved"),
+    fx.sql("SELECT target_id, series_id, date, rn, round(t, 6) AS t FROM (SELECT target_id, series_id, date, rn, t FROM moved UNION ALL SELECT target_id, concat(series_id, '_level'), date, rn, level FROM moved WHERE series_id LIKE 'seg%')", "moved"),
 )
 def level_and_change(spark, d):
     p = Parts(spark, d)
-    rows = panel.level_and_change(p.aligned, p.transforms).groupBy("target_id", "series_id").agg(F.count("t").alias("n"), F.sum("t").alias("total"))
-    return rounded(rows, "total", places=4)
+    return rounded(panel.level_and_change(p.aligned, p.transforms), "t", places=6)
 
 
 FOLD_COLUMNS = "target_id, fold_id, train_lo, train_hi, test_lo, test_hi"

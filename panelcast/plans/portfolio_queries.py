@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -56,15 +58,15 @@ class Book:
         self.costs = spark.createDataFrame([("equity", fx.EQUITY_BPS), ("bond", fx.BOND_BPS)], "asset string, bps double")
         self.start = self.due.groupBy("portfolio_id").agg(F.min("date").alias("first"))
 
-    @property
+    @cached_property
     def path(self):
         return portfolio.portfolio_path(self.returns, self.weights, self.costs)
 
-    @property
+    @cached_property
     def bench(self):
         return portfolio.portfolio_path(self.returns, portfolio.month_end_weights(self.returns, self.start), self.costs)
 
-    @property
+    @cached_property
     def both(self):
         kinds = self.path.withColumn("kind", F.lit("optimised")).unionByName(self.bench.withColumn("kind", F.lit("benchmark")))
         return kinds.select("portfolio_id", "kind", "date", F.col("net").alias("r")).filter("r IS NOT NULL")
@@ -276,22 +278,22 @@ class Plan:
         self.parts = Parts(spark, d)
         self.wide = wide_returns(self.parts)
 
-    @property
+    @cached_property
     def rebalances(self):
         at = self.wide.filter((F.col("rn") > START) & ((F.col("rn") - START - 1) % H == 0))
         return at.select("portfolio_id", "date", (F.col("rn") - fx.EMBARGO - fx.TRAIN).alias("lo"), (F.col("rn") - 1 - fx.EMBARGO).alias("hi"))
 
-    @property
+    @cached_property
     def cov(self):
         return portfolio.covariance_at_rebalance(self.wide.drop("date"), self.rebalances, H)
 
-    @property
+    @cached_property
     def trust_pairs(self):
         s = signals_of(self.parts).filter("model_id = 'shape'").join(self.parts.labels.select("target_id", "rn", "label_end"), ["target_id", "rn"])
         roles = self.parts.prices.sparkSession.createDataFrame([("pair", fx.EQUITY, fx.BOND)], "portfolio_id string, equity string, bond string")
         return portfolio.trust_pairs(s, roles)
 
-    @property
+    @cached_property
     def inputs(self):
         base = self.cov.join(portfolio.long_run_premium(self.wide, H), ["portfolio_id", "date"])
         pairs = self.trust_pairs
@@ -299,7 +301,7 @@ class Plan:
         trust = portfolio.forecast_trust(pairs, self.rebalances, H).select("portfolio_id", "date", "trust")
         return base.join(diff, ["portfolio_id", "date"]).join(trust, ["portfolio_id", "date"])
 
-    @property
+    @cached_property
     def breakdown(self):
         return portfolio.weight_breakdown(portfolio.with_levels(self.inputs))
 

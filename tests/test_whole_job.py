@@ -1,19 +1,19 @@
 """Places where a part of the job was once left out."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import panelcast.catalog as catalog
 from panelcast.operators import models, panel
 from panelcast.plans import fixtures as fx
-from panelcast.plans.model_queries import H, TUNING_TRAIN, wide_rows
-from panelcast.plans.panel_queries import Parts
+from panelcast.plans.model_queries import H, TUNING_TRAIN
+from panelcast.plans.panel_queries import Parts, wide_rows
 
 SF = "/root/testdata/sf0.01"
 
 
-def test_boosted_models_fit_every_fold_and_tuning_period(spark):
-    p = Parts(spark, SF)
-    rows = wide_rows(p).filter("a IS NOT NULL AND b IS NOT NULL").select("target_id", "fold_id", "part", "rn")
+def test_boosted_models_fit_every_fold(spark):
+    rows = wide_rows(Parts(spark, SF)).filter("a IS NOT NULL AND b IS NOT NULL").select("target_id", "fold_id", "part", "rn")
     want = {tuple(r) for r in rows.collect()}
     forecasts = catalog.queries()["G13_boosted_walk_forward"](spark, SF)
     got = [tuple(r) for r in forecasts.select("target_id", "fold_id", "part", "rn").collect()]
@@ -21,17 +21,17 @@ def test_boosted_models_fit_every_fold_and_tuning_period(spark):
     assert forecasts.filter("predicted IS NULL").count() == 0
 
 
-def test_importances_are_of_the_largest_fold(spark):
-    p = Parts(spark, SF)
-    last = p.folds.agg(F.max("fold_id")).first()[0]
-    _, want = models.boosted_walk_forward(wide_rows(p).filter(F.col("fold_id") == last), ["a", "b"], {"maxIter": 3, "maxDepth": 2})
-    got = {r["input"]: r["importance"] for r in catalog.queries()["G15_feature_importance"](spark, SF).collect()}
-    assert last > 0 and got == want
+def test_importances_are_of_each_targets_latest_fold(spark):
+    last = {r["target_id"]: r["fold_id"] for r in models.latest_fold(Parts(spark, SF).purged).collect()}
+    got = catalog.queries()["G15_feature_importance"](spark, SF).collect()
+    assert {(r["target_id"], r["fold_id"]) for r in got} == set(last.items()) and min(last.values()) > 0
+    for t in last:
+        assert abs(sum(r["importance"] for r in got if r["target_id"] == t) - 1) < 1e-9
 
 
 def test_every_tuning_period_has_its_own_window(spark):
     p = Parts(spark, SF)
-    periods = {r["tuning_id"] for r in panel.retune_schedule(p.folds, fx.TEST).select("tuning_id").distinct().collect()}
+    periods = {(r["target_id"], r["tuning_id"]) for r in panel.retune_schedule(p.folds, fx.TEST).select("target_id", "tuning_id").distinct().collect()}
     inner = models.tuning_folds(p.folds, p.labels, H, fx.TUNING, TUNING_TRAIN, fx.TEST, fx.EMBARGO)
     opens = {(r["target_id"], r["fold_id"] // 13): r["test_lo"] for r in p.folds.filter("fold_id % 13 = 0").collect()}
     per = {}
@@ -41,4 +41,25 @@ def test_every_tuning_period_has_its_own_window(spark):
         assert first - fx.EMBARGO - fx.TUNING <= r["train_lo"] < r["train_hi"] < r["test_lo"] and r["test_hi"] < first - fx.EMBARGO
     assert set(per) == set(opens) and all(len(v) >= 3 for v in per.values())
     tuned = catalog.queries()["G14_tune_grid"](spark, SF).collect()
-    assert {r["tuning_id"] for r in tuned} == periods and len(tuned) == len(periods) > 1
+    assert {(r["target_id"], r["tuning_id"]) for r in tuned} == periods and len(tuned) == len(periods) > 1
+
+
+def test_boosting_takes_the_best_split_each_time():
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(150, 2)), 1)
+    y = np.where(x[:, 0] > 0.3, 1.0, -1.0) + 0.2 * rng.normal(size=150)
+    base, trees, shares = models.boost(x, y, rounds=3, depth=1, rate=0.5, least=10)
+    left = y - y.mean()
+    for tree in trees:
+        best = None
+        for j in (0, 1):
+            for at in np.unique(x[:, j])[:-1]:
+                low = x[:, j] <= at
+                if min(low.sum(), (~low).sum()) >= 10:
+                    error = ((left[low] - left[low].mean()) ** 2).sum() + ((left[~low] - left[~low].mean()) ** 2).sum()
+                    best = min(best, (error, j, at)) if best else (error, j, at)
+        low = x[:, best[1]] <= best[2]
+        assert tree[0] == best[1] and (low == (x[:, tree[0]] <= tree[1])).all()
+        assert np.allclose([tree[2], tree[3]], [0.5 * left[low].mean(), 0.5 * left[~low].mean()])
+        left = left - np.where(low, tree[2], tree[3])
+    assert base == y.mean() and shares[0] > 0.9 and abs(shares.sum() - 1) < 1e-9
