@@ -37,7 +37,8 @@ def op6_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.judge(table(spark, sf_dir, "documents"))
+    judged = rules.judge(table(spark, sf_dir, "documents"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +74,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_minhash_near_dedup": minhash.ORACLE_SQL,
+        "op7_quality_rules": rules.ORACLE_SQL,
     }

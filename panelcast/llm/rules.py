@@ -187,3 +187,52 @@ def judge(docs: DataFrame) -> DataFrame:
         _judged(*references(docs)),
         "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double",
     )
+
+
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+r AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (
+    SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (
+      SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS k FROM (
+        SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)))
+    WHERE k > 1) GROUP BY 1),
+l AS (
+  SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY 1),
+base AS (
+  SELECT d.*, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(l.n_dup_lines, 0) AS n_dup_lines, coalesce(r.n_repeat_words, 0) AS n_repeat_words, strlen(t) AS n_bytes FROM d LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_words >= 50 AND n_bytes >= 200 AS guarded FROM base),
+marks AS (
+  SELECT doc_id, lang, strlen(t) AS n_bytes, strlen(t) - strlen(regexp_replace(t, '[a-z]', '', 'g')) AS c0, strlen(t) - strlen(regexp_replace(t, '[A-Z]', '', 'g')) AS c1, strlen(t) - strlen(regexp_replace(t, '[0-9]', '', 'g')) AS c2,
+         strlen(t) - strlen(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS c3, strlen(t) - strlen(regexp_replace(t, '[.,;:''"()-]', '', 'g')) AS c4, strlen(t) - strlen(regexp_replace(t, '[!?]', '', 'g')) AS c5,
+         strlen(t) - strlen(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS c6, strlen(t) - strlen(regexp_replace(t, '[^\x00-\x7F]', '', 'g')) AS c8 FROM d),
+classes AS (SELECT doc_id, lang, unnest(range(9)) AS item, unnest([c0, c1, c2, c3, c4, c5, c6, n_bytes - c0 - c1 - c2 - c3 - c4 - c5 - c6 - c8, c8]) AS n FROM marks),
+words AS (
+  SELECT doc_id, lang, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS item, count(*) AS n FROM (SELECT doc_id, lang, unnest(w) AS x FROM d) GROUP BY ALL),
+per AS (SELECT lang, sum(n_words) AS total FROM judged GROUP BY 1 HAVING count(*) >= 20 AND sum(n_words) >= 2000),
+top AS (
+  SELECT lang, item, n FROM (SELECT w.lang, w.item, sum(w.n) AS n, row_number() OVER (PARTITION BY w.lang ORDER BY sum(w.n) DESC, w.item) AS k FROM words w JOIN per ON per.lang IS NOT DISTINCT FROM w.lang GROUP BY w.lang, w.item)
+  WHERE k <= 200),
+shares AS (
+  SELECT lang, item, n FROM top UNION ALL SELECT per.lang, NULL, per.total - (SELECT sum(n) FROM top WHERE top.lang IS NOT DISTINCT FROM per.lang) FROM per),
+mine AS (
+  SELECT w.doc_id, t.item, sum(w.n) AS n FROM words w LEFT JOIN top t ON t.lang IS NOT DISTINCT FROM w.lang AND t.item = w.item GROUP BY 1, 2),
+known AS (SELECT CASE WHEN per.total IS NULL THEN NULL ELSE j.doc_id END AS known_id, j.doc_id, j.lang, j.n_words, j.n_bytes FROM judged j LEFT JOIN per ON per.lang IS NOT DISTINCT FROM j.lang WHERE j.guarded),
+by_word AS (
+  SELECT k.doc_id, coalesce(m.n, 0)::DOUBLE / k.n_words AS p, (s.n - coalesce(m.n, 0))::DOUBLE / (sum(s.n) OVER (PARTITION BY k.doc_id) - k.n_words) AS q
+  FROM known k JOIN shares s ON s.lang IS NOT DISTINCT FROM k.lang LEFT JOIN mine m ON m.doc_id = k.doc_id AND m.item IS NOT DISTINCT FROM s.item WHERE k.known_id IS NOT NULL),
+class_sums AS (SELECT c.lang, c.item, sum(c.n) AS n FROM classes c GROUP BY 1, 2),
+by_class AS (
+  SELECT k.doc_id, c.n::DOUBLE / k.n_bytes AS p, (s.n - c.n)::DOUBLE / (sum(s.n) OVER (PARTITION BY k.doc_id) - k.n_bytes) AS q
+  FROM known k JOIN classes c ON c.doc_id = k.doc_id
+  JOIN (SELECT lang, item, n, true AS own FROM class_sums UNION ALL SELECT NULL, item, sum(n), false FROM class_sums GROUP BY item) s
+    ON s.item = c.item AND s.own = (k.known_id IS NOT NULL) AND (NOT s.own OR s.lang IS NOT DISTINCT FROM k.lang)),
+distances AS (
+  SELECT doc_id, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS distance, kind
+  FROM (SELECT *, 'class' AS kind FROM by_class UNION ALL SELECT *, 'word' FROM by_word) GROUP BY doc_id, kind)
+SELECT j.doc_id, j.n_words, j.word_chars, j.n_symbols, j.n_dup_lines, j.n_repeat_words, j.base_failed, round(c.distance, 6) AS class_distance, round(v.distance, 6) AS word_distance,
+       NOT j.base_failed AND coalesce(c.distance <= 0.20 + 0.95 / sqrt(j.n_words), true) AND coalesce(v.distance <= 0.42 + 1.2 / sqrt(j.n_words), true) AS kept
+FROM judged j LEFT JOIN distances c ON c.doc_id = j.doc_id AND c.kind = 'class' LEFT JOIN distances v ON v.doc_id = j.doc_id AND v.kind = 'word'
+"""
