@@ -31,8 +31,8 @@ WINDOW = 200_000
 ROUND_BINS = 20_000
 #: Former tasks whose bins meet in one task of the next round, at least.
 FAN_IN = 8
-#: Bytes, by estimate, that a worker's cache of chunks may take, and the longest chunk that enters it.
-CACHE_BYTES, ENTRY_BYTES = 64_000_000, 180
+#: Bytes, by estimate, of each of the two generations of a worker's cache of chunks, and the longest chunk that enters it.
+CACHE_BYTES, ENTRY_BYTES = 48_000_000, 180
 LONGEST_CHUNK = 64
 
 ITEM = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
@@ -74,6 +74,7 @@ class _ChunkIds(dict):
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.held = 0
+        self.older: dict[bytes, bytes] = {}
 
     def _word(self, word: str) -> bytes:
         text = word.lower()
@@ -83,6 +84,19 @@ class _ChunkIds(dict):
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self._encoded(chunk)
+        if len(chunk) <= LONGEST_CHUNK:
+            self.held += ENTRY_BYTES + len(chunk) + len(ids)
+            if self.held > CACHE_BYTES:  # what is in use comes back from the older generation
+                self.older = dict(self)
+                self.clear()
+                self.held = 0
+            self[chunk] = ids
+        return ids
+
+    def _encoded(self, chunk: bytes) -> bytes:
         text = chunk.decode("utf-8", "replace")
         if (m := _WORD.fullmatch(text)) and m[2]:
             ids = self._word(m[1]) + self[m[2].encode()]
@@ -91,12 +105,6 @@ class _ChunkIds(dict):
         else:
             found = self.tokenizer.encode(text, add_special_tokens=False).ids
             ids = struct.pack(f"<{len(found)}I", *found)
-        if len(chunk) <= LONGEST_CHUNK:
-            self.held += ENTRY_BYTES + len(chunk) + len(ids)
-            if self.held > CACHE_BYTES:
-                self.clear()
-                self.held = 0
-            self[chunk] = ids
         return ids
 
 
