@@ -24,15 +24,9 @@ from pyspark.sql import functions as F
 from panelcast.llm.shared import text_bytes
 
 #: Edges of the transducer that a worker keeps; it is grown anew from the current state beyond them.
-EDGES = 250_000
-#: Bytes, by estimate, of each of the two generations of a worker's cache of chunks, and the longest chunk that enters it.
-CACHE_BYTES, ENTRY_BYTES, LONGEST_CHUNK = 80_000_000, 200, 64
-
-#: White space as Unicode's White_Space has it (fixed values).
-_SPACE = "\t-\r \x85\xa0  -     　"
-#: No match of the pattern goes from other characters into white space, so a text is cut there first.
-_CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-
+EDGES = 500_000
+#: Bytes, by estimate, of each of the two generations of a worker's cache of matches, and the longest that enters it.
+CACHE_BYTES, ENTRY_BYTES, LONGEST_MATCH = 80_000_000, 200, 64
 
 def default_vocabulary() -> str:
     import public_tokenizers
@@ -52,29 +46,50 @@ def _ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-def _letters_and_numbers(kind: str) -> str:
-    """Members of a Unicode class as the ``tiktoken`` library knows them, as ranges of a character class. Its tables and
-    those of ``regex`` are of different Unicode versions."""
+def _members(library_probe: str) -> np.ndarray:
+    """Code points of a Unicode class as the ``tiktoken`` library knows them."""
     import tiktoken
 
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    probe = tiktoken.Encoding("probe", pat_str=kind, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
-    at = np.array(sorted(map(ord, bytes(probe.encode_ordinary(every)).decode())))
+    probe = tiktoken.Encoding("probe", pat_str=library_probe, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    return np.array(sorted(map(ord, bytes(probe.encode_ordinary(every)).decode())))
+
+
+def _ranges(at: np.ndarray) -> str:
     heads = np.flatnonzero(np.diff(at, prepend=-2) > 1)
     tails = np.append(heads[1:] - 1, len(at) - 1)
     return "".join(f"\\U{at[a]:08x}-\\U{at[b]:08x}" for a, b in zip(heads.tolist(), tails.tolist(), strict=True))
 
 
-@functools.cache
-def _matcher(pattern: str):
-    """The pattern, with letters and numbers as the tokenizer's own library has them."""
-    import regex
+class Splitter:
+    """Matches of the pattern in a text. The tables of ``regex`` and of the tokenizer's own library are of different
+    Unicode versions: texts with characters that the two class differently are split by classes spelled out in full,
+    plain ASCII by a pattern of ASCII classes."""
+
+    KINDS = (r"\p{L}", r"\p{N}")
+
+    def __init__(self, pattern: str):
+        import regex
+
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        members = {k: _members(k) for k in self.KINDS}
+        self.differ = {c for k in self.KINDS for c in {*map(chr, members[k].tolist())} ^ {*regex.findall(k, every)}}
+        self.whole = regex.compile(pattern).findall
+        self.exact = regex.compile(self._spelled({k: _ranges(members[k]) for k in self.KINDS}, pattern)).findall
+        self.ascii = re.compile(self._spelled({k: _ranges(members[k][members[k] < 128]) for k in self.KINDS}, pattern), re.ASCII).findall
+
+    @staticmethod
+    def _spelled(members: dict[str, str], pattern: str) -> str:
+        def put(m: re.Match) -> str:
+            inside = m[0].startswith("[")
+            return functools.reduce(lambda part, k: part.replace(k, members[k] if inside else f"[{members[k]}]"), members, m[0])
+
+        return re.sub(r"\[[^\]]*\]|\\p\{\w\}", put, pattern)
 
-    for kind in (r"\p{L}", r"\p{N}"):
-        if kind in pattern:
-            members = _letters_and_numbers(kind)
-            pattern = re.sub(r"\[[^\]]*\]|" + re.escape(kind), lambda m: m[0].replace(kind, members) if m[0][0] == "[" else f"[{members}]", pattern)  # noqa: B023
-    return regex.compile(pattern)
+    def __call__(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.ascii(text)
+        return self.whole(text) if self.differ.isdisjoint(text) else self.exact(text)
 
 
 class Transducer:
@@ -96,9 +111,9 @@ class Transducer:
     def _restart(self) -> None:
         self.numbers: dict[tuple, int] = {}
         self.states: list[tuple[bytes, tuple]] = []
-        self.edges: list[dict[int, tuple[int, bytes]]] = []
         self.rest: list[bytes] = []
-        self.made = 0
+        #: state * 256 + byte -> next state, ids that are settled by it
+        self.edges: dict[int, tuple[int, bytes]] = {}
         self.start = self._number((b"", ((0, -1, -1),)))
 
     def _number(self, state: tuple[bytes, tuple]) -> int:
@@ -106,7 +121,6 @@ class Transducer:
         if n is None:
             n = self.numbers[state] = len(self.states)
             self.states.append(state)
-            self.edges.append({})
             nodes, found = state[1], []
             node = nodes[-1]  # the boundary at the end of what was read
             while node[2] >= 0:
@@ -152,7 +166,7 @@ class Transducer:
 
     def _grow(self, at: int, byte: int) -> tuple[int, bytes]:
         pending, nodes = self.states[at]
-        if self.made >= self.limit:
+        if len(self.edges) >= self.limit:
             state = self.states[at]
             self._restart()
             at = self._number(state)
@@ -185,15 +199,14 @@ class Transducer:
                 place[i] = len(kept)
                 kept.append((nodes[i][0] - start, nodes[i][1], place[nodes[i][2]]))
         edge = self._number((pending[start:], tuple(kept))), struct.pack(f"<{len(settled)}I", *settled)
-        self.edges[at][byte] = edge
-        self.made += 1
+        self.edges[at << 8 | byte] = edge
         return edge
 
     def run(self, text: bytes) -> bytes:
         """Ids of one match as little-endian unsigned 32-bit integers."""
         at, out = self.start, []
         for byte in text:
-            edge = self.edges[at].get(byte) or self._grow(at, byte)
+            edge = self.edges.get(at << 8 | byte) or self._grow(at, byte)
             at = edge[0]
             if edge[1]:
                 out.append(edge[1])
@@ -202,28 +215,27 @@ class Transducer:
 
 
 class Encoder(dict):
-    """Ids of chunks of a text; those in use are kept, in two generations of bounded size."""
+    """Ids of the pattern's matches; those in use are kept, in two generations of bounded size."""
 
     def __init__(self, path: str, pattern: str):
-        self.transducer, self.matcher = Transducer(_ranks(path)), _matcher(pattern)
+        self.transducer, self.split = Transducer(_ranks(path)), Splitter(pattern)
         self.held, self.older = 0, {}
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.older.get(chunk)
+    def __missing__(self, match: str) -> bytes:
+        ids = self.older.get(match)
         if ids is None:
-            matches = self.matcher.findall(chunk)
-            ids = self.transducer.run(chunk.encode()) if len(matches) == 1 else b"".join(map(self.__getitem__, matches))
-        if len(chunk) <= LONGEST_CHUNK:
-            self.held += ENTRY_BYTES + len(chunk) + len(ids)
+            ids = self.transducer.run(match.encode())
+        if len(match) <= LONGEST_MATCH:
+            self.held += ENTRY_BYTES + len(match) + len(ids)
             if self.held > CACHE_BYTES:
                 self.older = dict(self)
                 self.clear()
                 self.held = 0
-            self[chunk] = ids
+            self[match] = ids
         return ids
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, _CHUNK.findall(text)))
+        return b"".join(map(self.__getitem__, self.split(text)))
 
 
 def _utf8_states() -> tuple[list[dict[int, int]], int]:
