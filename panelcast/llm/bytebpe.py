@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import gc
 import re
 import struct
 from collections.abc import Iterable, Iterator
@@ -328,10 +329,11 @@ def decoder(path: str) -> Decoder:
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Few rows at a time, as texts may be long."""
+    """Few rows at a time, as texts may be long. The tables that grew meanwhile are left out of garbage collection."""
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
             yield batch.slice(i, 256)
+            gc.freeze()
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
