@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bytebpe, html, media, milquality, minhash, mixing, packing, pii, rules, sharding, toxicity
+from panelcast.llm import bytebpe, html, media, milquality, minhash, mixing, packing, pii, repair, rules, sharding, toxicity
 from panelcast.llm.shared import table
 
 
@@ -60,6 +60,10 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
@@ -73,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_classifier": op9_quality_classifier,
         "op10_personal_data": op10_personal_data,
         "op12_byte_bpe": op12_byte_bpe,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
