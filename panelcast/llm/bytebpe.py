@@ -13,9 +13,11 @@ from __future__ import annotations
 import base64
 import functools
 import gc
+import hashlib
+import marshal
 import re
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from panelcast.llm.shared import text_bytes
 #: Edges of the transducer that a worker keeps; it is grown anew from the current state beyond them.
 EDGES = 500_000
 #: Bytes, by estimate, of each of the two generations of a worker's cache of matches, and the longest that enters it.
-CACHE_BYTES, ENTRY_BYTES, LONGEST_MATCH = 80_000_000, 200, 64
+CACHE_BYTES, ENTRY_BYTES, LONGEST_MATCH = 45_000_000, 200, 64
 
 def default_vocabulary() -> str:
     import public_tokenizers
@@ -110,19 +112,21 @@ class Transducer:
         self._restart()
 
     def _restart(self) -> None:
-        self.numbers: dict[tuple, int] = {}
-        self.states: list[tuple[bytes, tuple]] = []
+        #: States as marshal's bytes, which take a fifth of the room of their tuples.
+        self.numbers: dict[bytes, int] = {}
+        self.states: list[bytes] = []
         self.rest: list[bytes] = []
         #: state * 256 + byte -> next state, ids that are settled by it
         self.edges: dict[int, tuple[int, bytes]] = {}
-        self.start = self._number((b"", ((0, -1, -1),)))
+        self.start = self._number(b"", ((0, -1, -1),))
 
-    def _number(self, state: tuple[bytes, tuple]) -> int:
+    def _number(self, pending: bytes, nodes: tuple) -> int:
+        state = marshal.dumps((pending, nodes), 2)
         n = self.numbers.get(state)
         if n is None:
             n = self.numbers[state] = len(self.states)
             self.states.append(state)
-            nodes, found = state[1], []
+            found = []
             node = nodes[-1]  # the boundary at the end of what was read
             while node[2] >= 0:
                 found.append(node[1])
@@ -166,11 +170,10 @@ class Transducer:
                 j += 1
 
     def _grow(self, at: int, byte: int) -> tuple[int, bytes]:
-        pending, nodes = self.states[at]
+        pending, nodes = marshal.loads(self.states[at])
         if len(self.edges) >= self.limit:
-            state = self.states[at]
             self._restart()
-            at = self._number(state)
+            at = self._number(pending, nodes)
         pending += bytes([byte])
         for i, (offset, before, _) in enumerate(nodes):
             token = self.ranks.get(pending[offset:])
@@ -199,7 +202,7 @@ class Transducer:
             if needed[i] and nodes[i][2] in place:
                 place[i] = len(kept)
                 kept.append((nodes[i][0] - start, nodes[i][1], place[nodes[i][2]]))
-        edge = self._number((pending[start:], tuple(kept))), struct.pack(f"<{len(settled)}I", *settled)
+        edge = self._number(pending[start:], tuple(kept)), struct.pack(f"<{len(settled)}I", *settled)
         self.edges[at << 8 | byte] = edge
         return edge
 
@@ -328,45 +331,58 @@ def decoder(path: str) -> Decoder:
     return Decoder(path)
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_row(work: Callable[[pa.RecordBatch], list[pa.Array]], names: list[str]):
     """Few rows at a time, as texts may be long. The tables that grew meanwhile are left out of garbage collection."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, 256):
-            yield batch.slice(i, 256)
-            gc.freeze()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                yield pa.RecordBatch.from_arrays([*part.columns[:1], *work(part)], names=names)
+                gc.freeze()
+
+    return run
+
+
+def _read(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(docs).alias("text"))
+
+
+def _ids(texts: pa.Array, path: str, pattern: str) -> list[bytes]:
+    own = encoder(path, pattern)
+    return [own.ids(t.decode("utf-8", "replace")) for t in texts.to_pylist()]
+
+
+def _texts(ids: list[bytes | None], path: str) -> list[str]:
+    own = decoder(path)
+    return [own.text(np.frombuffer(x or b"", "<u4")) for x in ids]
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, and ids as little-endian unsigned 32-bit integers, of every row of ``docs(doc_id, text, ...)``.
+    """doc_id, and ids as little-endian unsigned 32-bit integers, of every row of ``docs(doc_id, text, ...)``.
 
     Null and empty texts have no ids. Bytes that are not UTF-8 count as U+FFFD. Repeated rows are encoded each, a null
     doc_id stays null, other columns are not read, an empty table gives an empty result.
     """
     path, pattern = vocabulary or default_vocabulary(), pattern or default_pattern()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, pattern)
-        for batch in _slices(batches):
-            ids = [own.ids(t.decode("utf-8", "replace")) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(docs).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return _read(docs).mapInArrow(_by_row(lambda b: [pa.array(_ids(b.column(1), path, pattern), pa.binary())], ["doc_id", "ids"]), "doc_id long, ids binary")
 
 
 def decode(rows: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """``rows(doc_id, n_tokens, ids)`` with the text of the ids; null ids count as none. Every id must be one of the
-    vocabulary's."""
+    """doc_id and text of ``rows(doc_id, ids)``; null ids count as none. Every id must be one of the vocabulary's."""
     path = vocabulary or default_vocabulary()
+    return rows.select("doc_id", "ids").mapInArrow(_by_row(lambda b: [pa.array(_texts(b.column(1).to_pylist(), path), pa.string())], ["doc_id", "text"]), "doc_id long, text string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = decoder(path)
-        for batch in _slices(batches):
-            texts = [own.text(np.frombuffer(x or b"", "<u4")) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "text"])
 
-    return rows.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, text string")
+def round_trip(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, and digests of every document's ids and of the bytes that they decode to; rows as in ``encode``.
+    Both ways in one worker, so that ids and texts are not sent to and fro."""
+    path, pattern = vocabulary or default_vocabulary(), pattern or default_pattern()
 
+    def work(batch: pa.RecordBatch) -> list[pa.Array]:
+        ids = _ids(batch.column(1), path, pattern)
+        digests = [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(x.encode()).hexdigest() for x in _texts(ids, path)]
+        return [pa.array([len(x) // 4 for x in ids], pa.int64()), *map(pa.array, digests)]
 
-def round_trip(docs: DataFrame) -> DataFrame:
-    """Digests of every document's ids and of the bytes that they decode to."""
-    return decode(encode(docs)).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    return _read(docs).mapInArrow(_by_row(work, names), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm import bytebpe, html, media, milquality, minhash, mixing, packing, pii, repair, rules, sharding, toxicity
+from panelcast.llm import bytebpe, html, media, milquality, minhash, mixing, negatives, packing, pii, repair, rules, sharding, toxicity
 from panelcast.llm.shared import table
 
 
@@ -56,6 +56,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_source_mixing": op8_source_mixing,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_personal_data": op10_personal_data,
+        "op11_hard_negatives": op11_hard_negatives,
         "op12_byte_bpe": op12_byte_bpe,
         "op13_conversation_repair": op13_conversation_repair,
     }
@@ -85,4 +90,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_minhash_near_dedup": minhash.ORACLE_SQL,
         "op7_quality_rules": rules.ORACLE_SQL,
+        "op11_hard_negatives": negatives.ORACLE_SQL,
     }
