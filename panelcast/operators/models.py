@@ -433,12 +433,16 @@ def tune_grid(scores: DataFrame) -> DataFrame:
     return scores.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
+def standardised(x: Column) -> Column:
+    """A stored equation's input, clipped to lo and hi and standardised by mean and sd; those that are null are left out."""
+    return (F.least(F.greatest(x, F.col("lo")), F.col("hi")) - F.coalesce("mean", F.lit(0.0))) / F.coalesce("sd", F.lit(1.0))
+
+
 def score_function(rows: DataFrame, inputs: DataFrame, terms: DataFrame) -> DataFrame:
     """G16. Value of stored equations: each input clipped and standardised, products of powers times coefficients, and
     the intercept. ``rows(row_id, name, x)``, ``inputs(model_id, name, lo, hi, mean, sd)``,
     ``terms(model_id, term_id, coef, factors map<name, power>)``; a term without factors is the intercept."""
-    z = (F.least(F.greatest("x", "lo"), "hi") - F.col("mean")) / F.col("sd")
-    ready = rows.join(inputs, "name").select("row_id", "model_id", "name", z.alias("z"))
+    ready = rows.join(inputs, "name").select("row_id", "model_id", "name", F.when(F.col("x").isNotNull(), standardised(F.col("x"))).alias("z"))
     factors = terms.select("model_id", "term_id", "coef", F.explode_outer("factors").alias("name", "power"))
     per_term = ready.join(factors.filter("name IS NOT NULL"), ["model_id", "name"]).groupBy("row_id", "model_id", "term_id").agg(
         F.product(F.pow("z", F.col("power").cast("double"))).alias("p"), F.max("coef").alias("coef"), F.count("z").alias("n"), F.count("*").alias("want")

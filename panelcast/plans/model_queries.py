@@ -253,49 +253,71 @@ def last_observed(spark, d):
     return rounded(scenario.last_observed(p.signals, as_of(p)), "value", places=6)
 
 
-fx.cte("shock", "SELECT c_custkey AS scenario_id, series_id, CASE WHEN c_custkey % 11 = 0 THEN 'n/a' ELSE CAST(c_custkey % 400 - 200 AS VARCHAR) END AS amount, CASE WHEN c_custkey % 2 = 0 THEN 'percent' ELSE 'absolute' END AS kind FROM customer JOIN (SELECT DISTINCT series_id FROM signals WHERE series_id LIKE 'disc%' OR series_id LIKE 'ret%') ON true", "signals")
+AMOUNT = """CASE WHEN c_custkey % 11 = 0 THEN 'n/a' WHEN c_custkey % 2 = 0 THEN CAST(c_custkey % 400 - 200 AS VARCHAR) WHEN series_id LIKE 'seg%' THEN concat(c_custkey % 400, ',000') WHEN series_id LIKE 'disc%' THEN concat('0.0', c_custkey % 90 + 10) ELSE CAST(c_custkey % 900 - 40 AS VARCHAR) END"""
+fx.cte(
+    "shock",
+    f"""SELECT c_custkey AS scenario_id, target_id, series_id, {AMOUNT} AS amount, CASE WHEN c_custkey % 2 = 0 THEN 'percent' ELSE 'absolute' END AS kind
+FROM (SELECT c_custkey, (10 - c_custkey % 10) % 10 AS one, CASE WHEN c_custkey % 3 = 0 THEN (15 - c_custkey % 10) % 10 END AS two FROM customer) JOIN (SELECT series_id, row_number() OVER (ORDER BY series_id) % 10 AS place FROM (SELECT DISTINCT series_id FROM signals)) ON place IN (one, two) CROSS JOIN (SELECT DISTINCT target_id FROM prices)""",
+    "signals", "prices",
+)
+fx.cte("kinds", "SELECT DISTINCT series_id, CASE WHEN series_id LIKE 'ret%' THEN 'LOG_RETURN' WHEN series_id LIKE 'disc%' THEN 'LEVEL' ELSE 'DIFFERENCE' END AS transform FROM signals", "signals")
 fx.cte(
     "levelled",
-    """SELECT scenario_id, series_id, base, CASE WHEN error IS NULL THEN level END AS level, error FROM (
-  SELECT *, CASE WHEN base IS NULL THEN 'unknown series' WHEN size IS NULL THEN 'not a number' WHEN lo > 0 AND level <= 0 THEN 'must stay above 0' WHEN abs(level - base) > 10 * (hi - lo) THEN 'beyond ten times the observed range' END AS error FROM (
-    SELECT *, CASE kind WHEN 'percent' THEN base * (1 + size / 100) ELSE base + size END AS level FROM (
-      SELECT s.*, TRY_CAST(s.amount AS DOUBLE) AS size, l.value AS base, r.lo, r.hi FROM shock s LEFT JOIN (SELECT series_id, min(value) AS lo, max(value) AS hi FROM signals GROUP BY 1) r USING (series_id) LEFT JOIN (SELECT series_id, value FROM lasto WHERE target_id = '1-URGENT') l USING (series_id))))""",
-    "shock", "signals", "lasto",
+    """SELECT scenario_id, target_id, series_id, base, CASE WHEN error IS NULL THEN level END AS level, error FROM (
+  SELECT *, CASE WHEN base IS NULL THEN 'no observed value' WHEN entered IS NULL THEN 'not a number' WHEN transform <> 'DIFFERENCE' AND level <= 0 THEN 'must stay above 0' WHEN abs(level - base) > 10 * span THEN 'beyond ten times the observed range' END AS error FROM (
+    SELECT *, CASE kind WHEN 'percent' THEN base * (1 + entered / 100) ELSE entered END AS level FROM (
+      SELECT s.*, k.transform, TRY_CAST(replace(s.amount, ',', '') AS DOUBLE) AS entered, l.value AS base, r.span FROM shock s JOIN kinds k USING (series_id) JOIN (SELECT series_id, max(value) - min(value) AS span FROM signals GROUP BY 1) r USING (series_id) LEFT JOIN (SELECT target_id, series_id, value FROM lasto) l USING (target_id, series_id))))""",
+    "shock", "signals", "lasto", "kinds",
 )
 
 
-def shocks(spark, d, p):
-    ids = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("scenario_id"))
-    series = p.signals.select("series_id").distinct().filter(F.col("series_id").startswith("disc") | F.col("series_id").startswith("ret"))
-    rows = ids.crossJoin(series)  # a scenario shocks every series
-    amount = F.when(F.col("scenario_id") % 11 == 0, "n/a").otherwise((F.col("scenario_id") % 400 - 200).cast("string"))
-    return rows.withColumn("amount", amount).withColumn("kind", F.when(F.col("scenario_id") % 2 == 0, "percent").otherwise("absolute"))
-
-
-def shock_levels(spark, d, p):
-    last = scenario.last_observed(p.signals, as_of(p).filter("target_id = '1-URGENT'"))
-    return scenario.validate_shocks(shocks(spark, d, p), p.signals, last)
-
-
-@query("L2_validate_shocks", fx.sql("SELECT scenario_id, series_id, round(base, 6) AS base, round(level, 6) AS level, error FROM levelled", "levelled"))
+class Shocks:
+    """Scenarios of one series each, every third one of two, for all targets; the customers are the scenarios."""
+
+    def __init__(self, spark, d):
+        self.p = Parts(spark, d)
+        ids = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("scenario_id"))
+        place = F.row_number().over(Window.orderBy("series_id")) % 10  # a handful of series
+        series = self.p.signals.select("series_id").distinct().withColumn("place", place)
+        own, key = F.col("series_id"), F.col("scenario_id")
+        hit = (10 - key % 10) % 10
+        ids = ids.withColumn("place", F.explode(F.when(key % 3 == 0, F.array(hit, (15 - key % 10) % 10)).otherwise(F.array(hit))))
+        amount = (
+            F.when(key % 11 == 0, "n/a").when(key % 2 == 0, (key % 400 - 200).cast("string")).when(own.startswith("seg"), F.concat(key % 400, F.lit(",000")))
+            .when(own.startswith("disc"), F.concat(F.lit("0.0"), key % 90 + 10)).otherwise((key % 900 - 40).cast("string"))
+        )
+        shocks = ids.join(series, "place").join(self.p.pairs, "series_id").withColumns({"amount": amount, "kind": F.when(key % 2 == 0, "percent").otherwise("absolute")})
+        last = scenario.last_observed(self.p.signals, as_of(self.p))
+        self.levels = scenario.validate_shocks(shocks, self.p.signals, last, self.p.transforms)
+        usable = scenario.runnable(self.levels)
+        self.scenarios = usable.select("scenario_id", "target_id").distinct()
+        self.base = scenario.base_inputs(self.p.aligned, last, self.p.transforms)
+        self.shocked = scenario.shocked_inputs(self.base, usable)
+
+
+@query("L2_validate_shocks", fx.sql("SELECT scenario_id, target_id, series_id, round(base, 6) AS base, round(level, 6) AS level, error FROM levelled", "levelled"))
 def validate_shocks(spark, d):
-    return rounded(shock_levels(spark, d, Parts(spark, d)), "base", "level", places=6)
-
+    return rounded(Shocks(spark, d).levels, "base", "level", places=6)
 
-MOVED = "CASE WHEN t.series_id LIKE 'disc%' THEN {x} WHEN {x} > 0 AND t.before > 0 THEN ln({x}) - ln(t.before) END"
-fx.cte("tail2", "SELECT target_id, series_id, level AS x, lag(level) OVER (PARTITION BY target_id, series_id ORDER BY rn) AS before FROM moved QUALIFY row_number() OVER (PARTITION BY target_id, series_id ORDER BY rn DESC) = 1", "moved")
-fx.cte("shocked", f"SELECT l.scenario_id, t.target_id, t.series_id, {MOVED.format(x='t.x')} AS base, {MOVED.format(x='coalesce(l.level, t.x)')} AS shocked FROM tail2 t JOIN levelled l ON l.series_id = t.series_id", "tail2", "levelled")
 
-
-def shocked_rows(spark, d, p):
-    own = Window.partitionBy("target_id", "series_id").orderBy(F.desc("rn"))
-    tail = p.aligned.withColumn("k", F.row_number().over(own)).filter("k <= 2").drop("k")
-    return scenario.shocked_inputs(tail, shock_levels(spark, d, p), p.transforms)
+fx.cte("usable", "SELECT * FROM levelled WHERE (scenario_id, target_id) NOT IN (SELECT (scenario_id, target_id) FROM levelled WHERE error IS NOT NULL)", "levelled")
+fx.cte("lasttwo", "SELECT target_id, max(rn) AS rn FROM cal GROUP BY 1", "cal")
+# both days read afresh, with and without the shocked observation
+fx.cte(
+    "shocked",
+    """SELECT scenario_id, target_id, series_id, CASE transform WHEN 'LEVEL' THEN x WHEN 'LOG_RETURN' THEN CASE WHEN x > 0 AND b > 0 THEN ln(x / b) END ELSE x - b END AS base,
+  CASE transform WHEN 'LEVEL' THEN sx WHEN 'LOG_RETURN' THEN CASE WHEN sx > 0 AND sb > 0 THEN ln(sx / sb) END ELSE sx - sb END AS shocked FROM (
+  SELECT z.scenario_id, z.target_id, k.series_id, k.transform, t.x, y.x AS b, CASE WHEN u.level IS NULL OR t.x IS NULL THEN t.x ELSE u.level END AS sx, CASE WHEN u.level IS NULL OR y.x IS NULL OR o.date > y.date THEN y.x ELSE u.level END AS sb
+  FROM (SELECT DISTINCT scenario_id, target_id FROM usable) z CROSS JOIN kinds k JOIN lasttwo n ON n.target_id = z.target_id LEFT JOIN usable u ON u.scenario_id = z.scenario_id AND u.target_id = z.target_id AND u.series_id = k.series_id
+  LEFT JOIN lasto o ON o.target_id = z.target_id AND o.series_id = k.series_id JOIN aligned t ON t.target_id = z.target_id AND t.series_id = k.series_id AND t.rn = n.rn JOIN aligned y ON y.target_id = z.target_id AND y.series_id = k.series_id AND y.rn = n.rn - 1)""",
+    "usable", "kinds", "lasttwo", "lasto", "aligned",
+)
 
 
 @query("L3_shocked_inputs", fx.sql("SELECT scenario_id, target_id, series_id, round(base, 8) AS base, round(shocked, 8) AS shocked FROM shocked", "shocked"))
 def shocked_inputs(spark, d):
-    return rounded(shocked_rows(spark, d, Parts(spark, d)), "base", "shocked")
+    s = Shocks(spark, d)
+    return rounded(scenario.whole_inputs(s.base, s.shocked, s.scenarios), "base", "shocked")
 
 
 fx.cte("ranges", "SELECT p.target_id, p.series_id, min(p.x) AS lo, max(p.x) AS hi FROM panel p JOIN lastfold f ON f.target_id = p.target_id AND p.rn BETWEEN f.train_lo AND f.train_hi GROUP BY 1, 2", "panel", "lastfold")
@@ -310,21 +332,69 @@ def training_ranges(spark, d):
     return rounded(ranges(Parts(spark, d)), "lo", "hi", places=6)
 
 
-COEF = "CASE WHEN series_id LIKE 'disc%' THEN 2.0 ELSE 0.5 END"
+#: Two equations per target: (series, clipped and standardised by the training range or not), and their terms.
+EQUATIONS = {"plain": (("disc_F", "ret_A", "seg_BUILDING"), False), "products": (("disc_O", "ret_N", "seg_MACHINERY"), True)}
+EQUATION_TERMS = [
+    ("plain", 0, 0.1, {}), ("plain", 1, 2.0, {"disc_F": 1}), ("plain", 2, 0.5, {"ret_A": 1}), ("plain", 3, 1e-6, {"seg_BUILDING": 1}),
+    ("products", 0, -0.2, {}), ("products", 1, 1.5, {"disc_O": 2, "ret_N": 1}), ("products", 2, 0.7, {"seg_MACHINERY": 1}), ("products", 3, 0.3, {"disc_O": 1, "seg_MACHINERY": 1}),
+]
+
+
+def equations(spark, p: Parts):
+    """Inputs and terms of every target's equations."""
+    uses = spark.createDataFrame([(m, n, clipped) for m, (names, clipped) in EQUATIONS.items() for n in names], "kind string, series_id string, clipped boolean")
+    own = ranges(p).join(uses, "series_id")
+    held = lambda c: F.when(F.col("clipped"), c)
+    inputs = own.select(
+        F.concat_ws("/", "target_id", "kind").alias("model_id"), "target_id", F.col("series_id").alias("name"), held(F.col("lo")).alias("lo"), held(F.col("hi")).alias("hi"),
+        held((F.col("lo") + F.col("hi")) / 2).alias("mean"), held(F.col("hi") - F.col("lo")).alias("sd"),
+    )
+    kinds = spark.createDataFrame(EQUATION_TERMS, "kind string, term_id int, coef double, factors map<string, int>")
+    terms = inputs.select("model_id", F.element_at(F.split("model_id", "/"), -1).alias("kind")).distinct().join(kinds, "kind").select("model_id", "term_id", "coef", "factors")
+    return inputs, terms
+
+
+def _read(name: str, value: str) -> str:
+    return f"max({value}) FILTER (s.series_id = '{name}')"
+
+
+def _clipped(name: str, value: str) -> str:
+    return f"max((least(greatest({value}, lo), hi) - (lo + hi) / 2) / (hi - lo)) FILTER (s.series_id = '{name}' AND {value} IS NOT NULL)"
+
+
+def _equation_sql(v: str) -> str:
+    do, rn, sm = (_clipped(n, v) for n in EQUATIONS["products"][0])
+    return f"CASE kind WHEN 'plain' THEN 0.1 + 2 * {_read('disc_F', v)} + 0.5 * {_read('ret_A', v)} + 1e-6 * {_read('seg_BUILDING', v)} ELSE -0.2 + 1.5 * pow({do}, 2) * {rn} + 0.7 * {sm} + 0.3 * {do} * {sm} END"
 
 
 @query(
     "L5_run_scenarios",
     fx.sql(
-        f"""SELECT scenario_id, target_id, round(base, 7) AS base, round(shocked, 7) AS shocked, extrapolated, round(shocked - base, 7) + 0.0 AS change FROM (
-  SELECT s.scenario_id, s.target_id, 0.1 + sum({COEF} * s.base) AS base, 0.1 + sum({COEF} * s.shocked) AS shocked, count(*) FILTER (NOT (s.shocked BETWEEN r.lo AND r.hi)) AS extrapolated FROM shocked s JOIN ranges r USING (target_id, series_id) GROUP BY 1, 2)""",
+        f"""SELECT scenario_id, target_id, concat(target_id, '/', kind) AS model_id, round(base, 7) AS base, round(shocked, 7) AS shocked, round(shocked - base, 7) + 0.0 AS change FROM (
+  SELECT s.scenario_id, s.target_id, kind, {_equation_sql("s.base")} AS base, {_equation_sql("s.shocked")} AS shocked FROM shocked s JOIN ranges r USING (target_id, series_id) CROSS JOIN (SELECT unnest(['plain', 'products']) AS kind) GROUP BY 1, 2, 3)""",
         "shocked", "ranges",
     ),
 )
 def run_scenarios(spark, d):
-    p = Parts(spark, d)
-    coefs = p.pairs.select("target_id", "series_id", F.when(F.col("series_id").startswith("disc"), 2.0).otherwise(0.5).alias("coef"), F.lit(0.1).alias("intercept"))
-    return rounded(scenario.run_scenarios(shocked_rows(spark, d, p), coefs, ranges(p)).drop("relative"), "base", "shocked", "change", places=7)
+    s = Shocks(spark, d)
+    out = scenario.run_scenarios(s.base, s.shocked, s.scenarios, *equations(spark, s.p))
+    return rounded(out.drop("relative"), "base", "shocked", "change", places=7)
+
+
+@query(
+    "L5_input_changes",
+    fx.sql(
+        """SELECT scenario_id, target_id, concat(target_id, '/', kind) AS model_id, series_id, round(base, 7) AS base, round(shocked, 7) AS shocked, round(lo, 7) AS lo, round(hi, 7) AS hi, NOT coalesce(shocked BETWEEN lo AND hi, false) AS extrapolated,
+  CASE WHEN kind = 'products' AND NOT shocked BETWEEN lo AND hi THEN round(least(greatest(shocked, lo), hi), 7) END AS clipped_to
+FROM (SELECT *, CASE WHEN series_id IN ('disc_F', 'ret_A', 'seg_BUILDING') THEN 'plain' ELSE 'products' END AS kind FROM shocked WHERE series_id IN ('disc_F', 'ret_A', 'seg_BUILDING', 'disc_O', 'ret_N', 'seg_MACHINERY')) JOIN ranges USING (target_id, series_id)
+WHERE (scenario_id, target_id, series_id) IN (SELECT (scenario_id, target_id, series_id) FROM usable) AND shocked IS DISTINCT FROM base""",
+        "shocked", "usable", "ranges",
+    ),
+)
+def input_changes(spark, d):
+    s = Shocks(spark, d)
+    out = scenario.input_changes(s.shocked, equations(spark, s.p)[0], ranges(s.p))
+    return rounded(out, "base", "shocked", "lo", "hi", "clipped_to", places=7)
 
 
 @query("L6_signals_read", "SELECT DISTINCT concat('m', l_partkey % 40) AS model_id, concat('s', l_suppkey % 25) AS series_id FROM lineitem")
