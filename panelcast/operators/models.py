@@ -16,12 +16,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.operators.panel import purge, retune_schedule, rows_in_ranges
+from panelcast.operators.panel import rows_in_ranges
 
 FOLD = ["target_id", "fold_id"]
 SPLITS, PENALTIES, PENALTY_SPAN = 5, 100, 1e-3
-#: Rows that a leaf of a boosted tree keeps at least.
-LEAF_ROWS = 20
 
 
 def fold_rows(labels: DataFrame, folds: DataFrame) -> DataFrame:
@@ -321,118 +319,6 @@ def merge_terms(terms: DataFrame, n_members: int) -> DataFrame:
     return terms.groupBy("target_id", "term").agg((F.sum("coef") / n_members).alias("coef")).filter("coef <> 0")
 
 
-def _best_split(x: np.ndarray, r: np.ndarray, least: int) -> tuple[float, int, float] | None:
-    """The split (gain in explained squares, input, threshold) that leaves ``least`` rows or more on both sides."""
-    n, best = len(r), None
-    for j in range(x.shape[1]):
-        order = np.argsort(x[:, j], kind="stable")
-        v, left = x[order, j], np.cumsum(r[order])[:-1]
-        size = np.arange(1, n)
-        gain = left**2 / size + (r.sum() - left) ** 2 / (n - size) - r.sum() ** 2 / n
-        gain[(v[1:] <= v[:-1]) | (size < least) | (n - size < least)] = -np.inf
-        at = int(np.argmax(gain)) if n > 1 else 0
-        if n > 1 and gain[at] > max(best[0] if best else 0.0, 1e-12 * float(r @ r)):
-            best = float(gain[at]), j, float((v[at] + v[at + 1]) / 2)
-    return best
-
-
-def boost(x: np.ndarray, y: np.ndarray, rounds: int, depth: int, rate: float, least: int = LEAF_ROWS) -> tuple[float, list, np.ndarray]:
-    """Squared-error boosting by small trees: the mean, the trees (a node is (input, threshold, left, right), a leaf its
-    value), and each input's share of the gain."""
-    gains = np.zeros(x.shape[1])
-
-    def grow(at: np.ndarray, r: np.ndarray, levels: int):
-        split = _best_split(x[at], r[at], least) if levels else None
-        if split is None:
-            return rate * float(r[at].mean())
-        gains[split[1]] += split[0]
-        low = x[at, split[1]] <= split[2]
-        return split[1], split[2], grow(at[low], r, levels - 1), grow(at[~low], r, levels - 1)
-
-    base, trees = float(y.mean()), []
-    left = y - base
-    for _ in range(rounds):
-        trees.append(grow(np.arange(len(y)), left, depth))
-        left = left - _tree_value(trees[-1], x)
-    return base, trees, gains / gains.sum() if gains.sum() else gains
-
-
-def _tree_value(tree, x: np.ndarray) -> np.ndarray:
-    if not isinstance(tree, tuple):
-        return np.full(len(x), tree)
-    low = x[:, tree[0]] <= tree[1]
-    out = np.empty(len(x))
-    out[low], out[~low] = _tree_value(tree[2], x[low]), _tree_value(tree[3], x[~low])
-    return out
-
-
-def _boosted(rows: DataFrame, inputs: list[str], keys: list[str], make: Callable, schema: str) -> DataFrame:
-    whole = rows.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in inputs]))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        train = pdf[(pdf["part"] == "train") & pdf["y"].notna()].sort_values("rn")
-        if train.empty:
-            return make(pdf, None)
-        rounds, depth, rate = (pdf[c].iloc[0] for c in ("rounds", "depth", "rate"))
-        return make(pdf, boost(train[inputs].to_numpy(float), train["y"].to_numpy(float), int(rounds), int(depth), float(rate)))
-
-    return whole.groupBy(*keys).applyInPandas(run, schema)
-
-
-def with_settings(rows: DataFrame, rounds: int = 4, depth: int = 2, rate: float = 0.1, params: str = "boosted") -> DataFrame:
-    """Rows with a booster's settings as columns, which the boosted models read."""
-    return rows.withColumns({"params": F.lit(params), "rounds": F.lit(rounds), "depth": F.lit(depth), "rate": F.lit(rate)})
-
-
-def boosted_walk_forward(rows: DataFrame, inputs: list[str]) -> DataFrame:
-    """G13. Boosted trees, one fit per target, fold and setting (columns of ``with_settings``), all of them tasks of one job. A
-    fold's rows of one target are a bounded group: its training and test window. Rows lacking an input, and folds
-    without a complete training row, have no forecast."""
-    keys = [*FOLD, "params"]
-
-    def make(pdf: pd.DataFrame, model) -> pd.DataFrame:
-        out = pdf[["target_id", "params", "fold_id", "part", "rn", "date", "y"]].rename(columns={"params": "model_id", "y": "realised"})
-        if model is None:
-            return out.iloc[:0].assign(predicted=0.0)
-        x = pdf[inputs].to_numpy(float)
-        return out.assign(predicted=model[0] + sum(_tree_value(t, x) for t in model[1]))
-
-    kinds = dict(rows.dtypes)
-    schema = f"target_id {kinds['target_id']}, model_id string, fold_id {kinds['fold_id']}, part string, rn {kinds['rn']}, date {kinds['date']}, predicted double, realised double"
-    return _boosted(rows, inputs, keys, make, schema)
-
-
-def feature_importance(rows: DataFrame, inputs: list[str]) -> DataFrame:
-    """G15. Each input's share of the splits' gain, per target, fold and setting; 0 for all where no split helps."""
-    keys = [*FOLD, "params"]
-
-    def make(pdf: pd.DataFrame, model) -> pd.DataFrame:
-        shares = [] if model is None else list(model[2])
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(shares) for c in keys}, "input": inputs[: len(shares)], "importance": shares})
-
-    kinds = dict(rows.dtypes)
-    return _boosted(rows, inputs, keys, make, f"target_id {kinds['target_id']}, fold_id {kinds['fold_id']}, params string, input string, importance double")
-
-
-def tuning_folds(folds: DataFrame, labels: DataFrame, h: int, tuning: int, train: int, test: int, embargo: int, every: int = 252) -> DataFrame:
-    """G14. Purged inner folds of each tuning period of E13: a walk-forward inside the ``tuning`` rows that end
-    ``embargo`` rows before the period's first test window, on at most ``train`` rows. ``inner_id`` numbers them within
-    the period; ``fold_id`` does so over all periods."""
-    opens = retune_schedule(folds, test, every).filter("retunes").join(folds.select("target_id", "fold_id", "test_lo"), ["target_id", "fold_id"])
-    n = (tuning - train - embargo) // test
-    inner = opens.select("target_id", "tuning_id", (F.col("test_lo") - embargo - tuning).alias("first"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("inner_id"))
-    lo = F.col("first") + train + embargo + test * F.col("inner_id")
-    bounds = {"train_lo": lo - embargo - train, "train_hi": lo - 1 - embargo, "test_lo": lo, "test_hi": lo + test - 1}
-    inner = inner.withColumns({"fold_id": F.col("tuning_id") * n + F.col("inner_id"), **bounds}).drop("first")
-    return purge(inner, labels, h)
-
-
-def tune_grid(scores: DataFrame) -> DataFrame:
-    """G14. Per target and tuning period the parameters with the best pooled rank IC; null last, ties by name."""
-    w = Window.partitionBy("target_id", "tuning_id").orderBy(F.desc_nulls_last("rank_ic"), "params")
-    return scores.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
-
-
 def standardised(x: Column) -> Column:
     """A stored equation's input, clipped to lo and hi and standardised by mean and sd; those that are null are left out."""
     return (F.least(F.greatest(x, F.col("lo")), F.col("hi")) - F.coalesce("mean", F.lit(0.0))) / F.coalesce("sd", F.lit(1.0))

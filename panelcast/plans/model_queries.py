@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from panelcast.operators import models, panel, portfolio, scenario, scoring
+from panelcast.operators import boosted, models, panel, portfolio, scenario, scoring
 from panelcast.plans import fixtures as fx
 from panelcast.plans.panel_queries import Parts, lagged_levels, series_rows, two_inputs, wide_rows
 from panelcast.plans.portfolio_queries import TAIL, Plan, tail_of
@@ -156,36 +156,53 @@ def merge_terms(spark, d):
     return rounded(models.merge_terms(terms, 4), "coef", places=6)
 
 
-@query("G13_boosted_walk_forward")
-def boosted_walk_forward(spark, d):
-    return models.boosted_walk_forward(models.with_settings(wide_rows(Parts(spark, d))), ["a", "b"])
+#: Boosted trees: G14's inner walk-forward trains on at most so many rows; rounds and depth of the grid at most.
+TUNING_TRAIN, ROUNDS, DEPTH = 252, 3, 2
+
+
+def boosted_grid(spark):
+    """Two configurations, leaves as they are or shrunk, each with four settings of depth and least rows of a leaf."""
+    rows = [(c, f"{c}, depth {n}, leaf {leaf}", ROUNDS, n, 0.3, leaf, penalty) for c, penalty in (("plain", 0.0), ("shrunk", 20.0)) for n in (1, DEPTH) for leaf in (10, 40)]
+    return spark.createDataFrame(rows, f"config string, params string, {boosted.SETTING}")
+
+
+def screened(rows):
+    """Screening of each fold's inputs on its training rows."""
+    return scoring.screen_over_folds(rows.filter("part = 'train'").select("target_id", "fold_id", "series_id", "x", "y"))
+
+
+def tuned_settings(spark, p: Parts):
+    inner = boosted.tuning_folds(p.folds, p.labels, H, fx.TUNING, min(fx.TRAIN, TUNING_TRAIN), fx.TEST, fx.EMBARGO)
+    rows = models.fold_rows(p.labels.join(p.panel.select("target_id", "rn", "series_id", "x"), ["target_id", "rn"]), inner)
+    return boosted.tune_grid(rows, screened(rows), inner, boosted_grid(spark), ROUNDS, DEPTH)
 
 
-#: G14's inner walk-forward trains on at most so many rows.
-TUNING_TRAIN = 252
-#: G14's grid of tree depths.
-DEPTHS = (1, 2, 3)
+def fold_settings(spark, p: Parts, folds):
+    """The settings of each configuration's latest tuning for every fold."""
+    periods = panel.retune_schedule(p.folds, fx.TEST).join(folds.select("target_id", "fold_id"), ["target_id", "fold_id"])
+    tuned = tuned_settings(spark, p).select("target_id", "tuning_id", "config", "params")
+    return periods.drop("retunes").join(tuned, ["target_id", "tuning_id"]).join(boosted_grid(spark), ["config", "params"]).drop("tuning_id")
+
+
+@query("G13_boosted_walk_forward")
+def boosted_walk_forward(spark, d):
+    p = Parts(spark, d)
+    rows = series_rows(p)
+    return boosted.boosted_walk_forward(rows, screened(rows), fold_settings(spark, p, p.purged), ROUNDS, DEPTH)
 
 
 @query("G14_tune_grid")
 def tune_grid(spark, d):
-    """The boosted model's depth, scored per target and tuning period by pooled rank IC over the folds inside its window."""
-    p = Parts(spark, d)
-    inner = models.tuning_folds(p.folds, p.labels, H, fx.TUNING, min(fx.TRAIN, TUNING_TRAIN), fx.TEST, fx.EMBARGO)
-    rows = models.fold_rows(p.labels.join(two_inputs(p), ["target_id", "rn"]), inner)
-    grid = F.explode(F.array(*[F.struct(F.lit(f"depth {n}").alias("params"), F.lit(n).alias("depth")) for n in DEPTHS])).alias("g")
-    settings = models.with_settings(rows, rounds=3).drop("params", "depth").select("*", grid).select("*", "g.params", "g.depth").drop("g")
-    made = models.boosted_walk_forward(settings, ["a", "b"]).filter("part = 'test'").join(inner.select("target_id", "fold_id", "tuning_id"), ["target_id", "fold_id"])
-    scores = scoring.rank_ic(made.withColumnRenamed("model_id", "params"), ["target_id", "tuning_id", "params"])
-    return models.tune_grid(scores)
+    return tuned_settings(spark, Parts(spark, d))
 
 
 @query("G15_feature_importance")
 def feature_importance(spark, d):
-    """Shares of the inputs in each target's latest fold."""
+    """Shares of the inputs in each target's latest fold, for both configurations."""
     p = Parts(spark, d)
-    rows = models.fold_rows(p.labels.join(two_inputs(p), ["target_id", "rn"]), models.latest_fold(p.purged))
-    return models.feature_importance(models.with_settings(rows), ["a", "b"])
+    last = models.latest_fold(p.purged)
+    rows = models.fold_rows(p.labels.join(p.panel.select("target_id", "rn", "series_id", "x"), ["target_id", "rn"]), last)
+    return boosted.feature_importance(rows, screened(rows), fold_settings(spark, p, last), ROUNDS, DEPTH)
 
 
 # G16: two stored equations over all complete rows of the panel -------------------------------------------------------
