@@ -6,9 +6,10 @@ stay the same at an aligned node over most of the host's distinct pages are temp
 save those whose element says otherwise (menus, adverts, forms, footers and the like). Where a page marks its article,
 only slots in it are content.
 
-Names of classes are evidence beside the template: a part named like an advert or like comments goes; a name in which
-related pages, a notice or a header is only one word of several counts only if the part is mostly links or has fields. No part goes that holds most of
-the page's text.
+Names of classes are evidence beside the template: a part named like an advert or like comments goes; where such a word is
+only one of several, or the name is of related pages, a notice or a header, only if the part is mostly links or has fields.
+Position decides against names: a form or named part that holds the page's articles, or all that is left of a page without
+one, is a frame of the page and stays. Elements that are hidden go.
 
 Only trees (as strings), node numbers and text hashes are shuffled; the induction's statistics cover all pages. A host's
 template has at most twice as many texts as its pages have on average, as each is on half of the pages or more.
@@ -16,6 +17,7 @@ template has at most twice as many texts as its pages have on average, as each i
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html as entities
 import re
@@ -36,9 +38,9 @@ TEMPLATE_PAGES, TEMPLATE_SHARE = 3, 0.5
 ARTICLE_PAGES, ARTICLE_SHARE = 8, 0.8
 #: A slot outside an article with more of its characters in links than this is a menu.
 LINK_SHARE = 0.6
-#: A form or a named part is content all the same if it holds more than this share of the text of the page's
-#: articles, or of the page where no article is marked: a frame of the page, not a part beside its content.
-FRAME_SHARE = 0.5
+#: Cells of the table by which two lists of children are matched at once; longer lists are cut at children that are equal
+#: and unique in both.
+CELLS = 40_000
 #: Templates of at most so many bytes together are sent to every executor.
 BROADCAST_BYTES = 64_000_000
 #: Trees may be as deep as pages make them.
@@ -57,6 +59,13 @@ NO_CONTENT = frozenset(
     breadcrumbs footer masthead comment comments respond replies share sharing social newsletter subscribe login pagination pager""".split()
 )
 MAYBE_CONTENT = frozenset("header banner notice notices related recommended search widget widgets".split())
+#: Words beside such a word in a name that is still one of such a part.
+OF_A_PART = frozenset(
+    """section list area block box container wrapper wrap bar left right top bottom site page main global primary secondary inner outer form buttons button links link icons icon signup
+    widget banner slot unit row panel overlay thread item items notice content side header head title body desktop mobile sticky fixed""".split()
+)
+#: Elements in which a text that is mostly a link is still a text.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption dd td".split())
 #: Words before such a word that make the name one of a page that has, or has not, the part.
 OF_A_PAGE = frozenset("no not non has with without is and plus".split())
 
@@ -64,7 +73,8 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<close2>/?)(?P<tag2>[A-Za-z][A-Za-z0-9:-]*)(?P<rest2>[^>]*+)>",
     re.S,
 )
-_NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_QUOTED = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*')")
 
 
 @dataclass
@@ -82,6 +92,7 @@ class Unit:
     linked: int
     dropped: bool
     article: bool
+    tag: str
     node: int = -1
 
 
@@ -89,7 +100,7 @@ def _names(rest: str) -> list[str]:
     """The words of an element's class, id and role."""
     if not rest.strip():
         return []
-    return sorted({re.sub(r"[^\w-]", "", re.sub(r"[0-9]+", "0", w)) for m in _NAMED.finditer(rest) for w in next(g for g in m.groups("") if g or g == "").split()} - {""})
+    return sorted({re.sub(r"[^\w-]", "", re.sub(r"[0-9]+", "0", w)) for m in _NAMED.finditer(rest) for w in (m[1] or m[2] or m[3] or "").split()} - {""})
 
 
 @functools.lru_cache(65_536)
@@ -99,17 +110,29 @@ def _part(name: str) -> str:
     words = [w.lower() for w in words]
     if OF_A_PAGE & set(words):
         return ""
-    if NO_CONTENT & set(words) or (len(words) == 1 and words[0] in MAYBE_CONTENT):
+    named = NO_CONTENT & set(words)
+    if (named and set(words) <= NO_CONTENT | OF_A_PART) or (len(words) == 1 and words[0] in MAYBE_CONTENT):
         return "no"
-    return "maybe" if MAYBE_CONTENT & set(words) else ""
+    return "maybe" if named or MAYBE_CONTENT & set(words) else ""
+
+
+def _hidden(rest: str) -> bool:
+    if "hidden" not in rest.lower() and "none" not in rest.lower():
+        return False
+    style = re.search(r"(?<![\w-])style\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", rest, re.I)
+    return bool(style and re.search(r"display\s*:\s*none", style[1] or style[2] or style[3] or "", re.I)) or bool(re.search(r"(?<![\w-])hidden(?![\w-])", _QUOTED.sub("", rest), re.I))
 
 
 @dataclass
 class Frame:
-    """A form or a named part: its texts' characters, in and out of links, and whether it has fields to fill in."""
+    """A form or a named part: its texts' characters, in and out of links, whether it has fields to fill in, and whether an
+    article, or what only a whole page has, stands in it: then it is a frame of the page, not a part beside its content."""
 
     kind: str
     parent: int
+    form: bool
+    page: bool = False
+    own: int = 0
     held: int = 0
     linked: int = 0
     fields: bool = False
@@ -133,7 +156,7 @@ def parse(page: str) -> tuple[Node, list[Unit]]:
         pieces.clear()
         if text:
             stack[-1][1].units.append(len(units))
-            units.append(Unit(text, linked, stack[-1][2], stack[-1][3]))
+            units.append(Unit(text, linked, stack[-1][2], stack[-1][3], stack[-1][0]))
             within.append(stack[-1][4])
         linked = 0
 
@@ -192,13 +215,19 @@ def parse(page: str) -> tuple[Node, list[Unit]]:
         child = Node(".".join([tag, *names]))
         node.children.append(child)
         article = article or tag in ARTICLE or "main" in names
-        dropped = dropped or (tag in DROPPED and tag != "form") or (tag == "header" and not article)
+        dropped = dropped or _hidden(rest) or (tag in DROPPED and tag != "form") or (tag == "header" and not article)
         if tag not in ("html", "body"):
             said = {_part(w) for w in names}
             kind = "no" if tag == "form" or "no" in said else "maybe" if "maybe" in said else ""
             if kind:
-                frames.append(Frame(kind, around))
+                frames.append(Frame(kind, around, tag == "form"))
                 around = len(frames) - 1
+        whole = tag in ARTICLE or tag == "h1" or "main" in names
+        if whole or tag in ("header", "footer", "nav"):
+            k = stack[-1][4]
+            while k >= 0:
+                frames[k].page |= whole or frames[k].form
+                k = frames[k].parent
         stack.append((tag, child, dropped, article, around))
         opened[tag] += 1
     if at < len(page):
@@ -206,21 +235,28 @@ def parse(page: str) -> tuple[Node, list[Unit]]:
     flush()
     kept = [(u, f) for u, f in zip(units, within, strict=True) if not u.dropped]
     marked = any(u.article for u, _ in kept)
-    whole = 0
+    beside = 0  # text that is in no part but perhaps such whose name alone does not say what it is
     for u, f in kept:
-        if u.article or not marked:
-            whole += len(u.text)
-            if f >= 0:
-                frames[f].held += len(u.text)
-                frames[f].linked += u.linked
+        if f >= 0:
+            frames[f].held += len(u.text)
+            frames[f].linked += u.linked
+        while f >= 0 and frames[f].kind == "maybe":
+            f = frames[f].parent
+        if f >= 0:
+            frames[f].own += len(u.text) * (u.article or not marked)
+        elif u.article or not marked:
+            beside += len(u.text)
     for f in reversed(frames):  # a part comes after those around it
         if f.parent >= 0:
             around = frames[f.parent]
             around.held, around.linked, around.fields = around.held + f.held, around.linked + f.linked, around.fields or f.fields
     gone: list[bool] = []
+    left: list[int] = []  # text beside each part that stays if the part goes
     for f in frames:
+        left.append(beside if f.parent < 0 else left[f.parent] + frames[f.parent].own)
         alone = f.kind == "no" or f.fields or f.linked > LINK_SHARE * f.held
-        gone.append((f.parent >= 0 and gone[f.parent]) or (alone and f.held <= FRAME_SHARE * whole))
+        frame = f.page and not left[-1] if marked else f.page or not left[-1]
+        gone.append((f.parent >= 0 and gone[f.parent]) or (alone and not frame))
     for u, f in kept:
         u.dropped = f >= 0 and gone[f]
     return root, units
@@ -272,55 +308,130 @@ def _read_shape(form: str) -> Node:
     return root.children[0]
 
 
-@functools.lru_cache(4096)
-def align(seed: str, form: str) -> tuple[int, ...]:
-    """For each node of ``form``, the number of the node of ``seed`` that simple tree matching pairs it with, or -1."""
-    a, b = _read_shape(seed), _read_shape(form)
-
-    def numbered(root: Node) -> int:
-        stack, n = [root], 0
+def _longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest run of pairs, sorted by the first, in which the second rises too."""
+    ends: list[int] = []
+    last: list[int] = []
+    before: list[int] = []
+    for k, (_, j) in enumerate(pairs):
+        at = bisect.bisect_left(ends, j)
+        before.append(last[at - 1] if at else -1)
+        ends[at:], last[at:] = [j, *ends[at + 1 :]], [k, *last[at + 1 :]]
+    out, k = [], last[-1] if last else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = before[k]
+    return out[::-1]
+
+
+class _Matching:
+    """Simple tree matching: most pairs of nodes with equal labels, order and ancestry kept.
+
+    Equal subtrees at both ends of two lists of children are paired at once, which costs no pairs. Lists that are still
+    longer than CELLS allow are cut at the longest rising run of children that are equal and unique in both; between
+    such cuts labels are paired in order where even that leaves too much."""
+
+    def __init__(self, a: Node, b: Node):
+        self.keys: list[dict[int, int]] = []
+        self.sizes = [self._number(a), self._number(b)]
+        self.known: dict[tuple[int, int], int] = {}
+
+    def _number(self, root: Node) -> int:
+        nodes, stack = [], [root]
         while stack:
             node = stack.pop()
-            node.units = [n]
-            n += 1
+            node.units = [len(nodes)]
+            nodes.append(node)
             stack += reversed(node.children)
-        return n
-
-    numbered(a)
-    out = [-1] * numbered(b)
-    known: dict[tuple[int, int], int] = {}
-
-    def weight(x: Node, y: Node) -> int:
-        """Most pairs of equal labels with order and ancestry kept."""
+        keys: dict[int, int] = {}
+        for node in reversed(nodes):
+            keys[node.units[0]] = hash((node.label, *(keys[c.units[0]] for c in node.children)))
+        self.keys.append(keys)
+        return len(nodes)
+
+    def weight(self, x: Node, y: Node) -> int:
+        if x.label != y.label:
+            return 0
         key = x.units[0], y.units[0]
-        if key not in known:
-            known[key] = 1 + table(x, y)[-1][-1] if x.label == y.label else 0
-        return known[key]
-
-    def table(x: Node, y: Node) -> list[list[int]]:
-        m = [[0] * (len(y.children) + 1)]
-        for c in x.children:
+        if key not in self.known:
+            self.known[key] = 1 + sum(self.weight(x.children[i], y.children[j]) for i, j in self.pairs(x, y))
+        return self.known[key]
+
+    def pairs(self, x: Node, y: Node) -> list[tuple[int, int]]:
+        cs, ds = x.children, y.children
+        one, two = [self.keys[0][c.units[0]] for c in cs], [self.keys[1][d.units[0]] for d in ds]
+        lo, n, m = 0, len(cs), len(ds)
+        while lo < min(n, m) and one[lo] == two[lo]:
+            lo += 1
+        while min(n, m) > lo and one[n - 1] == two[m - 1]:
+            n, m = n - 1, m - 1
+        tail = [(n + k, m + k) for k in range(len(cs) - n)]
+        return [(k, k) for k in range(lo)] + self._between(cs, ds, one, two, (lo, n), (lo, m)) + tail
+
+    def _between(self, cs, ds, one, two, a: tuple[int, int], b: tuple[int, int]) -> list[tuple[int, int]]:
+        (i, n), (j, m) = a, b
+        if (n - i) * (m - j) <= CELLS:
+            return self._table(cs, ds, a, b) if i < n and j < m else []
+        seen = Counter(one[i:n]), Counter(two[j:m])
+        place = {two[k]: k for k in range(j, m) if seen[1][two[k]] == 1}
+        cuts = _longest_rising([(k, place[one[k]]) for k in range(i, n) if seen[0][one[k]] == 1 and one[k] in place])
+        if not cuts:
+            return self._in_order(cs, ds, a, b)
+        out = []
+        for p, q in [*cuts, (n, m)]:
+            out += self._between(cs, ds, one, two, (i, p), (j, q))
+            if p < n:
+                out.append((p, q))
+            i, j = p + 1, q + 1
+        return out
+
+    def _table(self, cs, ds, a: tuple[int, int], b: tuple[int, int]) -> list[tuple[int, int]]:
+        (i0, n), (j0, m) = a, b
+        rows = [[0] * (m - j0 + 1)]
+        for i in range(i0, n):
             row = [0]
-            for j, d in enumerate(y.children):
-                row.append(max(row[j], m[-1][j + 1], m[-1][j] + weight(c, d)))
-            m.append(row)
-        return m
-
-    def trace(x: Node, y: Node) -> None:
-        out[y.units[0]] = x.units[0]
-        m, i, j = table(x, y), len(x.children), len(y.children)
-        while i and j:
-            w = weight(x.children[i - 1], y.children[j - 1])
-            if w and m[i][j] == m[i - 1][j - 1] + w:
-                trace(x.children[i - 1], y.children[j - 1])
+            for j in range(j0, m):
+                row.append(max(row[-1], rows[-1][j - j0 + 1], rows[-1][j - j0] + self.weight(cs[i], ds[j])))
+            rows.append(row)
+        out, i, j = [], n, m
+        while i > i0 and j > j0:
+            w = self.weight(cs[i - 1], ds[j - 1])
+            now = rows[i - i0][j - j0]
+            if w and now == rows[i - i0 - 1][j - j0 - 1] + w:
                 i, j = i - 1, j - 1
-            elif m[i][j] == m[i - 1][j]:
+                out.append((i, j))
+            elif now == rows[i - i0 - 1][j - j0]:
                 i -= 1
             else:
                 j -= 1
-
-    if a.label == b.label:
-        trace(a, b)
+        return out[::-1]
+
+    @staticmethod
+    def _in_order(cs, ds, a: tuple[int, int], b: tuple[int, int]) -> list[tuple[int, int]]:
+        places: dict[str, list[int]] = {}
+        for j in range(*b):
+            places.setdefault(ds[j].label, []).append(j)
+        out, at = [], b[0]
+        for i in range(*a):
+            own = places.get(cs[i].label, [])
+            k = bisect.bisect_left(own, at)
+            if k < len(own):
+                out.append((i, own[k]))
+                at = own[k] + 1
+        return out
+
+
+@functools.lru_cache(512)
+def align(seed: str, form: str) -> tuple[int, ...]:
+    """For each node of ``form``, the number of the node of ``seed`` that simple tree matching pairs it with, or -1."""
+    a, b = _read_shape(seed), _read_shape(form)
+    match = _Matching(a, b)
+    out = [-1] * match.sizes[1]
+    stack = [(a, b)] if a.label == b.label else []
+    while stack:
+        x, y = stack.pop()
+        out[y.units[0]] = x.units[0]
+        stack += [(x.children[i], y.children[j]) for i, j in match.pairs(x, y) if x.children[i].label == y.children[j].label]
     return tuple(out)
 
 
@@ -379,7 +490,7 @@ def main_text(page: str, seed: str | None, template: frozenset[tuple[int, int]])
     marked = any(u.article and not u.dropped for u in units)
     slots = [u for u in units if not u.dropped and (u.article or not marked)]
     if not marked:
-        slots = [u for u in slots if u.linked <= LINK_SHARE * len(u.text)]
+        slots = [u for u in slots if u.tag in PROSE or u.linked <= LINK_SHARE * len(u.text)]
     return " ".join(u.text for u in slots if not to_seed or (to_seed[u.node], _hash(u.text)) not in template)
 
 

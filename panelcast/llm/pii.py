@@ -73,7 +73,7 @@ def _quads(text: str, anchors: list[int]) -> list[tuple[int, int]]:
         if at < last:
             continue
         if m := _QUAD.match(text, at):
-            if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.groups()):
+            if all(len(x) <= 3 and int(x or "0") <= 255 for x in (g.lstrip("0") for g in m.groups())):
                 out.append(m.span())
             last = m.end()
         else:
