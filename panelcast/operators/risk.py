@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelcast.operators.portfolio import drawdown
+
 BREACH_DAYS = 252
 
 
@@ -20,31 +25,63 @@ def historical_var(returns: DataFrame, keys: list[str], confidence: float = 0.95
     return worst.groupBy(*keys).agg((-F.max("r")).alias("var"), (-F.avg("r")).alias("cvar"), F.max("k").alias("k"))
 
 
-def _breaks(days: int, k: int):
-    """Whether r is worse than the k-th worst of the ``days`` values of the column w: fewer than k of them are at or below it."""
-    return F.when(F.size("w") == days, F.size(F.filter("w", lambda v: v <= F.col("r"))) < k)
+def _least_lists(k: int):
+    """For each row of a block, in order: the k least values of the rows before it, and of it and those behind it."""
+
+    def of(values: list[float]) -> list[list[float]]:
+        out, held = [], []
+        for v in values:
+            out.append(list(held))
+            bisect.insort(held, v)
+            del held[k:]
+        return [*out, list(held)]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place")
+        values = pdf["r"].tolist()
+        return pdf.assign(before=of(values)[:-1], ahead=of(values[::-1])[:0:-1])
+
+    return run
+
+
+def rolling_limits(returns: DataFrame, keys: list[str], k: int, days: int = BREACH_DAYS) -> DataFrame:
+    """Each row of returns with ``least``, the k least values of the ``days`` rows before it in order; null without so many.
+
+    A window of ``days`` rows reaches over the end of one block of ``days`` rows and the start of the next. A block keeps for
+    each row the k least values up to it and from it on, so a window is two lists of k values, whatever its length.
+    """
+    own = Window.partitionBy(*keys).orderBy("date")
+    rows = returns.filter("r IS NOT NULL").select(*keys, "date", "r", (F.row_number().over(own) - 1).alias("_i"))
+    rows = rows.withColumns({"block": F.floor(F.col("_i") / days).cast("int"), "place": (F.col("_i") % days).cast("int")}).drop("_i")
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in rows.columns) + ", before array<double>, ahead array<double>"
+    lists = rows.groupBy(*keys, "block").applyInPandas(_least_lists(k), schema)
+    last = lists.select(*keys, (F.col("block") + 1).alias("block"), "place", F.col("ahead").alias("_ahead"))
+    found = lists.join(last, [*keys, "block", "place"], "left")
+    return found.select(*keys, "date", "r", F.when(F.col("_ahead").isNotNull(), F.slice(F.array_sort(F.concat("before", "_ahead")), 1, k)).alias("least"))
 
 
 def var_breaches(returns: DataFrame, keys: list[str], confidences: tuple[float, ...] = (0.95,), days: int = BREACH_DAYS) -> DataFrame:
-    """K2. Days whose loss is strictly worse than the value at risk of the ``days`` days before; days tested. The window's
-    values are counted, not sorted, once for all confidences."""
-    before = Window.partitionBy(*keys).orderBy("date").rowsBetween(-days, -1)
-    rows = returns.filter("r IS NOT NULL").withColumn("w", F.collect_list("r").over(before))
+    """K2. Days whose loss is strictly worse than the value at risk of the ``days`` days before; days tested."""
     k = {c: max(-int(-(days * (1 - c) - 1e-9) // 1), 1) for c in confidences}
-    rows = rows.select(*keys, *[_breaks(days, k[c]).alias(f"b{i}") for i, c in enumerate(confidences)])
-    return rows.groupBy(*keys).agg(*[f(f"b{i}").alias(f"{n}{i}") for i in range(len(confidences)) for n, f in (("hit", F.count_if), ("all", F.count))]).select(
-        *keys, F.explode(F.array(*[F.struct(F.lit(c).alias("confidence"), F.col(f"hit{i}").alias("breaches"), F.col(f"all{i}").alias("tested")) for i, c in enumerate(confidences)])).alias("c")
-    ).select(*keys, "c.*")
-
-
-def tail_table(returns: DataFrame, keys: list[str]) -> DataFrame:
-    """K3. K1 and K2 at 95 and 99 per cent."""
-    confidences = (0.95, 0.99)
-    var = None
-    for c in confidences:
-        one = historical_var(returns, keys, c).withColumn("confidence", F.lit(c))
-        var = one if var is None else var.unionByName(one)
-    return var.join(var_breaches(returns, keys, confidences), [*keys, "confidence"])
+    rows = rolling_limits(returns, keys, max(k.values()), days)
+    hit = [F.struct(F.lit(c).alias("confidence"), F.count_if(F.col("r") < F.element_at("least", k[c])).alias("breaches"), F.count("least").alias("tested")) for c in confidences]
+    return rows.groupBy(*keys).agg(F.array(*hit).alias("c")).select(*keys, F.explode("c").alias("c")).select(*keys, "c.*")
+
+
+def tail_table(returns: DataFrame, keys: list[str], confidences: tuple[float, ...] = (0.95, 0.99)) -> DataFrame:
+    """K3. K1 and K2 at each confidence, from one ranking of the returns, beside the largest drawdown and the days."""
+    own = Window.partitionBy(*keys)
+    rows = returns.filter("r IS NOT NULL").withColumns({"_i": F.row_number().over(own.orderBy("r")), "_n": F.count("*").over(own)})
+
+    def at(c: float):
+        k = _worst(F.col("_n"), c)
+        worst = F.when(F.col("_i") <= k, F.col("r"))
+        return F.struct(F.lit(c).alias("confidence"), (-F.max(worst)).alias("var"), (-F.avg(worst)).alias("cvar"), F.max(k).alias("k"))
+
+    var = rows.groupBy(*keys).agg(F.max("_n").alias("days"), F.array(*map(at, confidences)).alias("c")).select(*keys, "days", F.explode("c").alias("c")).select(*keys, "days", "c.*")
+    deepest = drawdown(returns, keys).groupBy(*keys).agg(F.min("drawdown").alias("max_drawdown"))
+    return var.join(var_breaches(returns, keys, confidences), [*keys, "confidence"]).join(deepest, keys)
 
 
 def return_history(returns: DataFrame, as_of, n: int) -> DataFrame:

@@ -126,4 +126,4 @@ def direction_hit_rate(runs: DataFrame, forecasts: DataFrame) -> DataFrame:
     views = forecasts.filter("predicted IS NOT NULL AND realised IS NOT NULL AND predicted <> baseline")
     right = F.signum(F.col("predicted") - F.col("baseline")) == F.signum(F.col("realised") - F.col("baseline"))
     share = F.avg(F.when(right, 1.0).otherwise(0.0))
-    return views.join(runs.select("run_id", "model"), "run_id").groupBy("model").agg(F.count("*").alias("dates_with_a_view"), share.alias("hit_rate"))
+    return views.join(runs.select("run_id", "model"), "run_id").groupBy("model").agg(F.count("*").alias("views"), share.alias("hit_rate"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -324,9 +326,67 @@ def slope_by_year(pairs: DataFrame, keys: list[str], lags: int) -> DataFrame:
     return overlap_se(ols_hac(pairs.withColumn("year", F.year("date")), [*keys, "year"], "x", "y", "date", lags)).filter("n >= 3").select(*keys, "year", "n", "slope", "t")
 
 
-def circular_shift_placebo(pairs: DataFrame, shifts: DataFrame, key: str) -> DataFrame:
-    """F20. Correlation of y with x rotated against its dates, for each shift of a table (key, shift)."""
-    own = Window.partitionBy(key)
-    rows = _pairs(pairs, "x", "y").withColumn("i", F.row_number().over(own.orderBy("date")) - 1).withColumn("n", F.count("*").over(own))
-    moved = rows.select(key, "x", "i", "n").join(shifts, key).withColumn("i", F.pmod(F.col("i") + F.col("shift"), F.col("n"))).select(key, "shift", "i", "x")
-    return ic(moved.join(rows.select(key, "i", "y"), [key, "i"]), [key, "shift"], "x", "y").withColumnRenamed("ic", "placebo_ic")
+def _placebo(x: np.ndarray, y: np.ndarray, lags: int, shifts: np.ndarray) -> dict[str, np.ndarray]:
+    """Slope, its overlap-robust error and the correlation of y with x rotated by each shift.
+
+    With x and y centred and z the rotated x, the error needs sums over i of u(i) u(i - l) with u = z (y - b z): four sums of
+    a product of x's alone, rotated, with one of y's alone, so each is a cross-correlation, had for all shifts at once
+    by Fourier transforms."""
+    n = len(x)
+    z, y = x - x.mean(), y - y.mean()
+
+    def across(of_x: np.ndarray, of_y: np.ndarray) -> np.ndarray:
+        return np.fft.irfft(np.conj(np.fft.rfft(of_x)) * np.fft.rfft(of_y), n)[shifts]
+
+    sxx = float(z @ z)
+    slope = across(z, y) / sxx
+    totals = {"bartlett": np.zeros(len(shifts)), "uniform": np.zeros(len(shifts))}
+    for lag in range(lags + 1):
+        zl, within = np.roll(z, lag), np.arange(n) >= lag
+        yl = np.roll(y, lag)
+        product = across(z * zl, np.where(within, y * yl, 0.0)) - slope * (across(z * zl * zl, np.where(within, y, 0.0)) + across(z * z * zl, np.where(within, yl, 0.0))) + slope**2 * across((z * zl) ** 2, within.astype(float))
+        totals["bartlett"] += product * (1 if lag == 0 else 2 * (1 - lag / (lags + 1)))
+        totals["uniform"] += product * (1 if lag == 0 else 2)
+    with np.errstate(invalid="ignore"):
+        errors = [np.where(v > 0, np.sqrt(v), np.nan) / sxx for v in totals.values()]
+    return {"slope": slope, "se": np.fmax(*errors), "placebo_ic": slope * np.sqrt(sxx / float(y @ y)) if y.any() else np.full(len(shifts), np.nan)}
+
+
+def circular_shift_placebo(pairs: DataFrame, keys: list[str], least_shift: int, least: int = 252, gate: float = GATE_T) -> DataFrame:
+    """F20. What the gate says of signals without skill: y regressed on x rotated against its dates, for every shift that is
+    ``least_shift`` or more rows away from the true order, and for the true order as shift 0.
+
+    ``pairs(keys.., date, x, y, lags)``; the errors allow for ``lags`` rows of overlap. Returns keys, shift, n, placebo_ic, slope,
+    t and opens (at least ``least`` pairs and t above the gate). A task holds the pairs of one key; all shifts cost it
+    n log n, not n squared. Keys with fewer than two pairs or a constant x have no row.
+    """
+    kinds = dict(pairs.dtypes)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", shift long, n long, placebo_ic double, slope double, t double, opens boolean"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        x, y, n = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), len(pdf)
+        if n < 2 or x.min() == x.max():
+            return pd.DataFrame({k: pdf[k].iloc[:0] for k in keys} | {c: [] for c in ("shift", "n", "placebo_ic", "slope", "t", "opens")})
+        shifts = np.concatenate([[0], np.arange(least_shift, n - least_shift + 1)])
+        found = _placebo(x, y, int(pdf["lags"].iloc[0]), shifts)
+        t = found["slope"] / found["se"]
+        t[~np.isfinite(t)] = np.nan
+        nullable = {c: pd.array(np.where(np.isfinite(v), v, 0.0), dtype="Float64") for c, v in (("placebo_ic", found["placebo_ic"]), ("slope", found["slope"]), ("t", t))}
+        for c, v in (("placebo_ic", found["placebo_ic"]), ("t", t)):
+            nullable[c][~np.isfinite(v)] = pd.NA
+        out = pd.DataFrame({"shift": shifts, "n": n} | nullable | {"opens": (n >= least) & (np.nan_to_num(t, nan=-np.inf) > gate)})
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out[[*keys, "shift", "n", "placebo_ic", "slope", "t", "opens"]]
+
+    return _pairs(pairs, "x", "y").groupBy(*keys).applyInPandas(run, schema)
+
+
+def placebo_share(placebo: DataFrame, keys: list[str]) -> DataFrame:
+    """F20. Per key the number of shifts and the share of them that the gate lets pass, beside the true order."""
+    true = F.col("shift") == 0
+    return placebo.groupBy(*keys).agg(
+        F.max(F.when(true, F.col("n"))).alias("pairs"), F.max(F.when(true, F.col("t"))).alias("t"), F.max(F.when(true, F.col("opens"))).alias("opens"),
+        F.count_if(~true).alias("shifts"), F.avg(F.when(~true, F.col("opens").cast("double"))).alias("share_open"),
+    )

@@ -452,9 +452,12 @@ def var_breaches(spark, d):
     return risk.var_breaches(target_returns(Parts(spark, d)), ["target_id"]).drop("confidence")
 
 
-@query("K3_tail_table", fx.sql(f"SELECT *, 0.95 AS confidence FROM ({var_sql(0.95)}) JOIN ({breach_sql(0.95, 13)}) USING (target_id) UNION ALL SELECT *, 0.99 FROM ({var_sql(0.99)}) JOIN ({breach_sql(0.99, 3)}) USING (target_id)", "tret"))
+DEEPEST = """SELECT target_id, count(*) AS days, round(min(wealth / greatest(1, peak) - 1), 8) AS max_drawdown FROM (SELECT *, max(wealth) OVER w AS peak FROM (SELECT target_id, date, exp(sum(ln(1 + r)) OVER w) AS wealth FROM tret WHERE r IS NOT NULL WINDOW w AS (PARTITION BY target_id ORDER BY date)) WINDOW w AS (PARTITION BY target_id ORDER BY date)) GROUP BY 1"""
+
+
+@query("K3_tail_table", fx.sql(f"SELECT *, 0.95 AS confidence FROM ({var_sql(0.95)}) JOIN ({breach_sql(0.95, 13)}) USING (target_id) JOIN ({DEEPEST}) USING (target_id) UNION ALL SELECT *, 0.99 FROM ({var_sql(0.99)}) JOIN ({breach_sql(0.99, 3)}) USING (target_id) JOIN ({DEEPEST}) USING (target_id)", "tret"))
 def tail_table(spark, d):
-    return rounded(risk.tail_table(target_returns(Parts(spark, d)), ["target_id"]), "var", "cvar")
+    return rounded(risk.tail_table(target_returns(Parts(spark, d)), ["target_id"]), "var", "cvar", "max_drawdown")
 
 
 fx.cte("hist", "SELECT *, row_number() OVER (ORDER BY date DESC) AS i FROM wide WHERE date <= DATE '1998-06-30' AND equity IS NOT NULL AND bond IS NOT NULL QUALIFY i <= 500", "wide")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.operators import models, scoring
+from panelcast.operators import models, panel, scoring
 from panelcast.plans import fixtures as fx
 from panelcast.plans.panel_queries import Parts, series_rows, wide_rows
 from panelcast.plans.register import query, r, rounded
@@ -266,19 +269,60 @@ def slope_by_year(spark, d):
     return rounded(rounded(out, "slope", places=5), "t", places=4)
 
 
+#: Shifts of F20 are at least so many rows from the true order; its horizons.
+LEAST_SHIFT, HORIZONS = 252, (1, 5, 20)
+fx.cte(
+    "hpairs",
+    " UNION ALL ".join(f"SELECT target_id, {h} AS horizon, date, x, lead(price, {h}) OVER (PARTITION BY target_id ORDER BY rn) / price - 1 AS y FROM cal LEFT JOIN (SELECT target_id, date, x FROM shape_pairs) USING (target_id, date)" for h in HORIZONS),
+    "cal", "shape_pairs",
+)
+fx.cte("numbered", "SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY target_id, horizon) AS n FROM hpairs WHERE x IS NOT NULL AND y IS NOT NULL WINDOW w AS (PARTITION BY target_id, horizon ORDER BY date)", "hpairs")
+
+
+def placebo_ctes(name: str, horizons: tuple[int, ...], step: int) -> None:
+    """CTE ``name``: the regressions of every ``step``-th shift, each over its own rotated rows."""
+    own = f"horizon IN ({', '.join(map(str, horizons))})"
+    fx.cte(
+        f"{name}_r",
+        f"""SELECT a.target_id, a.horizon * 100000 + s.shift AS run, b.x, a.y, a.i AS o FROM numbered a JOIN (SELECT unnest(range(0, 100000)) AS shift) s ON (s.shift = 0 OR s.shift BETWEEN {LEAST_SHIFT} AND a.n - {LEAST_SHIFT}) AND s.shift % {step} = 0
+JOIN numbered b ON b.target_id = a.target_id AND b.horizon = a.horizon AND b.i = (a.i - s.shift + a.n) % a.n WHERE a.{own}""",
+        "numbered",
+    )
+    hac_ctes(name, f"{name}_r", ["target_id", "run"], str(horizons[0] - 1))
+
+
+for _h in HORIZONS:
+    placebo_ctes(f"plac{_h}", (_h,), 1)
+PLACEBO = f"SELECT target_id, run // 100000 AS horizon, run % 100000 AS shift, n, slope, slope / greatest(coalesce(se_bartlett, se_uniform), coalesce(se_uniform, se_bartlett)) AS t FROM {{}}"
+
+
+def horizon_pairs(p: Parts):
+    """The shape model's signals with outcomes over several horizons."""
+    x = shape_pairs(p).select("target_id", "date", "x")
+    y = [panel.forward_return(p.calendar, h).select("target_id", "date", "y", F.lit(h).alias("horizon"), F.lit(h - 1).alias("lags")) for h in HORIZONS]
+    return reduce(DataFrame.unionByName, y).join(x, ["target_id", "date"])
+
+
+@query("F20_circular_shift_placebo", fx.sql("SELECT target_id, horizon, shift, n, round(slope, 7) AS slope, round(t, 5) AS t, coalesce(n >= 252 AND t > 2, false) AS opens FROM (" + PLACEBO.format("plac5") + ")", "plac5"))
+def circular_shift_placebo(spark, d):
+    """Every shift of the middle horizon."""
+    pairs = horizon_pairs(Parts(spark, d)).filter(F.col("horizon") == HORIZONS[1])
+    out = scoring.circular_shift_placebo(pairs, ["target_id", "horizon"], LEAST_SHIFT).drop("placebo_ic")
+    return rounded(rounded(out, "slope", places=7), "t", places=5)
+
+
 @query(
-    "F20_circular_shift_placebo",
+    "F20_placebo_share",
     fx.sql(
-        """SELECT a.target_id, s.shift, round(corr(a.x, b.y), 7) AS placebo_ic, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY target_id) AS n FROM shape_pairs WHERE x IS NOT NULL AND y IS NOT NULL) a
-CROSS JOIN (SELECT unnest(range(1, 41)) * 17 AS shift) s JOIN (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY date) - 1 AS i FROM shape_pairs WHERE x IS NOT NULL AND y IS NOT NULL) b ON b.target_id = a.target_id AND b.i = (a.i + s.shift) % a.n GROUP BY 1, 2""",
-        "shape_pairs",
+        "SELECT target_id, horizon, max(n) AS pairs, max(CASE WHEN shift = 0 THEN round(t, 5) END) AS t, max(CASE WHEN shift = 0 THEN opens END) AS opens, count(*) FILTER (shift > 0) AS shifts, round(avg(CASE WHEN shift > 0 THEN opens::INT END), 8) AS share_open FROM (SELECT *, coalesce(n >= 252 AND t > 2, false) AS opens FROM ("
+        + " UNION ALL ".join(PLACEBO.format(f"plac{h}") for h in HORIZONS) + ")) GROUP BY 1, 2",
+        *[f"plac{h}" for h in HORIZONS],
     ),
 )
-def circular_shift_placebo(spark, d):
-    p = Parts(spark, d)
-    pairs = shape_pairs(p)
-    shifts = p.prices.select("target_id").distinct().withColumn("shift", F.explode(F.sequence(F.lit(17), F.lit(680), F.lit(17))))
-    return rounded(scoring.circular_shift_placebo(pairs, shifts, "target_id"), "placebo_ic", places=7)
+def placebo_share(spark, d):
+    """All shifts of all horizons."""
+    out = scoring.placebo_share(scoring.circular_shift_placebo(horizon_pairs(Parts(spark, d)), ["target_id", "horizon"], LEAST_SHIFT), ["target_id", "horizon"])
+    return rounded(rounded(out, "share_open"), "t", places=5)
 
 
 @query("G2_naive_mean", fx.sql("SELECT target_id, fold_id, part, count(*) AS n, round(min(predicted), 8) AS predicted FROM fcast WHERE model_id = 'naive' GROUP BY 1, 2, 3", "fcast"))

@@ -200,7 +200,7 @@ def test_hit_rate_counts_views_on_the_side_of_the_baseline(spark):
     runs = spark.createDataFrame([(1, "m"), (2, "m"), (3, "n")], "run_id int, model string")
     rows = [(1, 0.3, 0.1, 0.2), (1, 0.3, 0.1, 0.05), (2, 0.0, 0.1, -1.0), (2, 0.1, 0.1, 5.0), (2, 0.3, 0.1, 0.1), (3, None, 0.1, 0.2), (3, 0.2, 0.1, None)]
     made = spark.createDataFrame(rows, "run_id int, predicted double, baseline double, realised double")
-    got = {r["model"]: (r["dates_with_a_view"], r["hit_rate"]) for r in runlog.direction_hit_rate(runs, made).collect()}
+    got = {r["model"]: (r["views"], r["hit_rate"]) for r in runlog.direction_hit_rate(runs, made).collect()}
     assert got == {"m": (4, 0.5)}
 
 
