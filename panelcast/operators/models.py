@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from itertools import combinations
+from math import comb
 from typing import Protocol
 
 import numpy as np
@@ -69,6 +69,28 @@ def naive_mean(rows: DataFrame, inputs: list[str]) -> DataFrame:
     return several(rows, {"naive": naive_value(inputs)})
 
 
+def naive_by_fold(rows: DataFrame, folds: DataFrame, inputs: list[str]) -> DataFrame:
+    """G2 without the folds' rows: per fold and part the forecast and the number of rows that it is for.
+
+    ``rows(target_id, rn, y, inputs..)`` has every row of a target's calendar. Sums and counts of complete rows run along
+    each target once; a window's value is the difference of the sums at its ends."""
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in inputs])
+    so_far = Window.partitionBy("target_id").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
+    fits = whole & F.col("y").isNotNull()
+    known = {"all": F.count_if(whole), "n": F.count_if(fits), "s": F.sum(F.when(fits, F.col("y")).otherwise(0.0))}
+    run = rows.select("target_id", "rn", F.struct(*[c.over(so_far).alias(n) for n, c in known.items()]).alias("sum"))
+    ends = F.explode(F.array(*[F.struct(F.lit(e).alias("end"), (F.col(e) - F.lit(int(e.endswith("lo")))).alias("rn")) for e in ("train_lo", "train_hi", "test_lo", "test_hi")]))
+    asked = folds.select(*FOLD, ends.alias("e")).select(*FOLD, "e.end", "e.rn")
+    # the last row stands for ends beyond it, no row for the end before the first
+    most = rows.groupBy("target_id").agg(F.max("rn").alias("_most"))
+    asked = asked.join(most, "target_id").withColumn("rn", F.least("rn", "_most"))
+    at = asked.join(run, ["target_id", "rn"], "left").groupBy(*FOLD).agg(F.map_from_entries(F.collect_list(F.struct("end", "sum"))).alias("m"))
+    of = lambda part, name: F.coalesce(F.col("m")[f"{part}_hi"][name], F.lit(0)) - F.coalesce(F.col("m")[f"{part}_lo"][name], F.lit(0))
+    parts = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), of(p, "all").alias("n")) for p in ("train", "test")]))
+    out = at.select(*FOLD, (of("train", "s") / F.nullif(of("train", "n"), F.lit(0))).alias("predicted"), parts.alias("p"))
+    return out.select(*FOLD, "p.part", "p.n", "predicted").filter("n > 0")
+
+
 def shape_fit(rows: DataFrame, shape: str) -> DataFrame:
     """G4. a + b f per fold; the mean where f is constant."""
     return several(rows, {"shape": shape_value(shape)})
@@ -197,11 +219,16 @@ def _penalties(m: np.ndarray, free: int = 0) -> np.ndarray:
     return most * np.logspace(0, np.log10(PENALTY_SPAN), PENALTIES)
 
 
-def choose_lasso(blocks: dict[tuple[int, bool], np.ndarray], free: int = 0) -> np.ndarray:
+def choose_lasso(blocks: dict[tuple[int, bool], np.ndarray], free: int = 0, max_terms: int | None = None) -> np.ndarray:
     """Fit on all blocks with the penalty of least squared error over time-ordered splits; split i trains on the blocks
-    before i, without the rows that reach into it, and is judged on block i: all from the blocks' Gram matrices."""
+    before i, without the rows that reach into it, and is judged on block i: all from the blocks' Gram matrices. With
+    ``max_terms`` only penalties above the first whose fit on all blocks keeps more terms are looked at, or the greatest
+    alone where even that keeps more."""
     total = sum(blocks.values())
     lams = _penalties(total, free)
+    if max_terms is not None:
+        kept = np.count_nonzero(lassos(total[None], lams, free)[0][:, 1 + free :], axis=1)
+        lams = lams[: max(int(np.argmax(kept > max_terms)), 1)] if (kept > max_terms).any() else lams
     problems, tests = [], []
     for i in range(1, SPLITS + 1):
         train = sum((g for (b, late), g in blocks.items() if b < i - 1 or (b == i - 1 and not late)), np.zeros_like(total))
@@ -229,16 +256,17 @@ def _blocked(rows: DataFrame, inputs: list[str], h: int) -> DataFrame:
     return gram(train, inputs, [*FOLD, "block", "late"])
 
 
-def lasso_path(rows: DataFrame, inputs: list[str], h: int, model: str = "lasso") -> DataFrame:
-    """G5. Lasso on the given (clipped, standardised, expanded) inputs, the penalty chosen inside the training rows."""
-    return linear(rows, lasso_coefs(rows, inputs, h), inputs, model)
+def lasso_path(rows: DataFrame, inputs: list[str], h: int, model: str = "lasso", max_terms: int | None = None) -> DataFrame:
+    """G5. Lasso on the given (clipped, standardised, expanded) inputs, the penalty chosen inside the training rows among
+    those that keep at most ``max_terms`` terms."""
+    return linear(rows, lasso_coefs(rows, inputs, h, max_terms=max_terms), inputs, model)
 
 
-def lasso_coefs(rows: DataFrame, inputs: list[str], h: int, free: int = 0) -> DataFrame:
+def lasso_coefs(rows: DataFrame, inputs: list[str], h: int, free: int = 0, max_terms: int | None = None) -> DataFrame:
     k = len(inputs) + 2
 
     def solve(pdf: pd.DataFrame) -> np.ndarray:
-        return choose_lasso({(int(b), bool(l)): _square(g, k) for b, l, g in zip(pdf["block"], pdf["late"], pdf["g"], strict=True)}, free)
+        return choose_lasso({(int(b), bool(l)): _square(g, k) for b, l, g in zip(pdf["block"], pdf["late"], pdf["g"], strict=True)}, free, max_terms)
 
     return solved(_blocked(rows, inputs, h), solve)
 
@@ -297,14 +325,18 @@ def lasso_given_controls(rows: DataFrame, controls: list[str], inputs: list[str]
     return linear(rows, kept, inputs, "controlled")
 
 
-def hybrid_forecast(level: DataFrame, flow: DataFrame) -> DataFrame:
-    """G10. Level part plus flow part less the flow's mean in-sample forecast; either alone where the other is missing."""
-    keys = ["target_id", "fold_id", "part", "rn"]
-    mean = flow.filter("part = 'train'").groupBy(*FOLD).agg(F.avg("predicted").alias("flow_mean"))
-    f = flow.join(mean, FOLD).select(*keys, F.col("predicted").alias("flow"), "flow_mean", F.col("date").alias("fd"), F.col("realised").alias("fy"))
-    both = level.join(f, keys, "full_outer")
-    value = F.coalesce(F.col("predicted") + F.col("flow") - F.col("flow_mean"), F.col("predicted"), F.col("flow"))
-    return both.select("target_id", F.lit("hybrid").alias("model_id"), "fold_id", "part", "rn", F.coalesce("date", "fd").alias("date"), value.alias("predicted"), F.coalesce("realised", "fy").alias("realised"))
+def hybrid_forecast(rows: DataFrame, level: DataFrame, flow: DataFrame) -> DataFrame:
+    """G10. Level part plus flow part less the flow's mean in-sample forecast; the part that a fold has where it has one, and
+    its training mean where it has neither. A row that lacks a fitted part's forecast has none.
+    ``rows(target_id, fold_id, part, rn, date, y)`` are the folds' rows."""
+    keys, own = ["target_id", "fold_id", "part", "rn"], Window.partitionBy(*FOLD)
+    both = rows.select(*keys, "date", "y").join(level.select(*keys, F.col("predicted").alias("level")), keys, "left").join(flow.select(*keys, F.col("predicted").alias("flow")), keys, "left")
+    train = F.col("part") == "train"
+    both = both.withColumns({"_l": F.count("level").over(own) > 0, "_f": F.count("flow").over(own) > 0, "_m": F.avg(F.when(train, F.col("flow"))).over(own), "_y": F.avg(F.when(train, F.col("y"))).over(own)})
+    value = (
+        F.when(F.col("_l") & F.col("_f"), F.col("level") + F.col("flow") - F.col("_m")).when(F.col("_l"), F.col("level")).when(F.col("_f"), F.col("flow")).otherwise(F.col("_y"))
+    )
+    return both.select("target_id", F.lit("hybrid").alias("model_id"), "fold_id", "part", "rn", "date", value.alias("predicted"), F.col("y").alias("realised"))
 
 
 def ensemble_mean(members: DataFrame, n_members: int) -> DataFrame:
@@ -314,6 +346,15 @@ def ensemble_mean(members: DataFrame, n_members: int) -> DataFrame:
     return members.groupBy(*keys).agg(mean.alias("predicted"), F.max("realised").alias("realised")).withColumn("model_id", F.lit("ensemble"))
 
 
+def ensemble_folds(own_levels: DataFrame, screens: DataFrame, n_members: int) -> DataFrame:
+    """G11. Per fold of an ensemble its own level, the mean of all members' (null where one is missing), and the signals that
+    any member's screening kept, by name. ``own_levels(target_id, member, fold_id, own_level)``,
+    ``screens(target_id, member, fold_id, series_id, kept)``."""
+    level = own_levels.groupBy(*FOLD).agg(F.when(F.count("own_level") == n_members, F.avg("own_level")).alias("own_level"))
+    kept = screens.filter("kept").groupBy(*FOLD).agg(F.sort_array(F.collect_set("series_id")).alias("signals"))
+    return level.join(kept, FOLD, "left").withColumn("signals", F.coalesce("signals", F.array().cast("array<string>")))
+
+
 def merge_terms(terms: DataFrame, n_members: int) -> DataFrame:
     """G12. Mean of the members' equations ``terms(target_id, member, term, coef)``; terms that cancel go."""
     return terms.groupBy("target_id", "term").agg((F.sum("coef") / n_members).alias("coef")).filter("coef <> 0")
@@ -338,30 +379,49 @@ def score_function(rows: DataFrame, inputs: DataFrame, terms: DataFrame) -> Data
     return value.join(base, "model_id", "left").select("row_id", "model_id", (F.col("v") + F.coalesce("c", F.lit(0.0))).alias("value"))
 
 
-def product_attribution(rows: DataFrame, inputs: list[str], terms: list[tuple[float, tuple[str, ...]]]) -> DataFrame:
-    """G17. Exact Shapley value of every input in every product term, summed per row and input.
+def product_attribution(rows: DataFrame, inputs: dict[str, tuple[float | None, float | None, float, float]], terms: list[tuple[float, dict[str, int]]], keys: list[str]) -> DataFrame:
+    """G17. Exact Shapley value of every input in every term, summed per row and input.
 
-    A term's value for a set of known inputs takes the others at their mean; subsets of a term's few inputs are written
-    out as column expressions.
+    ``inputs`` gives each input's bounds (or None), mean and sd, by which it is clipped and standardised; a term is a
+    coefficient and the powers of its inputs. Out of a known set an input's power stands at its mean over the rows of
+    its key whose ``train`` holds. The value of a product of k powers is the difference of one to its mean, times the mean over
+    sizes of the mean product of the others with so many of them known: these are the coefficients of the product of
+    (mean + value z), which grow one factor at a time. Rows lacking an input have null shares.
     """
-    own = Window.partitionBy("target_id")
-    rows = rows.select("*", *[F.avg(c).over(own).alias(f"_m_{c}") for c in inputs])
+    own = Window.partitionBy(*keys)
+    powers = sorted({(c, p) for _, factors in terms for c, p in factors.items()})
+
+    def ready(c: str) -> Column:
+        lo, hi, mean, sd = inputs[c]
+        x = F.col(c).cast("double")
+        x = F.when(x.isNotNull(), F.greatest(x, F.lit(lo))) if lo is not None else x
+        x = F.when(x.isNotNull(), F.least(x, F.lit(hi))) if hi is not None else x
+        return (x - mean) / sd
+
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in inputs])
+    rows = rows.withColumns({f"_v_{c}_{p}": F.pow(ready(c), F.lit(float(p))) for c, p in powers})
+    rows = rows.withColumns({f"_b_{c}_{p}": F.avg(F.when(F.col("train") & whole, F.col(f"_v_{c}_{p}"))).over(own) for c, p in powers})
+    pair = lambda c, p: F.struct(F.col(f"_v_{c}_{p}").alias("v"), F.col(f"_b_{c}_{p}").alias("b"))
+    zero = F.array(F.lit(0.0))
+
+    def grown(so_far: Column, f: Column) -> Column:
+        return F.zip_with(F.concat(so_far, zero), F.concat(zero, so_far), lambda low, high: low * f["b"] + high * f["v"])
+
     parts: dict[str, list[Column]] = {c: [] for c in inputs}
     for coef, factors in terms:
-        names = sorted(set(factors))
-
-        def worth(known: frozenset[str], coef=coef, factors=factors) -> Column:
-            return reduce(lambda a, b: a * b, [F.col(c) if c in known else F.col(f"_m_{c}") for c in factors], F.lit(coef))
-
-        for c in names:
-            others = [n for n in names if n != c]
-            share = F.lit(0.0)
-            for size in range(len(others) + 1):
-                weight = 1 / (len(names) * len(list(combinations(others, size))))
-                for s in combinations(others, size):
-                    share = share + weight * (worth(frozenset(s) | {c}) - worth(frozenset(s)))
-            parts[c].append(share)
-    return rows.select("target_id", "rn", *[reduce(lambda a, b: a + b, p, F.lit(0.0)).alias(f"phi_{c}") for c, p in parts.items()])
+        k = len(factors)
+        for c, p in factors.items():
+            others = [pair(*f) for f in factors.items() if f[0] != c]
+            by_size = F.aggregate(F.array(*others), F.array(F.lit(1.0)), grown) if others else F.array(F.lit(1.0))
+            mixed = F.aggregate(F.zip_with(by_size, F.array(*[F.lit(1 / comb(k - 1, m)) for m in range(k)]), lambda e, w: e * w), F.lit(0.0), lambda a, e: a + e)
+            parts[c].append(F.lit(coef / k) * (F.col(f"_v_{c}_{p}") - F.col(f"_b_{c}_{p}")) * mixed)
+    return rows.select(*keys, "rn", "train", *[F.when(whole, reduce(lambda a, b: a + b, p, F.lit(0.0))).alias(f"phi_{c}") for c, p in parts.items()])
+
+
+def mean_attribution(shares: DataFrame, inputs: list[str], keys: list[str]) -> DataFrame:
+    """G17. Mean size of each input's shares over the training rows, a row per key and input."""
+    means = shares.filter("train").groupBy(*keys).agg(*[F.avg(F.abs(f"phi_{c}")).alias(c) for c in inputs])
+    return means.unpivot(keys, inputs, "signal", "importance")
 
 
 def latest_fold(folds: DataFrame) -> DataFrame:

@@ -205,6 +205,14 @@ def level_and_change(aligned: DataFrame, transforms: DataFrame) -> DataFrame:
     return moved.unionByName(kept.select("target_id", F.concat("series_id", F.lit("_level")).alias("series_id"), "date", "rn", F.col("x").alias("t")))
 
 
+def ensemble_inputs(aligned: DataFrame, transforms: DataFrame, calendar: DataFrame, h: int) -> DataFrame:
+    """E8. Every input of the ensemble's members: E8's series lagged by one row, and E6's calendar counts, which are known
+    ahead and not lagged, as series of their own."""
+    counts = label_window_calendar(calendar, h).unpivot(["target_id", "date", "rn"], ["month_ends", "month_starts", "first_fridays"], "series_id", "x")
+    lagged = lag_signals(level_and_change(aligned, transforms))
+    return lagged.select("target_id", "series_id", "date", "rn", "x").unionByName(counts.withColumn("x", F.col("x").cast("double")))
+
+
 def walk_forward_folds(calendar: DataFrame, train: int, test: int, embargo: int, tuning: int = 0, expanding: bool = False, cap: int | None = None) -> DataFrame:
     """E9, E10. Test windows of ``test`` rows after the first training rows; training rows end ``embargo`` rows before.
 

@@ -67,6 +67,12 @@ def lasso_path(spark, d):
     return models.lasso_path(expanded(Parts(spark, d)), TERMS, H)
 
 
+@query("G5_capped_path")
+def capped_path(spark, d):
+    """G5 with at most two terms."""
+    return models.lasso_path(expanded(Parts(spark, d)), TERMS, H, max_terms=2)
+
+
 @query("G6_derived_candidates")
 def derived_candidates(spark, d):
     """Lassos on all products of the inputs up to degree 1, 2 and 3; per target the best by signal rank IC."""
@@ -127,17 +133,22 @@ def lasso_given_controls(spark, d):
     return models.lasso_given_controls(rows, ["u_a", "u_b"], ["a", "b"], H)
 
 
+#: G10's parts: the naive one in all folds but every third, the shape one in those with odd numbers.
 @query(
     "G10_hybrid_forecast",
     fx.sql(
-        "SELECT f.target_id, f.fold_id, f.part, f.rn, round(coalesce(n.predicted + f.predicted - m.m, n.predicted, f.predicted), 9) AS predicted FROM (SELECT * FROM fcast WHERE model_id = 'shape') f LEFT JOIN (SELECT * FROM fcast WHERE model_id = 'naive') n USING (target_id, fold_id, part, rn) LEFT JOIN (SELECT target_id, fold_id, avg(predicted) AS m FROM fcast WHERE model_id = 'shape' AND part = 'train' GROUP BY 1, 2) m USING (target_id, fold_id) WHERE f.part = 'test'",
-        "fcast",
+        """SELECT target_id, fold_id, part, rn, round(CASE WHEN has_level AND has_flow THEN level + flow - m WHEN has_level THEN level WHEN has_flow THEN flow ELSE ym END, 11) AS predicted FROM (
+  SELECT r.*, l.predicted AS level, f.predicted AS flow, count(l.predicted) OVER w > 0 AS has_level, count(f.predicted) OVER w > 0 AS has_flow, avg(f.predicted) FILTER (r.part = 'train') OVER w AS m, avg(r.y) FILTER (r.part = 'train') OVER w AS ym
+  FROM frows r LEFT JOIN (SELECT * FROM fcast WHERE model_id = 'naive' AND fold_id % 3 > 0) l USING (target_id, fold_id, part, rn) LEFT JOIN (SELECT * FROM fcast WHERE model_id = 'shape' AND fold_id % 2 > 0) f USING (target_id, fold_id, part, rn)
+  WINDOW w AS (PARTITION BY r.target_id, r.fold_id)) WHERE part = 'test'""",
+        "frows", "fcast",
     ),
 )
 def hybrid_forecast(spark, d):
-    f = forecasts(Parts(spark, d))
-    out = models.hybrid_forecast(f.filter("model_id = 'naive'"), f.filter("model_id = 'shape'")).filter("part = 'test'")
-    return rounded(out.select("target_id", "fold_id", "part", "rn", "predicted"), "predicted", places=9)
+    p = Parts(spark, d)
+    f = forecasts(p)
+    out = models.hybrid_forecast(p.rows, f.filter("model_id = 'naive' AND fold_id % 3 > 0"), f.filter("model_id = 'shape' AND fold_id % 2 > 0")).filter("part = 'test'")
+    return rounded(out.select("target_id", "fold_id", "part", "rn", "predicted"), "predicted", places=11)
 
 
 @query("G11_ensemble_mean", fx.sql("SELECT target_id, fold_id, part, rn, CASE WHEN count(predicted) = 2 THEN round(avg(predicted), 11) END AS predicted FROM fcast WHERE part = 'test' GROUP BY 1, 2, 3, 4", "fcast"))
@@ -146,6 +157,25 @@ def ensemble_mean(spark, d):
     return rounded(out.select("target_id", "fold_id", "part", "rn", "predicted"), "predicted", places=11)
 
 
+@query(
+    "G11_ensemble_folds",
+    fx.sql(
+        f"""SELECT o.target_id, o.fold_id, CASE WHEN count(o.own_level) = 2 THEN round(avg(o.own_level), 9) END AS own_level, coalesce(any_value(k.signals), '') AS signals FROM own o
+LEFT JOIN (SELECT target_id, fold_id, string_agg(series_id, ',' ORDER BY series_id) AS signals FROM ({FOLD_SCREEN}) WHERE abs(rank_ic) > 0.1 OR (abs(rank_ic) > 0.02 AND series_id LIKE 'disc%') GROUP BY 1, 2) k USING (target_id, fold_id) GROUP BY 1, 2""",
+        "own", "ftrain",
+    ),
+)
+def ensemble_folds(spark, d):
+    """Two members that screen differently: one all series by a higher bound, one the discounts by the usual one."""
+    p = Parts(spark, d)
+    scored = rounded(screened(series_rows(p).withColumns({"x": F.round("x", 9), "y": F.round("y", 9)})), "rank_ic")
+    one = scored.select("target_id", "fold_id", "series_id", (F.abs("rank_ic") > 0.1).alias("kept"), F.lit("naive").alias("member"))
+    two = scored.filter(F.col("series_id").startswith("disc")).select("target_id", "fold_id", "series_id", "kept", F.lit("shape").alias("member"))
+    levels = scoring.own_level(forecasts(p)).withColumnRenamed("model_id", "member")
+    out = models.ensemble_folds(levels, one.unionByName(two), 2)
+    return rounded(out.withColumn("signals", F.array_join("signals", ",")), "own_level", places=9)
+
+
 TERM_ROWS = "SELECT o_orderpriority AS target_id, concat('m', o_custkey % 4) AS member, concat('t', o_custkey % 30) AS term, round(avg(o_totalprice), 2) AS coef FROM orders GROUP BY 1, 2, 3"
 
 
@@ -221,19 +251,38 @@ def score_function(spark, d):
     return rounded(models.score_function(rows, inputs, terms).select("row_id.target_id", "row_id.rn", "model_id", "value"), "value")
 
 
-@query(
-    "G17_product_attribution",
-    fx.sql(
-        """SELECT target_id, rn, round(2 * (a - ma) + 1.5 * ((a - ma) * mb + (a - ma) * b), 10) AS phi_a, round(1.5 * ((b - mb) * ma + (b - mb) * a), 10) AS phi_b FROM (SELECT *, avg(a) OVER (PARTITION BY target_id) AS ma, avg(b) OVER (PARTITION BY target_id) AS mb FROM two WHERE a IS NOT NULL AND b IS NOT NULL)""",
-        "two",
-    ),
+fx.cte("lastfold", "SELECT * FROM purged QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY fold_id DESC) = 1", "purged")
+
+
+#: G17: bounds, mean and sd of the inputs; terms with powers.
+SHAP_INPUTS = {"a": (0.02, 0.08, 0.05, 0.01), "b": (0.03, 0.07, 0.05, 0.02)}
+SHAP_TERMS = [(2.0, {"a": 1}), (3.0, {"a": 1, "b": 1}), (-0.5, {"b": 3}), (1.5, {"a": 2, "b": 1})]
+fx.cte(
+    "shap",
+    """SELECT target_id, rn, train, 2 * (a - ma) + 1.5 * (a - ma) * (mb + b) + 0.75 * (a * a - maa) * (mb + b) AS phi_a, 1.5 * (b - mb) * (ma + a) - 0.5 * (b * b * b - mbbb) + 0.75 * (b - mb) * (maa + a * a) AS phi_b FROM (
+  SELECT *, avg(a) FILTER (train) OVER w AS ma, avg(b) FILTER (train) OVER w AS mb, avg(a * a) FILTER (train) OVER w AS maa, avg(b * b * b) FILTER (train) OVER w AS mbbb FROM (
+    SELECT t.target_id, t.rn, t.rn BETWEEN f.train_lo AND f.train_hi AS train, (least(greatest(a, 0.02), 0.08) - 0.05) / 0.01 AS a, (least(greatest(b, 0.03), 0.07) - 0.05) / 0.02 AS b FROM two t JOIN lastfold f USING (target_id) WHERE a IS NOT NULL AND b IS NOT NULL)
+  WINDOW w AS (PARTITION BY target_id))""",
+    "two", "lastfold",
 )
+
+
+def attribution(spark, d):
+    """Shares of every row, against the training rows of its target's latest fold."""
+    p = Parts(spark, d)
+    window = models.latest_fold(p.purged).select("target_id", "train_lo", "train_hi")
+    rows = two_inputs(p).join(window, "target_id").withColumn("train", F.col("rn").between(F.col("train_lo"), F.col("train_hi")))
+    return models.product_attribution(rows, SHAP_INPUTS, SHAP_TERMS, ["target_id"])
+
+
+@query("G17_product_attribution", fx.sql("SELECT target_id, rn, train, round(phi_a, 8) AS phi_a, round(phi_b, 8) AS phi_b FROM shap", "shap"))
 def product_attribution(spark, d):
-    rows = two_inputs(Parts(spark, d)).filter("a IS NOT NULL AND b IS NOT NULL")
-    return rounded(models.product_attribution(rows, ["a", "b"], [(2.0, ("a",)), (3.0, ("a", "b"))]), "phi_a", "phi_b", places=10)
+    return rounded(attribution(spark, d).filter("phi_a IS NOT NULL"), "phi_a", "phi_b")
 
 
-fx.cte("lastfold", "SELECT * FROM purged QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY fold_id DESC) = 1", "purged")
+@query("G17_mean_attribution", fx.sql("SELECT target_id, 'a' AS signal, round(avg(abs(phi_a)), 8) AS importance FROM shap WHERE train GROUP BY 1 UNION ALL SELECT target_id, 'b', round(avg(abs(phi_b)), 8) FROM shap WHERE train GROUP BY 1", "shap"))
+def mean_attribution(spark, d):
+    return rounded(models.mean_attribution(attribution(spark, d), ["a", "b"], ["target_id"]), "importance")
 
 
 @query(

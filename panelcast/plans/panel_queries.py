@@ -226,6 +226,28 @@ def level_and_change(spark, d):
     return rounded(panel.level_and_change(p.aligned, p.transforms), "t", places=6)
 
 
+fx.cte(
+    "counts",
+    f"""SELECT target_id, date, rn, CASE WHEN count(*) OVER w = {fx.HORIZON} THEN sum(me) OVER w END AS month_ends, CASE WHEN count(*) OVER w = {fx.HORIZON} THEN sum(ms) OVER w END AS month_starts, CASE WHEN count(*) OVER w = {fx.HORIZON} THEN sum(ff) OVER w END AS first_fridays FROM (
+  SELECT target_id, date, rn, (month(lead(date) OVER o) <> month(date))::INT AS me, (month(lag(date) OVER o) <> month(date))::INT AS ms, (isodow(date) = 5 AND day(date) <= 7)::INT AS ff FROM cal WINDOW o AS (PARTITION BY target_id ORDER BY rn))
+WINDOW w AS (PARTITION BY target_id ORDER BY rn ROWS BETWEEN 1 FOLLOWING AND {fx.HORIZON} FOLLOWING)""",
+    "cal",
+)
+
+
+@query(
+    "E8_ensemble_inputs",
+    fx.sql(
+        """SELECT target_id, series_id, date, rn, round(lag(t) OVER (PARTITION BY target_id, series_id ORDER BY rn), 6) AS x FROM (SELECT target_id, series_id, date, rn, t FROM moved UNION ALL SELECT target_id, concat(series_id, '_level'), date, rn, level FROM moved WHERE series_id LIKE 'seg%')
+UNION ALL SELECT target_id, series_id, date, rn, CAST(x AS DOUBLE) FROM (SELECT target_id, date, rn, unnest(['month_ends', 'month_starts', 'first_fridays']) AS series_id, unnest([month_ends, month_starts, first_fridays]) AS x FROM counts)""",
+        "moved", "counts",
+    ),
+)
+def ensemble_inputs(spark, d):
+    p = Parts(spark, d)
+    return rounded(panel.ensemble_inputs(p.aligned, p.transforms, p.calendar, fx.HORIZON), "x", places=6)
+
+
 FOLD_COLUMNS = "target_id, fold_id, train_lo, train_hi, test_lo, test_hi"
 
 

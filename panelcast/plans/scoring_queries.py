@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelcast.operators import models, panel, scoring
 from panelcast.plans import fixtures as fx
-from panelcast.plans.panel_queries import Parts, series_rows, wide_rows
+from panelcast.plans.panel_queries import Parts, series_rows, two_inputs, wide_rows
 from panelcast.plans.register import query, r, rounded
 
 fx.cte("inp", "SELECT r.*, t.a, t.b FROM frows r JOIN two t ON t.target_id = r.target_id AND t.rn = r.rn", "frows", "two")
@@ -30,13 +30,15 @@ FROM fcast WHERE part = 'train' GROUP BY 1, 2, 3""",
 fx.cte("sig", "SELECT f.*, o.own_level, round(f.predicted - o.own_level, 13) AS signal FROM fcast f JOIN own o ON o.target_id = f.target_id AND o.model_id = f.model_id AND o.fold_id = f.fold_id WHERE f.part = 'test'", "fcast", "own")
 
 
-def forecasts(p: Parts):
-    both = models.several(wide_rows(p), {"naive": models.naive_value(["a", "b"]), "shape": models.shape_value("b")})
-    return both.withColumn("predicted", F.round("predicted", 10)).withColumn("realised", F.round("realised", 10))
+def forecasts(p: Parts, *wanted: str):
+    """Forecasts of both models, or of those that are wanted."""
+    both = {"naive": models.naive_value(["a", "b"]), "shape": models.shape_value("b")}
+    made = models.several(wide_rows(p), {m: v for m, v in both.items() if m in (wanted or both)})
+    return made.withColumn("predicted", F.round("predicted", 10)).withColumn("realised", F.round("realised", 10))
 
 
-def signals_of(p: Parts):
-    return scoring.signal_forecasts(forecasts(p)).withColumn("signal", F.round("signal", 13))
+def signals_of(p: Parts, *wanted: str):
+    return scoring.signal_forecasts(forecasts(p, *wanted)).withColumn("signal", F.round("signal", 13))
 
 
 def corr_sql(source: str, keys: str, x: str, y: str, name: str) -> str:
@@ -85,7 +87,7 @@ hac_ctes("hac", "shape_pairs", ["target_id"], str(fx.HORIZON - 1))
 
 
 def shape_pairs(p: Parts):
-    return signals_of(p).filter("model_id = 'shape'").select("target_id", "date", F.col("signal").alias("x"), F.col("realised").alias("y"))
+    return signals_of(p, "shape").select("target_id", "date", F.col("signal").alias("x"), F.col("realised").alias("y"))
 
 
 @query(
@@ -325,15 +327,17 @@ def placebo_share(spark, d):
     return rounded(rounded(out, "share_open"), "t", places=5)
 
 
-@query("G2_naive_mean", fx.sql("SELECT target_id, fold_id, part, count(*) AS n, round(min(predicted), 8) AS predicted FROM fcast WHERE model_id = 'naive' GROUP BY 1, 2, 3", "fcast"))
+@query("G2_naive_mean", fx.sql("SELECT target_id, fold_id, part, count(*) AS n, round(max(m), 8) AS predicted FROM (SELECT *, avg(y) FILTER (part = 'train') OVER (PARTITION BY target_id, fold_id) AS m FROM inp WHERE a IS NOT NULL AND b IS NOT NULL) GROUP BY 1, 2, 3", "inp"))
 def naive_mean(spark, d):
-    rows = forecasts(Parts(spark, d)).filter("model_id = 'naive'").groupBy("target_id", "fold_id", "part").agg(F.count("*").alias("n"), F.min("predicted").alias("predicted"))
-    return rounded(rows, "predicted")
+    """Per fold from running sums; the forecasts of rows are in F11 and G4's siblings."""
+    p = Parts(spark, d)
+    rows = p.labels.select("target_id", "rn", "y").join(two_inputs(p).select("target_id", "rn", "a", "b"), ["target_id", "rn"], "left")
+    return rounded(models.naive_by_fold(rows, p.purged, ["a", "b"]), "predicted")
 
 
 @query("G4_shape_fit", fx.sql("SELECT target_id, fold_id, rn, part, predicted FROM fcast WHERE model_id = 'shape' AND part = 'test'", "fcast"))
 def shape_fit(spark, d):
-    return rounded(forecasts(Parts(spark, d)).filter("model_id = 'shape' AND part = 'test'").select("target_id", "fold_id", "rn", "part", "predicted"), "predicted", places=10)
+    return rounded(forecasts(Parts(spark, d), "shape").filter("part = 'test'").select("target_id", "fold_id", "rn", "part", "predicted"), "predicted", places=10)
 
 
 @query(
