@@ -293,13 +293,55 @@ def score_by_year(signals: DataFrame) -> DataFrame:
     return rank_ic(signals.withColumn("year", F.year("date")), ["target_id", "model_id", "year"], "signal", "realised")
 
 
-def signal_correlations(signals: DataFrame) -> DataFrame:
-    """F17. Correlation of every pair of models' signals over common dates, per target. Pairs are what is asked for, so the
-    rows are dates x models squared: meant for the tens of candidates of a target's grid."""
-    a = signals.select("target_id", "date", F.col("model_id").alias("model_a"), F.col("signal").alias("sa"))
-    b = signals.select("target_id", "date", F.col("model_id").alias("model_b"), F.col("signal").alias("sb"))
-    both = a.join(b, ["target_id", "date"]).filter("model_a < model_b")
-    return ic(both, ["target_id", "model_a", "model_b"], "sa", "sb").withColumnRenamed("ic", "correlation")
+def _cross_sums(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sums over common dates of every pair of a block of models with another, or of a block with itself."""
+    first, second = int(pdf["first"].iloc[0]), int(pdf["second"].iloc[0])
+    dates = pdf["date"].factorize()[0]
+    n = dates.max() + 1
+
+    def side(block: int) -> tuple[np.ndarray, list[str]]:
+        own = pdf[pdf["block"] == block]
+        slots, names = own["model_id"].factorize(sort=True)
+        out = np.full((n, len(names)), np.nan)
+        out[dates[(pdf["block"] == block).to_numpy()], slots] = own["signal"].to_numpy(float)
+        return out, list(names)
+
+    (a, names_a), (b, names_b) = side(first), side(second)
+    here, there = (~np.isnan(a)).astype(float), (~np.isnan(b)).astype(float)
+    x, y = np.nan_to_num(a), np.nan_to_num(b)
+    sums = {"n": here.T @ there, "sx": x.T @ there, "sy": here.T @ y, "sxx": (x * x).T @ there, "syy": here.T @ (y * y), "sxy": x.T @ y}
+    low = np.stack([np.where(there[:, [j]] * here > 0, x, np.inf).min(axis=0) for j in range(len(names_b))], 1)
+    high = np.stack([np.where(there[:, [j]] * here > 0, x, -np.inf).max(axis=0) for j in range(len(names_b))], 1)
+    i, j = np.nonzero(sums["n"])
+    keep = np.array([names_a[p] < names_b[q] for p, q in zip(i, j, strict=True)], bool) if first == second else np.ones(len(i), bool)
+    i, j = i[keep], j[keep]
+    words = {"target_id": [pdf["target_id"].iloc[0]] * len(i), "model_a": [names_a[p] for p in i], "model_b": [names_b[q] for q in j]}
+    return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in words.items()} | {"low": low[i, j], "high": high[i, j]} | {k: v[i, j] for k, v in sums.items()})
+
+
+def signal_correlations(signals: DataFrame, block: int = 32, span: int = 1024) -> DataFrame:
+    """F17. Correlation of every pair of models' signals over common dates, per target; null where the first is constant.
+
+    Models are numbered by name in blocks. A task gets two blocks over ``span`` days and sums their cross products by matrix
+    products, so a signal is sent once per block and not once per model; the sums of all spans are then added. The
+    models of a target are a dimension: their numbers come from one window.
+    """
+    models = signals.select("target_id", "model_id").distinct()
+    place = F.row_number().over(Window.partitionBy("target_id").orderBy("model_id")) - 1
+    models = models.withColumn("block", F.floor(place / block).cast("int")).withColumn("blocks", F.max(F.floor(place / block).cast("int")).over(Window.partitionBy("target_id")))
+    # centred on the model's mean, as sums of squares of large values would lose their last digits
+    centred = F.col("signal") - F.avg("signal").over(Window.partitionBy("target_id", "model_id"))
+    rows = signals.filter("signal IS NOT NULL").select("target_id", "model_id", "date", centred.alias("signal")).join(models, ["target_id", "model_id"])
+    rows = rows.withColumn("span", F.floor(F.datediff("date", F.lit("1970-01-01")) / span)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks"))))
+    rows = rows.withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")}).drop("blocks", "other")
+    both = rows.groupBy("target_id", "span", "first", "second")
+    kind = dict(signals.dtypes)["target_id"]
+    sums = both.applyInPandas(_cross_sums, f"target_id {kind}, model_a string, model_b string, low double, high double, n double, sx double, sy double, sxx double, syy double, sxy double")
+    total = sums.groupBy("target_id", "model_a", "model_b").agg(F.min("low").alias("low"), F.max("high").alias("high"), *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    n = F.col("n")
+    spread = lambda c: n * F.col(f"s{c}{c}") - F.col(f"s{c}") * F.col(f"s{c}")
+    r = (n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.nullif(F.sqrt(F.greatest(spread("x"), F.lit(0.0)) * F.greatest(spread("y"), F.lit(0.0))), F.lit(0.0))
+    return total.select("target_id", "model_a", "model_b", F.when(F.col("low") < F.col("high"), r).alias("correlation"), n.cast("long").alias("n"))
 
 
 def apply_gate(metrics: DataFrame, ic_column: str = "signal_rank_ic", t_column: str = "t") -> DataFrame:

@@ -1,5 +1,6 @@
 """Shapley shares by subsets, naive means by sums, parts of hybrids, capped paths."""
 
+import datetime as dt
 import itertools
 import math
 
@@ -90,3 +91,21 @@ def test_a_cap_stops_the_path_before_the_first_penalty_with_more_terms():
         got = models.choose_lasso(blocks, max_terms=cap)
         assert np.count_nonzero(got[1:]) <= cap and any(np.allclose(got, w) for w in path[: max(stop, 1)])
     assert np.array_equal(models.choose_lasso(blocks, max_terms=6), free) and np.count_nonzero(free[1:]) > 3
+
+
+def test_correlations_by_blocks_against_each_pair(spark):
+    from panelcast.operators import scoring
+
+    rng = np.random.default_rng(6)
+    days = [dt.date(2000, 1, 1) + dt.timedelta(days=int(3 * i)) for i in range(70)]
+    x = 1e6 + rng.normal(size=(70, 7)).cumsum(axis=0)
+    x[:, 3] = 5.0
+    x[rng.random((70, 7)) < 0.2] = np.nan
+    rows = [("t", f"m{j}", days[i], None if np.isnan(x[i, j]) else float(x[i, j])) for i in range(70) for j in range(7)]
+    got = scoring.signal_correlations(spark.createDataFrame(rows, "target_id string, model_id string, date date, signal double"), block=2, span=50).collect()
+    by = {(r["model_a"], r["model_b"]): (r["correlation"], r["n"]) for r in got}
+    assert len(by) == len(got) == 21
+    for i, j in itertools.combinations(range(7), 2):
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        r, n = by[f"m{i}", f"m{j}"]
+        assert n == both.sum() and (r is None if 3 in (i, j) else r == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-7))
