@@ -169,3 +169,24 @@ def draw(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
     drawn = _with_draws(rows, plan, heads, seed).select("whole", F.explode("draws").alias("d")).select("whole", "d.shard", "d.place")
     lane = F.shiftrightunsigned("place", 64 - LANE_BITS)
     return drawn.repartition("shard", lane).sortWithinPartitions("shard", lane, "place").select("whole.*")
+
+
+def source_targets(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size and target of every row: what the mix is held to, without the draws."""
+    rows = sized(docs, SEED)
+    due = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))).select(F.col("source").alias("_source"), "source_size", "target")
+    return rows.join(due, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "size", "source_size", "target")
+
+
+TARGETS_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, 3 * source_size AS most, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s),
+l AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER b, 0))::BIGINT AS left_size, (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))::BIGINT AS left_weight
+  FROM w WINDOW b AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+o AS (SELECT *, most * left_weight > left_size * weight AS is_open FROM l),
+f AS (SELECT left_size AS fs, left_weight AS fw FROM o WHERE is_open ORDER BY most / weight, source NULLS LAST LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN is_open THEN (fs * weight)::DOUBLE / fw ELSE most::DOUBLE END AS target FROM o LEFT JOIN f ON true)
+SELECT doc_id, size, source_size, round(target, 4) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+"""

@@ -230,3 +230,13 @@ def mask(docs: DataFrame) -> DataFrame:
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out
+
+
+#: The four base kinds' counts by regular expressions alone.
+COUNTS_SQL = r"""
+SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) AS n_email,
+  len(list_filter(regexp_extract_all(t, '[0-9]+(?:\.[0-9]+){3}'), lambda q: len(list_filter(string_split(q, '.'), lambda p: len(ltrim(p, '0')) > 3 OR coalesce(try_cast(right(p, 4) AS INTEGER), 999) > 255)) = 0)) AS n_ip,
+  len(list_filter(list_transform(regexp_extract_all(t, '[0-9](?:[ -]?[0-9])+'), lambda c: regexp_replace(c, '[ -]', '', 'g')), lambda c: len(c) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, len(c) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(c[-i] AS INTEGER) ELSE (2 * CAST(c[-i] AS INTEGER)) // 10 + (2 * CAST(c[-i] AS INTEGER)) % 10 END)) % 10 = 0)) AS n_card,
+  len(list_filter(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda h: len(regexp_replace(h, '[^0-9]', '', 'g')) BETWEEN 9 AND 15)) AS n_phone
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+"""

@@ -68,6 +68,16 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(table(spark, sf_dir, "conversations"))
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op8 is held to, in a form that SQL can say."""
+    return mixing.source_targets(table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 4))
+
+
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10's counts of the base kinds, in a form that SQL can say."""
+    return pii.personal_data(table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
@@ -83,6 +93,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op11_hard_negatives": op11_hard_negatives,
         "op12_byte_bpe": op12_byte_bpe,
         "op13_conversation_repair": op13_conversation_repair,
+        "mix_targets": mix_targets,
+        "pii_counts": pii_counts,
     }
 
 
@@ -91,4 +103,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_minhash_near_dedup": minhash.ORACLE_SQL,
         "op7_quality_rules": rules.ORACLE_SQL,
         "op11_hard_negatives": negatives.ORACLE_SQL,
+        "mix_targets": mixing.TARGETS_SQL,
+        "pii_counts": pii.COUNTS_SQL,
     }
