@@ -22,14 +22,18 @@ def _cells(line: str) -> Column:
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, pos, line) of all text files under a path: file is its path, pos in the order of its lines.
 
-    Files are read line by line, in blocks, so no file has to fit one row; a line's place is the offset of its block and
-    its number in it, made gapless per file.
+    Files are read line by line, in blocks, so no file has to fit one row or one task. Lines of a block have ids in a row, so
+    a line's place is its distance from the block's first id, after the lines of the file's blocks before, which are
+    counted; lines are neither sorted nor moved for it.
     """
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")
     )
-    place = F.row_number().over(Window.partitionBy("file").orderBy("block", "at")) - 1
-    return raw.select("file", place.alias("pos"), F.regexp_replace("line", "^\\uFEFF|\r$", "").alias("line"))
+    blocks = raw.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    lines = raw.join(blocks, ["file", "block"])
+    return lines.select("file", (F.col("start") + F.col("at") - F.col("first")).alias("pos"), F.regexp_replace("line", "^\\uFEFF|\r$", "").alias("line"))
 
 
 def _with_header(lines: DataFrame) -> DataFrame:
