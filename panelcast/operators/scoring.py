@@ -216,7 +216,7 @@ def summarise(forecasts: DataFrame, h: int, test: int, places: int | None = None
     """F11. Pooled scores per target and model; signals may be rounded first, so that ties are ties everywhere.
 
     Two shuffles of the forecasts: by fold for the own levels, then by model for the ranks, scores and errors, which are
-    windows and one aggregation over the same partitions. Training rows stay in it only to count the folds.
+    windows and one aggregation over the same partitions. Of the training rows one a fold goes on, to count the folds.
     """
     keys = ["target_id", "model_id"]
     rows = _levelled(forecasts)
@@ -226,6 +226,8 @@ def summarise(forecasts: DataFrame, h: int, test: int, places: int | None = None
     first = F.row_number().over(Window.partitionBy(*_LEVEL, "part").orderBy("date")) == 1
     least, most = (f(F.when(train, F.col("predicted"))).over(fold) for f in (F.min, F.max))
     rows = rows.withColumns({"_fold": (train & first).cast("int"), "_constant": (train & first & F.coalesce(least == most, F.lit(False))).cast("int")})
+    # from here on a fold's first training row stands for all of them
+    rows = rows.filter((F.col("part") == "test") | (F.col("_fold") == 1))
     pair = (F.col("part") == "test") & F.col("realised").isNotNull()
     whole, marked = pair & F.col("predicted").isNotNull(), pair & F.col("signal").isNotNull()
     rows = rows.withColumns({"_p": whole, "_s": marked})
