@@ -154,7 +154,7 @@ def write_canonical(spark, d):
 
 @query("A7_dataset_hash", fx.sql(HASHED, "signals"))
 def dataset_hash(spark, d):
-    return exports.dataset_hash(Parts(spark, d).signals)
+    return exports.dataset_hash(fx.exact_signals(spark, d))
 
 
 @query("A8_dataset_fingerprint", fx.sql(f"SELECT * FROM (SELECT series_id, count(*) AS rows, min(date) AS first_date, max(date) AS last_date FROM signals GROUP BY 1) JOIN ({HASHED}) USING (series_id)", "signals"))
