@@ -159,7 +159,7 @@ def dataset_hash(spark, d):
 
 @query("A8_dataset_fingerprint", fx.sql(f"SELECT * FROM (SELECT series_id, count(*) AS rows, min(date) AS first_date, max(date) AS last_date FROM signals GROUP BY 1) JOIN ({HASHED}) USING (series_id)", "signals"))
 def dataset_fingerprint(spark, d):
-    return exports.dataset_fingerprint(Parts(spark, d).signals)
+    return exports.dataset_fingerprint(fx.exact_signals(spark, d))
 
 
 @query("A9_export_merged", fx.sql("SELECT strftime(date, '%d/%m/%Y') AS date, " + ", ".join(f"round({s.lower()}, 4) AS {s.lower()}" for s in SEGMENTS) + " FROM factors", "factors"))

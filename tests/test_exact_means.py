@@ -37,7 +37,7 @@ def from_sql(name):
     return canonical(c.sql(catalog.oracle_sql()[name]).df())
 
 
-@pytest.mark.parametrize("name", ["A7_dataset_hash"])
+@pytest.mark.parametrize("name", ["A7_dataset_hash", "A8_dataset_fingerprint"])
 def test_order_of_rows_does_not_show(spark, tied, name):
     want = from_sql(name)
     for path in tied:
