@@ -435,7 +435,7 @@ fx.cte("newer", "SELECT series_id, date, CASE WHEN day(date) = 7 THEN value * 1.
     ),
 )
 def dataset_diff(spark, d):
-    s = Parts(spark, d).signals
+    s = fx.exact_signals(spark, d)
     newer = s.filter(F.month("date") != 2).withColumn("value", F.when(F.dayofmonth("date") == 7, F.col("value") * 1.01).otherwise(F.col("value")))
     return rounded(rounded(quality.dataset_diff(s, newer), "share_differing", "least_ratio", "most_ratio"), "largest_gap", "largest_move_gap", places=4)
 
