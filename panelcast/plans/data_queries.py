@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelcast.operators import ingest, panel, quality, resample
 from panelcast.plans import fixtures as fx
 from panelcast.plans.panel_queries import SEGMENTS, Parts
-from panelcast.plans.register import query, rounded
+from panelcast.plans.register import binary_round, query, rounded
 from panelcast.sources import exports
 
 EVENTS = "(SELECT concat('f', user_id % 2) AS file, event_type, CAST(ts AS DATE) AS date, value, event_id AS pos FROM events)"
@@ -342,7 +342,7 @@ def holiday_join(spark, d):
 )
 def schema_errors(spark, d):
     o = fx.table(spark, d, "orders").join(fx.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    obs = o.select(F.concat(F.lit("seg_"), "c_mktsegment").alias("series_id"), F.round(F.col("o_totalprice") / 20 - 300, 2).alias("value"))
+    obs = o.select(F.concat(F.lit("seg_"), "c_mktsegment").alias("series_id"), binary_round(F.col("o_totalprice") / 20 - 300, 2).alias("value"))
     checks = obs.select("series_id").distinct().withColumn("check", F.lit("SANE_RANGE"))
     return quality.schema_errors(obs, checks)
 

@@ -30,3 +30,9 @@ def rounded(df: DataFrame, *columns: str, places: int = PLACES) -> DataFrame:
 
 def r(c: str | Column, name: str, places: int = PLACES) -> Column:
     return (F.round(F.col(c) if isinstance(c, str) else c, places) + F.lit(0.0)).alias(name)
+
+
+def binary_round(c: Column, places: int) -> Column:
+    """As SQL rounds a double: the scaled double is rounded to a whole number, half away from zero, and scaled back. F.round
+    rounds the shortest decimal form instead, which differs where a double prints as half-way."""
+    return F.round(c * F.lit(10.0**places), 0) / F.lit(10.0**places)

@@ -66,3 +66,9 @@ def test_largest_gap_of_many_copies(spark, tmp_path):
         spark.read.parquet(f"{SF}/lineitem.parquet").limit(1).write.parquet(f"{d}/lineitem.parquet")
         got = {r["series_id"]: r["largest_gap"] for r in catalog.queries()["D10_dataset_diff"](spark, d).collect()}
         assert got["seg_HOUSEHOLD"] == 3271.9433
+
+
+def test_values_that_print_as_half_way(spark, oracle):
+    """At sf0.1 some prices, scaled, print as half-way between two cents but are not."""
+    got = catalog.queries()["D1_schema_errors"](spark, SF).toPandas()
+    assert canonical(got) == canonical(oracle(catalog.oracle_sql()["D1_schema_errors"], "sf0.1"))
