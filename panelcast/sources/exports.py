@@ -85,14 +85,13 @@ def settle_date_order(cells: DataFrame, meta: DataFrame) -> DataFrame:
     names = ("month_first", "day_first")
     dates = cells.select("file", "date_text").distinct()
     both = dates.select("file", *[c.alias(n) for n, c in _readings(F.trim("date_text")).items()])
-    rows = both.groupBy("file").agg(
+    # rows without a reading stay, so no filter on a reading is pushed below what made the cells and run on its rows
+    step = {n: F.nullif(F.datediff(n, F.lag(n).over(Window.partitionBy("file").orderBy(n))), F.lit(0)) for n in names}
+    rows = both.withColumns({f"step_{n}": c for n, c in step.items()}).groupBy("file").agg(
         F.count("*").alias("n"), F.count_if(F.col("month_first") != F.col("day_first")).alias("open"),
-        *[f(n).alias(f"{k}_{n}") for n in names for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))],
+        *[f(n).alias(f"{k}_{n}") for n in names for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))], *[F.median(f"step_{n}").alias(f"step_{n}") for n in names],
     )
-    for n in names:
-        days = both.select("file", n).filter(F.col(n).isNotNull()).distinct().withColumn("step", F.datediff(n, F.lag(n).over(Window.partitionBy("file").orderBy(n))))
-        rows = rows.join(days.groupBy("file").agg(F.median("step").alias(f"step_{n}")), "file", "left")
-    known = meta.groupBy("file").pivot("key", ["start date", "end date", "period"]).agg(F.first("value"))
+    known = meta.groupBy("file").agg(*[F.first(F.when(F.col("key") == k, F.col("value")), ignorenulls=True).alias(k) for k in ("start date", "end date", "period")])
     rows = rows.join(known, "file", "left")
     whole = {n: F.coalesce(F.col(f"n_{n}") == F.col("n"), F.lit(False)) for n in names}
     bound, fits = {}, {}
