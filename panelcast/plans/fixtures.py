@@ -100,7 +100,7 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exact_mean(c: str) -> Column:
     """The mean of amounts with two decimals, from their sum in whole hundredths: the order of rows does not show in it. Of
     other numbers, the plain mean."""
-    hundredths = F.when(F.abs(c) < 1e13, F.round(F.col(c) * 100).cast("long"))
+    hundredths = F.when(F.abs(c) < 1e13, F.floor(F.col(c) * 100 + 0.5))
     fits = F.col(c).isNull() | F.coalesce(hundredths / 100 == F.col(c), F.lit(False))
     return F.coalesce(F.when(F.bool_and(fits), F.try_divide(F.try_sum(hundredths), F.count(c) * 100)), F.avg(c))
 
