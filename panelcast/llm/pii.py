@@ -27,6 +27,9 @@ SCHEMES = ("https", "http", "ftp")
 #: Words that announce an identifier; each also in upper case and with a capital.
 CUES = ("iban", "account", "acct", "passport", "ssn", "token", "api_key", "api-key", "apikey", "password", "secret")
 
+#: Rows of results that leave a Python worker together.
+ROWS_OUT = 1000
+
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _QUAD = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
@@ -183,14 +186,21 @@ def _joined(found: dict[str, list[tuple[int, int]]], kinds: tuple[str, ...]) ->
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One text is decoded at a time, and of its spans only their digests stay; results leave in parts of a batch."""
     for batch in batches:
-        rows = [find(t.decode("utf-8", "replace")) for t in batch.column(1).to_pylist()]
-        counts = [pa.array([len(r[k]) for r in rows], pa.int64()) for k in BASE_KINDS]
-        base = [hashlib.sha256(_joined(r, BASE_KINDS).encode()).hexdigest() for r in rows]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *counts, pa.array(base, pa.string()), pa.array([_joined(r, KINDS) for r in rows], pa.string())],
-            names=["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"],
-        )
+        for part in (batch.slice(at, ROWS_OUT) for at in range(0, batch.num_rows, ROWS_OUT)):
+            counts: list[list[int]] = [[] for _ in BASE_KINDS]
+            base, spans = [], []
+            for text in part.column(1):
+                found = find(str(text.as_buffer(), "utf-8", "replace"))
+                for n, k in zip(counts, BASE_KINDS, strict=True):
+                    n.append(len(found[k]))
+                base.append(hashlib.sha256(_joined(found, BASE_KINDS).encode()).hexdigest())
+                spans.append(_joined(found, KINDS))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), *(pa.array(n, pa.int64()) for n in counts), pa.array(base, pa.string()), pa.array(spans, pa.string())],
+                names=["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"],
+            )
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
